@@ -7,16 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import encode_documents
-from .common import table
+from .common import label_hash, table
+from .compression_quality import fit_quality, score_quality
+from .lexicon_toxicity import fit_toxicity, score_toxicity
+from .source_mix import TAKEN_SQL, taken_words
+from .weighted_fingerprint import edited_fingerprints
+
+
+def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, fit_quality(table(spark, sf_dir, "labels"), docs))
+    return scored.select("doc_id", (label_hash() % 5 == 0).alias("held_out"), "score", "predicted")
+
+
+def op4_weighted_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op5_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, fit_toxicity(table(spark, sf_dir, "labels"), docs))
+    return scored.select("doc_id", (label_hash() % 4 == 2).alias("held_out"), "score", "predicted")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_byte_bpe": op6_byte_bpe}
+    return {f.__name__: f for f in (op2_compression_quality, op4_weighted_fingerprint, op5_lexicon_toxicity, op6_byte_bpe, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_source_mix": TAKEN_SQL}
