@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .byte_bpe import encode_documents
 from .common import label_hash, table
 from .compression_quality import fit_quality, score_quality
 from .lexicon_toxicity import fit_toxicity, score_toxicity
+from .private_data import pseudonymise
 from .source_mix import TAKEN_SQL, taken_words
 from .weighted_fingerprint import edited_fingerprints
 
@@ -34,12 +36,17 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs).select("doc_id", F.size("private").alias("n_private"), F.array_join("private", ",").alias("kinds"), "text")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_compression_quality, op4_weighted_fingerprint, op5_lexicon_toxicity, op6_byte_bpe, op10_source_mix)}
+    return {f.__name__: f for f in (op2_compression_quality, op4_weighted_fingerprint, op5_lexicon_toxicity, op6_byte_bpe, op7_private_data, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
