@@ -7,8 +7,6 @@ are permuted within their letters and digits. Equal values get equal pseudonyms
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,18 +42,8 @@ def number_of(hexadecimal: Column) -> Column:
     return F.conv(F.substring(hexadecimal, 1, 12), 16, 10).cast("long")
 
 
-def permuted_pair(left: Column, right: Column, lefts: int, rights: int, key: str, kind: str) -> tuple[Column, Column]:
-    """Feistel over pairs of numbers, left below `lefts` and right below `rights`: a permutation of these pairs."""
-    for i in range(ROUNDS):
-        if i % 2 == 0:
-            left = F.pmod(left + number_of(keyed(key, kind, i, right)), F.lit(lefts).cast("long"))
-        else:
-            right = F.pmod(right + number_of(keyed(key, kind, i, left)), F.lit(rights).cast("long"))
-    return left, right
-
-
 def in_pair(left: Column, right: Column, lefts: int, rights: int, key: str, kind: str, use) -> Column:
-    """use(left, right) of the permuted pair; each round is a let-binding, so nothing is computed twice."""
+    """use(left, right) of the Feistel permutation of pairs of numbers, left below `lefts` and right below `rights`."""
     state = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
     done = F.aggregate(
         F.array(*[F.lit(i) for i in range(ROUNDS)]),
@@ -132,11 +120,10 @@ def card(m: Column, key: str) -> Column:
 
 
 def address(m: Column, key: str) -> Column:
-    """First numbers from 1 to 223: addresses of single hosts stay such."""
+    """Any four numbers up to 255."""
     o = F.split(m, r"\.")
     part = lambda i: F.element_at(o, i).cast("long")
-    whole = in_pair((part(1) - 1) * 256 + part(2), part(3) * 256 + part(4), 223 * 256, 65536, key, "address", lambda a, b: F.concat_ws(".", F.floor(a / 256) + 1, a % 256, F.floor(b / 256), b % 256))
-    return F.when(part(1).between(1, 223), whole).otherwise(m)
+    return in_pair(part(1) * 256 + part(2), part(3) * 256 + part(4), 65536, 65536, key, "address", lambda a, b: F.concat_ws(".", F.floor(a / 256), a % 256, F.floor(b / 256), b % 256))
 
 
 def date(m: Column, key: str) -> Column:
@@ -208,7 +195,13 @@ RULES = {
 
 def pseudonym(m: Column, key: str = KEY) -> Column:
     """(kind, text) of a match's pseudonym; kind is null where the value isn't valid, and the text then stays."""
-    chosen = reduce(lambda rest, kind: rest.when(m.rlike(f"^(?:{FORMS[kind]})$"), bound(RULES[kind](m, key), lambda t, kind=kind: F.struct(F.when(t != m, kind).alias("kind"), t.alias("text")))), FORMS, F.when(F.lit(False), F.struct(F.lit(None).cast("string").alias("kind"), m.alias("text"))))
+
+    def made(kind: str) -> Column:
+        return bound(RULES[kind](m, key), lambda t: F.struct(F.when(t != m, F.lit(kind)).alias("kind"), t.alias("text")))
+
+    chosen = F
+    for kind, form in FORMS.items():
+        chosen = chosen.when(m.rlike(f"^(?:{form})$"), made(kind))
     return chosen.otherwise(F.struct(F.lit(None).cast("string").alias("kind"), m.alias("text")))
 
 
