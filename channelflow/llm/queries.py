@@ -10,18 +10,30 @@ from pyspark.sql import functions as F
 from .byte_bpe import encode_documents
 from .common import label_hash, table
 from .compression_quality import fit_quality, score_quality
+from .edit_counts import edited_counts
+from .html_text import main_text
 from .lexicon_toxicity import fit_toxicity, score_toxicity
 from .private_data import pseudonymise
+from .shingle_join import linked_documents
 from .source_mix import TAKEN_SQL, taken_words
+from .vector_search import TOP_SQL, top_vectors
 from .weighted_fingerprint import edited_fingerprints
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_quality(docs, fit_quality(table(spark, sf_dir, "labels"), docs))
     return scored.select("doc_id", (label_hash() % 5 == 0).alias("held_out"), "score", "predicted")
 
 
+def op3_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_weighted_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -41,13 +53,35 @@ def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(docs).select("doc_id", F.size("private").alias("n_private"), F.array_join("private", ",").alias("kinds"), "text")
 
 
+def op8_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_counts(table(spark, sf_dir, "documents"))
+
+
+def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(table(spark, sf_dir, "documents"))
 
 
+QUERIES = (
+    op1_html_text,
+    op2_compression_quality,
+    op3_vector_search,
+    op4_weighted_fingerprint,
+    op5_lexicon_toxicity,
+    op6_byte_bpe,
+    op7_private_data,
+    op8_edit_counts,
+    op9_shingle_join,
+    op10_source_mix,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_compression_quality, op4_weighted_fingerprint, op5_lexicon_toxicity, op6_byte_bpe, op7_private_data, op10_source_mix)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_source_mix": TAKEN_SQL}
+    return {"op3_vector_search": TOP_SQL, "op10_source_mix": TAKEN_SQL}
