@@ -52,6 +52,10 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(_mix(h))
 
 
+def set_id(s: np.ndarray) -> int:
+    return int(np.frombuffer(xxhash.xxh3_64_digest(s.tobytes()), dtype=np.int64)[0])
+
+
 def at_least(n: Column, m: Column, percent: int) -> Column:
     """Common shingles that sets of n and m need."""
     return F.ceil((n + m) * percent / F.lit(100 + percent) - 1e-9)
@@ -103,7 +107,7 @@ def document_sets(docs: DataFrame, levels: np.ndarray, words: int, percent: int)
                 s = shingles(text, words)
                 k = len(s)
                 n.append(k)
-                sid.append(int(np.frombuffer(xxhash.xxh3_64_digest(s.tobytes()), dtype=np.int64)[0]) if k else None)
+                sid.append(set_id(s) if k else None)
                 least = -(-percent * k // 100)
                 if not k or least == k and 100 * k // percent == k:
                     start.append(None)  # only an equal set can link
@@ -127,28 +131,38 @@ def bit_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """Adds the exact overlap to pairs(a, b, na, nb) of set ids; only documents that stand for such a set are read again into sets."""
-    ids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(ids.join(sets.select("sid", F.col("rep").alias("id")), "sid")))
+def overlaps(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Adds the exact overlap to pairs(a, b, na, nb) of set ids.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            bit = batch["bit"].to_numpy(dtype=np.int64)
-            batch = batch[(wanted.value[bit >> 6] >> (bit & 63)) & 1 == 1]
-            if len(batch):
-                found = [shingles(t, words) for t in batch["text"]]
-                yield pd.DataFrame({"sid": [int(np.frombuffer(xxhash.xxh3_64_digest(s.tobytes()), dtype=np.int64)[0]) for s in found], "set": [s.tobytes() for s in found]})
+    Only documents that stand for such a set are read again into sets, once for each side of the pairs. Sets travel as 48 bits a shingle.
+    """
 
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER)).alias("bit")
-    fetched = cut(docs.where("doc_id is not null").select("text", bit).mapInPandas(run, "sid long, set binary").join(ids, "sid", "left_semi").dropDuplicates(["sid"]))
+    def fetched(side: str) -> DataFrame:
+        ids = pairs.select(F.col(side).alias("sid")).distinct().join(reps, "sid")
+        wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(ids.select(F.col("rep").alias("id"))))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                bit = batch["bit"].to_numpy(dtype=np.int64)
+                batch = batch[(wanted.value[bit >> 6] >> (bit & 63)) & 1 == 1]
+                if len(batch):
+                    found = [shingles(t, words) for t in batch["text"]]
+                    yield pd.DataFrame({side: [set_id(s) for s in found], f"set_{side}": [(s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in found]})
+
+        bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER)).alias("bit")
+        return docs.where("doc_id is not null").select("text", bit).mapInPandas(run, f"{side} long, set_{side} binary")
+
+    def unpacked(packed: bytes) -> np.ndarray:
+        out = np.zeros((len(packed) // 6, 8), dtype=np.uint8)
+        out[:, :6] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 6)
+        return out.view(np.uint64).ravel()
 
     @F.pandas_udf("int")
     def common(one: pd.Series, other: pd.Series) -> pd.Series:
-        return pd.Series([len(np.intersect1d(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), assume_unique=True)) for x, y in zip(one, other, strict=True)], dtype="int32")
+        return pd.Series([len(np.intersect1d(unpacked(x), unpacked(y))) for x, y in zip(one, other, strict=True)], dtype="int32")
 
-    left, right = fetched.select(F.col("sid").alias("a"), F.col("set").alias("_x")), fetched.select(F.col("sid").alias("b"), F.col("set").alias("_y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", common("_x", "_y").alias("common"))
+    # repeated rows of a document give repeated pairs
+    return pairs.join(fetched("b"), "b").join(fetched("a"), "a").select("a", "b", "na", "nb", common("set_a", "set_b").alias("common")).distinct()
 
 
 def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -160,11 +174,12 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     """
     docs = docs.select("doc_id", text_of().alias("text"))
     rows = cut(document_sets(docs, frequency_levels(docs, words), words, percent))
-    sets = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("start").alias("start"))
-    sets = cut(sets)
+    some = rows.where("sid is not null").groupBy("sid")
+    reps = some.agg(F.min("doc_id").alias("rep"))
+    starts = some.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("start").alias("start"))
 
     # the index: lists of two or more sets, without entries that no partner in the list can reach
-    entry = sets.where("start is not null and rep is not null").select("sid", "n", F.posexplode("start").alias("pos", "h"))
+    entry = starts.where("start is not null and rep is not null").select("sid", "n", F.posexplode("start").alias("pos", "h"))
     spread = entry.repartition("h")
     lists = spread.groupBy("h").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.min(F.struct("pos", "n", "sid")).alias("hub")).where("size > 1")
     smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100 - 1e-9))
@@ -174,43 +189,36 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
         need = at_least(n, m, percent)
         return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - pos, m - mpos) >= need)
 
-    def as_pairs(x: Column, nx: Column, y: Column, ny: Column) -> list[Column]:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.when(x < y, nx).otherwise(ny).alias("na"), F.when(x < y, ny).otherwise(nx).alias("nb")]
-
+    # each set is compared with the hub that it shares most lists with
     hub = F.col("hub")
-    to_hub = live.where((F.col("sid") != hub["sid"]) & can_link(F.col("n"), F.col("pos"), hub["n"], hub["pos"])).select(*as_pairs(F.col("sid"), F.col("n"), hub["sid"], hub["n"])).distinct()
-    tested = cut(overlaps(cut(to_hub), sets, docs, words))
+    shared = live.where((F.col("sid") != hub["sid"]) & can_link(F.col("n"), F.col("pos"), hub["n"], hub["pos"])).groupBy("sid", "n", "hub.sid", "hub.n").agg(F.count("*").alias("lists")).toDF("a", "na", "b", "nb", "lists")
+    to_hub = shared.groupBy("a", "na").agg(F.max(F.struct("lists", "b", "nb")).alias("h")).select("a", F.col("h.b").alias("b"), "na", F.col("h.nb").alias("nb"))
+    tested = cut(overlaps(cut(to_hub), reps, docs, words))
     is_link = F.col("common") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
     links = tested.where(is_link).select("a", "b")
     member = components(links)
 
     # lists that still hold several components: pairs across them
-    known = tested.select("a", "b", "common")
-    placed = (
-        live.join(member, live["sid"] == member["node"], "left")
-        .withColumn("component", F.coalesce("component", "sid"))
-        .withColumn("a", F.least(F.col("sid"), hub["sid"]))
-        .withColumn("b", F.greatest(F.col("sid"), hub["sid"]))
-        .join(known, ["a", "b"], "left")
-        .where(F.col("sid") != hub["sid"])
-        .select("h", "sid", "n", "pos", "component", F.col("hub.n").alias("hub_n"), F.col("common").alias("o"))
-    )
+    known = tested.select(F.col("a").alias("sid"), F.col("b").alias("hub_sid"), F.col("nb").alias("hub_n"), F.col("common").alias("o"))
+    placed = live.select("h", "sid", "n", "pos").join(member.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     several = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
-    open_lists = cut(placed.join(several, "h"))
+    open_lists = cut(placed.join(several, "h").join(known, "sid", "left"))
     x, y = open_lists.alias("x"), open_lists.alias("y")
     c = F.col
     pair = x.join(y, (c("x.h") == c("y.h")) & (c("x.sid") < c("y.sid")) & (c("x.component") != c("y.component")) & can_link(c("x.n"), c("x.pos"), c("y.n"), c("y.pos")))
     need = at_least(c("x.n"), c("y.n"), percent)
-    upper = F.least(c("x.o"), c("y.o")) + F.least(c("x.n") - c("x.o"), c("y.n") - c("y.o"))
-    lower = c("x.o") + c("y.o") - c("x.hub_n")
+    same_hub = c("x.hub_sid") == c("y.hub_sid")
+    upper = F.when(same_hub, F.least(c("x.o"), c("y.o")) + F.least(c("x.n") - c("x.o"), c("y.n") - c("y.o")))
+    upper = F.when(c("x.hub_sid") == c("y.sid"), c("x.o")).when(c("y.hub_sid") == c("x.sid"), c("y.o")).otherwise(upper)
+    lower = F.when(same_hub, c("x.o") + c("y.o") - c("x.hub_n"))
     sure, never = F.coalesce(lower >= need, F.lit(False)), F.coalesce(upper < need, F.lit(False))
     across = cut(pair.where(~never).groupBy(c("x.sid").alias("a"), c("y.sid").alias("b")).agg(F.first("x.n").alias("na"), F.first("y.n").alias("nb"), F.max(sure.cast("int")).alias("sure")))
-    more = overlaps(across.where("sure = 0").drop("sure"), sets, docs, words).where(is_link).select("a", "b")
+    more = overlaps(across.where("sure = 0").drop("sure"), reps, docs, words).where(is_link).select("a", "b")
     late = cut(more.unionByName(across.where("sure = 1").select("a", "b")))
     if not late.isEmpty():
         member = components(links.unionByName(late))
 
-    classes = sets.select("sid", "rep").join(member.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    classes = reps.join(member.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     names = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = classes.join(names, "component").select("sid", "component_id")
     out = rows.join(named, "sid", "left")
