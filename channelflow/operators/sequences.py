@@ -9,10 +9,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_TIME = Window.partitionBy("subject").orderBy("t")
+def by_time() -> WindowSpec:
+    return Window.partitionBy("subject").orderBy("t")
 
 
 def sequence(df: DataFrame, subject: Column | str, state: Column | str, *order: Column | str) -> DataFrame:
@@ -29,8 +30,8 @@ def all_states(seq: DataFrame) -> DataFrame:
 
 def runs(seq: DataFrame) -> DataFrame:
     """Maximal runs of equal states: subject, run (from 1), state, start, length, first, last (whether it begins or ends the sequence)."""
-    changed = (~F.lag("state").over(BY_TIME).eqNullSafe(F.col("state")) | (F.col("t") == 0)).cast("int")
-    marked = seq.withColumn("run", F.sum(changed).over(BY_TIME))
+    changed = (~F.lag("state").over(by_time()).eqNullSafe(F.col("state")) | (F.col("t") == 0)).cast("int")
+    marked = seq.withColumn("run", F.sum(changed).over(by_time()))
     grouped = marked.groupBy("subject", "run").agg(F.first("state").alias("state"), F.min("t").alias("start"), F.count("*").alias("length"))
     whole = Window.partitionBy("subject")
     return grouped.withColumn("first", F.col("run") == 1).withColumn("last", F.col("run") == F.max("run").over(whole))
@@ -103,7 +104,7 @@ def grams(seq: DataFrame, k: int) -> DataFrame:
     """subject, t and s0 .. s(k-1): the k states from each sample on, where there are as many."""
     out = seq
     for i in range(k):
-        out = out.withColumn(f"s{i}", F.lead("state", i).over(BY_TIME))
+        out = out.withColumn(f"s{i}", F.lead("state", i).over(by_time()))
     return out.withColumn("_n", F.count("*").over(Window.partitionBy("subject"))).where(F.col("t") + k <= F.col("_n")).drop("_n", "state")
 
 
@@ -117,7 +118,7 @@ def transition_matrix(seq: DataFrame, order: int = 1) -> DataFrame:
 
 def transition_frequency(seq: DataFrame, sfreq: float | None = None) -> DataFrame:
     """Changes of state a second, or without a rate a step; 0 for sequences of one sample."""
-    moved = seq.withColumn("moved", (~F.lag("state").over(BY_TIME).eqNullSafe(F.col("state")) & (F.col("t") > 0)).cast("int"))
+    moved = seq.withColumn("moved", (~F.lag("state").over(by_time()).eqNullSafe(F.col("state")) & (F.col("t") > 0)).cast("int"))
     n = F.count("*")
     base = n / sfreq if sfreq else n - 1
     return moved.groupBy("subject").agg(F.when(n <= 1, 0.0).otherwise(F.try_divide(F.sum("moved"), base)).alias("transition_frequency"))
@@ -136,7 +137,7 @@ def shannon_entropy(seq: DataFrame) -> DataFrame:
 
 def lagged_pairs(seq: DataFrame, lags: int) -> DataFrame:
     """subject, lag, x, y for lags 0 to lags - 1: shifted within one sort of the subject."""
-    later = F.array(*[F.struct(F.lit(i).alias("lag"), F.lead("state", i).over(BY_TIME).alias("y"), (F.lead("t", i).over(BY_TIME).isNotNull()).alias("there")) for i in range(lags)])
+    later = F.array(*[F.struct(F.lit(i).alias("lag"), F.lead("state", i).over(by_time()).alias("y"), (F.lead("t", i).over(by_time()).isNotNull()).alias("there")) for i in range(lags)])
     shifted = seq.withColumn("later", later)
     return shifted.select("subject", F.col("state").alias("x"), F.explode("later").alias("p")).where("p.there").select("subject", "x", "p.lag", "p.y")
 
