@@ -27,7 +27,7 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_quality(docs, fit_quality(table(spark, sf_dir, "labels"), docs))
-    return scored.select("doc_id", (label_hash() % 5 == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(label_hash() % 5 == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op3_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op4_weighted_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_toxicity(docs, fit_toxicity(table(spark, sf_dir, "labels"), docs))
-    return scored.select("doc_id", (label_hash() % 4 == 2).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(label_hash() % 4 == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

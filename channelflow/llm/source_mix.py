@@ -74,16 +74,18 @@ def splitting_tree(draws: Sequence[int], shards: int, seed: int) -> list[list[in
     return [x.tolist() for x in split(np.array(draws, dtype=np.int64), 0, shards)] if len(draws) else [[] for _ in range(shards)]
 
 
-def plan_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, shards: int = SHARDS, seed: int = 42, bins: int = BINS) -> DataFrame:
+def plan_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, shards: int = SHARDS, seed: int = 42, bins: int = BINS, sized: bool = False) -> DataFrame:
     """Adds size, source_size, target and draws array<struct<shard int, slot long, words long>> to every row of docs.
 
-    docs has doc_id, text (or a column size) and source. Sources are weighed in code point order, null last (null is a source of
+    docs has doc_id, source and text, or instead of text a column size if sized says so. Columns of docs with the added names are replaced. Sources are weighed in code point order, null last (null is a source of
     its own). A null or empty text has size 0: it is drawn with its source's passes and gives no words. Repeated rows are
     blocks of their own. Rows of equal key stand by doc_id, then size. An empty table gives an empty result.
     Only one row a source reaches the driver.
     """
     spark = docs.sparkSession
-    sized = docs if "size" in docs.columns else docs.withColumn("size", size_in_words(text_of()))
+    docs = docs.drop("source_size", "target", "draws")
+    sized = docs if sized else docs.drop("size").withColumn("size", size_in_words(text_of()))
+    columns = sized.columns
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     sized = sized.withColumn("_key", key).withColumn("_bin", (F.conv(F.substring("_key", 1, 6), 16, 10).cast("long") * bins / F.lit(1 << 24)).cast("int"))
     narrow = sized.select("source", "_bin", "size")
@@ -125,7 +127,7 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     placed = ranked.join(bounds, F.col("source").eqNullSafe(F.col("_bs"))).withColumn("_slots", slots)
     shard = lambda slot: F.size(F.filter("_tops", lambda top: top <= slot))
     placed = placed.withColumn("draws", F.transform("_slots", lambda x: F.struct(shard(x["slot"]).cast("int").alias("shard"), x["slot"].alias("slot"), x["words"].alias("words"))))
-    return placed.select(*docs.columns, *([] if "size" in docs.columns else ["size"]), "source_size", "target", "draws")
+    return placed.select(*columns, "source_size", "target", "draws")
 
 
 def draw_mix(planned: DataFrame, seed: int = 42) -> DataFrame:
@@ -133,7 +135,7 @@ def draw_mix(planned: DataFrame, seed: int = 42) -> DataFrame:
 
     Adds shard, slot and words. Shards are spread over as many partitions as Spark deems fit by (shard, slot hash), a large shard over many.
     """
-    drawn = planned.withColumn("_draw", F.explode("draws"))
+    drawn = planned.drop("shard", "slot", "words").withColumn("_draw", F.explode("draws"))
     pieces = F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("_draw.words").cast("int"))
     text = F.when(F.col("_draw.words") < F.col("size"), F.array_join(pieces, "")).otherwise(F.col("text"))
     out = drawn.select("*", F.col("_draw.shard").alias("shard"), F.col("_draw.slot").alias("slot"), F.col("_draw.words").alias("words")).withColumn("text", text)
@@ -145,7 +147,7 @@ def taken_words(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken (words that the mix takes of the document, repeats counted) for every row."""
     sized = docs.select("doc_id", "source", size_in_words(text_of()).alias("size"))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda total, d: total + d["words"])
-    return plan_mix(sized).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return plan_mix(sized, sized=True).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 #: The same rows in DuckDB's SQL, with the defaults above.

@@ -19,10 +19,25 @@ NEAR_WORDS = 5
 NEAR_PERCENT = 80
 
 
+def slim(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and all others as one, so that none clashes with what an operator adds."""
+    others = [c for c in docs.columns if c not in needed]
+    return docs.select(*needed, *([F.struct(*others).alias("_others")] if others else []))
+
+
+def widened(slimmed: DataFrame, columns: list[str], *needed: str) -> DataFrame:
+    return slimmed.select(*[F.col(c) if c in needed else F.col("_others")[c].alias(c) for c in columns])
+
+
+def with_length(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier doesn't reject."""
-    model = fit_quality(table(spark, sf_dir, "labels"), docs)
-    return score_quality(docs, model).where("predicted = 1").select(*docs.columns)
+    model = fit_quality(table(spark, sf_dir, "labels"), docs.select("doc_id", "text"))
+    scored = score_quality(slim(docs, "doc_id", "text"), model).where("predicted = 1")
+    return widened(scored, docs.columns, "doc_id", "text")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +51,13 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def hide_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms for private values."""
-    return pseudonymise(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return with_length(widened(pseudonymise(slim(docs, "doc_id", "text")), docs.columns, "doc_id", "text"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix's draws: a document as often as it is drawn, the last draw of a source cut to its quota."""
-    drawn = draw_mix(plan_mix(docs)).where("words > 0")
-    return drawn.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    drawn = draw_mix(plan_mix(slim(docs, "doc_id", "text", "source"))).where("words > 0")
+    return with_length(widened(drawn, docs.columns, "doc_id", "text", "source"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
