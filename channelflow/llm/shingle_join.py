@@ -3,10 +3,11 @@
 Equal sets are one class. Every class puts the start of its set, in one global order that has rare shingles first, into an index;
 two sets that reach the threshold share a shingle there. Lists of that index are skipped by position and
 size: an entry whose place leaves too few shingles for any partner in its list is dropped with its whole block of later
-places. Within a list, answers are derived from those of a highly similar set: all sets are
-compared with the list's hub (the one whose own shingles come latest), sets that the hub joins are not compared again, and for the
-others the two overlaps with the hub bound their own overlap from both sides, so most pairs are decided without
-their sets. What is left is intersected exactly. No pair that may link is left out, and no pair of one component is spelled out.
+places. Answers are derived from those of a highly similar set: every set is first compared with one hub, the set that it
+shares most lists with. Pairs that hubs have brought into one component aren't compared again. For two sets with the same
+hub, their overlaps with it bound their own from both sides, and what each lacks of it and has beside it gives the exact overlap
+without either set. Only pairs of different hubs are intersected anew. No pair that may link is left out, and no pair of one
+component of a long list is spelled out.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ WORDS = 4
 PERCENT = 85
 COUNTERS = 22  # bits: the frequency sketch has a fixed size, 4 MiB on the driver and in each worker
 SLICE = 1 << 16
+SHORT = 8  # sets of a list whose pairs are all written out
 FILTER = 26  # bits: so does the filter of documents whose sets are fetched, 8 MiB at most
 
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -52,6 +54,13 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(_mix(h))
 
 
+def in_pieces(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+    """Arrow batches in smaller pieces, to bound what a worker holds beside them."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.iloc[i : i + rows]
+
+
 def set_id(s: np.ndarray) -> int:
     return int(np.frombuffer(xxhash.xxh3_64_digest(s.tobytes()), dtype=np.int64)[0])
 
@@ -101,7 +110,7 @@ def document_sets(docs: DataFrame, levels: np.ndarray, words: int, percent: int)
     level = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             n, sid, start = [], [], []
             for text in batch["text"]:
                 s = shingles(text, words)
@@ -131,8 +140,8 @@ def bit_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def overlaps(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """Adds the exact overlap to pairs(a, b, na, nb) of set ids.
+def overlaps(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, with_difference: bool) -> DataFrame:
+    """Adds the exact overlap to pairs(a, b, na, nb) of set ids, and by choice what a lacks of b (places in b) and has beside it.
 
     Only documents that stand for such a set are read again into sets, once for each side of the pairs. Sets travel as 48 bits a shingle.
     """
@@ -142,7 +151,7 @@ def overlaps(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int) ->
         wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(ids.select(F.col("rep").alias("id"))))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
+            for batch in in_pieces(batches):
                 bit = batch["bit"].to_numpy(dtype=np.int64)
                 batch = batch[(wanted.value[bit >> 6] >> (bit & 63)) & 1 == 1]
                 if len(batch):
@@ -157,12 +166,36 @@ def overlaps(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int) ->
         out[:, :6] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 6)
         return out.view(np.uint64).ravel()
 
-    @F.pandas_udf("int")
-    def common(one: pd.Series, other: pd.Series) -> pd.Series:
-        return pd.Series([len(np.intersect1d(unpacked(x), unpacked(y))) for x, y in zip(one, other, strict=True)], dtype="int32")
+    @F.pandas_udf("struct<common: int, lost: binary, own: binary>")
+    def compared(one: pd.Series, other: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(one, other, strict=True):
+            x, y = unpacked(x), unpacked(y)
+            shared, in_x, in_y = np.intersect1d(x, y, return_indices=True)
+            if not with_difference:
+                rows.append((len(shared), None, None))
+                continue
+            lost, own = np.ones(len(y), dtype=bool), np.ones(len(x), dtype=bool)
+            lost[in_y], own[in_x] = False, False
+            rows.append((len(shared), np.flatnonzero(lost).astype(np.uint32).tobytes(), x[own].tobytes()))
+        return pd.DataFrame(rows, columns=["common", "lost", "own"]).astype({"common": "int32"})
 
     # repeated rows of a document give repeated pairs
-    return pairs.join(fetched("b"), "b").join(fetched("a"), "a").select("a", "b", "na", "nb", common("set_a", "set_b").alias("common")).distinct()
+    return pairs.join(fetched("b"), "b").join(fetched("a"), "a").withColumn("x", compared("set_a", "set_b")).select("a", "b", "na", "nb", "x.common", "x.lost", "x.own").dropDuplicates(["a", "b"])
+
+
+def derived_common(*columns: str) -> Column:
+    """Overlap of two sets from their differences to one hub: what of the hub neither lost, and what both have beside it."""
+
+    @F.pandas_udf("int")
+    def derived(lost_x: pd.Series, own_x: pd.Series, lost_y: pd.Series, own_y: pd.Series, hub_size: pd.Series) -> pd.Series:
+        out = []
+        for lx, ox, ly, oy, n in zip(lost_x, own_x, lost_y, own_y, hub_size, strict=True):
+            lost = np.union1d(np.frombuffer(lx, dtype=np.uint32), np.frombuffer(ly, dtype=np.uint32))
+            out.append(n - len(lost) + len(np.intersect1d(np.frombuffer(ox, dtype=np.uint64), np.frombuffer(oy, dtype=np.uint64))))
+        return pd.Series(out, dtype="int32")
+
+    return derived(*columns)
 
 
 def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -183,38 +216,53 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     spread = entry.repartition("h")
     lists = spread.groupBy("h").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.min(F.struct("pos", "n", "sid")).alias("hub")).where("size > 1")
     smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100 - 1e-9))
-    live = cut(spread.join(lists, "h").where(F.col("n") - F.col("pos") >= at_least(F.col("n"), smallest, percent)).select("h", "sid", "n", "pos", "hub"))
+    live = cut(spread.join(lists, "h").where(F.col("n") - F.col("pos") >= at_least(F.col("n"), smallest, percent)).select("h", "sid", "n", "pos", "size", "hub"))
 
     def can_link(n: Column, pos: Column, m: Column, mpos: Column) -> Column:
         need = at_least(n, m, percent)
         return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - pos, m - mpos) >= need)
 
-    # each set is compared with the hub that it shares most lists with
-    hub = F.col("hub")
-    shared = live.where((F.col("sid") != hub["sid"]) & can_link(F.col("n"), F.col("pos"), hub["n"], hub["pos"])).groupBy("sid", "n", "hub.sid", "hub.n").agg(F.count("*").alias("lists")).toDF("a", "na", "b", "nb", "lists")
-    to_hub = shared.groupBy("a", "na").agg(F.max(F.struct("lists", "b", "nb")).alias("h")).select("a", F.col("h.b").alias("b"), "na", F.col("h.nb").alias("nb"))
-    tested = cut(overlaps(cut(to_hub), reps, docs, words))
-    is_link = F.col("common") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    # short lists give their pairs, counted over all lists; of long ones each set is paired with the hub only
+    c, hub = F.col, F.col("hub")
+    short = live.where(c("size") <= SHORT).groupBy("h").agg(F.collect_list(F.struct("sid", "n", "pos")).alias("xs"))
+    within = F.flatten(F.transform("xs", lambda x: F.transform(F.filter("xs", lambda y: (y["sid"] > x["sid"]) & can_link(x["n"], x["pos"], y["n"], y["pos"])), lambda y: F.struct(x["sid"].alias("a"), y["sid"].alias("b"), x["n"].alias("na"), y["n"].alias("nb")))))
+    paired = cut(short.select(F.explode(within).alias("p")).groupBy("p.a", "p.b", "p.na", "p.nb").agg(F.count("*").alias("lists")))
+    long_lists = live.where((c("size") > SHORT) & (c("sid") != hub["sid"]))
+    with_hub = long_lists.where(can_link(c("n"), c("pos"), hub["n"], hub["pos"])).groupBy(c("sid").alias("a"), hub["sid"].alias("b"), c("n").alias("na"), hub["n"].alias("nb")).agg(F.count("*").alias("lists"))
+
+    # each set is compared with the one that it shares most lists with; ties go to the greater id, so most of a group meet in one hub
+    either = paired.unionByName(paired.select(c("b").alias("a"), c("a").alias("b"), c("nb").alias("na"), c("na").alias("nb"), "lists")).unionByName(with_hub)
+    to_hub = cut(either.groupBy("a", "na").agg(F.max(F.struct("lists", "b", "nb")).alias("h")).select("a", c("h.b").alias("b"), "na", c("h.nb").alias("nb")))
+    tested = cut(overlaps(to_hub, reps, docs, words, True))
+    is_link = c("common") * (100 + percent) >= (c("na") + c("nb")) * percent
     links = tested.where(is_link).select("a", "b")
     member = components(links)
 
-    # lists that still hold several components: pairs across them
-    known = tested.select(F.col("a").alias("sid"), F.col("b").alias("hub_sid"), F.col("nb").alias("hub_n"), F.col("common").alias("o"))
-    placed = live.select("h", "sid", "n", "pos").join(member.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    several = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
-    open_lists = cut(placed.join(several, "h").join(known, "sid", "left"))
+    # pairs across components are left: those of short lists, and of the long lists that still hold several
+    of = member.withColumnRenamed("node", "sid")
+    home = lambda side: of.select(c("sid").alias(side), c("component").alias(f"home_{side}"))
+    apart = paired.join(home("a"), "a", "left").join(home("b"), "b", "left").where(F.coalesce("home_a", "a") != F.coalesce("home_b", "b")).select("a", "b", "na", "nb")
+    entries = live.where(c("size") > SHORT).select("h", "sid", "n", "pos").join(of, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    several = entries.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
+    open_lists = cut(entries.join(several, "h"))
     x, y = open_lists.alias("x"), open_lists.alias("y")
-    c = F.col
-    pair = x.join(y, (c("x.h") == c("y.h")) & (c("x.sid") < c("y.sid")) & (c("x.component") != c("y.component")) & can_link(c("x.n"), c("x.pos"), c("y.n"), c("y.pos")))
-    need = at_least(c("x.n"), c("y.n"), percent)
-    same_hub = c("x.hub_sid") == c("y.hub_sid")
-    upper = F.when(same_hub, F.least(c("x.o"), c("y.o")) + F.least(c("x.n") - c("x.o"), c("y.n") - c("y.o")))
-    upper = F.when(c("x.hub_sid") == c("y.sid"), c("x.o")).when(c("y.hub_sid") == c("x.sid"), c("y.o")).otherwise(upper)
-    lower = F.when(same_hub, c("x.o") + c("y.o") - c("x.hub_n"))
-    sure, never = F.coalesce(lower >= need, F.lit(False)), F.coalesce(upper < need, F.lit(False))
-    across = cut(pair.where(~never).groupBy(c("x.sid").alias("a"), c("y.sid").alias("b")).agg(F.first("x.n").alias("na"), F.first("y.n").alias("nb"), F.max(sure.cast("int")).alias("sure")))
-    more = overlaps(across.where("sure = 0").drop("sure"), reps, docs, words).where(is_link).select("a", "b")
-    late = cut(more.unionByName(across.where("sure = 1").select("a", "b")))
+    met = x.join(y, (c("x.h") == c("y.h")) & (c("x.sid") < c("y.sid")) & (c("x.component") != c("y.component")) & can_link(c("x.n"), c("x.pos"), c("y.n"), c("y.pos")))
+    across = apart.unionByName(met.select(c("x.sid").alias("a"), c("y.sid").alias("b"), c("x.n").alias("na"), c("y.n").alias("nb"))).distinct()
+
+    # overlaps with a common hub decide a pair where they can; else the differences to it give the exact overlap
+    to = tested.select(c("a").alias("sid"), c("b").alias("hub"), c("nb").alias("hub_n"), c("common").alias("o"))
+    side = lambda s: to.select(c("sid").alias(s), c("hub").alias(f"hub_{s}"), c("hub_n"), c("o").alias(f"o_{s}")) if s == "a" else to.select(c("sid").alias(s), c("hub").alias(f"hub_{s}"), c("o").alias(f"o_{s}"))
+    known = across.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    known = known.where(~F.coalesce((c("hub_a") == c("b")) | (c("hub_b") == c("a")), F.lit(False)))  # compared already
+    same = F.coalesce(c("hub_a") == c("hub_b"), F.lit(False))
+    need = at_least(c("na"), c("nb"), percent)
+    upper = F.least("o_a", "o_b") + F.least(c("na") - c("o_a"), c("nb") - c("o_b"))
+    known = cut(known.where(~(same & (upper < need))).select("a", "b", "na", "nb", same.alias("same"), "hub_n", (same & (c("o_a") + c("o_b") - c("hub_n") >= need)).alias("sure")))
+    sure = known.where("sure").select("a", "b")
+    diff = lambda s: tested.select(c("a").alias(s), c("lost").alias(f"lost_{s}"), c("own").alias(f"own_{s}"))
+    derived = known.where("same and not sure").join(diff("a"), "a").join(diff("b"), "b").withColumn("common", derived_common("lost_a", "own_a", "lost_b", "own_b", "hub_n")).where(is_link).select("a", "b")
+    fetched = overlaps(known.where("not same").select("a", "b", "na", "nb"), reps, docs, words, False).where(is_link).select("a", "b")
+    late = cut(sure.unionByName(derived).unionByName(fetched))
     if not late.isEmpty():
         member = components(links.unionByName(late))
 
