@@ -85,6 +85,13 @@ class MergeReplay:
                 at = np.array(taken, dtype=np.int64)
                 second = after[at]
             third = after[second]
+            starts_here[at] = True
+            follows = (third >= 0) & starts_here[third]  # two merges side by side: the first alone might have made a pair that goes before
+            starts_here[at] = False
+            if follows.any():
+                beside = third[follows]
+                early = self.rank_of(np.full(len(beside), r), symbol[beside]) < r
+                irregular.update(np.searchsorted(ends, beside[early], side="right").tolist())
             symbol[at], symbol[second], rank_at[second], after[at] = r, -1, NONE, third
             right = third >= 0
             before[third[right]] = at[right]

@@ -34,7 +34,7 @@ EDITED = 5  # letters from which on an entry may be met with one edit
 WINDOW = 6  # words before and after a hit that make its context
 KEPT_WORDS = 400_000  # words that a worker remembers
 
-LETTERS = re.compile(r"[^\W\d_](?:[\w]*[^\W\d_])?")
+LETTERS = re.compile(r"\d?[^\W\d_](?:\w*[^\W\d_])?")
 DIGIT_LETTERS = str.maketrans("013457", "oieast")
 OPENING, CLOSING = "\"“«„‘", "\"”»“’"
 REPORTING = frozenset("said says say called calls quoted quotes wrote writes quote reported claims claimed".split())
@@ -152,8 +152,9 @@ class LexiconAutomaton:
             self.sets.append(state)
             self.steps.append({})
             ends = [(2 if edits == 0 else 1, self.entry[node][1]) for node, edits in state if node in self.entry and (edits == 0 or self.editable(node))]
-            self.entries.append(frozenset(self.entry[node][0] for node, edits in state if node in self.entry and edits and self.editable(node)))
-            self.whole.append(max([0, *(v for v, _ in ends)]))
+            short = [c for node, edits in state if node and not edits for c in self.children[node].values() if c in self.entry and self.editable(c)]  # the last letter may be missing
+            self.entries.append(frozenset(self.entry[node][0] for node in [*short, *(node for node, edits in state if node in self.entry and edits and self.editable(node))]))
+            self.whole.append(max([0, *(v for v, _ in ends), *(1 for _ in short)]))
             self.begun.append(max([0, *(v for v, begins in ends if begins)]))
         return self.states[state]
 

@@ -127,7 +127,7 @@ def address(m: Column, key: str) -> Column:
 
 
 def date(m: Column, key: str) -> Column:
-    """Days from 1900 to 2099: 229 * 319 of them. With strokes, the month comes first if that makes a date; with points, the day."""
+    """Days from 1900 to 2099: 17 * 4297 of them. With strokes, the month comes first if that makes a date; with points, the day."""
     p = F.split(m, r"[-/.]")
     at = lambda i: F.element_at(p, i)
     made = lambda y, mo, d: F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")).try_cast("date")
@@ -136,13 +136,13 @@ def date(m: Column, key: str) -> Column:
     value = F.when(iso, made(at(1), at(2), at(3))).when(american, month_first).otherwise(made(at(3), at(2), at(1)))
 
     def write(left: Column, right: Column) -> Column:
-        day = F.date_add(F.lit("1900-01-01").cast("date"), (left * 319 + right).cast("int"))
+        day = F.date_add(F.lit("1900-01-01").cast("date"), (left * 4297 + right).cast("int"))
         short = lambda number, like: F.when(F.length(like) == 1, number.cast("string")).otherwise(F.lpad(number.cast("string"), 2, "0"))
         joined = F.when(m.contains("/"), "/").otherwise(".")
         return F.when(iso, F.date_format(day, "yyyy-MM-dd")).when(american, F.concat(short(F.month(day), at(1)), joined, short(F.dayofmonth(day), at(2)), joined, F.year(day))).otherwise(F.concat(short(F.dayofmonth(day), at(1)), joined, short(F.month(day), at(2)), joined, F.year(day)))
 
     number = F.datediff(value, F.lit("1900-01-01").cast("date")).cast("long")
-    return F.when(value.isNull(), m).otherwise(in_pair(F.floor(number / 319), number % 319, 229, 319, key, "date", write))
+    return F.when(value.isNull(), m).otherwise(in_pair(F.floor(number / 4297), number % 4297, 17, 4297, key, "date", write))
 
 
 def social(m: Column, key: str) -> Column:

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, text_of
@@ -213,10 +213,10 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
 
     # the index: lists of two or more sets, without entries that no partner in the list can reach
     entry = starts.where("start is not null and rep is not null").select("sid", "n", F.posexplode("start").alias("pos", "h"))
-    spread = entry.repartition("h")
-    lists = spread.groupBy("h").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.min(F.struct("pos", "n", "sid")).alias("hub")).where("size > 1")
+    in_list = Window.partitionBy("h")  # one exchange; long lists spill, and rare-first order keeps them to groups of copies
+    lists = entry.withColumn("size", F.count("*").over(in_list)).withColumn("least", F.min("n").over(in_list)).withColumn("hub", F.min(F.struct("pos", "n", "sid")).over(in_list)).where("size > 1")
     smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100 - 1e-9))
-    live = cut(spread.join(lists, "h").where(F.col("n") - F.col("pos") >= at_least(F.col("n"), smallest, percent)).select("h", "sid", "n", "pos", "size", "hub"))
+    live = cut(lists.where(F.col("n") - F.col("pos") >= at_least(F.col("n"), smallest, percent)).select("h", "sid", "n", "pos", "size", "hub"))
 
     def can_link(n: Column, pos: Column, m: Column, mpos: Column) -> Column:
         need = at_least(n, m, percent)
@@ -230,8 +230,8 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     long_lists = live.where((c("size") > SHORT) & (c("sid") != hub["sid"]))
     with_hub = long_lists.where(can_link(c("n"), c("pos"), hub["n"], hub["pos"])).groupBy(c("sid").alias("a"), hub["sid"].alias("b"), c("n").alias("na"), hub["n"].alias("nb")).agg(F.count("*").alias("lists"))
 
-    # each set is compared with the one that it shares most lists with; ties go to the greater id, so most of a group meet in one hub
-    either = paired.unionByName(paired.select(c("b").alias("a"), c("a").alias("b"), c("nb").alias("na"), c("na").alias("nb"), "lists")).unionByName(with_hub)
+    # each set is compared with the one, of greater id in short lists, that it shares most lists with
+    either = paired.unionByName(with_hub)
     to_hub = cut(either.groupBy("a", "na").agg(F.max(F.struct("lists", "b", "nb")).alias("h")).select("a", c("h.b").alias("b"), "na", c("h.nb").alias("nb")))
     tested = cut(overlaps(to_hub, reps, docs, words, True))
     is_link = c("common") * (100 + percent) >= (c("na") + c("nb")) * percent

@@ -19,6 +19,7 @@ QUERY_ROWS = 8192  # of a block, about
 CANDIDATE_ROWS = 16_384
 TILE = 4096  # candidates that share a step
 DIMENSIONS = 16  # of a step
+LONG = 1 << 63  # scores beyond a long are given as its least or greatest value
 EXACT = 2.0**53  # sums of doubles are exact below
 
 
@@ -52,10 +53,10 @@ def best_in_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.nda
                 keep = partial + mass >= floor - 1e-6 * (1 + abs(floor)) if floor > -np.inf else np.ones(len(alive), dtype=bool)
                 alive, partial = alive[keep], partial[keep]
             scores, ids = np.concatenate((scores, partial)), np.concatenate((ids, own[alive]))
-            if len(scores) > k:
+            if len(scores):
                 order = np.lexsort((ids, -scores))[:k] if scores.dtype != object else np.array(sorted(range(len(ids)), key=lambda j: (-scores[j], ids[j]))[:k])
                 scores, ids = scores[order], ids[order]
-        out += [(int(q_ids[i]), int(x), int(s)) for x, s in zip(ids, scores, strict=True)]
+        out += [(int(q_ids[i]), int(x), max(-LONG, min(LONG - 1, int(s)))) for x, s in zip(ids, scores, strict=True)]
     return out
 
 
