@@ -1,9 +1,8 @@
 """N-gram Jaccard join with set-relation skipping.
 
 Equal sets are one class. Every class puts the start of its set, in one global order that has rare shingles first, into an index;
-two sets that reach the threshold share a shingle there. Lists of that index are skipped by position and
-size: an entry whose place leaves too few shingles for any partner in its list is dropped with its whole block of later
-places. Answers are derived from those of a highly similar set: every set is first compared with one hub, the set that it
+two sets that reach the threshold share a shingle there. Pairs are skipped by size, by position (a shared
+place that leaves too few shingles after it) and by their starts as a whole, which must share more than a few lists. Answers are derived from those of a highly similar set: every set is first compared with one hub, the set that it
 shares most lists with. Pairs that hubs have brought into one component aren't compared again. For two sets with the same
 hub, their overlaps with it bound their own from both sides, and what each lacks of it and has beside it gives the exact overlap
 without either set. Only pairs of different hubs are intersected anew. No pair that may link is left out, and no pair of one
@@ -172,7 +171,7 @@ def overlaps(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, wit
         for x, y in zip(one, other, strict=True):
             x, y = unpacked(x), unpacked(y)
             shared, in_x, in_y = np.intersect1d(x, y, return_indices=True)
-            if not with_difference:
+            if not with_difference or 2 * len(shared) < max(len(x), len(y)):  # far apart: nothing to derive
                 rows.append((len(shared), None, None))
                 continue
             lost, own = np.ones(len(y), dtype=bool), np.ones(len(x), dtype=bool)
@@ -214,24 +213,40 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     # the index: lists of two or more sets, without entries that no partner in the list can reach
     entry = starts.where("start is not null and rep is not null").select("sid", "n", F.posexplode("start").alias("pos", "h"))
     in_list = Window.partitionBy("h")  # one exchange; long lists spill, and rare-first order keeps them to groups of copies
-    lists = entry.withColumn("size", F.count("*").over(in_list)).withColumn("least", F.min("n").over(in_list)).withColumn("hub", F.min(F.struct("pos", "n", "sid")).over(in_list)).where("size > 1")
-    smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100 - 1e-9))
-    live = cut(lists.where(F.col("n") - F.col("pos") >= at_least(F.col("n"), smallest, percent)).select("h", "sid", "n", "pos", "size", "hub"))
+    lists = entry.withColumn("size", F.count("*").over(in_list)).withColumn("hub", F.min(F.struct("pos", "n", "sid")).over(in_list)).where("size > 1")
+    live = cut(lists.select("h", "sid", "n", "pos", "size", "hub"))
+
+    c, hub = F.col, F.col("hub")
+    reached = live.groupBy("sid").agg(F.count("*").alias("shared"), F.count_if(c("size") > SHORT).alias("long"))
+    reached = cut(reached)
+
+    def fits(n: Column, m: Column) -> Column:
+        return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
     def can_link(n: Column, pos: Column, m: Column, mpos: Column) -> Column:
-        need = at_least(n, m, percent)
-        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - pos, m - mpos) >= need)
+        return fits(n, m) & (F.least(n - pos, m - mpos) >= at_least(n, m, percent))
+
+    def plausible(pairs: DataFrame, exact: bool) -> DataFrame:
+        """Pairs(a, b, na, nb, lists) whose starts have enough in common: all shingles that both sets have up to where the first start ends are shared
+        lists, and what follows is bounded by the rest of that set. lists counts shared short lists if exact; else each set's lists bound it."""
+        rest = lambda n: F.ceil(n * percent / 100 - 1e-9) - 1
+        side = lambda x: reached.select(c("sid").alias(x), c("shared").alias(f"shared_{x}"), c("long").alias(f"long_{x}"))
+        most = F.least("shared_a", "shared_b")
+        if exact:
+            most = F.least(most, c("lists") + F.least("long_a", "long_b"))
+        joined = pairs.join(side("a"), "a").join(side("b"), "b")
+        return joined.where(most + F.greatest(rest(c("na")), rest(c("nb"))) >= at_least(c("na"), c("nb"), percent)).select("a", "b", "na", "nb", "lists")
 
     # short lists give their pairs, counted over all lists; of long ones each set is paired with the hub only
-    c, hub = F.col, F.col("hub")
-    short = live.where(c("size") <= SHORT).groupBy("h").agg(F.collect_list(F.struct("sid", "n", "pos")).alias("xs"))
-    within = F.flatten(F.transform("xs", lambda x: F.transform(F.filter("xs", lambda y: (y["sid"] > x["sid"]) & can_link(x["n"], x["pos"], y["n"], y["pos"])), lambda y: F.struct(x["sid"].alias("a"), y["sid"].alias("b"), x["n"].alias("na"), y["n"].alias("nb")))))
-    paired = cut(short.select(F.explode(within).alias("p")).groupBy("p.a", "p.b", "p.na", "p.nb").agg(F.count("*").alias("lists")))
+    short = live.where(c("size") <= SHORT).groupBy("h").agg(F.collect_list(F.struct("sid", "n")).alias("xs"))
+    within = F.flatten(F.transform("xs", lambda x: F.transform(F.filter("xs", lambda y: (y["sid"] > x["sid"]) & fits(x["n"], y["n"])), lambda y: F.struct(x["sid"].alias("a"), y["sid"].alias("b"), x["n"].alias("na"), y["n"].alias("nb")))))
+    counted = short.select(F.explode(within).alias("p")).groupBy("p.a", "p.b", "p.na", "p.nb").agg(F.count("*").alias("lists"))
+    paired = cut(plausible(counted, True))
     long_lists = live.where((c("size") > SHORT) & (c("sid") != hub["sid"]))
-    with_hub = long_lists.where(can_link(c("n"), c("pos"), hub["n"], hub["pos"])).groupBy(c("sid").alias("a"), hub["sid"].alias("b"), c("n").alias("na"), hub["n"].alias("nb")).agg(F.count("*").alias("lists"))
+    with_hub = long_lists.where(fits(c("n"), hub["n"])).groupBy(c("sid").alias("a"), hub["sid"].alias("b"), c("n").alias("na"), hub["n"].alias("nb")).agg(F.count("*").alias("lists"))
 
     # each set is compared with the one, of greater id in short lists, that it shares most lists with
-    either = paired.unionByName(with_hub)
+    either = paired.unionByName(plausible(with_hub, False))
     to_hub = cut(either.groupBy("a", "na").agg(F.max(F.struct("lists", "b", "nb")).alias("h")).select("a", c("h.b").alias("b"), "na", c("h.nb").alias("nb")))
     tested = cut(overlaps(to_hub, reps, docs, words, True))
     is_link = c("common") * (100 + percent) >= (c("na") + c("nb")) * percent
@@ -247,14 +262,15 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     open_lists = cut(entries.join(several, "h"))
     x, y = open_lists.alias("x"), open_lists.alias("y")
     met = x.join(y, (c("x.h") == c("y.h")) & (c("x.sid") < c("y.sid")) & (c("x.component") != c("y.component")) & can_link(c("x.n"), c("x.pos"), c("y.n"), c("y.pos")))
-    across = apart.unionByName(met.select(c("x.sid").alias("a"), c("y.sid").alias("b"), c("x.n").alias("na"), c("y.n").alias("nb"))).distinct()
+    met = met.groupBy(c("x.sid").alias("a"), c("y.sid").alias("b"), c("x.n").alias("na"), c("y.n").alias("nb")).agg(F.count("*").alias("lists"))
+    across = apart.unionByName(plausible(met, False).drop("lists")).distinct()
 
     # overlaps with a common hub decide a pair where they can; else the differences to it give the exact overlap
-    to = tested.select(c("a").alias("sid"), c("b").alias("hub"), c("nb").alias("hub_n"), c("common").alias("o"))
-    side = lambda s: to.select(c("sid").alias(s), c("hub").alias(f"hub_{s}"), c("hub_n"), c("o").alias(f"o_{s}")) if s == "a" else to.select(c("sid").alias(s), c("hub").alias(f"hub_{s}"), c("o").alias(f"o_{s}"))
+    to = tested.select(c("a").alias("sid"), c("b").alias("hub"), c("nb").alias("hub_n"), c("common").alias("o"), c("lost").isNotNull().alias("close"))
+    side = lambda s: to.select(c("sid").alias(s), c("hub").alias(f"hub_{s}"), c("hub_n"), c("o").alias(f"o_{s}"), c("close").alias(f"close_{s}")) if s == "a" else to.select(c("sid").alias(s), c("hub").alias(f"hub_{s}"), c("o").alias(f"o_{s}"), c("close").alias(f"close_{s}"))
     known = across.join(side("a"), "a", "left").join(side("b"), "b", "left")
     known = known.where(~F.coalesce((c("hub_a") == c("b")) | (c("hub_b") == c("a")), F.lit(False)))  # compared already
-    same = F.coalesce(c("hub_a") == c("hub_b"), F.lit(False))
+    same = F.coalesce((c("hub_a") == c("hub_b")) & c("close_a") & c("close_b"), F.lit(False))
     need = at_least(c("na"), c("nb"), percent)
     upper = F.least("o_a", "o_b") + F.least(c("na") - c("o_a"), c("nb") - c("o_b"))
     known = cut(known.where(~(same & (upper < need))).select("a", "b", "na", "nb", same.alias("same"), "hub_n", (same & (c("o_a") + c("o_b") - c("hub_n") >= need)).alias("sure")))
