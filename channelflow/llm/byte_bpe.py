@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from .common import text_of
 
 NONE = 1 << 30  # the rank of a pair that no merge joins
+OUT_ROWS = 250  # documents whose ids are held at once
 KEPT_WORDS = 300_000  # pre-tokens that a worker remembers between batches
 
 
@@ -190,27 +191,30 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
         own = encoder(path, pattern)
         own.digest = {}
         for batch in batches:
-            n, ids_sha, text_sha, ids = [], [], [], []
+            doc_ids, begin = batch["doc_id"].astype("Int64"), 0
             for texts in in_chunks(batch["text"].tolist()):
                 split = [own.split(t) for t in texts]
                 own.learn(w for words in split for w in set(words))
                 said = own.digest
                 if len(said) > KEPT_WORDS:
                     said.clear()
-                for words in split:
-                    parts = []
-                    for w in words:
-                        x = said.get(w)
-                        if x is None:
-                            got = own.known[w]
-                            x = said[w] = (" ".join(map(str, got)), own.replay.decode(got), len(got))
-                        parts.append(x)
-                    n.append(sum([p[2] for p in parts]))
-                    ids_sha.append(hashlib.sha256(" ".join([p[0] for p in parts]).encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(b"".join([p[1] for p in parts])).hexdigest())
-                    if with_ids:
-                        ids.append([i for w in words for i in own.known[w]])
-            out = {"doc_id": batch["doc_id"].astype("Int64"), "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha}
-            yield pd.DataFrame(out | ({"ids": ids} if with_ids else {}), index=batch.index)
+                for at in range(0, len(split), OUT_ROWS):
+                    n, ids_sha, text_sha, ids = [], [], [], []
+                    for words in split[at : at + OUT_ROWS]:
+                        parts = []
+                        for w in words:
+                            x = said.get(w)
+                            if x is None:
+                                got = own.known[w]
+                                x = said[w] = (" ".join(map(str, got)), own.replay.decode(got), len(got))
+                            parts.append(x)
+                        n.append(sum([p[2] for p in parts]))
+                        ids_sha.append(hashlib.sha256(" ".join([p[0] for p in parts]).encode()).hexdigest())
+                        text_sha.append(hashlib.sha256(b"".join([p[1] for p in parts])).hexdigest())
+                        if with_ids:
+                            ids.append(np.fromiter((i for w in words for i in own.known[w]), dtype=np.int32, count=n[-1]))
+                    out = {"doc_id": doc_ids.iloc[begin : begin + len(n)].array, "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha}
+                    begin += len(n)
+                    yield pd.DataFrame(out | ({"ids": ids} if with_ids else {}))
 
     return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, schema)
