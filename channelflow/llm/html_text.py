@@ -1,10 +1,10 @@
-"""Main text of web pages, with a host suffix array for what the markup leaves open.
+"""Main text of web pages by a host suffix array over what the markup leaves.
 
-Pages are read as blocks in page order. Where a page marks its article, the blocks inside are its text, without notices, adverts,
-forms and comments that the markup names. Where it doesn't, the blocks outside menus, headers, footers and the like are open, and the
-host decides: their token streams are laid end to end, and all suffixes are brought together by their first tokens, the
-leading part of a suffix array, sharded by that key. A group of suffixes from distinct pages is a repeated substring; blocks that such
-substrings cover are boilerplate, the unique runs stay.
+Pages are read as blocks in page order. A page's candidates are the blocks inside its article or main elements, without notices, adverts,
+forms and comments that the markup names; where it has none, the blocks outside menus, headers, footers and the like. The
+host decides on all candidates: their token streams are laid end to end, and all suffixes are brought together by their first tokens, the
+leading part of a suffix array, sharded by host and key. Suffixes that meet are a repeated substring. It is boilerplate if the
+pages that hold it otherwise differ; blocks that such substrings cover go, the unique runs stay.
 """
 
 from __future__ import annotations
@@ -19,8 +19,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 LONG = 8  # tokens that a repeated substring has at least
 COVERED = 0.5  # share of a block's tokens from which on it goes
+ALIKE = 0.8  # mean resemblance of the pages that hold a substring, from which on they are copies of each other
+SIGNS = 256  # bits of a page's sketch
+SHARD_CHARS = 16_000_000  # of HTML whose suffixes one group holds
+HOST_CELLS = 1 << 16  # in which hosts are sized
+FLAGS = 1 << 23  # in which pages with repeated substrings are marked
+
+_rng = np.random.Generator(np.random.PCG64(11))
+POWERS = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SLOTS = _rng.integers(0, 1 << 63, SIGNS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.DOTALL)
 ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.DOTALL)
@@ -38,7 +49,6 @@ CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion cookie cookies consent gdpr notice notices notification popup modal overlay sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs masthead topbar footer copyright comment comments disqus reply replies respond share sharing social related recommended newsletter subscribe subscription signup login pagination pager skip toolbar widget".split()
 )
 ARTICLE_WORDS = frozenset("article post entry story".split())
-MARKED = r"(?i)<(?:article|main)\b"
 
 
 class Page:
@@ -128,71 +138,176 @@ class Page:
         self.flush(chrome, inside)
 
 
-def marked_text(source: str) -> str:
-    """The article's blocks; if its markup encloses none, all blocks outside chrome."""
+def candidates(source: str) -> list[str]:
+    """The article's blocks; if the markup encloses none, all blocks outside chrome."""
     blocks = Page(source).blocks
-    return "\n".join([t for t, inside in blocks if inside] or [t for t, _ in blocks])
+    return [t for t, inside in blocks if inside] or [t for t, _ in blocks]
+
+
+def marked_text(source: str) -> str:
+    return "\n".join(candidates(source))
 
 
 def host_of(url: str | None) -> str:
     return re.sub(r"^[a-z+]*:?//", "", (url or "").lower()).split("/")[0].split("?")[0].split("#")[0]
 
 
-def main_text(pages: DataFrame, long: int = LONG, covered: float = COVERED) -> DataFrame:
+def host_cell(host: str) -> int:
+    return xxhash.xxh3_64_intdigest(host) % HOST_CELLS
+
+
+def numbers(tokens: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in tokens), dtype=np.uint64, count=len(tokens))
+
+
+def heads_of(hashed: np.ndarray, long: int) -> np.ndarray:
+    """A number for the first `long` tokens of each suffix that has so many."""
+    n = max(0, len(hashed) - long + 1)
+    out = np.zeros(n, dtype=np.uint64)
+    for j in range(long):
+        out = (out + hashed[j : j + n]) * POWERS[j % len(POWERS)]
+    return out ^ (out >> np.uint64(31))
+
+
+def sketch(hashed: np.ndarray) -> np.ndarray:
+    """A bit of the least number of each slot over the distinct tokens: two pages agree in a bit with probability (1 + resemblance) / 2."""
+    distinct = np.unique(hashed)
+    least = np.full(SIGNS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(distinct), 2048):
+        least = np.minimum(least, (distinct[i : i + 2048, None] * SLOTS).min(axis=0))
+    return np.packbits((least >> np.uint64(20) & np.uint64(1)).astype(bool))
+
+
+def boilerplate(heads: np.ndarray, page: np.ndarray, keys: np.ndarray, streams: np.ndarray, signs: np.ndarray, alike: float = ALIKE) -> np.ndarray:
+    """Which suffixes begin a substring that repeats over pages that otherwise differ.
+
+    heads and page (an index) are of suffixes; keys, streams and signs of pages. Equal streams count as one page. The sum over a bit of all pages
+    that hold a substring, taken as +1 and -1, gives their mean resemblance over all pairs without meeting pairs.
+    """
+    _, stream = np.unique(streams, return_inverse=True)
+    _, key = np.unique(keys, return_inverse=True)
+    order = np.lexsort((stream[page], heads))
+    h, s, p = heads[order], stream[page][order], page[order]
+    out = np.zeros(len(heads), dtype=bool)
+    if not len(h):
+        return out
+    new = np.r_[True, h[1:] != h[:-1]]
+    starts = np.flatnonzero(new)
+    k = key[p]
+    several = (np.minimum.reduceat(k, starts) < np.maximum.reduceat(k, starts)) & (np.minimum.reduceat(s, starts) < np.maximum.reduceat(s, starts))
+    group = np.cumsum(new) - 1
+    once = (new | np.r_[True, s[1:] != s[:-1]]) & several[group]
+    if not once.any():
+        return out
+    g, held = group[once], p[once]
+    first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    n = np.diff(np.r_[first, len(g)]).astype(np.float64)
+    squares = np.zeros(len(n))
+    for byte in range(signs.shape[1]):
+        ones = np.add.reduceat(np.unpackbits(signs[held, byte][:, None], axis=1).astype(np.int64), first, axis=0)
+        squares += ((2 * ones - n[:, None]) ** 2).sum(axis=1)
+    resemblance = (squares / (8 * signs.shape[1]) - n) / (n * (n - 1))
+    gone = np.zeros(len(starts), dtype=bool)
+    gone[g[first]] = resemblance < alike
+    out[order] = gone[group]
+    return out
+
+
+def unique_runs(blocks: list[str], repeated: np.ndarray, long: int = LONG, covered: float = COVERED) -> str:
+    """The blocks of which less than the covered share lies in substrings that begin with one of the repeated heads."""
+    words = [b.split() for b in blocks]
+    found = np.flatnonzero(np.isin(heads_of(numbers([t for b in words for t in b]), long) & np.uint64(0xFFFFFFFFFF), repeated))
+    cover = np.zeros(sum(map(len, words)) + 1, dtype=np.int64)
+    np.add.at(cover, found, 1)
+    np.add.at(cover, found + long, -1)
+    total = np.r_[0, np.cumsum(np.cumsum(cover) > 0)]
+    ends = np.cumsum([0, *map(len, words)])
+    return "\n".join(b for b, i, j in zip(blocks, ends[:-1], ends[1:], strict=True) if total[j] - total[i] < covered * (j - i))
+
+
+def main_text(pages: DataFrame, long: int = LONG, covered: float = COVERED, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """page_id, url, text and n_chars (code points of text) of every row of pages(page_id, url, html).
 
     Character references are decoded; white space inside a block becomes one space; blocks are joined in page order by one line feed. A null or empty html,
-    or one without text, gives the empty text. Rows that repeat page_id and url are one page to the host, and each gives a row. A null url is a host of its own.
-    Pages that mark their article are done where they are read. Only the others' open blocks take part in the host's suffix array: a
-    row for each suffix, grouped by host and leading tokens with partial aggregates, so neither a large host nor a common substring meets in one task.
+    or one without text, gives the empty text. Rows that repeat page_id and url are one page to the host, and so are pages of equal token streams; each gives a row. Null urls are one host.
+    All pages take part in their host's suffix array. Hosts are sized in a fixed number of cells, and a large one's suffixes are dealt by
+    their leading tokens to as many groups as its size asks for: a group has a bounded share of the host's HTML. Suffixes travel as packed numbers of
+    40 bits beside a group's pages. Only pages that a fixed-size bitmap marks as having repeated substrings are joined with them.
     """
-    marked = F.coalesce(F.col("html").rlike(MARKED), F.lit(True))
+    spark = pages.sparkSession
+    pages = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url").alias("key"))
 
-    @F.pandas_udf("string")
-    def text_of_marked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for sources in batches:
-            yield pd.Series([marked_text(s) if s else "" for s in sources])
+    @F.pandas_udf("int")
+    def cell_of(urls: pd.Series) -> pd.Series:
+        return pd.Series([host_cell(host_of(u)) for u in urls], dtype=np.int32)
 
-    own = pages.where(marked).select("page_id", "url", text_of_marked("html").alias("text"))
+    sizes = np.zeros(HOST_CELLS, dtype=np.int64)
+    for r in pages.groupBy(cell_of("url").alias("cell")).agg(F.sum(F.coalesce(F.length("html"), F.lit(0))).alias("chars")).collect():
+        sizes[r["cell"]] = r["chars"]
+    shards = spark.sparkContext.broadcast(1 + sizes // shard_chars)
 
-    def open_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            packed: dict[tuple[str, int], list] = {}
+            for url, source, key in zip(batch["url"], batch["html"], batch["key"], strict=True):
+                tokens = [t for b in candidates(source or "") for t in b.split()]
+                if len(tokens) < long:
+                    continue
+                hashed = numbers(tokens)
+                heads, host = np.unique(heads_of(hashed, long)), host_of(url)
+                page = (np.int64(key), xxhash.xxh3_64_intdigest(hashed.tobytes()), sketch(hashed).tobytes())
+                parts = int(shards.value[host_cell(host)])
+                to = (heads >> np.uint64(40)) % np.uint64(parts)
+                for part in range(parts) if parts < 64 else np.unique(to).tolist():
+                    own = heads[to == part] if parts > 1 else heads
+                    if len(own):
+                        packed.setdefault((host, int(part)), []).append((page, own & np.uint64(0xFFFFFFFFFF)))
             rows = []
-            for page_id, url, source in zip(batch["page_id"].astype("Int64"), batch["url"], batch["html"], strict=True):
-                blocks = [t for t, _ in Page(source).blocks]
-                key = xxhash.xxh3_64_intdigest(f"{page_id}\n{url}".encode()) - (1 << 63)
-                rows.append((page_id, url, key, host_of(url), blocks))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "key", "host", "blocks"]).astype({"page_id": "Int64"})
+            for (host, part), found in packed.items():
+                values = np.concatenate([x for _, x in found])
+                keys, streams = np.array([p[0] for p, _ in found], dtype=np.int64), np.array([p[1] for p, _ in found], dtype=np.uint64)
+                counts = np.array([len(x) for _, x in found], dtype=np.int32)
+                rows.append((host, part, keys.tobytes(), streams.tobytes(), b"".join(p[2] for p, _ in found), counts.tobytes(), values.astype(np.uint32).tobytes(), (values >> np.uint64(32)).astype(np.uint8).tobytes()))
+            if rows:
+                yield pd.DataFrame(rows, columns=["host", "part", "keys", "streams", "signs", "counts", "low", "high"])
 
-    rest = pages.where(~marked).select("page_id", "url", "html").mapInPandas(open_blocks, "page_id long, url string, key long, host string, blocks array<string>")
+    def repeated(group: pd.DataFrame) -> pd.DataFrame:
+        keys, streams, counts, low, high = (np.frombuffer(b"".join(group[c]), dtype=t) for c, t in (("keys", np.int64), ("streams", np.uint64), ("counts", np.int32), ("low", np.uint32), ("high", np.uint8)))
+        signs = np.frombuffer(b"".join(group["signs"]), dtype=np.uint8).reshape(len(keys), -1)
+        heads = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+        page = np.repeat(np.arange(len(keys), dtype=np.int32), counts)
+        gone = boilerplate(heads, page, keys, streams, signs)
+        heads, page = heads[gone], page[gone]
+        at, first = np.unique(page, return_index=True)
+        return pd.DataFrame({"key": keys[at], "heads": [x.tobytes() for x in np.split(heads, first[1:])] if len(at) else []})
 
-    def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, host, blocks in zip(batch["key"], batch["host"], batch["blocks"], strict=True):
-                tokens = [t for b in blocks for t in b.split()]
-                heads = [xxhash.xxh3_64_intdigest(host + "\n" + " ".join(tokens[i : i + long])) - (1 << 63) for i in range(len(tokens) - long + 1)]
-                if heads:
-                    yield pd.DataFrame({"key": np.int64(key), "place": np.arange(len(heads), dtype=np.int32), "head": np.array(heads, dtype=np.int64)})
+    suffix = pages.mapInPandas(suffixes, "host string, part int, keys binary, streams binary, signs binary, counts binary, low binary, high binary")
+    found = cut(suffix.groupBy("host", "part").applyInPandas(repeated, "key long, heads binary"))
+    bit = F.pmod("key", F.lit(FLAGS))
+    bitmap = np.zeros(FLAGS // 8, dtype=np.uint8)
+    for r in found.groupBy(F.bitmap_bucket_number(bit + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit + 1)).alias("bits")).collect():
+        at = (r["bucket"] - 1) * 4096
+        bitmap[at : at + 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
+    flags = spark.sparkContext.broadcast(bitmap)
 
-    suffix = rest.select("key", "host", "blocks").mapInPandas(suffixes, "key long, place int, head long")
-    repeated = suffix.groupBy("head").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("head")
-    places = suffix.join(repeated, "head").groupBy("key").agg(F.collect_set("place").alias("places"))
+    @F.pandas_udf("boolean")
+    def flagged(keys: pd.Series) -> pd.Series:
+        k = keys.to_numpy() & (FLAGS - 1)
+        return pd.Series((flags.value[k >> 3] >> (k & 7).astype(np.uint8) & 1).astype(bool))
 
     @F.pandas_udf("string")
-    def unique_runs(blocks: pd.Series, places: pd.Series) -> pd.Series:
-        out = []
-        for page, found in zip(blocks, places, strict=True):
-            sizes = [len(b.split()) for b in page]
-            cover = np.zeros(sum(sizes), dtype=bool)
-            for p in [] if found is None else found:
-                cover[p : p + long] = True
-            at, kept = 0, []
-            for b, n in zip(page, sizes, strict=True):
-                if cover[at : at + n].sum() < covered * n:
-                    kept.append(b)
-                at += n
-            out.append("\n".join(kept))
-        return pd.Series(out)
-
-    decided = rest.join(places, "key", "left").select("page_id", "url", unique_runs("blocks", "places").alias("text"))
-    return own.unionByName(decided).withColumn("n_chars", F.char_length("text").cast("long"))
+    def text_alone(sources: pd.Series) -> pd.Series:
+        return pd.Series([marked_text(s or "") for s in sources], dtype=object)
+
+    @F.pandas_udf("array<string>")
+    def blocks_of(sources: pd.Series) -> pd.Series:
+        return pd.Series([candidates(s or "") for s in sources], dtype=object)
+
+    @F.pandas_udf("string")
+    def text_beside(blocks: pd.Series, heads: pd.Series) -> pd.Series:
+        return pd.Series([unique_runs(list(b), np.frombuffer(b"".join(h), dtype=np.uint64) if h is not None else np.zeros(0, dtype=np.uint64), long, covered) for b, h in zip(blocks, heads, strict=True)], dtype=object)
+
+    alone = pages.where(~flagged("key")).select("page_id", "url", text_alone("html").alias("text"))
+    beside = pages.where(flagged("key")).select("page_id", "url", "key", blocks_of("html").alias("blocks"))
+    decided = beside.join(found.groupBy("key").agg(F.collect_list("heads").alias("heads")), "key", "left").select("page_id", "url", text_beside("blocks", "heads").alias("text"))
+    return alone.unionByName(decided).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -89,6 +89,17 @@ def test_unmarked_pages_lose_what_their_host_repeats(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string, text int")).count() == 0
 
 
+def test_marked_pages_lose_what_their_host_repeats(spark):
+    shared = "this long line of site boilerplate stands on every single page here"
+    own = [" ".join(f"tale{i}word{k}" for k in range(30)) for i in range(4)]
+    marks = [("<article>", "</article>"), ("<main>", "</main>"), ('<div role="main">', "</div>"), ("<!-- <article> --><main-nav></main-nav>", "")]
+    outside = ["<p>outside</p>"] * 3 + [""]
+    rows = [(i, f"http://h.example/{i}", f"<body>{o}{a}<p>{w}</p><p>{shared}</p>{z}</body>") for i, ((a, z), w, o) in enumerate(zip(marks, own, outside, strict=True))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for chars in (1 << 24, 100):  # one group, and suffixes dealt to several
+        assert {r["page_id"]: r["text"] for r in main_text(df, shard_chars=chars).collect()} == dict(enumerate(own))
+
+
 # 2 and 5: classifiers
 
 
