@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html as markup
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -231,8 +232,8 @@ def main_text(pages: DataFrame, long: int = LONG, covered: float = COVERED, shar
     Character references are decoded; white space inside a block becomes one space; blocks are joined in page order by one line feed. A null or empty html,
     or one without text, gives the empty text. Rows that repeat page_id and url are one page to the host, and so are pages of equal token streams; each gives a row. Null urls are one host.
     All pages take part in their host's suffix array. Hosts are sized in a fixed number of cells, and a large one's suffixes are dealt by
-    their leading tokens to as many groups as its size asks for: a group has a bounded share of the host's HTML. Suffixes travel as packed numbers of
-    40 bits beside a group's pages. Only pages that a fixed-size bitmap marks as having repeated substrings are joined with them.
+    their leading tokens to as many groups as its size asks for: a group has a bounded share of the host's HTML. Suffixes travel as packed differences of
+    40-bit numbers beside a group's pages. Only pages that a fixed-size bitmap marks as having repeated substrings are joined with them.
     """
     spark = pages.sparkSession
     pages = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url").alias("key"))
@@ -261,20 +262,22 @@ def main_text(pages: DataFrame, long: int = LONG, covered: float = COVERED, shar
                 for part in range(parts) if parts < 64 else np.unique(to).tolist():
                     own = heads[to == part] if parts > 1 else heads
                     if len(own):
-                        packed.setdefault((host, int(part)), []).append((page, own & np.uint64(0xFFFFFFFFFF)))
+                        packed.setdefault((host, int(part)), []).append((page, np.diff(np.sort(own & np.uint64(0xFFFFFFFFFF)), prepend=np.uint64(0))))
             rows = []
             for (host, part), found in packed.items():
                 values = np.concatenate([x for _, x in found])
                 keys, streams = np.array([p[0] for p, _ in found], dtype=np.int64), np.array([p[1] for p, _ in found], dtype=np.uint64)
                 counts = np.array([len(x) for _, x in found], dtype=np.int32)
-                rows.append((host, part, keys.tobytes(), streams.tobytes(), b"".join(p[2] for p, _ in found), counts.tobytes(), values.astype(np.uint32).tobytes(), (values >> np.uint64(32)).astype(np.uint8).tobytes()))
+                rows.append((host, part, keys.tobytes(), streams.tobytes(), b"".join(p[2] for p, _ in found), counts.tobytes(), values.astype(np.uint32).tobytes(), zlib.compress((values >> np.uint64(32)).astype(np.uint8).tobytes(), 1)))
             if rows:
                 yield pd.DataFrame(rows, columns=["host", "part", "keys", "streams", "signs", "counts", "low", "high"])
 
     def repeated(group: pd.DataFrame) -> pd.DataFrame:
-        keys, streams, counts, low, high = (np.frombuffer(b"".join(group[c]), dtype=t) for c, t in (("keys", np.int64), ("streams", np.uint64), ("counts", np.int32), ("low", np.uint32), ("high", np.uint8)))
+        keys, streams, counts, low = (np.frombuffer(b"".join(group[c]), dtype=t) for c, t in (("keys", np.int64), ("streams", np.uint64), ("counts", np.int32), ("low", np.uint32)))
+        high = np.frombuffer(b"".join(map(zlib.decompress, group["high"])), dtype=np.uint8)
         signs = np.frombuffer(b"".join(group["signs"]), dtype=np.uint8).reshape(len(keys), -1)
-        heads = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+        total = np.cumsum(np.r_[np.uint64(0), low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)])
+        heads = total[1:] - np.repeat(total[np.cumsum(counts) - counts], counts)
         page = np.repeat(np.arange(len(keys), dtype=np.int32), counts)
         gone = boilerplate(heads, page, keys, streams, signs)
         heads, page = heads[gone], page[gone]
@@ -299,15 +302,15 @@ def main_text(pages: DataFrame, long: int = LONG, covered: float = COVERED, shar
     def text_alone(sources: pd.Series) -> pd.Series:
         return pd.Series([marked_text(s or "") for s in sources], dtype=object)
 
-    @F.pandas_udf("array<string>")
-    def blocks_of(sources: pd.Series) -> pd.Series:
-        return pd.Series([candidates(s or "") for s in sources], dtype=object)
+    @F.pandas_udf("binary")
+    def packed_text(sources: pd.Series) -> pd.Series:
+        return pd.Series([zlib.compress(marked_text(s or "").encode("utf-8", "surrogatepass"), 1) for s in sources], dtype=object)
 
     @F.pandas_udf("string")
-    def text_beside(blocks: pd.Series, heads: pd.Series) -> pd.Series:
-        return pd.Series([unique_runs(list(b), np.frombuffer(b"".join(h), dtype=np.uint64) if h is not None else np.zeros(0, dtype=np.uint64), long, covered) for b, h in zip(blocks, heads, strict=True)], dtype=object)
+    def text_beside(texts: pd.Series, heads: pd.Series) -> pd.Series:
+        return pd.Series([unique_runs(zlib.decompress(t).decode("utf-8", "surrogatepass").split("\n"), np.frombuffer(b"".join(h), dtype=np.uint64) if h is not None else np.zeros(0, dtype=np.uint64), long, covered) for t, h in zip(texts, heads, strict=True)], dtype=object)
 
     alone = pages.where(~flagged("key")).select("page_id", "url", text_alone("html").alias("text"))
-    beside = pages.where(flagged("key")).select("page_id", "url", "key", blocks_of("html").alias("blocks"))
-    decided = beside.join(found.groupBy("key").agg(F.collect_list("heads").alias("heads")), "key", "left").select("page_id", "url", text_beside("blocks", "heads").alias("text"))
+    beside = pages.where(flagged("key")).select("page_id", "url", "key", packed_text("html").alias("packed"))
+    decided = beside.join(found.groupBy("key").agg(F.collect_list("heads").alias("heads")), "key", "left").select("page_id", "url", text_beside("packed", "heads").alias("text"))
     return alone.unionByName(decided).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -100,6 +100,16 @@ def test_marked_pages_lose_what_their_host_repeats(spark):
         assert {r["page_id"]: r["text"] for r in main_text(df, shard_chars=chars).collect()} == dict(enumerate(own))
 
 
+def test_copies_on_unmarked_pages_keep_their_article(spark):
+    shared = "this long line of site boilerplate stands on every single page here"
+    words = [[f"tale{i}word{k}" for k in range(120)] for i in range(4)]
+    edited = [*words[1][:60], "edited", *words[1][61:]]
+    texts = [" ".join(w) for w in (words[0], words[0], words[1], edited, words[2], words[3])]
+    rows = [(i, f"http://h.example/{i}?utm=x", f"<div>{w}</div><p>{shared}</p>") for i, w in enumerate(texts)]
+    got = main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == dict(enumerate(texts))
+
+
 # 2 and 5: classifiers
 
 
