@@ -130,17 +130,22 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     return placed.select(*columns, "source_size", "target", "draws")
 
 
-def draw_mix(planned: DataFrame, seed: int = 42) -> DataFrame:
+def draw_mix(planned: DataFrame, seed: int = 42, shards: int = SHARDS) -> DataFrame:
     """One row for each draw, in shards whose rows stand in a keyed shuffle; a cut draw keeps its text's first words.
 
-    Adds shard, slot and words. Shards are spread over as many partitions as Spark deems fit by (shard, slot hash), a large shard over many.
+    Adds shard, slot and words. Draws are exchanged by (shard, slot hash): a partition holds one shard's draws only, shard k has the partitions from k * pieces on,
+    and pieces grows with spark.sql.shuffle.partitions. Within a partition rows stand by slot hash, so written files are the shards' pieces in order.
+    shards is the number that the plan was made for.
     """
+    pieces = -(-int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
     drawn = planned.drop("shard", "slot", "words").withColumn("_draw", F.explode("draws"))
-    pieces = F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("_draw.words").cast("int"))
-    text = F.when(F.col("_draw.words") < F.col("size"), F.array_join(pieces, "")).otherwise(F.col("text"))
+    mixed = F.xxhash64(F.col("source"), F.col("_draw.slot"), F.lit(seed))
+    piece = F.col("_draw.shard") * pieces + F.pmod(F.shiftright("_mixed", 32), F.lit(pieces)).cast("int")
+    drawn = drawn.withColumn("_mixed", mixed).repartitionById(shards * pieces, piece).sortWithinPartitions("_mixed")
+    first = F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("_draw.words").cast("int"))
+    text = F.when(F.col("_draw.words") < F.col("size"), F.array_join(first, "")).otherwise(F.col("text"))
     out = drawn.select("*", F.col("_draw.shard").alias("shard"), F.col("_draw.slot").alias("slot"), F.col("_draw.words").alias("words")).withColumn("text", text)
-    mixed = F.xxhash64(F.col("source"), F.col("slot"), F.lit(seed))
-    return out.drop("_draw", "draws").withColumn("_mixed", mixed).sortWithinPartitions("shard", "_mixed").drop("_mixed")
+    return out.drop("_draw", "draws", "_mixed")
 
 
 def taken_words(docs: DataFrame) -> DataFrame:

@@ -428,6 +428,23 @@ def test_mix_takes_its_quotas_in_disjoint_draws(spark):
     assert sorted(map(str, taken)) == sorted(map(str, taken_words(docs.repartition(5)).collect()))
 
 
+def test_shards_are_exchanged_and_shuffled(spark, tmp_path):
+    planned = plan_mix(spark.read.parquet(f"{SMALL}/documents.parquet")).cache()
+    sizes = Counter((r["source"], r["shard"]) for r in planned.selectExpr("source", "explode(draws) AS d").selectExpr("source", "d.shard").collect())
+    sources = sorted({s for s, _ in sizes}, key=lambda s: (s is None, s or ""))
+    tree = splitting_tree([sum(n for (x, _), n in sizes.items() if x == s) for s in sources], 16, 42)
+    draw_mix(planned).write.parquet(f"{tmp_path}/mix")
+    pieces = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
+    rows = spark.read.parquet(f"{tmp_path}/mix").selectExpr("source", "shard", "slot", "xxhash64(source, slot, 42) AS mixed", "_metadata.file_name AS f").collect()
+    files = {}
+    for r in rows:
+        files.setdefault(int(r["f"].split("-")[1]), []).append(r)
+    found = Counter((r["source"], k // pieces) for k, part in files.items() for r in part)
+    assert found == Counter({(s, k): tree[k][i] for i, s in enumerate(sources) for k in range(16) if tree[k][i]})
+    for part in files.values():
+        assert [r["mixed"] for r in part] == sorted(r["mixed"] for r in part)
+
+
 def test_mix_on_awkward_tables(spark, awkward, none):
     got = taken_words(awkward).collect()
     assert len(got) == awkward.count() and all(r["taken"] <= 2 * r["size"] for r in got)
