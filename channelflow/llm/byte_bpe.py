@@ -1,9 +1,10 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The distinct pre-tokens of a batch of documents are laid out as one array of byte symbols.
-An inverted index leads from the rank of a token pair to every position where that pair starts.
-Ranks are replayed in ascending order; a merge touches its own position and its two neighbours only,
-so each distinct pre-token is merged once, however often the corpus repeats it.
+The corpus's pre-tokens are counted with partial sums. The most frequent ones, a bounded number, are laid out in shards, each
+one array of byte symbols with an inverted index that leads from the rank of a token pair to every position where that pair starts.
+Ranks are replayed in ascending order; a merge touches its own position and its two neighbours only, so each of these
+pre-tokens is merged once, however often the corpus repeats it. Their ids go to all tasks. What is rarer is laid out and replayed in the same
+way over the batch where it occurs: a join of it would move the whole corpus.
 """
 
 from __future__ import annotations
@@ -11,19 +12,27 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import cut, text_of
 
 NONE = 1 << 30  # the rank of a pair that no merge joins
 OUT_ROWS = 250  # documents whose ids are held at once
-KEPT_WORDS = 300_000  # pre-tokens that a worker remembers between batches
+CHUNK_CHARS = 4_000_000  # of texts that are split at once
+COUNTED_WORDS = 100_000  # pre-tokens that a task counts before it hands its counts on
+KEPT_WORDS = 60_000  # rare pre-tokens that a worker remembers between chunks
+SHARED_WORDS = 150_000  # pre-tokens at most whose ids all tasks get
+SHARED_CHARS = 40  # of such a pre-token at most: with the line above, the bound of what is broadcast
+TOP_COUNT = 65_536  # counts from here on are alike
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -132,25 +141,37 @@ class MergeReplay:
             parts[i : i + 2] = [r]
         return parts
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
-
 
 class Encoder:
-    """A worker's encoder: splits texts and remembers the ids of frequent pre-tokens."""
+    """A worker's encoder: splits texts and remembers the ids of pre-tokens, as text: decimal numbers between spaces."""
 
     def __init__(self, path: str, pattern: str):
         self.split = regex.compile(pattern).findall
         self.replay = MergeReplay(load_ranks(path))
-        self.known: dict[str, list[int]] = {}
+        self.token = [self.replay.token.get(i, b"") for i in range(max(self.replay.token) + 1)]
+        self.shared: dict[str, str] = {}
+        self.known: dict[str, str] = {}
+
+    def share(self, shared: dict[str, str]) -> None:
+        """Takes ids that the corpus's replay has found."""
+        if shared is not self.shared:
+            self.shared, self.known = shared, dict(shared)
 
     def learn(self, words: Iterable[str]) -> None:
         """Ids of these pre-tokens, by one replay of the merges over all that are new."""
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
+        if len(self.known) > len(self.shared) + KEPT_WORDS:
+            self.known = dict(self.shared)
         new = list({w for w in words if w not in self.known})
         for w, ids in zip(new, self.replay.encode([w.encode("utf-8", "surrogatepass") for w in new]), strict=True):
-            self.known[w] = ids
+            self.known[w] = " ".join(map(str, ids))
+
+    def split_all(self, texts: list[str]) -> tuple[list[list[str]], dict[str, str]]:
+        """The pre-tokens of each text, equal ones as one object, and the distinct ones."""
+        distinct: dict[str, str] = {}
+        return [list(map(distinct.setdefault, words, words)) for words in map(self.split, texts)], distinct
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.token.__getitem__, ids.tolist()))
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -159,21 +180,73 @@ _encoders: dict[tuple[str, str], Encoder] = {}
 def encoder(path: str, pattern: str) -> Encoder:
     """One encoder for each worker process."""
     if (path, pattern) not in _encoders:
+        _encoders.clear()
         _encoders[path, pattern] = Encoder(path, pattern)
     return _encoders[path, pattern]
 
 
-def in_chunks(texts: list[str], chars: int = 16_000_000) -> Iterator[list[str]]:
-    """Runs of texts of about so many characters; a longer text is a chunk of its own."""
-    chunk, size = [], 0
-    for t in texts:
-        if chunk and size + len(t) > chars:
-            yield chunk
-            chunk, size = [], 0
-        chunk.append(t)
-        size += len(t)
-    if chunk:
-        yield chunk
+def numbers(ids: str) -> np.ndarray:
+    return np.fromstring(ids, dtype=np.int32, sep=" ") if ids else np.zeros(0, dtype=np.int32)
+
+
+def in_chunks(batches: Iterator[pa.RecordBatch], chars: int = CHUNK_CHARS) -> Iterator[tuple[list, list[str]]]:
+    """(doc_ids, texts) of runs of rows of about so many characters; a longer text is a chunk of its own."""
+    for batch in batches:
+        begin = 0
+        lengths = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths)
+        while begin < len(lengths):
+            done = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, done + chars, side="right")))
+            part = batch.slice(begin, end - begin)
+            yield part.column("doc_id").to_pylist(), part.column("text").to_pylist()
+            begin = end
+
+
+def word_counts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """w and n of every pre-token of docs(text) of at most SHARED_CHARS characters, from partial sums of the tasks."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, counts = regex.compile(pattern).findall, Counter()
+
+        def found() -> pa.RecordBatch:
+            kept = [(w, n) for w, n in counts.items() if len(w) <= SHARED_CHARS]
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["w", "n"])
+
+        for _, texts in in_chunks(batches, CHUNK_CHARS // 4):
+            for text in texts:
+                counts.update(split(text))
+            if len(counts) > COUNTED_WORDS:
+                yield found()
+        yield found()
+
+    return docs.mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def shared_ids(docs: DataFrame, path: str, pattern: str, most: int = SHARED_WORDS) -> dict[str, str]:
+    """Ids of the corpus's most frequent pre-tokens, by replays over shards of them.
+
+    The count from which a pre-token is among the `most` comes from a histogram of counts, so nothing is sorted, and no more than `most` rows reach the driver.
+    """
+    counted = cut(word_counts(docs, path, pattern).where("n > 1"))
+    histogram = {r["n"]: r["words"] for r in counted.groupBy(F.least("n", F.lit(TOP_COUNT)).alias("n")).agg(F.count("*").alias("words")).collect()}
+    least, total = TOP_COUNT + 1, 0
+    for n in sorted(histogram, reverse=True):
+        total += histogram[n]
+        if total > most:
+            break
+        least = n
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path, pattern)
+        for batch in batches:
+            words = batch.column("w").to_pylist()
+            ids = own.replay.encode([w.encode() for w in words])
+            yield pa.RecordBatch.from_arrays([batch.column("w"), pa.array([" ".join(map(str, x)) for x in ids], pa.string())], names=["w", "ids"])
+
+    found = counted.where(F.col("n") >= least).select("w").repartition(8).mapInArrow(replay, "w string, ids string").toArrow()
+    return dict(zip(found.column("w").to_pylist(), found.column("ids").to_pylist(), strict=True))
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = False) -> DataFrame:
@@ -182,39 +255,33 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
     Returns doc_id, n_tokens, ids_sha256 (of the decimal ids joined by one space), decoded_sha256 (of the bytes
     that the ids decode to) and, with_ids, ids array<int>. Null and empty texts have no ids: both digests are
     those of no bytes. Every input row gives one row, repeated rows and null doc_ids too; further columns are dropped.
-    Texts are encoded where they are read: nothing is shuffled.
+    Pre-tokens are counted over all rows first; texts are then encoded where they are read and not shuffled.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    texts_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(shared_ids(texts_of, path, pattern))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
-        own.digest = {}
-        for batch in batches:
-            doc_ids, begin = batch["doc_id"].astype("Int64"), 0
-            for texts in in_chunks(batch["text"].tolist()):
-                split = [own.split(t) for t in texts]
-                own.learn(w for words in split for w in set(words))
-                said = own.digest
-                if len(said) > KEPT_WORDS:
-                    said.clear()
-                for at in range(0, len(split), OUT_ROWS):
-                    n, ids_sha, text_sha, ids = [], [], [], []
-                    for words in split[at : at + OUT_ROWS]:
-                        parts = []
-                        for w in words:
-                            x = said.get(w)
-                            if x is None:
-                                got = own.known[w]
-                                x = said[w] = (" ".join(map(str, got)), own.replay.decode(got), len(got))
-                            parts.append(x)
-                        n.append(sum([p[2] for p in parts]))
-                        ids_sha.append(hashlib.sha256(" ".join([p[0] for p in parts]).encode()).hexdigest())
-                        text_sha.append(hashlib.sha256(b"".join([p[1] for p in parts])).hexdigest())
-                        if with_ids:
-                            ids.append(np.fromiter((i for w in words for i in own.known[w]), dtype=np.int32, count=n[-1]))
-                    out = {"doc_id": doc_ids.iloc[begin : begin + len(n)].array, "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha}
-                    begin += len(n)
-                    yield pd.DataFrame(out | ({"ids": ids} if with_ids else {}))
-
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, schema)
+        own.share(shared.value)
+        for doc_ids, texts in in_chunks(batches):
+            split, distinct = own.split_all(texts)
+            own.learn(distinct)
+            for at in range(0, len(split), OUT_ROWS):
+                said = [" ".join(map(own.known.__getitem__, words)) for words in split[at : at + OUT_ROWS]]
+                ids = [numbers(x) for x in said]
+                columns = [
+                    pa.array(doc_ids[at : at + OUT_ROWS], pa.int64()),
+                    pa.array([len(x) for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in said], pa.string()),
+                    pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in ids], pa.string()),
+                ]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return texts_of.mapInArrow(run, schema)

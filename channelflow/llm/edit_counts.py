@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .byte_bpe import encoder, in_chunks
 from .common import text_of
 
 LEAF = 32  # pre-tokens
+KEPT_LENGTHS = 300_000  # pre-tokens whose counts a task remembers
 
 
 class CountTree:
@@ -136,9 +138,10 @@ def edited_counts(docs: DataFrame, edits: Callable[[str], list[tuple[int, int, s
     edits gives (begin, end, text) steps, each on the text that the former has left. A null text counts as empty. Every row gives one, repeated ones too.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    schema = "doc_id long, n_pretokens long, n_tokens long, n_tokens_edited long, n_reencoded long"
+    names = ["doc_id", "n_pretokens", "n_tokens", "n_tokens_edited", "n_reencoded"]
+    schema = ", ".join(f"{c} long" for c in names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         lengths: dict[str, int] = {}
 
@@ -147,24 +150,21 @@ def edited_counts(docs: DataFrame, edits: Callable[[str], list[tuple[int, int, s
             if new:
                 own.learn(new)
                 for w in new:
-                    lengths[w] = len(own.known[w])
+                    lengths[w] = own.known[w].count(" ") + 1
             return [lengths[w] for w in words]
 
-        for batch in batches:
+        for doc_ids, texts in in_chunks(batches):
+            if len(lengths) > KEPT_LENGTHS:
+                lengths.clear()
+            split, distinct = own.split_all(texts)
+            count(list(distinct))  # one replay for the chunk
             rows = []
-            for texts in in_chunks(batch["text"].tolist()):
-                if len(lengths) > 600_000:
-                    lengths.clear()
-                split = [own.split(t) for t in texts]
-                count(list({w for words in split for w in words}))  # one replay for the chunk
-                for text, words in zip(texts, split, strict=True):
-                    tree = CountTree(words, own.split, count)
-                    before = tree.total
-                    for begin, end, new in edits(text):
-                        tree.edit(begin, end, new)
-                    rows.append((len(words), before, tree.total, tree.encoded))
-            out = pd.DataFrame(rows, columns=["n_pretokens", "n_tokens", "n_tokens_edited", "n_reencoded"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            yield out.astype({"doc_id": "Int64"})
-
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, schema)
+            for text, words in zip(texts, split, strict=True):
+                tree = CountTree(words, own.split, count)
+                before = tree.total
+                for begin, end, new in edits(text):
+                    tree.edit(begin, end, new)
+                rows.append((len(words), before, tree.total, tree.encoded))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc_ids, *zip(*rows, strict=True))], names=names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, schema)
