@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import random
 import re
 import zlib
@@ -23,7 +24,7 @@ from channelflow.llm.html_text import main_text, marked_text
 from channelflow.llm.lexicon_toxicity import LexiconAutomaton, ToxicityModel, fit_toxicity, score_toxicity
 from channelflow.llm.private_data import FORMS, pseudonymise
 from channelflow.llm.shingle_join import linked_documents
-from channelflow.llm.source_mix import draw_mix, plan_mix, splitting_tree, taken_words, targets
+from channelflow.llm.source_mix import draw_mix, hypergeometric, plan_mix, splitting_tree, taken_words, targets
 from channelflow.llm.vector_search import best_in_block, top_vectors
 from channelflow.llm.weighted_fingerprint import WeightedSampler, edited_fingerprints, likeness
 
@@ -411,8 +412,39 @@ def test_splitting_tree_is_exact():
     parts = splitting_tree(draws, 7, 1)
     assert [sum(p[i] for p in parts) for i in range(4)] == draws
     assert max(map(sum, parts)) - min(map(sum, parts)) <= 2 and parts == splitting_tree(draws, 7, 1)
-    big = splitting_tree([3_000_000_000, 1_500_000_001], 2, 1)
-    assert [sum(p[i] for p in big) for i in range(2)] == [3_000_000_000, 1_500_000_001]
+    big = [3_000_000_000, 1_500_000_001, 10**13, 7]
+    parts = splitting_tree(big, 5, 1)
+    assert [sum(p[i] for p in parts) for i in range(4)] == big and all(x >= 0 for p in parts for x in p)
+    assert max(map(sum, parts)) - min(map(sum, parts)) <= 2
+
+
+def test_large_counts_keep_the_law():
+    rng = np.random.default_rng(3)
+    for good, bad, n in ((2_000_000_000, 3_000_000_000, 1_000_000), (40, 10**12, 5 * 10**11), (6 * 10**9, 10**10, 8 * 10**9)):
+        found = np.array([hypergeometric(rng, good, bad, n) for _ in range(1500)], dtype=float)
+        total = good + bad
+        mean, spread = n * good / total, math.sqrt(n * (good / total) * (bad / total) * ((total - n) / (total - 1)))
+        assert abs(found.mean() - mean) < 4.5 * spread / math.sqrt(1500)
+        assert abs(found.std() / spread - 1) < 0.09
+        z = (found - mean) / spread  # near normal, but for the discrete second case
+        assert good < 100 or abs((np.abs(z) < 1).mean() - 0.6827) < 0.05
+    few = Counter(hypergeometric(rng, 3, 10**10, 5 * 10**9) for _ in range(4000))
+    assert all(abs(few[k] / 4000 - p) < 0.035 for k, p in enumerate((1 / 8, 3 / 8, 3 / 8, 1 / 8)))
+
+
+def test_taken_is_what_the_shards_draw(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    planned = plan_mix(docs, rows_a_bin=9).cache()
+    by_shard = draw_mix(planned).groupBy("shard").agg(F.sum("words").alias("w"), F.count("*").alias("n")).collect()
+    assert len(by_shard) == 16 and max(r["n"] for r in by_shard) - min(r["n"] for r in by_shard) <= 4
+    taken = taken_words(docs)
+    assert sum(r["w"] for r in by_shard) == taken.agg(F.sum("taken")).first()[0]
+    of = {(r["source"], r["rank"]): r for r in planned.collect()}
+    assert len(of) == docs.count()
+    drawn = Counter()
+    for r in draw_mix(planned).collect():
+        drawn[r["doc_id"]] += r["words"]
+    assert drawn == {r["doc_id"]: r["taken"] for r in taken.collect() if r["taken"] or drawn[r["doc_id"]] == 0 and r["doc_id"] in drawn}
 
 
 def test_mix_takes_its_quotas_in_disjoint_draws(spark):
@@ -450,3 +482,6 @@ def test_mix_on_awkward_tables(spark, awkward, none):
     assert len(got) == awkward.count() and all(r["taken"] <= 2 * r["size"] for r in got)
     assert taken_words(none).count() == 0 and draw_mix(plan_mix(none)).count() == 0
     assert {r["source_size"] for r in got if r["doc_id"] in (2, 7)} == {6}
+    clash = awkward.select("*", *[F.lit(i).alias(c) for i, c in enumerate("row key bin before n tops rest of draw mixed".split())])
+    drawn = draw_mix(plan_mix(clash)).where("doc_id = 5").first()
+    assert [drawn[c] for c in "row key bin before n tops rest of draw mixed".split()] == list(range(10))
