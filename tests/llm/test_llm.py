@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -25,7 +26,7 @@ from channelflow.llm.lexicon_toxicity import LexiconAutomaton, ToxicityModel, fi
 from channelflow.llm.private_data import FORMS, pseudonymise
 from channelflow.llm.shingle_join import linked_documents
 from channelflow.llm.source_mix import draw_mix, hypergeometric, plan_mix, splitting_tree, taken_words, targets
-from channelflow.llm.vector_search import best_in_block, top_vectors
+from channelflow.llm.vector_search import best_in_cell, top_vectors
 from channelflow.llm.weighted_fingerprint import WeightedSampler, edited_fingerprints, likeness
 
 SMALL = "/root/testdata/sf0.001"
@@ -176,21 +177,37 @@ def test_quotation_is_told_from_abuse():
 # 3: exact search
 
 
-def test_search_against_brute_force(spark):
+def test_search_against_brute_force():
     rng = np.random.default_rng(0)
-    x = rng.integers(-30, 30, (33, 700)).astype(float)
-    x[:, 5::50] = x[:, [0]]  # ties
-    found = best_in_block(np.arange(60), x.T[:60].copy(), np.arange(700), x, 5)
+    x = rng.integers(-30, 30, (700, 33)).astype(float)
+    x[5::50] = x[0]  # ties
+    found = best_in_cell(np.arange(60), x[:60], np.arange(700), x, 5)
     for i in range(60):
-        expected = [j for j in sorted(range(700), key=lambda j: (-(x[:, i] @ x[:, j]), j)) if j != i][:5]
+        expected = [j for j in sorted(range(700), key=lambda j: (-(x[i] @ x[j]), j)) if j != i][:5]
         assert [c for q, c, _ in found if q == i] == expected
+    floors = np.array([sorted(x[i] @ np.delete(x, i, 0).T)[-2] for i in range(60)])
+    assert all(s >= floors[q] for q, _, s in best_in_cell(np.arange(60), x[:60], np.arange(700), x, 5, floors=floors))
+
+
+@pytest.mark.parametrize("cell", [40, 4_000_000])
+def test_search_is_exact_beyond_doubles(spark, cell):
+    rng = random.Random(5)
+    rows = [(i, [float(rng.choice([1, 1 << 20, 1 << 40, 1 << 44]) + rng.randrange(1 << 12)) / 256 for _ in range(3)] if i % 3 else [rng.uniform(-9, 9) for _ in range(3)]) for i in range(120)]
+    rows += [(200, [2.0**60 + 1, 1.0, -3.5]), (201, [1e306, 0.0, 0.0]), (250, [1e308, 1.0, 1.0])]
+    exact = {i: [math.floor(Fraction(x) * 256) for x in v] for i, v in rows}
+    dot = lambda a, b: max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(exact[a], exact[b], strict=True))))
+    df = spark.createDataFrame([(*r, i, "x", 2.5) for i, r in enumerate(rows)], "vec_id long, embedding array<double>, v int, c string, floor double")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in top_vectors(df, cell=cell).collect()}
+    for q in (0, 50, 100, 200, 250):
+        best = sorted(((-dot(q, j), j) for j in exact if j != q))[:5]
+        assert [got[q, n + 1] for n in range(5)] == [(j, -s) for s, j in best]
 
 
 def test_search_on_awkward_vectors(spark):
-    rows = [(0, [1.0, 2.0]), (50, [0.5, 0.5]), (1, [1.0, 2.0]), (2, [float("nan"), 1.0]), (3, None), (4, [None, 1.0]), (5, [1.0, 2.0, 3.0]), (6, [float("inf"), 0.0]), (None, [1.0, 1.0]), (7, [2.0**60, 1.0]), (100, [])]
+    rows = [(0, [1.0, 2.0]), (50, [0.5, 0.5]), (1, [1.0, 2.0]), (2, [float("nan"), 1.0]), (3, None), (4, [None, 1.0]), (5, [1.0, 2.0, 3.0]), (6, [float("inf"), 0.0]), (None, [1.0, 1.0]), (7, [2.0**60, 1.0]), (100, []), (150, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in top_vectors(df, query_rows=1, candidate_rows=2).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 7), (0, 2, 1), (0, 3, 50), (50, 1, 7), (50, 2, 0), (50, 3, 1)]  # 7 by a score beyond a long
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in top_vectors(df, cell=3).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 7), (0, 2, 1), (0, 3, 50), (50, 1, 7), (50, 2, 0), (50, 3, 1), (100, 1, 150), (150, 1, 100)]  # 7 by a score beyond a long
     assert top_vectors(df.limit(0)).count() == 0
 
 
