@@ -6,73 +6,96 @@ is brought down to the largest y = exp(r (t - b)) not above it, t an integer, an
 c / (y exp(r)) is the sample, with its t. Two documents agree in a sample with probability equal to
 their generalised Jaccard similarity, the sum of least over the sum of greatest weights.
 
-Terms are hashed to TERMS numbers, whose draws each worker holds as one table.
+Draws come from a 64-bit hash of the term, mixed with the sample, so no two terms share them; a worker keeps those of recent terms. What a
+signature keeps of a sample is its least value: it stands for the term and its t, as equal values of others are as unlikely as equal hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
 
-SAMPLES = 64
-TERMS = 1 << 16
-ROWS_A_BLOCK = 4000
+SAMPLES = 128
+KEPT_TERMS = 1 << 15  # terms whose draws a worker keeps
+ROWS_A_BLOCK = 100_000
 NO_TERMS = "0000"  # of each sample of a text without words
+STEPS = 1 << 20  # least values are told apart by such parts of one
 
 
-class WeightedSampler:
-    """The draws of all term numbers, and signatures from them."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _shares(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two uniform numbers above 0 and below 1 from either half of the bits."""
+    low = (x & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    return ((x >> np.uint64(32)).astype(np.float64) + 0.5) * 2.0**-32, (low + 0.5) * 2.0**-32
 
-    def __init__(self, samples: int = SAMPLES, terms: int = TERMS, seed: int = 7):
-        rng = np.random.Generator(np.random.PCG64(seed))
-        shape = (terms, samples)
-        self.samples, self.terms = samples, terms
-        self.r = rng.standard_gamma(2.0, shape, dtype=np.float32)
-        self.b = rng.random(shape, dtype=np.float32)
-        self.log_c = np.log(rng.standard_gamma(2.0, shape, dtype=np.float32))
-        self.once = self.log_c + self.r * (self.b - 1)  # log of c / (y exp(r)) for weight 1, where t is 0
+
+class WeightedSampler:
+    """Signatures, and the draws of the terms met lately."""
+
+    def __init__(self, samples: int = SAMPLES, seed: int = 7, kept: int = KEPT_TERMS):
+        self.samples, self.kept = samples, kept
+        self.own = _mixed(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        shape = (kept, samples)
+        self.r, self.b, self.log_c, self.once = (np.zeros(shape, dtype=np.float32) for _ in range(4))
+        self.place: dict[bytes, int] = {}
+
+    def draws(self, terms: list[bytes]) -> tuple[np.ndarray, ...]:
+        """r, b, log c and, for weight 1, where t is 0, the log of c / (y exp(r)) of each term and sample."""
+        hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, terms), dtype=np.uint64, count=len(terms))[:, None]
+        first = _mixed(hashed ^ self.own)
+        second = _mixed(first + np.uint64(0x9E3779B97F4A7C15))
+        (u1, u2), (u3, u4) = _shares(first), _shares(second)
+        r, log_c = -np.log(u1 * u2), np.log(-np.log(u3 * u4))
+        b = _shares(_mixed(first ^ (second >> np.uint64(7))))[0]
+        return tuple(x.astype(np.float32) for x in (r, b, log_c, log_c + r * (b - 1)))
+
+    def places(self, terms: list[bytes]) -> np.ndarray:
+        """Rows of these terms' draws, at most `kept` terms."""
+        new = [w for w in terms if w not in self.place]
+        if new:
+            if len(self.place) + len(new) > self.kept:
+                self.place.clear()
+                new = terms
+            for i in range(0, len(new), 1024):
+                part = new[i : i + 1024]
+                at = len(self.place)
+                self.r[at : at + len(part)], self.b[at : at + len(part)], self.log_c[at : at + len(part)], self.once[at : at + len(part)] = self.draws(part)
+                self.place.update(zip(part, range(at, at + len(part)), strict=True))
+        return np.fromiter(map(self.place.__getitem__, terms), dtype=np.int64, count=len(terms))
 
     def signature(self, text: str) -> np.ndarray | None:
         """The samples, as numbers of 16 bits; None without words."""
         counts = Counter(text.encode("utf-8", "surrogatepass").split())
         if not counts:
             return None
-        mask = self.terms - 1
-        number = np.fromiter((zlib.crc32(w) & mask for w in counts), dtype=np.int64, count=len(counts))
-        weight = np.fromiter(counts.values(), dtype=np.float32, count=len(counts))
-        number, at = np.unique(number, return_inverse=True)
-        weight = np.bincount(at, weights=weight).astype(np.float32)
-        one = weight == 1
-        least, term, level = None, None, None
-        if one.any():
-            own = number[one]
-            a = self.once[own]
-            i = a.argmin(axis=0)
-            least, term, level = a[i, np.arange(self.samples)], own[i], np.zeros(self.samples, dtype=np.int64)
-        if not one.all():
-            own = number[~one]
-            r, b = self.r[own], self.b[own]
-            t = np.floor(np.log(weight[~one])[:, None] / r + b)
-            a = self.log_c[own] - r * (t - b + 1)
-            i = a.argmin(axis=0)
-            each = np.arange(self.samples)
-            if least is None:
-                least, term, level = a[i, each], own[i], t[i, each].astype(np.int64)
-            else:
-                better = a[i, each] < least
-                term, level = np.where(better, own[i], term), np.where(better, t[i, each].astype(np.int64), level)
-        mixed = (term.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (level.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (mixed >> np.uint64(48)).astype(np.uint16)
+        least = np.full(self.samples, np.inf, dtype=np.float32)
+        single = [w for w, n in counts.items() if n == 1]
+        several = [w for w, n in counts.items() if n > 1]
+        for i in range(0, len(single), self.kept):
+            least = np.minimum(least, self.once[self.places(single[i : i + self.kept])].min(axis=0))
+        for i in range(0, len(several), self.kept):
+            part = several[i : i + self.kept]
+            at = self.places(part)
+            weight = np.log(np.fromiter(map(counts.__getitem__, part), dtype=np.float64, count=len(part))).astype(np.float32)
+            r, b = self.r[at], self.b[at]
+            t = np.floor(weight[:, None] / r + b)
+            least = np.minimum(least, (self.log_c[at] - r * (t - b + 1)).min(axis=0))
+        steps = np.rint(least.astype(np.float64) * STEPS).astype(np.int64).astype(np.uint64)
+        return (_mixed(steps) >> np.uint64(48)).astype(np.uint16)
 
 
 def as_text(signature: np.ndarray | None, samples: int) -> str:
@@ -86,21 +109,22 @@ def likeness(one: np.ndarray | None, other: np.ndarray | None) -> float:
     return float((one == other).mean())
 
 
-_samplers: dict[tuple[int, int], WeightedSampler] = {}
+_samplers: dict[int, WeightedSampler] = {}
 
 
-def sampler(samples: int, terms: int) -> WeightedSampler:
-    if (samples, terms) not in _samplers:
-        _samplers[samples, terms] = WeightedSampler(samples, terms)
-    return _samplers[samples, terms]
+def sampler(samples: int) -> WeightedSampler:
+    if samples not in _samplers:
+        _samplers.clear()
+        _samplers[samples] = WeightedSampler(samples)
+    return _samplers[samples]
 
 
-def fingerprints(docs: DataFrame, samples: int = SAMPLES, terms: int = TERMS) -> DataFrame:
+def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Adds fingerprint string (four hexadecimal digits a sample) to every row of docs, where it is read. Null counts as empty."""
 
     @F.pandas_udf("string")
     def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = sampler(samples, terms)
+        own = sampler(samples)
         for texts in batches:
             yield pd.Series([as_text(own.signature(t), samples) for t in texts])
 
@@ -108,44 +132,52 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, terms: int = TERMS) ->
 
 
 def beside_next(docs: DataFrame, rows_a_block: int = ROWS_A_BLOCK) -> DataFrame:
-    """doc_id and text in partitions of whole blocks of consecutive doc_ids, sorted, each block ending with the first row of the next one.
+    """doc_id and text in partitions of one block of consecutive doc_ids each, sorted, each block ending with the first row of the next one.
 
-    _head marks those added rows; the last block is followed by the first row of all. Rows of equal doc_id stand by text, null
-    doc_ids come first. Two ids a block reach the driver (where it is cut, where it begins); texts move once.
+    _head marks those added rows; the last block is followed by the first row of all. Rows of equal doc_id stand by their text's hash, so blocks can divide them; null
+    doc_ids come first, by that hash too. Where a block is cut and where it begins reach the driver: two numbers a task, as blocks are the tasks. Texts move once.
     """
-    rows = docs.select("doc_id", text_of().alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"))
-    blocks = max(1, round(rows.count() / rows_a_block))
+    spark = docs.sparkSession
+    tie = F.pmod(F.xxhash64("text"), F.lit(1 << 32))
+    share = F.col("_tie") / F.lit(2.0**32)
+    place = F.when(F.col("doc_id").isNull(), F.lit(-(2.0**100)) * (2 - share)).otherwise(F.col("doc_id").cast("double") + share)
+    rows = docs.select("doc_id", text_of().alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id")).withColumn("_tie", tie).withColumn("_place", place)
+    n = rows.count()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-n // rows_a_block), min(4 * tasks, n // 2000))
     shares = [i / blocks for i in range(1, blocks)]
-    cuts = np.array(sorted(set(rows.select(F.percentile_approx("_id", shares, 100_000)).first()[0] if shares else [])), dtype=np.int64)
+    cuts = spark.sparkContext.broadcast(np.array(sorted(set(rows.select(F.percentile_approx("_place", shares, max(10_000, 20 * blocks))).first()[0] if shares and n else []))))
 
     @F.pandas_udf("int")
-    def block_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(), side="right"))
+    def block_of(places: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts.value, places.to_numpy(), side="right"))
 
-    begins = {r["_block"]: r["first"] for r in rows.groupBy(block_of("_id").alias("_block")).agg(F.min("_id").alias("first")).collect()}
+    least = F.min(F.struct("_place", "_id", "_tie"))
+    begins = {r["_block"]: tuple(r["first"]) for r in rows.groupBy(block_of("_place").alias("_block")).agg(least.alias("first")).collect()}
     present = sorted(begins)
-    before = {begins[b]: present[i - 1] for i, b in enumerate(present)}  # the first one's row also ends the last block
+    before = spark.sparkContext.broadcast({begins[b]: present[i - 1] for i, b in enumerate(present)})  # the first one's row also ends the last block
 
     @F.pandas_udf("array<int>")
-    def places(ids: pd.Series) -> pd.Series:
-        own = np.searchsorted(cuts, ids.to_numpy(), side="right")
-        return pd.Series([[b, before[i]] if i in before else [b] for b, i in zip(own.tolist(), ids.tolist(), strict=True)])
+    def blocks_of(places: pd.Series, ids: pd.Series, ties: pd.Series) -> pd.Series:
+        own = np.searchsorted(cuts.value, places.to_numpy(), side="right")
+        return pd.Series([[b, before.value[x]] if x in before.value else [b] for b, x in zip(own.tolist(), zip(places, ids, ties, strict=True), strict=True)])
 
-    laid = rows.select("*", F.posexplode(places("_id")).alias("_head", "_block"))
-    return laid.repartition("_block").sortWithinPartitions("_block", "_head", "_id", "text").select("doc_id", "text", "_block", "_head")
+    laid = rows.select("*", F.posexplode(blocks_of("_place", "_id", "_tie")).alias("_head", "_block"))
+    return laid.repartitionById(len(cuts.value) + 1, "_block").sortWithinPartitions("_head", "_place", "_id", "_tie").select("doc_id", "text", "_block", "_head")
 
 
-def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, terms: int = TERMS, rows_a_block: int = ROWS_A_BLOCK) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, rows_a_block: int = ROWS_A_BLOCK) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last floor(n_chars / 2) code points are replaced by the first as many of the next document.
 
     Returns one row a row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next (likeness to
     the edited text's fingerprint and to the next document's). The next document is by ascending doc_id, after the last the
-    first; of rows with equal doc_id by text. A null text counts as empty; without words, a text is like such texts only. A table of one row is its own next.
+    first; of rows with equal or without doc_id by a hash of the text. A null text counts as empty; without words, a text is like such texts only. A table
+    of one row is its own next. Further columns are dropped. Blocks are read as streams, so a task holds two texts and a batch.
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = sampler(samples, terms)
+        own = sampler(samples)
         held = None
         for batch in batches:
             out = []

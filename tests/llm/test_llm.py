@@ -214,17 +214,39 @@ def test_search_on_awkward_vectors(spark):
 # 4: fingerprints
 
 
+def generalised_jaccard(a, b):
+    x, y = Counter(a.split()), Counter(b.split())
+    return sum((x & y).values()) / sum((x | y).values()) if x or y else 1.0
+
+
 def test_likeness_estimates_generalised_jaccard():
-    sampler, rng = WeightedSampler(512), random.Random(4)
+    sampler, rng = WeightedSampler(1024), random.Random(4)
     for share in (0.2, 0.5, 0.8):
         a = [f"w{rng.randrange(200)}" for _ in range(800)]
         b = a[: int(800 * share)] + [f"v{rng.randrange(200)}" for _ in range(800 - int(800 * share))]
-        x, y = Counter(a), Counter(b)
-        true = sum((x & y).values()) / sum((x | y).values())
-        assert likeness(sampler.signature(" ".join(a)), sampler.signature(" ".join(b))) == pytest.approx(true, abs=0.08)
+        a, b = " ".join(a), " ".join(b)
+        assert likeness(sampler.signature(a), sampler.signature(b)) == pytest.approx(generalised_jaccard(a, b), abs=0.06)
     assert likeness(sampler.signature("a b"), sampler.signature("b\n a")) == 1
 
 
+def test_long_texts_of_other_words_are_unlike():
+    sampler = WeightedSampler()  # as in production, with more terms than it keeps
+    texts = [" ".join(f"{c}{i}" for i in range(40_000)) for c in "ab"] + [" ".join([f"a{i}" for i in range(20_000)] + [f"c{i}" for i in range(20_000)])]
+    a, b, c = map(sampler.signature, texts)
+    assert likeness(a, b) <= 1 / 128 and likeness(a, c) == pytest.approx(1 / 3, abs=0.15)
+    assert (sampler.signature(texts[0]) == a).all() and (WeightedSampler().signature(texts[0]) == a).all()
+
+
+def test_production_likeness_on_documents(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    order, errors = sorted(texts), []
+    for r in llm.op4_weighted_fingerprint(spark, SMALL).collect():
+        text, following = texts[r["doc_id"]], texts[order[(order.index(r["doc_id"]) + 1) % len(order)]]
+        k = len(text) // 2
+        errors += [r["near_edited"] - generalised_jaccard(text, text[: len(text) - k] + following[:k]), r["near_next"] - generalised_jaccard(text, following)]
+    assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.04 and max(map(abs, errors)) < 0.22
+
+
 @pytest.mark.parametrize("rows_a_block", [2, 1000])
 def test_edited_fingerprints_see_the_next_document(spark, awkward, rows_a_block):
     docs = awkward.where("doc_id is not null").dropDuplicates(["doc_id"])
@@ -238,6 +260,8 @@ def test_edited_fingerprints_see_the_next_document(spark, awkward, rows_a_block)
         assert got[d]["n_chars"] == len(text) and got[d]["edited_sha256"] == sha(text[: len(text) - k] + following[:k])
     assert got[3]["fingerprint"] == got[4]["fingerprint"] and got[1]["fingerprint"] != got[5]["fingerprint"]
     assert edited_fingerprints(awkward, rows_a_block=rows_a_block).count() == awkward.count()
+    same_id = awkward.withColumn("doc_id", F.when(F.col("doc_id") < 5, F.lit(4))).select("doc_id", F.concat_ws(" ", "text", F.monotonically_increasing_id().cast("string")).alias("text"))
+    assert edited_fingerprints(same_id, rows_a_block=rows_a_block).count() == awkward.count()
 
 
 def test_fingerprints_of_few_rows(spark, awkward, none):
