@@ -27,9 +27,10 @@ from .common import cut, text_of
 
 NONE = 1 << 30  # the rank of a pair that no merge joins
 OUT_ROWS = 250  # documents whose ids are held at once
-CHUNK_CHARS = 4_000_000  # of texts that are split at once
-COUNTED_WORDS = 100_000  # pre-tokens that a task counts before it hands its counts on
-KEPT_WORDS = 60_000  # rare pre-tokens that a worker remembers between chunks
+CHUNK_CHARS = 1_000_000  # of texts that are split at once
+LAID_OUT = 1 << 14  # bytes of pre-tokens that one index covers, or one longer pre-token: what a processor's cache holds
+COUNTED_WORDS = 200_000  # pre-tokens that a task counts before it hands its counts on
+KEPT_WORDS = 100_000  # rare pre-tokens that a worker remembers between chunks
 SHARED_WORDS = 150_000  # pre-tokens at most whose ids all tasks get
 SHARED_CHARS = 40  # of such a pre-token at most: with the line above, the bound of what is broadcast
 TOP_COUNT = 65_536  # counts from here on are alike
@@ -41,12 +42,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class MergeReplay:
-    """Encodes many pre-tokens at once, and decodes ids."""
+    """Encodes many pre-tokens at once."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.token = {i: t for t, i in ranks.items()}
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         joined = {(ranks[t[:c]] << 32 | ranks[t[c:]]): r for t, r in ranks.items() for c in range(1, len(t)) if t[:c] in ranks and t[c:] in ranks}
+        self.joined = joined
         self.pair = np.array([*sorted(joined), 1 << 62], dtype=np.int64)
         self.pair_rank = np.array([*(joined[k] for k in sorted(joined)), NONE], dtype=np.int64)
 
@@ -57,75 +59,76 @@ class MergeReplay:
         return np.where(self.pair[at] == key, self.pair_rank[at], NONE)
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word, none of them empty."""
+        """Ids of each word, none of them empty, laid out in runs of bounded length."""
+        out: list[list[int]] = []
+        begin = size = 0
+        for i, w in enumerate(words):
+            size += len(w)
+            if size >= LAID_OUT:
+                out += self.replayed(words[begin : i + 1])
+                begin, size = i + 1, 0
+        return out + self.replayed(words[begin:])
+
+    def replayed(self, words: list[bytes]) -> list[list[int]]:
+        """One replay of the merges, in rank order, over the positions of all words."""
         if not words:
             return []
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         ends = np.cumsum(lengths)
-        raw = np.frombuffer(b"".join(words), dtype=np.uint8)
-        size = len(raw)
-        symbol = self.byte_id[raw]
-        after, before = np.arange(1, size + 1), np.arange(-1, size - 1)
-        after[ends - 1], before[ends - lengths] = -1, -1
-        rank_at = np.full(size, NONE, dtype=np.int64)  # of the pair that starts at each position
-        inner = np.flatnonzero(after >= 0)
-        rank_at[inner] = self.rank_of(symbol[inner], symbol[inner + 1])
-        order = inner[np.argsort(rank_at[inner], kind="stable")]
-        order = order[: np.searchsorted(rank_at[order], NONE)]
-        values, starts = np.unique(rank_at[order], return_index=True)
+        laid = self.byte_id[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        size = len(laid)
+        follows, precedes = np.arange(1, size + 1), np.arange(-1, size - 1)
+        follows[ends - 1], precedes[ends - lengths] = -1, -1
+        inner = np.flatnonzero(follows >= 0)
+        ranks = np.full(size, NONE, dtype=np.int64)
+        ranks[inner] = self.rank_of(laid[inner], laid[inner + 1])
+        order = inner[np.argsort(ranks[inner], kind="stable")]
+        order = order[: np.searchsorted(ranks[order], NONE)]
+        values, starts = np.unique(ranks[order], return_index=True)
         index = dict(zip(values.tolist(), map(np.ndarray.tolist, np.split(order, starts[1:])), strict=True)) if len(values) else {}
-        heap, irregular, starts_here = list(index), set(), np.zeros(size, dtype=bool)
+        symbol, after, before, rank_at = laid.tolist(), follows.tolist(), precedes.tolist(), ranks.tolist()
+        heap, odd, rank, push, pop = list(index), [], self.joined.get, heapq.heappush, heapq.heappop
         heapq.heapify(heap)
         while heap:
-            r = heapq.heappop(heap)
-            at = np.array(sorted(set(index.pop(r))), dtype=np.int64)
-            at = at[rank_at[at] == r]  # a neighbour's merge may have changed the pair since
-            if not len(at):
-                continue
-            second = after[at]
-            starts_here[at] = True
-            overlap = len(at) > 1 and starts_here[second].any()
-            starts_here[at] = False
-            if overlap:  # the leftmost goes first
-                taken, gone = [], -1
-                for i, j in zip(at.tolist(), second.tolist(), strict=True):
-                    if i != gone:
-                        taken.append(i)
-                        gone = j
-                at = np.array(taken, dtype=np.int64)
-                second = after[at]
-            third = after[second]
-            starts_here[at] = True
-            follows = (third >= 0) & starts_here[third]  # two merges side by side: the first alone might have made a pair that goes before
-            starts_here[at] = False
-            if follows.any():
-                beside = third[follows]
-                early = self.rank_of(np.full(len(beside), r), symbol[beside]) < r
-                irregular.update(np.searchsorted(ends, beside[early], side="right").tolist())
-            symbol[at], symbol[second], rank_at[second], after[at] = r, -1, NONE, third
-            right = third >= 0
-            before[third[right]] = at[right]
-            rank_at[at[~right]] = NONE
-            left = before[at]
-            touched = np.concatenate((at[right], left[left >= 0]))  # pairs that have a merged neighbour
-            if not len(touched):
-                continue
-            new = self.rank_of(symbol[touched], symbol[after[touched]])
-            rank_at[touched] = new
-            if new.min() < r:  # only odd vocabularies have it: such a word is merged alone, below
-                irregular.update(np.searchsorted(ends, touched[new < r], side="right").tolist())
-            for x, i in zip(new.tolist(), touched.tolist(), strict=True):
-                if x != NONE:
-                    if x in index:
-                        index[x].append(i)
-                    else:
-                        index[x] = [i]
-                        heapq.heappush(heap, x)
-        keep = symbol >= 0
-        counts = np.add.reduceat(keep.astype(np.int64), ends - lengths)
-        flat, stops = symbol[keep].tolist(), np.cumsum(counts).tolist()
-        out = [flat[a:b] for a, b in zip([0, *stops], stops, strict=False)]
-        for w in irregular:
+            r = pop(heap)
+            at = index.pop(r)
+            at.sort()  # the leftmost goes first
+            for i in at:
+                if rank_at[i] != r:  # a neighbour's merge has changed the pair since
+                    continue
+                second = after[i]
+                third = after[i] = after[second]
+                symbol[i], symbol[second], rank_at[second] = r, -1, NONE
+                new = NONE
+                if third >= 0:
+                    before[third] = i
+                    new = rank(r << 32 | symbol[third], NONE)
+                    if new != NONE:
+                        if new in index:
+                            index[new].append(i)
+                        else:
+                            index[new] = [i]
+                            push(heap, new)
+                        if new < r:  # only odd vocabularies have it: such a word is merged alone, below
+                            odd.append(i)
+                rank_at[i] = new
+                i = before[i]
+                if i >= 0:
+                    new = rank_at[i] = rank(symbol[i] << 32 | r, NONE)
+                    if new != NONE:
+                        if new in index:
+                            index[new].append(i)
+                        else:
+                            index[new] = [i]
+                            push(heap, new)
+                        if new < r:
+                            odd.append(i)
+        left = np.array(symbol)
+        kept = left >= 0
+        stops = np.cumsum(np.add.reduceat(kept.astype(np.int64), ends - lengths)).tolist()
+        flat = left[kept].tolist()
+        out = [flat[i:j] for i, j in zip([0, *stops], stops, strict=False)]
+        for w in set(np.searchsorted(ends, sorted(odd), side="right").tolist()):
             out[w] = self.encode_alone(words[w])
         return out
 
@@ -214,7 +217,7 @@ def word_counts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             counts.clear()
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["w", "n"])
 
-        for _, texts in in_chunks(batches, CHUNK_CHARS // 4):
+        for _, texts in in_chunks(batches):
             for text in texts:
                 counts.update(split(text))
             if len(counts) > COUNTED_WORDS:
