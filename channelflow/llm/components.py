@@ -1,4 +1,4 @@
-"""Connected components of links, by large-star and small-star steps (Kiveris et al., 2014)."""
+"""Connected components of links, by large-star and small-star steps (Kiveris et al., 2014), and joins that divide frequent keys."""
 
 from __future__ import annotations
 
@@ -7,25 +7,51 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+PART = 64  # rows of one key that stay together at least
+MOST_KEYS = 10_000  # frequent keys at most that are told to both sides
+
+
+def part_size(total: int) -> int:
+    """Rows of one key that may stay together in a table of so many: fewer than 1 in MOST_KEYS of them, so no more than MOST_KEYS keys have more."""
+    return max(PART, total // MOST_KEYS)
+
+
+def spread_join(rows: DataFrame, one: DataFrame, key: str, by: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with one (unique by key), frequent keys of rows in parts by the hash of `by`, for each of which `one` has a copy.
+
+    total is the number of rows, or more. The frequent keys, MOST_KEYS at most, are counted with partial sums, and are all that is collected.
+    """
+    size = part_size(total)
+    counted = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_rows")).where(F.col("_rows") > size)
+    frequent = [(r["_key"], -(-r["_rows"] // size)) for r in counted.collect()]
+    if not frequent:
+        return rows.join(one, key, how)
+    parts = F.broadcast(rows.sparkSession.createDataFrame(frequent, f"{key} {dict(rows.dtypes)[key]}, _parts int"))
+    n = F.coalesce("_parts", F.lit(1))
+    left = rows.join(parts, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), n).cast("int")).drop("_parts")
+    right = one.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts")
+    return left.join(right, [key, "_part"], how).drop("_part")
+
 
 def components(links: DataFrame) -> DataFrame:
     """node and component (the smallest node that links reach) of every node in links(a, b).
 
-    Edges stay in Spark; each step groups by node with partial aggregates and joins back, and is cut to
+    Edges stay in Spark; each step groups by node with partial aggregates and joins back, the edges of a node with many in parts, and is cut to
     the shared checkpoint folder. Loops end when a step changes no edge. Without links, the result is empty.
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, before = cut(links), None
+    total = edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = spread_join(both.where("v > u"), least, "u", "v", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = spread_join(large, least, "u", "v", total).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = cut(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, total = now, now[0]
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

@@ -1,12 +1,12 @@
 """N-gram Jaccard join with set-relation skipping.
 
 Equal sets are one class. Every class puts the start of its set, in one global order that has rare shingles first, into an index;
-two sets that reach the threshold share a shingle there. Pairs are skipped by size, by position (a shared
-place that leaves too few shingles after it) and by their starts as a whole, which must share more than a few lists. Answers are derived from those of a highly similar set: every set is first compared with one hub, the set that it
-shares most lists with. Pairs that hubs have brought into one component aren't compared again. For two sets with the same
+two sets that reach the threshold share a shingle there. Pairs are skipped by size, by position (the first shared
+place must leave enough shingles after it) and by their starts as a whole, which must share more than a few lists. Answers are derived from those of a highly similar set:
+every set is first compared with one hub, the set that it shares most lists with. Pairs that hubs have brought into one component aren't compared again. For two sets with the same
 hub, their overlaps with it bound their own from both sides, and what each lacks of it and has beside it gives the exact overlap
 without either set. Only pairs of different hubs are intersected anew. No pair that may link is left out, and no pair of one
-component of a long list is spelled out.
+component of a long list is spelled out. Long lists, hubs and classes of many copies are handled in parts.
 """
 
 from __future__ import annotations
@@ -21,13 +21,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, text_of
-from .components import components
+from .components import components, part_size, spread_join
 
 WORDS = 4
 PERCENT = 85
 COUNTERS = 22  # bits: the frequency sketch has a fixed size, 4 MiB on the driver and in each worker
 SLICE = 1 << 16
 SHORT = 8  # sets of a list whose pairs are all written out
+LIST_PART = 64  # entries of a long list that stay together, about
 FILTER = 26  # bits: so does the filter of documents whose sets are fetched, 8 MiB at most
 
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -69,10 +70,11 @@ def at_least(n: Column, m: Column, percent: int) -> Column:
     return F.ceil((n + m) * percent / F.lit(100 + percent) - 1e-9)
 
 
-def frequency_levels(docs: DataFrame, words: int) -> np.ndarray:
-    """About log2 of each shingle's count over all documents, by hash: counted in all tasks, summed in slices, 2 ** COUNTERS bytes in all.
+def frequency_levels(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """About log2 of each shingle's count over all documents, by hash: counted in all tasks, summed in slices, 2 ** COUNTERS bytes in all. Beside it the counters
+    of shingles that may have long lists, and how long a list must be for that.
 
-    It only fixes the global order, so collisions cost time, never results.
+    Levels only fix the global order, so collisions cost time, never results; a counter is never below its shingles' counts, so no long list is missed.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,22 +97,24 @@ def frequency_levels(docs: DataFrame, words: int) -> np.ndarray:
 
     parts = docs.select("text").mapInPandas(count, "slice int, counts binary").withColumn("group", (F.spark_partition_id() / 64).cast("int"))
     some = parts.groupBy("slice", "group").applyInPandas(add, "slice int, counts binary")
-    levels = np.zeros(1 << COUNTERS, dtype=np.uint8)
+    levels, many = np.zeros(1 << COUNTERS, dtype=np.uint8), np.zeros(1 << COUNTERS, dtype=np.uint64)
     for row in some.groupBy("slice").applyInPandas(add, "slice int, counts binary").collect():
-        total = np.frombuffer(zlib.decompress(bytes(row["counts"])), dtype=np.uint64)
-        levels[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.log2(total + 1.0)
+        counts = np.frombuffer(zlib.decompress(bytes(row["counts"])), dtype=np.uint64)
+        many[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = counts
+        levels[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.log2(counts + 1.0)
     # sketch counts below the usual fill of a counter tell nothing of their shingle
     usual = int(np.median(levels)) + 1
-    return np.where(levels <= usual, 0, levels - usual).astype(np.uint8)
+    size = part_size(int(many.sum()))
+    return np.where(levels <= usual, 0, levels - usual).astype(np.uint8), many > size, size
 
 
-def document_sets(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
-    """doc_id, n, sid (a hash of the set, null for an empty one) and the start of the set, rare shingles first, that the index needs."""
-    level = docs.sparkSession.sparkContext.broadcast(levels)
+def document_sets(docs: DataFrame, levels: np.ndarray, many: np.ndarray, words: int, percent: int) -> DataFrame:
+    """doc_id, n, sid (a hash of the set, null for an empty one), the start of the set, rare shingles first, that the index needs, and whether any of it may be in a long list."""
+    level, frequent = (docs.sparkSession.sparkContext.broadcast(x) for x in (levels, np.packbits(many)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in in_pieces(batches):
-            n, sid, start = [], [], []
+            n, sid, start, hot = [], [], [], []
             for text in batch["text"]:
                 s = shingles(text, words)
                 k = len(s)
@@ -119,14 +123,18 @@ def document_sets(docs: DataFrame, levels: np.ndarray, words: int, percent: int)
                 least = -(-percent * k // 100)
                 if not k or least == k and 100 * k // percent == k:
                     start.append(None)  # only an equal set can link
+                    hot.append(False)
                     continue
                 length = k - least + 1
-                key = level.value[(s >> np.uint64(64 - COUNTERS)).astype(np.int64)].astype(np.int64)
+                counter = (s >> np.uint64(64 - COUNTERS)).astype(np.int64)
                 # by level, then by hash: s is sorted, so a stable sort of the levels does it
-                start.append(s[np.argsort(key, kind="stable")[:length]].view(np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": np.array(n, dtype=np.int32), "sid": pd.array(sid, dtype="Int64"), "start": start}, index=batch.index)
+                first = np.argsort(level.value[counter].astype(np.int64), kind="stable")[:length]
+                start.append(s[first].view(np.int64))
+                counter = counter[first]
+                hot.append(bool((frequent.value[counter >> 3] >> (7 - (counter & 7)).astype(np.uint8) & 1).any()))
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": np.array(n, dtype=np.int32), "sid": pd.array(sid, dtype="Int64"), "start": start, "hot": hot}, index=batch.index)
 
-    return docs.mapInPandas(run, "doc_id long, n int, sid long, start array<long>")
+    return docs.mapInPandas(run, "doc_id long, n int, sid long, start array<long>, hot boolean")
 
 
 def bit_filter(ids: DataFrame) -> np.ndarray:
@@ -139,7 +147,7 @@ def bit_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def overlaps(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, with_difference: bool) -> DataFrame:
+def overlaps(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, with_difference: bool, total: int) -> DataFrame:
     """Adds the exact overlap to pairs(a, b, na, nb) of set ids, and by choice what a lacks of b (places in b) and has beside it.
 
     Only documents that stand for such a set are read again into sets, once for each side of the pairs. Sets travel as 48 bits a shingle.
@@ -180,7 +188,9 @@ def overlaps(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, wit
         return pd.DataFrame(rows, columns=["common", "lost", "own"]).astype({"common": "int32"})
 
     # repeated rows of a document give repeated pairs
-    return pairs.join(fetched("b"), "b").join(fetched("a"), "a").withColumn("x", compared("set_a", "set_b")).select("a", "b", "na", "nb", "x.common", "x.lost", "x.own").dropDuplicates(["a", "b"])
+    met = spread_join(pairs, fetched("b"), "b", "a", total)
+    met = met.join(fetched("a"), "a") if with_difference else spread_join(pairs, fetched("a"), "a", "b", total).join(met.select("a", "b", "set_b"), ["a", "b"])
+    return met.withColumn("x", compared("set_a", "set_b")).select("a", "b", "na", "nb", "x.common", "x.lost", "x.own").dropDuplicates(["a", "b"])
 
 
 def derived_common(*columns: str) -> Column:
@@ -205,16 +215,23 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     share a component. Rows with a null doc_id count as documents that can't name a component; if a component has no other, its id is null.
     """
     docs = docs.select("doc_id", text_of().alias("text"))
-    rows = cut(document_sets(docs, frequency_levels(docs, words), words, percent))
+    spark = docs.sparkSession
+    levels, many, long_list = frequency_levels(docs, words)
+    rows = cut(document_sets(docs, levels, many, words, percent))
+    total = rows.count()
     some = rows.where("sid is not null").groupBy("sid")
     reps = some.agg(F.min("doc_id").alias("rep"))
-    starts = some.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("start").alias("start"))
-
-    # the index: lists of two or more sets, without entries that no partner in the list can reach
-    entry = starts.where("start is not null and rep is not null").select("sid", "n", F.posexplode("start").alias("pos", "h"))
-    in_list = Window.partitionBy("h")  # one exchange; long lists spill, and rare-first order keeps them to groups of copies
-    lists = entry.withColumn("size", F.count("*").over(in_list)).withColumn("hub", F.min(F.struct("pos", "n", "sid")).over(in_list)).where("size > 1")
-    live = cut(lists.select("h", "sid", "n", "pos", "size", "hub"))
+    starts = some.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("start").alias("start"), F.first("hot").alias("hot")).where("start is not null and rep is not null")
+
+    # the index: lists of two or more sets, each with its hub; the longest lists, a bounded number, are counted apart and known to all tasks
+    entry = starts.select("sid", "n", "hot", F.posexplode("start").alias("pos", "h"))
+    of_list = (F.count("*").alias("size"), F.min(F.struct("pos", "n", "sid")).alias("hub"))
+    longest = entry.where("hot").groupBy("h").agg(*of_list).where(F.col("size") > long_list)
+    longest = F.broadcast(spark.createDataFrame(longest.collect(), longest.schema))
+    in_list = Window.partitionBy("h")  # one exchange, of lists that are short against it
+    other = entry.join(longest.select("h"), "h", "left_anti").select("h", "sid", "n", "pos")
+    other = other.withColumn("size", F.count("*").over(in_list)).withColumn("hub", F.min(F.struct("pos", "n", "sid")).over(in_list)).where("size > 1")
+    live = cut(other.unionByName(entry.where("hot").join(longest, "h").select("h", "sid", "n", "pos", "size", "hub")))
 
     c, hub = F.col, F.col("hub")
     reached = live.groupBy("sid").agg(F.count("*").alias("shared"), F.count_if(c("size") > SHORT).alias("long"))
@@ -224,6 +241,7 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
         return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
     def can_link(n: Column, pos: Column, m: Column, mpos: Column) -> Column:
+        """Whether a pair may link whose first shared place this is."""
         return fits(n, m) & (F.least(n - pos, m - mpos) >= at_least(n, m, percent))
 
     def plausible(pairs: DataFrame, exact: bool) -> DataFrame:
@@ -234,13 +252,19 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
         most = F.least("shared_a", "shared_b")
         if exact:
             most = F.least(most, c("lists") + F.least("long_a", "long_b"))
-        joined = pairs.join(side("a"), "a").join(side("b"), "b")
+        joined = spread_join(pairs.join(side("a"), "a"), side("b"), "b", "a", total) if not exact else pairs.join(side("a"), "a").join(side("b"), "b")
         return joined.where(most + F.greatest(rest(c("na")), rest(c("nb"))) >= at_least(c("na"), c("nb"), percent)).select("a", "b", "na", "nb", "lists")
 
     # short lists give their pairs, counted over all lists; of long ones each set is paired with the hub only
-    short = live.where(c("size") <= SHORT).groupBy("h").agg(F.collect_list(F.struct("sid", "n")).alias("xs"))
-    within = F.flatten(F.transform("xs", lambda x: F.transform(F.filter("xs", lambda y: (y["sid"] > x["sid"]) & fits(x["n"], y["n"])), lambda y: F.struct(x["sid"].alias("a"), y["sid"].alias("b"), x["n"].alias("na"), y["n"].alias("nb")))))
-    counted = short.select(F.explode(within).alias("p")).groupBy("p.a", "p.b", "p.na", "p.nb").agg(F.count("*").alias("lists"))
+    short = live.where(c("size") <= SHORT).groupBy("h").agg(F.collect_list(F.struct("sid", "n", "pos")).alias("xs"))
+    pair = lambda x, y: F.struct(
+        x["sid"].alias("a"), y["sid"].alias("b"), x["n"].alias("na"), y["n"].alias("nb"), can_link(x["n"], x["pos"], y["n"], y["pos"]).alias("can")
+    )
+    after = lambda x: F.filter("xs", lambda y: (y["sid"] > x["sid"]) & fits(x["n"], y["n"]))
+    within = F.flatten(F.transform("xs", lambda x: F.transform(after(x), lambda y: pair(x, y))))
+    counted = short.select(F.explode(within).alias("p")).groupBy("p.a", "p.b", "p.na", "p.nb").agg(F.count("*").alias("lists"), F.bool_or("p.can").alias("can"))
+    # a pair whose first shared place is in a long list may have none in a short one that would do
+    counted = counted.join(reached.select(c("sid").alias("a"), c("long").alias("long_lists")), "a").where("can or long_lists > 0").drop("can", "long_lists")
     paired = cut(plausible(counted, True))
     long_lists = live.where((c("size") > SHORT) & (c("sid") != hub["sid"]))
     with_hub = long_lists.where(fits(c("n"), hub["n"])).groupBy(c("sid").alias("a"), hub["sid"].alias("b"), c("n").alias("na"), hub["n"].alias("nb")).agg(F.count("*").alias("lists"))
@@ -248,7 +272,7 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     # each set is compared with the one, of greater id in short lists, that it shares most lists with
     either = paired.unionByName(plausible(with_hub, False))
     to_hub = cut(either.groupBy("a", "na").agg(F.max(F.struct("lists", "b", "nb")).alias("h")).select("a", c("h.b").alias("b"), "na", c("h.nb").alias("nb")))
-    tested = cut(overlaps(to_hub, reps, docs, words, True))
+    tested = cut(overlaps(to_hub, reps, docs, words, True, total))
     is_link = c("common") * (100 + percent) >= (c("na") + c("nb")) * percent
     links = tested.where(is_link).select("a", "b")
     member = components(links)
@@ -257,33 +281,48 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     of = member.withColumnRenamed("node", "sid")
     home = lambda side: of.select(c("sid").alias(side), c("component").alias(f"home_{side}"))
     apart = paired.join(home("a"), "a", "left").join(home("b"), "b", "left").where(F.coalesce("home_a", "a") != F.coalesce("home_b", "b")).select("a", "b", "na", "nb")
-    entries = live.where(c("size") > SHORT).select("h", "sid", "n", "pos").join(of, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    several = entries.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
-    open_lists = cut(entries.join(several, "h"))
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    met = x.join(y, (c("x.h") == c("y.h")) & (c("x.sid") < c("y.sid")) & (c("x.component") != c("y.component")) & can_link(c("x.n"), c("x.pos"), c("y.n"), c("y.pos")))
-    met = met.groupBy(c("x.sid").alias("a"), c("y.sid").alias("b"), c("x.n").alias("na"), c("y.n").alias("nb")).agg(F.count("*").alias("lists"))
+    entries = live.where(c("size") > SHORT).select("h", "sid", "n", "pos", "size").join(of, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    by_component = entries.groupBy("h", "size", "component").agg(F.count("*").alias("m"))
+    several = by_component.groupBy("h", "size").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
+
+    # a list's entries stay in parts; those outside its main component visit each part
+    parts = F.ceil(c("size") / LIST_PART).cast("int")
+    every_part = F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
+    own_part = F.pmod(F.xxhash64("sid"), parts).cast("int")
+    open_lists = cut(entries.withColumn("part", own_part).join(several.select("h", "main", every_part), ["h", "part"]))
+    x, y = open_lists.alias("x"), open_lists.where("component <> main").drop("part").select("*", every_part).alias("y")
+    once = (c("x.component") == c("x.main")) | (c("x.sid") < c("y.sid"))
+    fit = can_link(c("x.n"), c("x.pos"), c("y.n"), c("y.pos"))
+    met = x.join(y, (c("x.h") == c("y.h")) & (c("x.part") == c("y.part")) & (c("x.component") != c("y.component")) & once & fit)
+    ahead = c("x.sid") < c("y.sid")
+    either_way = lambda one, two: F.when(ahead, c(one)).otherwise(c(two))
+    met = met.select(either_way("x.sid", "y.sid").alias("a"), either_way("y.sid", "x.sid").alias("b"), either_way("x.n", "y.n").alias("na"), either_way("y.n", "x.n").alias("nb"))
+    met = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("lists"))
     across = apart.unionByName(plausible(met, False).drop("lists")).distinct()
 
     # overlaps with a common hub decide a pair where they can; else the differences to it give the exact overlap
     to = tested.select(c("a").alias("sid"), c("b").alias("hub"), c("nb").alias("hub_n"), c("common").alias("o"), c("lost").isNotNull().alias("close"))
-    side = lambda s: to.select(c("sid").alias(s), c("hub").alias(f"hub_{s}"), c("hub_n"), c("o").alias(f"o_{s}"), c("close").alias(f"close_{s}")) if s == "a" else to.select(c("sid").alias(s), c("hub").alias(f"hub_{s}"), c("o").alias(f"o_{s}"), c("close").alias(f"close_{s}"))
-    known = across.join(side("a"), "a", "left").join(side("b"), "b", "left")
+
+    def hub_of(s: str) -> DataFrame:
+        return to.select(c("sid").alias(s), c("hub").alias(f"hub_{s}"), c("o").alias(f"o_{s}"), c("close").alias(f"close_{s}"), *([c("hub_n")] if s == "a" else []))
+
+    known = across.join(hub_of("a"), "a", "left").join(hub_of("b"), "b", "left")
     known = known.where(~F.coalesce((c("hub_a") == c("b")) | (c("hub_b") == c("a")), F.lit(False)))  # compared already
     same = F.coalesce((c("hub_a") == c("hub_b")) & c("close_a") & c("close_b"), F.lit(False))
     need = at_least(c("na"), c("nb"), percent)
     upper = F.least("o_a", "o_b") + F.least(c("na") - c("o_a"), c("nb") - c("o_b"))
-    known = cut(known.where(~(same & (upper < need))).select("a", "b", "na", "nb", same.alias("same"), "hub_n", (same & (c("o_a") + c("o_b") - c("hub_n") >= need)).alias("sure")))
-    sure = known.where("sure").select("a", "b")
+    sure = (same & (c("o_a") + c("o_b") - c("hub_n") >= need)).alias("sure")
+    known = cut(known.where(~(same & (upper < need))).select("a", "b", "na", "nb", same.alias("same"), "hub_n", sure))
     diff = lambda s: tested.select(c("a").alias(s), c("lost").alias(f"lost_{s}"), c("own").alias(f"own_{s}"))
-    derived = known.where("same and not sure").join(diff("a"), "a").join(diff("b"), "b").withColumn("common", derived_common("lost_a", "own_a", "lost_b", "own_b", "hub_n")).where(is_link).select("a", "b")
-    fetched = overlaps(known.where("not same").select("a", "b", "na", "nb"), reps, docs, words, False).where(is_link).select("a", "b")
-    late = cut(sure.unionByName(derived).unionByName(fetched))
+    derived = known.where("same and not sure").join(diff("a"), "a").join(diff("b"), "b")
+    derived = derived.withColumn("common", derived_common("lost_a", "own_a", "lost_b", "own_b", "hub_n")).where(is_link).select("a", "b")
+    fetched = overlaps(known.where("not same").select("a", "b", "na", "nb"), reps, docs, words, False, total).where(is_link).select("a", "b")
+    late = cut(known.where("sure").select("a", "b").unionByName(derived).unionByName(fetched))
     if not late.isEmpty():
         member = components(links.unionByName(late))
 
     classes = reps.join(member.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     names = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = classes.join(names, "component").select("sid", "component_id")
-    out = rows.join(named, "sid", "left")
+    named = spread_join(classes, names, "component", "sid", total).select("sid", "component_id")
+    out = spread_join(rows, named, "sid", "doc_id", total, "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
