@@ -13,7 +13,8 @@ import base64
 import hashlib
 import heapq
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -145,36 +146,75 @@ class MergeReplay:
         return parts
 
 
+def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of values that begin at starts, end to end."""
+    ends = np.cumsum(lengths)
+    return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class Strings:
+    """Byte strings end to end, to be picked by number."""
+
+    def __init__(self, strings: Sequence[bytes]):
+        self.bytes = np.frombuffer(b"".join(strings), dtype=np.uint8)
+        self.lengths = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def of_runs(self, numbers: np.ndarray, runs: np.ndarray) -> list[bytes]:
+        """The strings of these numbers, joined within each run; runs holds the runs' lengths."""
+        lengths = self.lengths[numbers]
+        joined = ragged(self.bytes, self.starts[numbers], lengths).tobytes()
+        ends = np.r_[0, np.cumsum(lengths)][np.cumsum(runs)].tolist()
+        return [joined[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+
 class Encoder:
-    """A worker's encoder: splits texts and remembers the ids of pre-tokens, as text: decimal numbers between spaces."""
+    """A worker's encoder: splits texts and remembers the ids of pre-tokens in one array."""
 
     def __init__(self, path: str, pattern: str):
         self.split = regex.compile(pattern).findall
         self.replay = MergeReplay(load_ranks(path))
-        self.token = [self.replay.token.get(i, b"") for i in range(max(self.replay.token) + 1)]
-        self.shared: dict[str, str] = {}
-        self.known: dict[str, str] = {}
-
-    def share(self, shared: dict[str, str]) -> None:
-        """Takes ids that the corpus's replay has found."""
+        most = max(self.replay.token)
+        self.tokens = Strings([self.replay.token.get(i, b"") for i in range(most + 1)])
+        self.decimals = Strings([b"%d " % i for i in range(most + 1)])
+        self.shared: pa.Table | None = None
+        self.shared_words = 0
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.starts, self.lengths = (np.zeros(0, dtype=t) for t in (np.int32, np.int64, np.int64))
+        if self.shared is not None:
+            self.add(self.shared.column("w").to_pylist(), self.shared.column("ids").to_pylist())
+        self.shared_words = len(self.known)
+
+    def share(self, shared: pa.Table) -> None:
+        """Takes ids that the corpus's replay has found: w, ids."""
         if shared is not self.shared:
-            self.shared, self.known = shared, dict(shared)
+            self.shared = shared
+            self.forget()
+
+    def add(self, words: list[str], ids: list[list[int]]) -> None:
+        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
+        self.lengths = np.concatenate((self.lengths, lengths))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(lengths.sum()))))
 
     def learn(self, words: Iterable[str]) -> None:
         """Ids of these pre-tokens, by one replay of the merges over all that are new."""
-        if len(self.known) > len(self.shared) + KEPT_WORDS:
-            self.known = dict(self.shared)
+        if len(self.known) > self.shared_words + KEPT_WORDS:
+            self.forget()
         new = list({w for w in words if w not in self.known})
-        for w, ids in zip(new, self.replay.encode([w.encode("utf-8", "surrogatepass") for w in new]), strict=True):
-            self.known[w] = " ".join(map(str, ids))
-
-    def split_all(self, texts: list[str]) -> tuple[list[list[str]], dict[str, str]]:
-        """The pre-tokens of each text, equal ones as one object, and the distinct ones."""
-        distinct: dict[str, str] = {}
-        return [list(map(distinct.setdefault, words, words)) for words in map(self.split, texts)], distinct
+        self.add(new, self.replay.encode([w.encode("utf-8", "surrogatepass") for w in new]))
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids.tolist()))
+    def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts whose pre-tokens are known, end to end, and how many each text has."""
+        counts = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        place = np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=int(counts.sum()))
+        lengths = self.lengths[place]
+        ends = np.r_[0, np.cumsum(lengths)][np.r_[0, np.cumsum(counts)]]
+        return ragged(self.flat, self.starts[place], lengths), np.diff(ends)
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -188,10 +228,6 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _encoders[path, pattern]
 
 
-def numbers(ids: str) -> np.ndarray:
-    return np.fromstring(ids, dtype=np.int32, sep=" ") if ids else np.zeros(0, dtype=np.int32)
-
-
 def in_chunks(batches: Iterator[pa.RecordBatch], chars: int = CHUNK_CHARS) -> Iterator[tuple[list, list[str]]]:
     """(doc_ids, texts) of runs of rows of about so many characters; a longer text is a chunk of its own."""
     for batch in batches:
@@ -206,33 +242,41 @@ def in_chunks(batches: Iterator[pa.RecordBatch], chars: int = CHUNK_CHARS) -> It
             begin = end
 
 
-def word_counts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """w and n of every pre-token of docs(text) of at most SHARED_CHARS characters, from partial sums of the tasks."""
+def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
+    """w and n of the pre-tokens of docs(text) of at most SHARED_CHARS characters, from partial sums of the tasks.
+
+    They are those of the words between white space, each with a space before it, which split alike wherever they stand: nearly all pre-tokens. The counts only choose
+    what is shared.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, counts = regex.compile(pattern).findall, Counter()
+        split, words = regex.compile(pattern).findall, Counter()
 
         def found() -> pa.RecordBatch:
+            counts: dict[str, int] = {}
+            for word, n in words.items():
+                for w in split(" " + word):
+                    counts[w] = counts.get(w, 0) + n
+            words.clear()
             kept = [(w, n) for w, n in counts.items() if len(w) <= SHARED_CHARS]
-            counts.clear()
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["w", "n"])
 
         for _, texts in in_chunks(batches):
             for text in texts:
-                counts.update(split(text))
-            if len(counts) > COUNTED_WORDS:
+                words.update(text.split())
+            if len(words) > COUNTED_WORDS:
                 yield found()
         yield found()
 
     return docs.mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def shared_ids(docs: DataFrame, path: str, pattern: str, most: int = SHARED_WORDS) -> dict[str, str]:
-    """Ids of the corpus's most frequent pre-tokens, by replays over shards of them.
+def shared_ids(docs: DataFrame, path: str, pattern: str, most: int = SHARED_WORDS) -> pa.Table:
+    """w and ids of the corpus's most frequent pre-tokens, by replays over shards of them.
 
     The count from which a pre-token is among the `most` comes from a histogram of counts, so nothing is sorted, and no more than `most` rows reach the driver.
     """
-    counted = cut(word_counts(docs, path, pattern).where("n > 1"))
+    counted = cut(word_counts(docs, pattern).where("n > 1"))
     histogram = {r["n"]: r["words"] for r in counted.groupBy(F.least("n", F.lit(TOP_COUNT)).alias("n")).agg(F.count("*").alias("words")).collect()}
     least, total = TOP_COUNT + 1, 0
     for n in sorted(histogram, reverse=True):
@@ -244,12 +288,10 @@ def shared_ids(docs: DataFrame, path: str, pattern: str, most: int = SHARED_WORD
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in batches:
-            words = batch.column("w").to_pylist()
-            ids = own.replay.encode([w.encode() for w in words])
-            yield pa.RecordBatch.from_arrays([batch.column("w"), pa.array([" ".join(map(str, x)) for x in ids], pa.string())], names=["w", "ids"])
+            ids = own.replay.encode([w.encode() for w in batch.column("w").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("w"), pa.array(ids, pa.list_(pa.int32()))], names=["w", "ids"])
 
-    found = counted.where(F.col("n") >= least).select("w").repartition(8).mapInArrow(replay, "w string, ids string").toArrow()
-    return dict(zip(found.column("w").to_pylist(), found.column("ids").to_pylist(), strict=True))
+    return counted.where(F.col("n") >= least).select("w").repartition(8).mapInArrow(replay, "w string, ids array<int>").toArrow()
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = False) -> DataFrame:
@@ -269,21 +311,19 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
         own = encoder(path, pattern)
         own.share(shared.value)
         for doc_ids, texts in in_chunks(batches):
-            split, distinct = own.split_all(texts)
-            own.learn(distinct)
+            split = list(map(own.split, texts))
+            own.learn(set().union(*split))
             for at in range(0, len(split), OUT_ROWS):
-                said = [" ".join(map(own.known.__getitem__, words)) for words in split[at : at + OUT_ROWS]]
-                ids = [numbers(x) for x in said]
+                ids, counts = own.ids(split[at : at + OUT_ROWS])
                 columns = [
                     pa.array(doc_ids[at : at + OUT_ROWS], pa.int64()),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in said], pa.string()),
-                    pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in ids], pa.string()),
+                    pa.array(counts),
+                    pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in own.decimals.of_runs(ids, counts)], pa.string()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in own.tokens.of_runs(ids, counts)], pa.string()),
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))))
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids)))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 

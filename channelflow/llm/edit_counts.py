@@ -150,14 +150,14 @@ def edited_counts(docs: DataFrame, edits: Callable[[str], list[tuple[int, int, s
             if new:
                 own.learn(new)
                 for w in new:
-                    lengths[w] = own.known[w].count(" ") + 1
+                    lengths[w] = int(own.lengths[own.known[w]])
             return [lengths[w] for w in words]
 
         for doc_ids, texts in in_chunks(batches):
             if len(lengths) > KEPT_LENGTHS:
                 lengths.clear()
-            split, distinct = own.split_all(texts)
-            count(list(distinct))  # one replay for the chunk
+            split = list(map(own.split, texts))
+            count(list(set().union(*split)))  # one replay for the chunk
             rows = []
             for text, words in zip(texts, split, strict=True):
                 tree = CountTree(words, own.split, count)
