@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-KEY = "change me"  # a deployment passes its own
 ROUNDS = 6
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -28,6 +27,8 @@ FORMS = {
     "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d])",
 }
 ANY = "|".join(f"(?:{form})" for form in FORMS.values())
+# What card numbers of the large issuers begin with, and how long they are.
+ISSUED = r"^(?:4(?:\d{12}|\d{15}|\d{18})|5[0-8]\d{10,17}|6\d{11,18}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|3[47]\d{13}|3[05689]\d{12,17})$"
 #: A cheap test that any text with a match passes.
 HINT = r"@|\d\.\d|\d-\d|\d[-/ )]|\d{8}|AKIA|[=:] {0,2}[\"']?[A-Za-z0-9_+/-]{8}|[0-9a-f]{32}"
 
@@ -107,13 +108,13 @@ def bound(value: Column, use) -> Column:
 
 
 def card(m: Column, key: str) -> Column:
-    """Only numbers that hold the Luhn rule; the pseudonym holds it too. The first digit, the issuer's line, stays."""
+    """Only numbers that an issuer gives out and that hold the Luhn rule; the pseudonym holds it too. The first four digits, the issuer's, stay."""
 
     def of(d: Column) -> Column:
         payload = F.substr(d, F.lit(1), F.length(d) - 1)
         new = lambda p: F.concat(p, luhn_digit(p).cast("string"))
-        swapped = F.concat(F.substr(payload, F.lit(1), F.lit(1)), permuted_text(F.substr(payload, F.lit(2), F.length(payload)), key, "card"))
-        valid = (luhn_digit(payload) == F.substr(d, F.length(d), F.lit(1)).cast("int")) & ~d.rlike(r"^(\d)\1*$")
+        swapped = F.concat(F.substr(payload, F.lit(1), F.lit(4)), permuted_text(F.substr(payload, F.lit(5), F.length(payload)), key, "card"))
+        valid = d.rlike(ISSUED) & (luhn_digit(payload) == F.substr(d, F.length(d), F.lit(1)).cast("int")) & ~d.rlike(r"^(\d)\1*$")
         return F.when(valid, refilled(m, bound(swapped, new))).otherwise(m)
 
     return bound(F.regexp_replace(m, r"\D", ""), of)
@@ -193,7 +194,7 @@ RULES = {
 }
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """(kind, text) of a match's pseudonym; kind is null where the value isn't valid, and the text then stays."""
 
     def made(kind: str) -> Column:
@@ -205,17 +206,22 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     return chosen.otherwise(F.struct(F.lit(None).cast("string").alias("kind"), m.alias("text")))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with private values in text replaced by pseudonyms; adds private array<string>, the kinds found in text order.
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+    """docs with private values in text replaced by pseudonyms under the key; adds private array<string>, the kinds found in text order.
 
     Whole texts are searched in one pass each; what stands between matches is kept as it is. A null text stays null with no kinds, an
-    empty one empty. Values that their rule finds invalid (a Luhn sum, a day that doesn't exist) stay. Columns keep
+    empty one empty. Values that their rule finds invalid (a Luhn sum, no issuer's number, a day that doesn't exist) stay. Columns keep
     their names and order; one named private is replaced. Rows are changed where they are read, without a shuffle.
     """
-    found = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    named = docs.drop("private").withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
-    named = named.withColumn("_made", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, key))).otherwise(F.expr("cast(array() as array<struct<kind: string, text: string>>)")))
-    gaps = F.split("text", ANY, -1)
-    woven = F.concat(F.array_join(F.transform("_made", lambda x, i: F.concat(F.get(gaps, i), x["text"])), ""), F.get(gaps, F.size("_made")))
-    named = named.withColumn("text", F.when(F.size("_made") > 0, woven).otherwise(F.col("text")))
-    return named.withColumn("private", F.transform(F.filter("_made", lambda x: x["kind"].isNotNull()), lambda x: x["kind"])).drop("_found", "_made")
+    columns = [c for c in docs.columns if c != "private"]
+    none = F.array().cast("array<string>")
+    text = F.col("row")["text"]
+    found = F.coalesce(F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none), none)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")).withColumn("found", found)
+    made = F.when(F.size("found") > 0, F.transform("found", lambda m: pseudonym(m, key))).otherwise(F.expr("cast(array() as array<struct<kind: string, text: string>>)"))
+    rows = rows.select("row", made.alias("made"))
+    gaps = F.split(text, ANY, -1)
+    woven = F.concat(F.array_join(F.transform("made", lambda x, i: F.concat(F.get(gaps, i), x["text"])), ""), F.get(gaps, F.size("made")))
+    kinds = F.transform(F.filter("made", lambda x: x["kind"].isNotNull()), lambda x: x["kind"])
+    rows = rows.select("row", F.struct(F.when(F.size("made") > 0, woven).otherwise(text).alias("text"), kinds.alias("private")).alias("new"))
+    return rows.select(*[F.col("new")[c].alias(c) if c == "text" else F.col("row")[c].alias(c) for c in columns], F.col("new")["private"].alias("private"))

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from channelflow.llm.byte_bpe import load_ranks
@@ -90,11 +91,13 @@ def test_run_equals_the_stages(spark, stages):
 
 
 def test_awkward_documents_pass(spark):
-    rows = [(1, "a b c d e f", "en", "s", 11, 1.0, "p"), (1, "a b c d e f", "en", "s", 11, 1.0, "p"), (None, None, None, None, None, None, None), (2, "", None, "t", 0, 2.0, "q"), (3, "call +1 (906) 555-7738", "en", "t", 22, 3.0, "r")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, private string")
+    rows = [(1, "a b c d e f", "en", "s", 11, 1.0, "p"), (1, "a b c d e f", "en", "s", 11, 1.0, "p"), (None, None, None, None, None, None, None), (2, "", None, "t", 0, 2.0, "q"), (3, "call +1 (906) 555-7738", "en", "t", 22, 3.0, "r"), (3, "another text of the same id", "en", "t", 27, 3.0, "r"), (None, "a text without id", "en", "t", 17, 3.0, "r"), (None, "a text without id", "en", "t", 17, 3.0, "r"), (4, "z " * 30_000, "en", "s", 60_000, 3.0, "_others")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, private string").withColumn("_others", F.lit(7))
+    texts = {r["text"] for r in P.keep_one_of_near_copies(spark, docs, SMALL).collect()}
+    assert texts == {r["text"] for r in docs.collect()}  # rows with an id of their own text, or none, are documents of their own
     for _, stage in P.STAGES[:-1]:
         docs = stage(spark, docs, SMALL)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "private"]
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "private", "_others"]
     texts = {r["text"] for r in docs.collect()}
     assert not any("555-7738" in t for t in texts)
     empty = spark.createDataFrame([], docs.schema)
