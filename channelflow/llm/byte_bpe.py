@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, release_memory, text_of
 
 NONE = 1 << 30  # the rank of a pair that no merge joins
 OUT_ROWS = 250  # documents whose ids are held at once
@@ -188,9 +188,9 @@ class Encoder:
             self.add(self.shared.column("w").to_pylist(), self.shared.column("ids").to_pylist())
         self.shared_words = len(self.known)
 
-    def share(self, shared: pa.Table) -> None:
-        """Takes ids that the corpus's replay has found: w, ids."""
-        if shared is not self.shared:
+    def share(self, shared: pa.Table | None) -> None:
+        """Takes ids that the corpus's replay has found: w, ids. None: none, and those learned since go too."""
+        if shared is not self.shared or shared is None:
             self.shared = shared
             self.forget()
 
@@ -267,6 +267,7 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
             if len(words) > COUNTED_WORDS:
                 yield found()
         yield found()
+        release_memory()
 
     return docs.mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
@@ -326,5 +327,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
                     columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids)))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        own.share(None)
+        release_memory()
 
     return texts_of.mapInArrow(run, schema)

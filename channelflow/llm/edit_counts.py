@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import encoder, in_chunks
-from .common import text_of
+from .common import release_memory, text_of
 
 LEAF = 32  # pre-tokens
 KEPT_LENGTHS = 300_000  # pre-tokens whose counts a task remembers
@@ -166,5 +166,7 @@ def edited_counts(docs: DataFrame, edits: Callable[[str], list[tuple[int, int, s
                     tree.edit(begin, end, new)
                 rows.append((len(words), before, tree.total, tree.encoded))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc_ids, *zip(*rows, strict=True))], names=names)
+        own.share(None)
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, schema)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, release_memory, text_of
 from .components import components, part_size, spread_join
 
 WORDS = 4
@@ -87,6 +87,8 @@ def frequency_levels(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
         if total.any():
             parts = np.minimum(total, 65535).astype(np.uint16).reshape(-1, SLICE)
             yield pd.DataFrame({"slice": np.arange(len(parts)), "counts": [zlib.compress(p.tobytes(), 1) for p in parts]})
+        del total
+        release_memory()
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(SLICE, dtype=np.uint64)
@@ -133,6 +135,7 @@ def document_sets(docs: DataFrame, levels: np.ndarray, many: np.ndarray, words:
                 counter = counter[first]
                 hot.append(bool((frequent.value[counter >> 3] >> (7 - (counter & 7)).astype(np.uint8) & 1).any()))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": np.array(n, dtype=np.int32), "sid": pd.array(sid, dtype="Int64"), "start": start, "hot": hot}, index=batch.index)
+        release_memory()
 
     return docs.mapInPandas(run, "doc_id long, n int, sid long, start array<long>, hot boolean")
 
@@ -164,6 +167,7 @@ def overlaps(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, wit
                 if len(batch):
                     found = [shingles(t, words) for t in batch["text"]]
                     yield pd.DataFrame({side: [set_id(s) for s in found], f"set_{side}": [(s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in found]})
+            release_memory()
 
         bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER)).alias("bit")
         return docs.where("doc_id is not null").select("text", bit).mapInPandas(run, f"{side} long, set_{side} binary")
