@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from channelflow.llm.byte_bpe import encode_documents
-from channelflow.llm.common import table
+from channelflow.llm.common import shared_folder, table
 from channelflow.llm.compression_quality import fit_quality, score_quality
 from channelflow.llm.private_data import pseudonymise
 from channelflow.llm.shingle_join import linked_documents
@@ -17,6 +16,7 @@ from channelflow.llm.source_mix import draw_mix, plan_mix
 
 NEAR_WORDS = 5
 NEAR_PERCENT = 80
+PSEUDONYM_KEY = "spark.pseudonym.key"  # the setting that holds a deployment's key
 
 
 def slim(docs: DataFrame, *needed: str) -> DataFrame:
@@ -41,21 +41,29 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component; repeated rows of it go too. Rows without an id can't be told apart from each other: one of each text stays."""
-    named = docs.where("doc_id is not null")
-    linked = linked_documents(named, NEAR_WORDS, NEAR_PERCENT)
-    kept = linked.where("doc_id = component_id").select("doc_id").distinct()
-    one = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)
+    """One row of each component: that of smallest doc_id, of rows without one or with equal ids that of smallest key.
+
+    Rows are linked by a key of id and text, so rows of equal or without id but with different texts are documents of their own; rows equal in both are one. Texts
+    without words link with nothing, so they stay here (and give the mix no words).
+    """
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("_key")
+    slimmed = slim(docs, "doc_id", "text").select("*", key)
+    linked = linked_documents(slimmed.select(F.col("_key").alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT)
+    linked = linked.select(F.col("doc_id").alias("_key"), "component_id").distinct().join(slimmed.select("_key", "doc_id").distinct(), "_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key"))
+    kept = linked.groupBy("component_id").agg(first.alias("first")).select("first._key")
+    one = slimmed.join(kept, "_key", "left_semi").dropDuplicates(["_key", "doc_id"])
+    return widened(one, docs.columns, "doc_id", "text")
 
 
 def hide_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with pseudonyms for private values."""
-    return with_length(widened(pseudonymise(slim(docs, "doc_id", "text")), docs.columns, "doc_id", "text"))
+    """Texts with pseudonyms for private values, under the deployment's key; reruns under one key agree."""
+    key = spark.conf.get(PSEUDONYM_KEY, "key of test corpora")
+    return with_length(widened(pseudonymise(slim(docs, "doc_id", "text"), key), docs.columns, "doc_id", "text"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix's draws: a document as often as it is drawn, the last draw of a source cut to its quota."""
+    """The mix's draws, laid out by shard: a document as often as it is drawn, the last draw of a source cut to its quota. Documents without words give none."""
     drawn = draw_mix(plan_mix(slim(docs, "doc_id", "text", "source"))).where("words > 0")
     return with_length(widened(drawn, docs.columns, "doc_id", "text", "source"))
 
@@ -79,7 +87,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each result is written to the shared folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    folder = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     run_id = uuid.uuid4().hex
     for k, (_, stage) in enumerate(STAGES):
