@@ -26,7 +26,8 @@ from .common import WORD, cut, text_of
 WEIGHTS = (3, 1, 2)  # by the sources' order, repeating
 SHARE = 1.5  # the mix's words, as a share of all words
 MOST = 2  # times its own words that a source, and so a document, can give
-ROWS_A_BIN = 20_000  # of all sources' rows, about: bins of the permutation grow with the table
+ROWS_A_BIN = 10_000  # of all sources' rows, about: bins of the permutation grow with the table
+LEAST_BINS = 256
 SHARDS = 16
 FEW_SOURCES = 10_000  # up to so many, the table of sources is broadcast
 PI = Decimal("3.14159265358979323846264338327950288419716939937510")
@@ -138,7 +139,7 @@ def plan_mix(
     docs = docs.drop("source_size", "target", "rank", "draws")
     docs = docs if sized else docs.drop("size")
     columns = docs.columns
-    bins = max(16, -(-docs.count() // rows_a_bin))
+    bins = max(LEAST_BINS, -(-docs.count() // rows_a_bin))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "source", "doc_id", key.alias("key"))
     base = base.withColumn("bin", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * bins / F.lit(1 << 32)))
