@@ -28,7 +28,7 @@ PERCENT = 85
 COUNTERS = 22  # bits: the frequency sketch has a fixed size, 4 MiB on the driver and in each worker
 SLICE = 1 << 16
 SHORT = 8  # sets of a list whose pairs are all written out
-LIST_PART = 64  # entries of a long list that stay together, about
+LIST_PARTS = 0.25  # parts of a long list, times the root of its size: entries outside its main component are copied to each
 FILTER = 26  # bits: so does the filter of documents whose sets are fetched, 8 MiB at most
 
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -290,7 +290,7 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     several = by_component.groupBy("h", "size").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
 
     # a list's entries stay in parts; those outside its main component visit each part
-    parts = F.ceil(c("size") / LIST_PART).cast("int")
+    parts = F.ceil(F.sqrt(c("size")) * LIST_PARTS).cast("int")
     every_part = F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
     own_part = F.pmod(F.xxhash64("sid"), parts).cast("int")
     open_lists = cut(entries.withColumn("part", own_part).join(several.select("h", "main", every_part), ["h", "part"]))
