@@ -6,7 +6,7 @@ is brought down to the largest y = exp(r (t - b)) not above it, t an integer, an
 c / (y exp(r)) is the sample, with its t. Two documents agree in a sample with probability equal to
 their generalised Jaccard similarity, the sum of least over the sum of greatest weights.
 
-Draws come from a 64-bit hash of the term, mixed with the sample, so no two terms share them; a worker keeps those of recent terms. What a
+Draws come from a 64-bit hash of the term, mixed with the sample, so no two terms share them; a worker keeps those of the first terms it meets and of recent ones. What a
 signature keeps of a sample is its least value: it stands for the term and its t, as equal values of others are as unlikely as equal hashes.
 """
 
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-SAMPLES = 128
-KEPT_TERMS = 1 << 15  # terms whose draws a worker keeps
+SAMPLES = 96
+KEPT_TERMS = 1 << 15  # terms whose draws a worker keeps for good
+RECENT_TERMS = 1 << 12  # and while they are recent
 ROWS_A_BLOCK = 100_000
 NO_TERMS = "0000"  # of each sample of a text without words
 STEPS = 1 << 20  # least values are told apart by such parts of one
@@ -37,45 +38,66 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _shares(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two uniform numbers above 0 and below 1 from either half of the bits."""
-    low = (x & np.uint64(0xFFFFFFFF)).astype(np.float64)
-    return ((x >> np.uint64(32)).astype(np.float64) + 0.5) * 2.0**-32, (low + 0.5) * 2.0**-32
+def _products(x: np.ndarray) -> np.ndarray:
+    """The product of two uniform numbers, above 0 and below 1, from either half of the bits."""
+    halves = (x.view(np.uint32).reshape(*x.shape, 2) + 0.5) * 2.0**-32
+    return halves[..., 0] * halves[..., 1]
 
 
 class WeightedSampler:
-    """Signatures, and the draws of the terms met lately."""
+    """Signatures, and the draws of terms: of the first ones met, which the frequent ones are among, for good, of others while they are recent."""
 
-    def __init__(self, samples: int = SAMPLES, seed: int = 7, kept: int = KEPT_TERMS):
-        self.samples, self.kept = samples, kept
+    def __init__(self, samples: int = SAMPLES, seed: int = 7, kept: int = KEPT_TERMS, recent: int = RECENT_TERMS):
+        self.samples, self.kept, self.recent = samples, kept, recent
         self.own = _mixed(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-        shape = (kept, samples)
-        self.r, self.b, self.log_c, self.once = (np.zeros(shape, dtype=np.float32) for _ in range(4))
+        self.tables = [np.zeros((kept + recent, samples), dtype=np.float32) for _ in range(4)]
         self.place: dict[bytes, int] = {}
+        self.last: list[bytes | None] = [None] * recent  # the terms in the places of recent ones
+        self.next = 0
 
     def draws(self, terms: list[bytes]) -> tuple[np.ndarray, ...]:
         """r, b, log c and, for weight 1, where t is 0, the log of c / (y exp(r)) of each term and sample."""
         hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, terms), dtype=np.uint64, count=len(terms))[:, None]
         first = _mixed(hashed ^ self.own)
         second = _mixed(first + np.uint64(0x9E3779B97F4A7C15))
-        (u1, u2), (u3, u4) = _shares(first), _shares(second)
-        r, log_c = -np.log(u1 * u2), np.log(-np.log(u3 * u4))
-        b = _shares(_mixed(first ^ (second >> np.uint64(7))))[0]
+        r, log_c = -np.log(_products(first)), np.log(-np.log(_products(second)))
+        b = (((first ^ (second >> np.uint64(13))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)) * 2.0**-32
         return tuple(x.astype(np.float32) for x in (r, b, log_c, log_c + r * (b - 1)))
 
-    def places(self, terms: list[bytes]) -> np.ndarray:
-        """Rows of these terms' draws, at most `kept` terms."""
-        new = [w for w in terms if w not in self.place]
-        if new:
-            if len(self.place) + len(new) > self.kept:
-                self.place.clear()
-                new = terms
-            for i in range(0, len(new), 1024):
-                part = new[i : i + 1024]
-                at = len(self.place)
-                self.r[at : at + len(part)], self.b[at : at + len(part)], self.log_c[at : at + len(part)], self.once[at : at + len(part)] = self.draws(part)
-                self.place.update(zip(part, range(at, at + len(part)), strict=True))
-        return np.fromiter(map(self.place.__getitem__, terms), dtype=np.int64, count=len(terms))
+    def remember(self, terms: list[bytes], found: tuple[np.ndarray, ...]) -> None:
+        begin = 0
+        while begin < len(terms):
+            if self.next < self.kept:
+                at, room = self.next, self.kept - self.next
+            else:
+                at = self.kept + (self.next - self.kept) % self.recent
+                room = self.kept + self.recent - at
+            part = terms[begin : begin + room]
+            for table, x in zip(self.tables, found, strict=True):
+                table[at : at + len(part)] = x[begin : begin + len(part)]
+            if at >= self.kept:
+                own = slice(at - self.kept, at - self.kept + len(part))
+                for w in self.last[own]:
+                    self.place.pop(w, None)
+                self.last[own] = part
+            self.place.update(zip(part, range(at, at + len(part)), strict=True))
+            self.next += len(part)
+            begin += len(part)
+
+    def rows(self, terms: list[bytes], which: tuple[int, ...]) -> tuple[list[bytes], list[np.ndarray]]:
+        """The terms, those with known draws first, and these of their draws."""
+        at = list(map(self.place.get, terms))
+        known, new = terms, []
+        if None in at:
+            known, new = [w for w, i in zip(terms, at, strict=True) if i is not None], [w for w, i in zip(terms, at, strict=True) if i is None]
+            at = [i for i in at if i is not None]
+        out = [self.tables[k][at] for k in which]
+        for i in range(0, len(new), 1024):
+            part = new[i : i + 1024]
+            found = self.draws(part)
+            out = [np.concatenate((x, found[k])) for x, k in zip(out, which, strict=True)]
+            self.remember(part, found)
+        return known + new, out
 
     def signature(self, text: str) -> np.ndarray | None:
         """The samples, as numbers of 16 bits; None without words."""
@@ -85,15 +107,14 @@ class WeightedSampler:
         least = np.full(self.samples, np.inf, dtype=np.float32)
         single = [w for w, n in counts.items() if n == 1]
         several = [w for w, n in counts.items() if n > 1]
-        for i in range(0, len(single), self.kept):
-            least = np.minimum(least, self.once[self.places(single[i : i + self.kept])].min(axis=0))
-        for i in range(0, len(several), self.kept):
-            part = several[i : i + self.kept]
-            at = self.places(part)
+        for i in range(0, len(single), 4096):
+            _, (once,) = self.rows(single[i : i + 4096], (3,))
+            least = np.minimum(least, once.min(axis=0))
+        for i in range(0, len(several), 4096):
+            part, (r, b, log_c) = self.rows(several[i : i + 4096], (0, 1, 2))
             weight = np.log(np.fromiter(map(counts.__getitem__, part), dtype=np.float64, count=len(part))).astype(np.float32)
-            r, b = self.r[at], self.b[at]
             t = np.floor(weight[:, None] / r + b)
-            least = np.minimum(least, (self.log_c[at] - r * (t - b + 1)).min(axis=0))
+            least = np.minimum(least, (log_c - r * (t - b + 1)).min(axis=0))
         steps = np.rint(least.astype(np.float64) * STEPS).astype(np.int64).astype(np.uint64)
         return (_mixed(steps) >> np.uint64(48)).astype(np.uint16)
 
