@@ -28,6 +28,11 @@ def centred(v: Column) -> Column:
     return let(mean(v), lambda m: F.transform(v, lambda x: x - m))
 
 
+def standardised(v: Column) -> Column:
+    """v centred, and then of length 1; null if it is constant."""
+    return let(centred(v), unit)
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
@@ -59,5 +64,38 @@ def scaled(v: Column, by: Column) -> Column:
 
 
 def reordered(v: Column, order: Column) -> Column:
-    """The elements at the given places, from 0."""
-    return F.transform(order, lambda i: F.get(v, i))
+    """The elements at the given places, from 0. An order that is no permutation of v's places is an error."""
+    places = F.sequence(F.lit(0), F.size(v) - 1)
+    right = (F.size(v) == F.size(order)) & ((F.size(v) == 0) | (F.array_sort(order.cast("array<int>")) == places))
+    return F.when(right, F.transform(order, lambda i: F.get(v, i))).otherwise(F.raise_error(F.lit("no permutation of the places")))
+
+
+def next_power_of_two(x: Column) -> Column:
+    """The least exponent whose power of two reaches |x|; 0 for 0."""
+    return F.when(x == 0, 0).otherwise(F.ceil(F.log2(F.abs(x)))).cast("long")
+
+
+def choose(n: Column, k: Column) -> Column:
+    """n over k, for n up to 20; 0 outside of 0 to n."""
+    return F.when((k < 0) | (k > n), 0).otherwise(F.factorial(n) / (F.factorial(k) * F.factorial(n - k))).cast("long")
+
+
+def ceil_to(x: Column, digits: int) -> Column:
+    return F.ceil(x * 10**digits) / 10**digits
+
+
+def ramp(x: Column, middle: float, steepness: float) -> Column:
+    """Logistic ramp from 0 to 1."""
+    return 1 / (1 + F.exp(-steepness * (x - middle)))
+
+
+def condensed_place(i: Column, j: Column, n: Column) -> Column:
+    """Where the pair (i, j) of n things, i <> j, stands in the condensed list of pairs: (0, 1), (0, 2), ..., (1, 2), ..."""
+    a, b = F.least(i, j), F.greatest(i, j)
+    return (n * a - F.floor(a * (a + 1) / 2) + b - 1 - a).cast("long")
+
+
+def square_place(k: Column, n: Column) -> Column:
+    """The pair that stands at a place of the condensed list, as struct<i, j>."""
+    row = F.floor((2 * n - 1 - F.sqrt((2 * n - 1) * (2 * n - 1) - 8 * k)) / 2)
+    return let(row.cast("long"), lambda i: F.struct(i.alias("i"), (k - n * i + F.floor(i * (i + 1) / 2) + 1 + i).cast("long").alias("j")))

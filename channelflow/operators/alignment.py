@@ -1,16 +1,16 @@
-"""Matching map sets: optimal assignment, greedy similarity, mean maps, reordering.
+"""Matching map sets: optimal assignment, greedy similarity, mean maps, best combinations, reordering.
 
-Map sets have K maps each, a handful. Correlations are expressions; assignments of up to six maps try every permutation as
-an expression over the K x K matrix, mean maps iterate in grouped tasks of one group's sets.
+Map sets have K maps each, a handful. Correlations are expressions; the assignment over the K x K matrix is a vectorised function of one row for each
+set. Mean maps iterate in tasks of one group's sets and one start.
 """
 
 from __future__ import annotations
 
-from itertools import permutations
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from channelflow.functions import vectors as V
@@ -24,35 +24,60 @@ def correlation_matrix(a: Column, b: Column, absolute: bool) -> Column:
     return F.transform(a, lambda x: F.transform(b, lambda y: F.coalesce(value(V.correlation(x["m"], y["m"])), F.lit(0.0))))
 
 
-def assign(sets: DataFrame, template: DataFrame, k: int, absolute: bool = False) -> DataFrame:
-    """subject, k_src, k_dst, r: the one-to-one assignment of each set's maps to the template's of greatest total correlation.
+def matched(sets: DataFrame) -> DataFrame:
+    """Rows of sets(..., c), a matrix of correlations, for each of its rows i with its column j in the one-to-one assignment of greatest total; j is -1 for rows without
+    one, if there are more rows than columns."""
+    schema = f"{', '.join(f'{name} {kind}' for name, kind in sets.dtypes)}, p array<int>"
 
-    The first permutation in lexical order wins ties. template(k, m) is one set of k maps; k is at most 8.
-    """
-    if k > 8:
-        raise ValueError("assignment by permutations is for eight maps at most; use assign_large")
-    plan = F.array(*[F.array(*[F.lit(i) for i in p]) for p in permutations(range(k))])
-    target = template.agg(F.array_sort(F.collect_list(F.struct("k", "m"))).alias("target"))
-    joined = map_sets(sets).join(F.broadcast(target), how="cross")  # one row
-    matrix = joined.select("subject", "maps", "target", correlation_matrix(F.col("maps"), F.col("target"), absolute).alias("c"))
-    score = lambda p: F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(0.0), lambda s, i: s + F.get(F.get(F.col("c"), i), F.get(p, i)))
-    # rounding makes sums that differ only in the order of addition tie
-    scored = matrix.withColumn("p", F.aggregate(plan, F.struct(F.lit(float("-inf")).alias("s"), F.lit(None).cast("array<int>").alias("p")), lambda best, p: V.let(F.round(score(p), 12), lambda s: F.when(s > best["s"], F.struct(s.alias("s"), p.alias("p"))).otherwise(best))))
-    rows = scored.select("subject", "maps", "target", "c", F.posexplode("p.p").alias("i", "j"))
-    return rows.select("subject", F.get("maps", F.col("i"))["k"].alias("k_src"), F.get("target", F.col("j"))["k"].alias("k_dst"), F.get(F.get(F.col("c"), F.col("i")), F.col("j")).alias("r"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for m in batch["c"]:
+                c = np.stack(m) if len(m) else np.zeros((0, 0))
+                n = max(c.shape)
+                padded = np.zeros((n, n))
+                padded[: c.shape[0], : c.shape[1]] = c
+                # rounding makes sums that differ only in the order of addition tie
+                out.append([j if j < c.shape[1] else -1 for j in hungarian(-np.round(padded, 12))[: c.shape[0]]])
+            yield batch.assign(p=out)
 
+    return sets.mapInPandas(run, schema).select(*sets.columns, F.posexplode("p").alias("i", "j"))
 
-def padded_similarity(sets: DataFrame, template: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
-    """The absolute assignment; pairs below the threshold have k_dst and r -1."""
-    a = assign(sets, template, k, absolute=True)
-    kept = F.col("r") >= threshold
-    return a.select("subject", "k_src", F.when(kept, F.col("k_dst")).otherwise(-1).alias("k_dst"), F.when(kept, F.col("r")).otherwise(-1.0).alias("r"))
 
+def _with_target(sets: DataFrame, template: DataFrame) -> DataFrame:
+    """subject, maps, target: the template's maps, one row, beside each set."""
+    target = template.agg(F.array_sort(F.collect_list(F.struct("k", "m"))).alias("target"))
+    return map_sets(sets).join(F.broadcast(target), how="cross")  # one row
+
+
+def assign(sets: DataFrame, template: DataFrame, absolute: bool = False) -> DataFrame:
+    """subject, k_src, k_dst, r: the one-to-one assignment of each set's maps to the template's of greatest total correlation.
 
-def greedy_similarity(sets: DataFrame, template: DataFrame, k: int) -> DataFrame:
+    template(k, m) is one set. Sets may be larger or smaller than it: maps without a partner have k_dst and r null.
+    """
+    matrix = _with_target(sets, template).withColumn("c", correlation_matrix(F.col("maps"), F.col("target"), absolute))
+    rows = matched(matrix)
+    at = F.when(F.col("j") >= 0, F.col("j"))
+    return rows.select("subject", F.get("maps", F.col("i"))["k"].alias("k_src"), F.get("target", at)["k"].alias("k_dst"), F.get(F.get(F.col("c"), F.col("i")), at).alias("r"))
+
+
+def padded_similarity(sets: DataFrame, template: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """The absolute assignment of sets of any sizes, with correlations below the threshold taken as 0 before; maps without a partner have k_dst and r -1."""
+    matrix = _with_target(sets, template).withColumn("c", correlation_matrix(F.col("maps"), F.col("target"), True))
+    matrix = matrix.withColumn("c", F.transform("c", lambda row: F.transform(row, lambda r: F.when(r < threshold, 0.0).otherwise(r))))
+    rows = matched(matrix)
+    at = F.when(F.col("j") >= 0, F.col("j"))
+    return rows.select(
+        "subject",
+        F.get("maps", F.col("i"))["k"].alias("k_src"),
+        F.coalesce(F.get("target", at)["k"], F.lit(-1)).alias("k_dst"),
+        F.coalesce(F.get(F.get(F.col("c"), F.col("i")), at), F.lit(-1.0)).alias("r"),
+    )
+
+
+def greedy_similarity(sets: DataFrame, template: DataFrame) -> DataFrame:
     """Repeatedly the greatest absolute correlation left, its row and column struck out; ties by row, then column."""
-    target = template.agg(F.array_sort(F.collect_list(F.struct("k", "m"))).alias("target"))
-    joined = map_sets(sets).join(F.broadcast(target), how="cross")  # one row
+    joined = _with_target(sets, template)
     cells = F.flatten(F.transform("maps", lambda x: F.transform("target", lambda y: F.struct((-F.round(F.coalesce(F.abs(V.correlation(x["m"], y["m"])), F.lit(0.0)), 12)).alias("n"), x["k"].alias("i"), y["k"].alias("j")))))
     empty = F.expr("cast(array() as array<struct<n: double, i: int, j: int>>)")
     pick = F.aggregate(F.array_sort(cells), empty, lambda got, c: F.when(F.exists(got, lambda g: (g["i"] == c["i"]) | (g["j"] == c["j"])), got).otherwise(F.concat(got, F.array(F.struct(c["n"].cast("double").alias("n"), c["i"].cast("int").alias("i"), c["j"].cast("int").alias("j"))))))
@@ -64,6 +89,58 @@ def reordered(maps: DataFrame, order: DataFrame) -> DataFrame:
     return maps.join(order, ["subject", "k"]).select("subject", F.col("place").alias("k"), "m")
 
 
+def checked_order(order: list[int], n: int) -> list[int]:
+    """The order, if it is a permutation of 0 to n - 1; an error otherwise."""
+    if sorted(order) != list(range(n)):
+        raise ValueError(f"no permutation of {n} places: {order}")
+    return order
+
+
+def reordered_sheet(sheet: DataFrame, keys: list[str], prefix: str, order: list[int]) -> DataFrame:
+    """A wide sheet whose columns prefix0, prefix1, ... hold one value for each map: the value of map order[i] becomes that of place i. Other columns stay."""
+    places = checked_order(order, sum(c.startswith(prefix) and c[len(prefix) :].isdigit() for c in sheet.columns))
+    moved = {f"{prefix}{place}": F.col(f"{prefix}{k}").alias(f"{prefix}{place}") for place, k in enumerate(places)}
+    return sheet.select(*[moved.get(c, F.col(c)) for c in sheet.columns])
+
+
+def condition_sheet(runs: DataFrame, key: str, condition: str, value: str, place: str) -> DataFrame:
+    """Run parameters in long form as one wide row for each key and condition: the mean over the condition's runs in a column for each place."""
+    return runs.groupBy(key, condition).pivot(place).agg(F.avg(value))
+
+
+def grid_order(sets: DataFrame, first: object, order: list[int]) -> DataFrame:
+    """subject, place, k: how to lay out map sets in a grid. The set `first` stands in the given order, every other set's maps below those that they match best, whatever the polarity."""
+    n = len(order)
+    template = sets.where(F.col("subject") == F.lit(first)).select("k", "m")
+    places = sets.sparkSession.createDataFrame([(i, k) for i, k in enumerate(checked_order(order, n))], "place int, k_dst int")
+    found = assign(sets, template, absolute=True).join(places, "k_dst")
+    return found.select("subject", "place", F.col("k_src").alias("k"))
+
+
+def best_combinations(scored: DataFrame) -> DataFrame:
+    """scored(grp, score, members array): of each group the combinations of greatest score that share no member with a better one; equal scores by members.
+
+    Groups are of few combinations: those of one K over a handful of runs.
+    """
+    each = F.struct((-F.col("score")).alias("n"), F.col("members").alias("ms"))
+    empty = F.expr(f"cast(array() as array<struct<n: double, ms: {dict(scored.dtypes)['members']}>>)")
+    kept = F.aggregate(
+        F.array_sort(F.collect_list(each)),
+        empty,
+        lambda got, x: F.when(F.exists(got, lambda g: F.arrays_overlap(g["ms"], x["ms"])), got).otherwise(F.concat(got, F.array(F.struct(x["n"].cast("double").alias("n"), x["ms"].alias("ms"))))),
+    )
+    return scored.groupBy("grp").agg(kept.alias("kept")).select("grp", F.posexplode("kept").alias("place", "x")).select("grp", "place", (-F.col("x.n")).alias("score"), F.col("x.ms").alias("members"))
+
+
+def representative(maps: DataFrame) -> DataFrame:
+    """maps(grp, k, m), few in a group: the one of greatest mean absolute correlation with the others of its group, the least k on ties: grp, k, mean_r."""
+    sets = maps.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("k", "m"))).alias("maps"))
+    others = lambda x: F.filter("maps", lambda y: y["k"] != x["k"])
+    total = lambda x: F.aggregate(others(x), F.lit(0.0), lambda s, y: s + F.coalesce(F.abs(V.correlation(x["m"], y["m"])), F.lit(0.0)))
+    each = F.transform("maps", lambda x: F.struct((-F.round(F.try_divide(total(x), F.size("maps") - 1), 12)).alias("n"), x["k"].alias("k")))
+    return sets.select("grp", F.array_min(each).alias("best")).select("grp", F.col("best.k").alias("k"), (-F.col("best.n")).alias("mean_r"))
+
+
 def hungarian(cost: np.ndarray) -> list[int]:
     """Column of each row in the assignment of least cost of a square matrix: shortest augmenting paths."""
     n = len(cost)
@@ -100,45 +177,51 @@ def _standard(x: np.ndarray) -> np.ndarray:
     return x / np.where(length == 0, 1, length)
 
 
-def mean_of_sets(sets: list[np.ndarray], absolute: bool = False, rounds: int = 100) -> tuple[np.ndarray, list[list[int]], list[list[int]], float, float]:
-    """Mean maps by iterated alignment, each set in turn as the first template; the best by mean similarity, then by lower deviation.
+def aligned_from(sets: list[np.ndarray], start: int, absolute: bool = False, rounds: int = 100) -> tuple[np.ndarray, list[list[int]], list[list[int]], float, float]:
+    """Mean maps by iterated alignment with the set `start` as the first template.
 
     Returns maps, each set's assignment and signs, mean and deviation of the absolute correlations.
     """
     unit = [_standard(np.asarray(s, dtype=float)) for s in sets]
-    chosen = None
-    for start in unit:
-        template, last = start, None
-        for _ in range(rounds):
-            matrices = [s @ template.T for s in unit]
-            labels = [hungarian(-(np.abs(c) if absolute else c)) for c in matrices]
-            values = np.array([[c[i, j] for i, j in enumerate(p)] for c, p in zip(matrices, labels, strict=True)])
-            signs = np.where(values >= 0, 1, -1)
-            if labels == last:
-                break
-            last, used = labels, template
-            total = np.zeros_like(template)
-            for s, p, g in zip(unit, labels, signs, strict=True):
-                np.add.at(total, p, s * g[:, None])
-            template = _standard(total / len(unit))
-        else:
-            used = template
-        found = (round(float(np.abs(values).mean()), 12), -round(float(np.abs(values).std()), 12))
-        if chosen is None or found > chosen[0]:
-            chosen = (found, template if labels == last else used, labels, signs.tolist(), float(np.abs(values).mean()), float(np.abs(values).std()))
-    return chosen[1:]
+    template, last = unit[start], None
+    for _ in range(rounds):
+        matrices = [s @ template.T for s in unit]
+        labels = [hungarian(-(np.abs(c) if absolute else c)) for c in matrices]
+        values = np.array([[c[i, j] for i, j in enumerate(p)] for c, p in zip(matrices, labels, strict=True)])
+        signs = np.where(values >= 0, 1, -1)
+        if labels == last:
+            break
+        last, used = labels, template
+        total = np.zeros_like(template)
+        for s, p, g in zip(unit, labels, signs, strict=True):
+            np.add.at(total, p, s * g[:, None])
+        template = _standard(total / len(unit))
+    else:
+        template = used
+    return template, labels, signs.tolist(), float(np.abs(values).mean()), float(np.abs(values).std())
 
 
 def mean_maps(sets: DataFrame, group: str) -> DataFrame:
-    """sets(group, subject, k, m) of equal K: the group's mean maps (group, k, m, similarity, deviation). A group's sets, K maps each, meet in one task."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["subject", "k"])
-        found = mean_of_sets([np.stack(part["m"].to_numpy()) for _, part in rows.groupby("subject", sort=True)])
-        return pd.DataFrame({group: rows[group].iloc[0], "k": np.arange(len(found[0]), dtype=np.int32), "m": list(found[0]), "similarity": found[3], "deviation": found[4]})
-
+    """sets(group, subject, k, m) of equal K: the group's mean maps (group, k, m, similarity, deviation), each set in turn as the first template; the best by mean
+    similarity, then by lower deviation, then by order of subjects. A task has one start and the group's sets, K maps each."""
     kind = dict(sets.dtypes)[group]
-    return sets.groupBy(group).applyInPandas(run, f"{group} {kind}, k int, m array<double>, similarity double, deviation double")
+    packed = sets.groupBy(group, "subject").agg(F.array_sort(F.collect_list(F.struct("k", "m"))).alias("maps"))
+    packed = packed.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("subject", "maps"))), lambda x: F.transform(x["maps"], lambda m: m["m"])).alias("sets"))
+    starts = packed.select(group, "sets", F.explode(F.sequence(F.lit(0), F.size("sets") - 1)).alias("start"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, given, start in zip(batch[group], batch["sets"], batch["start"], strict=True):
+                maps, _, _, similarity, deviation = aligned_from([np.stack(s) for s in given], start)
+                rows.append((name, start, maps.tolist(), similarity, deviation))
+            yield pd.DataFrame(rows, columns=[group, "start", "maps", "similarity", "deviation"])
+
+    spread = starts.repartition(group, "start")
+    found = spread.mapInPandas(run, f"{group} {kind}, start int, maps array<array<double>>, similarity double, deviation double")
+    order = F.struct(F.round("similarity", 12), -F.round("deviation", 12), -F.col("start"))
+    best = found.groupBy(group).agg(F.max_by(F.struct("maps", "similarity", "deviation"), order).alias("b"))
+    return best.select(group, F.posexplode("b.maps").alias("k", "m"), "b.similarity", "b.deviation")
 
 
 def pairwise_similarity(sets: DataFrame) -> DataFrame:

@@ -18,8 +18,12 @@ from channelflow.functions import vectors as V
 
 def principal_vector(rows: np.ndarray) -> np.ndarray:
     """Unit eigenvector of the greatest eigenvalue of rows' rows; its largest component is positive."""
-    values, vectors = np.linalg.eigh(rows.T @ rows)
-    found = vectors[:, np.argmax(np.abs(values))]
+    if len(rows) < rows.shape[1]:  # fewer rows than channels: the smaller matrix has the same eigenvalues
+        _, vectors = np.linalg.eigh(rows @ rows.T)
+        found = rows.T @ vectors[:, -1]
+        found = found / max(np.linalg.norm(found), 1e-300)
+    else:
+        found = np.linalg.eigh(rows.T @ rows)[1][:, -1]
     return found * (1 if found[np.abs(found).argmax()] >= 0 else -1)
 
 
@@ -45,25 +49,21 @@ def criteria(data: np.ndarray, maps: np.ndarray, polarity: bool, n_total: int |
     return label, variance * (channels - 1) ** 2 / free**2 if free else np.inf, gev
 
 
-def kmeans_maps(data: np.ndarray, k: int, restarts: int, seed: int, polarity: bool = False, tolerance: float = 1e-6, rounds: int = 1000, n_total: int | None = None) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
-    """Maps, labels, criterion and explained variances of the best restart: samples go to the map of greatest squared product, maps become their samples' principal vector. A map that loses all samples stays."""
-    rng = np.random.default_rng(seed)
-    best = None
+def kmeans_run(data: np.ndarray, k: int, restart: int, seed: int, polarity: bool = False, tolerance: float = 1e-6, rounds: int = 1000, n_total: int | None = None) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """Maps, labels, criterion and explained variances of one restart: samples go to the map of greatest squared product, maps become their samples' principal vector. A map that loses all samples stays."""
+    rng = np.random.default_rng([seed, k, restart])
     power = (data**2).sum()
-    for _ in range(restarts):
-        maps = data[rng.permutation(len(data))[:k]]
-        maps = maps / np.maximum(np.linalg.norm(maps, axis=1, keepdims=True), 1e-300)
-        now, before, n = 1.0, 0.0, 0
-        while n < rounds and abs(now - before) > tolerance * abs(now):
-            n += 1
-            label = ((data @ maps.T) ** 2).argmax(axis=1)
-            for i in np.unique(label):
-                maps[i] = principal_vector(data[label == i])
-            before, now = now, (power - ((maps[label] * data).sum(axis=1) ** 2).sum()) / (len(data) * (data.shape[1] - 1))
-        label, cv, gev = criteria(data, maps, polarity, n_total)
-        if best is None or cv < best[2]:
-            best = (maps, label, cv, gev)
-    return best
+    maps = data[rng.permutation(len(data))[:k]]
+    maps = maps / np.maximum(np.linalg.norm(maps, axis=1, keepdims=True), 1e-300)
+    now, before, n = 1.0, 0.0, 0
+    while n < rounds and abs(now - before) > tolerance * abs(now):
+        n += 1
+        label = ((data @ maps.T) ** 2).argmax(axis=1)
+        for i in np.unique(label):
+            maps[i] = principal_vector(data[label == i])
+        before, now = now, (power - ((maps[label] * data).sum(axis=1) ** 2).sum()) / (len(data) * (data.shape[1] - 1))
+    label, cv, gev = criteria(data, maps, polarity, n_total)
+    return maps, label, cv, gev
 
 
 def agglomerate(data: np.ndarray, least: int, most: int, polarity: bool = False) -> Iterator[tuple[int, np.ndarray, float, np.ndarray]]:
@@ -81,8 +81,10 @@ def agglomerate(data: np.ndarray, least: int, most: int, polarity: bool = False)
         maps = np.delete(maps, worst, axis=0)
         freed = members.pop(worst)
         c = map_correlations(data[freed], maps)
-        for i, target in zip(freed, (c if polarity else np.abs(c)).argmax(axis=1), strict=True):
+        targets = (c if polarity else np.abs(c)).argmax(axis=1)
+        for i, target in zip(freed, targets, strict=True):
             members[target].append(i)
+        for target in np.unique(targets):
             maps[target] = principal_vector(data[members[target]])
 
 
@@ -98,17 +100,34 @@ def _data(rows: pd.DataFrame) -> np.ndarray:
     return np.stack(rows.sort_values("t")["v"].to_numpy()).astype(float)
 
 
-def kmeans_modified(samples: DataFrame, least: int = 2, most: int = 10, restarts: int = 100, polarity: bool = False, seed: int = 1) -> DataFrame:
-    """Maps of each subject for every K from least to most (or its number of samples): subject, k_total, k, m, cv, gev. samples(subject, t, v), usually peaks; one task for each subject and K."""
-    kind = dict(samples.dtypes)["subject"]
+RESTARTS = 10  # of a task
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        data, k = _data(rows), int(rows["k_total"].iloc[0])
-        found = [] if k > len(data) else [(k, *(lambda r: (r[0], r[2], r[3]))(kmeans_maps(data, k, restarts, seed + k, polarity)))]
-        return _rows(rows["subject"].iloc[0], found)
 
-    spread = samples.withColumn("k_total", F.explode(F.sequence(F.lit(least), F.lit(most))))
-    return spread.groupBy("subject", "k_total").applyInPandas(run, MAPS.format(kind=kind))
+def kmeans_modified(samples: DataFrame, least: int = 2, most: int = 10, restarts: int = 100, polarity: bool = False, seed: int = 1) -> DataFrame:
+    """Maps of each subject for every K from least to most (or its number of samples): subject, k_total, k, m, cv, gev, of the restart of least criterion.
+
+    samples(subject, t, v), usually peaks, are packed into one row a subject; a task has a subject, a K and a few restarts, so restarts spread over the cluster.
+    """
+    kind = dict(samples.dtypes)["subject"]
+    packed = samples.groupBy("subject").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]).alias("data"))
+    runs = packed.withColumn("k_total", F.explode(F.sequence(F.lit(least), F.lit(most)))).where(F.col("k_total") <= F.size("data"))
+    runs = runs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-restarts // RESTARTS) - 1)))).repartition("subject", "k_total", "block")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for subject, given, k, block in zip(batch["subject"], batch["data"], batch["k_total"], batch["block"], strict=True):
+                data, best = np.stack(given).astype(float), None
+                for restart in range(block * RESTARTS, min(restarts, (block + 1) * RESTARTS)):
+                    found = kmeans_run(data, k, restart, seed, polarity)
+                    if best is None or found[2] < best[1][2]:
+                        best = (restart, found)
+                restart, (maps, _, cv, gev) = best
+                yield pd.DataFrame({"subject": [subject], "k_total": [k], "restart": [restart], "maps": [maps.tolist()], "cv": [cv], "gevs": [gev.tolist()]})
+
+    found = runs.mapInPandas(run, f"subject {kind}, k_total int, restart int, maps array<array<double>>, cv double, gevs array<double>")
+    best = found.groupBy("subject", "k_total").agg(F.min_by(F.struct("maps", "cv", "gevs"), F.struct("cv", "restart")).alias("b"))
+    rows = best.select("subject", "k_total", F.posexplode("b.maps").alias("k", "m"), "b.cv", "b.gevs")
+    return rows.select("subject", "k_total", "k", "m", "cv", F.get("gevs", F.col("k")).alias("gev"))
 
 
 def best_k(maps: DataFrame) -> DataFrame:
@@ -127,10 +146,22 @@ def aahc(samples: DataFrame, least: int = 2, most: int = 10, polarity: bool = Fa
 
 
 def covariance(samples: DataFrame) -> DataFrame:
-    """subject, i, j, c for j <= i: sample covariances of channels, from sums by pair; samples stay where they are, only partial sums move."""
-    n = F.size("v")
-    cells = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(0), i), lambda j: F.struct(i.alias("i"), j.alias("j"), F.get("v", i).alias("x"), F.get("v", j).alias("y")))))
-    return samples.select("subject", F.explode(cells).alias("c")).groupBy("subject", "c.i", "c.j").agg(F.covar_samp("c.x", "c.y").alias("c"))
+    """subject, i, j, c for j <= i: sample covariances of channels. Each batch gives its number of samples, its means and sums of products around them, so what moves
+    doesn't grow with the samples of a batch."""
+    kind = dict(samples.dtypes)["subject"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for subject, part in batch.groupby("subject", sort=False):
+                x = np.stack(part["v"].to_numpy()).astype(float)
+                mean = x.mean(axis=0)
+                i, j = np.tril_indices(x.shape[1])
+                yield pd.DataFrame({"subject": subject, "i": i, "j": j, "n": len(x), "mi": mean[i], "mj": mean[j], "s": ((x - mean).T @ (x - mean))[i, j]})
+
+    parts = samples.select("subject", "v").mapInPandas(run, f"subject {kind}, i int, j int, n long, mi double, mj double, s double")
+    n, n_i, n_j = F.sum("n"), F.sum(F.col("n") * F.col("mi")), F.sum(F.col("n") * F.col("mj"))
+    between = F.sum(F.col("n") * F.col("mi") * F.col("mj")) - n_i * n_j / n
+    return parts.groupBy("subject", "i", "j").agg(F.try_divide(F.sum("s") + between, n - 1).alias("c"))
 
 
 def principal_components(samples: DataFrame, share: float) -> DataFrame:
@@ -164,11 +195,18 @@ def component_scores(samples: DataFrame, components: DataFrame, centre: bool) ->
     return rows.select("subject", "t", F.transform("components", lambda c: V.dot(F.col("v"), c["vector"])).alias("v"))
 
 
-def back_projection(maps: DataFrame, components: DataFrame) -> DataFrame:
-    """Maps of component space in channel space: sum of components by the map's weights."""
-    rows = maps.select("subject", "k", F.posexplode("m").alias("i", "w")).join(components.select("subject", "i", "vector"), ["subject", "i"])
-    cells = rows.select("subject", "k", "w", F.posexplode("vector").alias("ch", "x")).groupBy("subject", "k", "ch").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
-    return cells.groupBy("subject", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("ch", "x"))), lambda s: s["x"]).alias("m"))
+def back_projection(maps: DataFrame, components: DataFrame, keys: tuple[str, ...] = ("subject",)) -> DataFrame:
+    """Maps(keys, k, m) of component space in channel space: sum of components by the map's weights. The first key is the components' subject."""
+    rows = maps.select(*keys, "k", F.posexplode("m").alias("i", "w")).join(components.select(F.col("subject").alias(keys[0]), "i", "vector"), [keys[0], "i"])
+    cells = rows.select(*keys, "k", "w", F.posexplode("vector").alias("ch", "x")).groupBy(*keys, "k", "ch").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+    return cells.groupBy(*keys, "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("ch", "x"))), lambda s: s["x"]).alias("m"))
+
+
+def reclustered(maps: DataFrame, least: int = 2, most: int = 10, restarts: int = 100, seed: int = 1) -> DataFrame:
+    """The maps of many recordings, (subject, k, m) by group, clustered themselves as if they were samples: subject (the group), k_total, k, m, cv, gev."""
+    w = Window.partitionBy("grp").orderBy("subject", "k")
+    samples = maps.select(F.col("grp"), (F.row_number().over(w) - 1).alias("t"), F.col("m").alias("v")).select(F.col("grp").alias("subject"), "t", "v")
+    return kmeans_modified(samples, least, most, restarts, seed=seed)
 
 
 def peak_indices(series: np.ndarray, distance: int, deviations: float) -> np.ndarray:

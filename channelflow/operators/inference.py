@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from channelflow.functions import vectors as V
+
 
 def upper_gamma(a: float, x: float) -> float:
     """Regularised upper incomplete gamma function: a series below a + 1, a continued fraction above."""
@@ -98,25 +101,72 @@ def normalised(cube: np.ndarray) -> np.ndarray:
     return cube / np.where(spread == 0, 1, spread)
 
 
+def dissimilarity_of_conditions(rows: DataFrame) -> DataFrame:
+    """rows(k, subject, condition, v): for each map k the sum over conditions of the root mean square distance of the condition's mean map from the grand mean, each
+    subject's map with zero mean and unit deviation over channels: k, statistic. Sums of channels, in the JVM; permutation tests repeat it on packed cubes."""
+    scaled = V.let(V.centred(F.col("v")), lambda c: V.let(V.root_mean_square(c), lambda r: F.transform(c, lambda x: x / F.when(r == 0, 1.0).otherwise(r))))
+    cells = rows.select("k", "condition", F.posexplode(scaled).alias("ch", "x")).groupBy("k", "condition", "ch").agg(F.avg("x").alias("x"))
+    grand = F.avg("x").over(Window.partitionBy("k", "ch"))  # a map's conditions by channels
+    distance = cells.withColumn("d", F.col("x") - grand).groupBy("k", "condition").agg(F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("d"))
+    return distance.groupBy("k").agg(F.sum("d").alias("statistic"))
+
+
+BLOCK = 50  # shufflings of a task
+
+
+def _cubes(rows: DataFrame, key: str, places: list[str]) -> DataFrame:
+    """One row for each key: cells array<struct<subject, places..., v>>, in order."""
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("subject", *places, "v"))).alias("cells"))
+
+
+def complete(cells: list, places: list[str]) -> np.ndarray | None:
+    """cells as (subjects, cells of a subject, channels), of the subjects that have every combination of places once; None without any."""
+    kinds = [sorted({c[p] for c in cells}) for p in places]
+    size = math.prod(map(len, kinds))
+    by: dict[object, list] = {}
+    for c in cells:
+        by.setdefault(c["subject"], []).append(c)
+    full = [np.stack([c["v"] for c in found]) for _, found in sorted(by.items()) if len(found) == size and len({tuple(c[p] for p in places) for c in found}) == size]
+    return np.stack(full).astype(float) if full else None
+
+
+def _shuffled(packed: DataFrame, key: str, kind: str, times: int, seed: int, names: list[str], measure: Callable[[list, np.random.Generator | None], np.ndarray | None]) -> DataFrame:
+    """key, effect, statistic, p: the observed measure of each name, and the share of shufflings (the observed order among them) that reach it, in blocks of shufflings."""
+    blocks = packed.select(key, "cells", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-(times - 1) // BLOCK) - 1)))).alias("block")).repartition(key, "block")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, cells, block in zip(batch[key], batch["cells"], batch["block"], strict=True):
+                observed = measure(cells, None)
+                if observed is None:
+                    rows += [(name, e, None, None) for e in names]
+                    continue
+                rng = np.random.default_rng([seed, block])
+                n = max(0, min(BLOCK, times - 1 - block * BLOCK))
+                reached = sum((measure(cells, rng) >= observed - 1e-12 for _ in range(n)), np.zeros(len(names)))
+                rows += [(name, e, float(s), float(r)) for e, s, r in zip(names, observed, reached, strict=True)]
+            yield pd.DataFrame(rows, columns=[key, "effect", "statistic", "reached"])
+
+    found = blocks.mapInPandas(run, f"{key} {kind}, effect string, statistic double, reached double")
+    return found.groupBy(key, "effect").agg(F.max("statistic").alias("statistic"), ((1 + F.sum("reached")) / times).alias("p"))
+
+
 def permutation_test(rows: DataFrame, times: int = 1000, seed: int = 3) -> DataFrame:
     """rows(k, subject, condition, v): for each map k, the observed dissimilarity of conditions and its p, the share of within-subject shufflings (the observed one
-    among them) that reach it. Only subjects with every condition take part. A map's cube, subjects x conditions, is one task."""
+    among them) that reach it. Only subjects with every condition take part. A task has a map's subjects x conditions and a block of shufflings."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["subject", "condition"])
-        conditions = part["condition"].nunique()
-        full = part.groupby("subject").filter(lambda x: x["condition"].nunique() == conditions and len(x) == conditions)
-        if full.empty or conditions < 2:
-            return pd.DataFrame({"k": [part["k"].iloc[0]], "statistic": [None], "p": [None]})
-        cube = normalised(np.stack(full["v"].to_numpy()).astype(float).reshape(-1, conditions, len(full["v"].iloc[0])))
-        rng = np.random.default_rng(seed)
-        observed, reached = generalised_dissimilarity(cube), 1
-        for _ in range(times - 1):
-            order = rng.permuted(np.arange(conditions)[None, :].repeat(len(cube), 0), axis=1)
-            reached += generalised_dissimilarity(np.take_along_axis(cube, order[..., None], axis=1)) >= observed - 1e-12
-        return pd.DataFrame({"k": [part["k"].iloc[0]], "statistic": [observed], "p": [reached / times]})
+    def measure(cells: list, rng: np.random.Generator | None) -> np.ndarray | None:
+        cube = complete(cells, ["condition"])
+        if cube is None or cube.shape[1] < 2:
+            return None
+        cube = normalised(cube)
+        if rng is not None:
+            order = rng.permuted(np.arange(cube.shape[1])[None, :].repeat(len(cube), 0), axis=1)
+            cube = np.take_along_axis(cube, order[..., None], axis=1)
+        return np.array([generalised_dissimilarity(cube)])
 
-    return rows.groupBy("k").applyInPandas(run, "k int, statistic double, p double")
+    return _shuffled(_cubes(rows, "k", ["condition"]), "k", dict(rows.dtypes)["k"], times, seed, ["condition"], measure).drop("effect")
 
 
 def tanova(rows: DataFrame, times: int = 1000, seed: int = 3) -> DataFrame:
@@ -124,56 +174,96 @@ def tanova(rows: DataFrame, times: int = 1000, seed: int = 3) -> DataFrame:
 
     Effects are sums of root mean square distances from the grand mean: of conditions over classes, of classes over conditions, and of cells without their class's mean.
     """
-    kind = dict(rows.dtypes)["group"]
 
-    def effects(cube: np.ndarray) -> np.ndarray:
-        mean = cube.mean(axis=0)
+    def measure(cells: list, rng: np.random.Generator | None) -> np.ndarray | None:
+        flat = complete(cells, ["condition", "k"])
+        if flat is None:
+            return None
+        flat = flat - flat.mean(axis=2, keepdims=True)
+        if rng is not None:
+            order = np.argsort(rng.random(flat.shape[:2]), axis=1)
+            flat = np.take_along_axis(flat, order[..., None], axis=1)
+        conditions = len({c["condition"] for c in cells})
+        mean = flat.reshape(len(flat), conditions, -1, flat.shape[-1]).mean(axis=0)
         distance = lambda x: np.sqrt((x**2).mean(axis=-1)).sum()
         grand = mean.mean(axis=(0, 1))
         of_condition, of_class = mean.mean(axis=1) - grand, mean.mean(axis=0) - grand
         return np.array([distance(of_condition), distance(of_class), distance(mean - grand - of_condition[:, None] - of_class[None])])
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["subject", "condition", "k"])
-        c, k = part["condition"].nunique(), part["k"].nunique()
-        full = part.groupby("subject").filter(lambda x: len(x) == c * k)
-        cube = np.stack(full["v"].to_numpy()).astype(float).reshape(-1, c, k, len(full["v"].iloc[0]))
-        cube = cube - cube.mean(axis=3, keepdims=True)
-        rng = np.random.default_rng(seed)
-        observed, reached = effects(cube), np.ones(3)
-        for _ in range(times - 1):
-            order = np.argsort(rng.random((len(cube), c * k)), axis=1)
-            flat = np.take_along_axis(cube.reshape(len(cube), c * k, -1), order[..., None], axis=1)
-            reached += effects(flat.reshape(cube.shape)) >= observed - 1e-12
-        return pd.DataFrame({"group": part["group"].iloc[0], "effect": ["condition", "class", "interaction"], "statistic": observed, "p": reached / times})
-
-    return rows.groupBy("group").applyInPandas(run, f"group {kind}, effect string, statistic double, p double")
-
-
-def surrogates(matrix: DataFrame, start: DataFrame, length: int, count: int, seed: int = 5) -> DataFrame:
-    """Order-1 chains with each subject's start shares and transition probabilities: subject, chain, t, state. A row of `matrix` is (subject, s0, s1, p), of `start` (subject, state, coverage)."""
-    kinds = dict(start.dtypes)
-    rows = start.select("subject", F.struct("state", "coverage").alias("s")).groupBy("subject").agg(F.array_sort(F.collect_list("s")).alias("start"))
-    steps = matrix.groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("s0", "s1", "p"))).alias("steps"))
-    tasks = rows.join(steps, "subject").withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-
-    def run(batches):
+    return _shuffled(_cubes(rows, "group", ["condition", "k"]), "group", dict(rows.dtypes)["group"], times, seed, ["condition", "class", "interaction"], measure)
+
+
+def bootstrap_test(rows: DataFrame, times: int = 1000, seed: int = 3) -> DataFrame:
+    """rows(k, subject, condition, v): the dissimilarity of conditions of each map over subjects drawn with replacement: its observed value and the 2.5 and
+    97.5 percentiles: k, statistic, low, high. Only subjects with every condition take part."""
+    kind = dict(rows.dtypes)["k"]
+    packed = _cubes(rows, "k", ["condition"])
+    blocks = packed.select("k", "cells", F.explode(F.sequence(F.lit(0), F.lit(-(-times // BLOCK) - 1))).alias("block")).repartition("k", "block")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, cells, block in zip(batch["k"], batch["cells"], batch["block"], strict=True):
+                cube = complete(cells, ["condition"])
+                if cube is not None:
+                    cube, rng = normalised(cube), np.random.default_rng([seed, block])
+                    drawn = [generalised_dissimilarity(cube[rng.integers(0, len(cube), len(cube))]) for _ in range(min(BLOCK, times - block * BLOCK))]
+                    yield pd.DataFrame({"k": name, "observed": generalised_dissimilarity(cube), "drawn": drawn})
+
+    found = blocks.mapInPandas(run, f"k {kind}, observed double, drawn double").groupBy("k")
+    out = found.agg(F.max("observed").alias("statistic"), F.percentile("drawn", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return out.select("k", "statistic", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
+
+
+def surrogates(matrix: DataFrame, length: int, count: int, seed: int = 5) -> DataFrame:
+    """Chains with each subject's transition probabilities of any order: subject, chain, t, state.
+
+    matrix(subject, s0, ..., sk, n, joint, p) is a transition matrix of order k. A chain's first k states are drawn by their joint share, each further one
+    given the k before; a past without a successor begins anew.
+    """
+    kinds = dict(matrix.dtypes)
+    names = sorted((c for c in matrix.columns if c[0] == "s" and c[1:].isdigit()), key=lambda c: int(c[1:]))
+    order = len(names) - 1
+    steps = matrix.groupBy("subject").agg(F.array_sort(F.collect_list(F.struct(F.array(*names).alias("states"), "joint", "p"))).alias("steps"))
+    tasks = steps.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).repartition("subject", "chain")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for subject, begin, moves, chain in zip(batch["subject"], batch["start"], batch["steps"], batch["chain"], strict=True):
-                names = [s["state"] for s in begin]
-                at = {s: i for i, s in enumerate(names)}
-                p = np.zeros((len(names), len(names)))
+            for subject, moves, chain in zip(batch["subject"], batch["steps"], batch["chain"], strict=True):
+                follow: dict[tuple, tuple[list, list]] = {}
+                begin: dict[tuple, float] = {}
                 for m in moves:
-                    p[at[m["s0"]], at[m["s1"]]] = m["p"]
-                share = np.array([s["coverage"] for s in begin])
-                p[p.sum(axis=1) == 0] = share
-                rng = np.random.default_rng([seed, chain, abs(hash(int(subject))) if isinstance(subject, (int, np.integer)) else sum(map(ord, str(subject)))])
-                total, u = p.cumsum(axis=1), rng.random(length)
-                state = int(min(np.searchsorted(share.cumsum(), u[0] * share.sum(), side="right"), len(names) - 1))
-                out = [state]
-                for x in u[1:]:
-                    state = int(min(np.searchsorted(total[state], x * total[state][-1], side="right"), len(names) - 1))
-                    out.append(state)
-                yield pd.DataFrame({"subject": subject, "chain": chain, "t": np.arange(length), "state": [names[i] for i in out]})
-
-    return tasks.select("subject", "start", "steps", "chain").mapInPandas(run, f"subject {kinds['subject']}, chain int, t long, state {kinds['state']}")
+                    past, last = tuple(m["states"][:order]), m["states"][order]
+                    states, shares = follow.setdefault(past, ([], []))
+                    states.append(last)
+                    shares.append(m["p"])
+                    begin[past] = begin.get(past, 0.0) + m["joint"]
+                follow = {past: (states, np.cumsum(shares)) for past, (states, shares) in follow.items()}
+                pasts, weights = list(begin), np.cumsum(list(begin.values()))
+                number = abs(hash(int(subject))) if isinstance(subject, (int, np.integer)) else sum(map(ord, str(subject)))
+                u = np.random.default_rng([seed, chain, number]).random(2 * length)
+                pick = lambda total, x: int(min(np.searchsorted(total, x * total[-1], side="right"), len(total) - 1))
+                out = list(pasts[pick(weights, u[0])])
+                for x, again in zip(u[1:length], u[length:], strict=False):
+                    if len(out) >= length:
+                        break
+                    past = tuple(out[len(out) - order :])
+                    if past not in follow:
+                        out += pasts[pick(weights, again)]
+                        continue
+                    states, total = follow[past]
+                    out.append(states[pick(total, x)])
+                yield pd.DataFrame({"subject": subject, "chain": chain, "t": np.arange(length), "state": out[:length]})
+
+    return tasks.select("subject", "steps", "chain").mapInPandas(run, f"subject {kinds['subject']}, chain int, t long, state {kinds['s0']}")
+
+
+def exponential_decay(points: DataFrame) -> DataFrame:
+    """points(subject, lag, value): a and b of a * exp(-b * lag) by a line through the logarithms of the values above 0: subject, a, b."""
+    known = points.where("value > 0").withColumn("log", F.ln("value"))
+    return known.groupBy("subject").agg(F.exp(F.regr_intercept("log", "lag")).alias("a"), (-F.regr_slope("log", "lag")).alias("b"))
+
+
+def percentile_band(points: DataFrame, keys: list[str], value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """The percentiles of the value over all rows of each key: the confidence band of surrogate statistics."""
+    found = points.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("q"))
+    return found.select(*keys, F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))

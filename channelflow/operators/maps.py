@@ -23,9 +23,13 @@ def map_sets(maps: DataFrame) -> DataFrame:
 
 
 def correlated(samples: DataFrame, maps: DataFrame, polarity: bool = False) -> DataFrame:
-    """Adds r array<struct<k, r>>: spatial correlation with each map, its absolute value unless polarity counts."""
+    """Adds r array<struct<k, r>>: spatial correlation with each map, its absolute value unless polarity counts. Maps without a subject are one set for all samples."""
     value = lambda r: r if polarity else F.abs(r)
-    return samples.join(map_sets(maps), "subject").withColumn("r", F.transform("maps", lambda x: F.struct(x["k"].alias("k"), value(V.correlation(F.col("v"), x["m"])).alias("r")))).drop("maps")
+    if "subject" in maps.columns:
+        joined = samples.join(map_sets(maps), "subject")
+    else:
+        joined = samples.join(F.broadcast(maps.agg(F.array_sort(F.collect_list(F.struct("k", "m"))).alias("maps"))), how="cross")  # one row
+    return joined.withColumn("r", F.transform("maps", lambda x: F.struct(x["k"].alias("k"), value(V.correlation(F.col("v"), x["m"])).alias("r")))).drop("maps")
 
 
 def best(r: Column) -> Column:

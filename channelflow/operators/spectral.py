@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .statistics import in_bands
+
 
 def welch(samples: DataFrame, sfreq: float = 500, segment: int = 1000, overlap: int = 750) -> DataFrame:
     """samples(subject, t, ch, x) as (subject, ch, f, p): mean periodogram of overlapping segments, Hamming window, mean taken off, one-sided density. Shorter series give one segment of their own."""
@@ -28,8 +30,8 @@ def welch(samples: DataFrame, sfreq: float = 500, segment: int = 1000, overlap:
 
 
 def simpson_band_power(spectrum: DataFrame, bands: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """spectrum(keys, f, p) and the small bands(band, low, high): Simpson's rule over the band's frequencies, equally spaced; with an even number of points the last interval is a trapezoid."""
-    inside = spectrum.join(F.broadcast(bands), F.col("f").between(F.col("low"), F.col("high")))
+    """spectrum(keys, f, p) and bands(band, low, high): Simpson's rule over the band's frequencies, equally spaced; with an even number of points the last interval is a trapezoid."""
+    inside = in_bands(spectrum, bands)
     w = Window.partitionBy(*keys, "band")
     rows = inside.withColumn("i", F.row_number().over(w.orderBy("f")) - 1).withColumn("n", F.count("*").over(w)).withColumn("dx", F.lead("f").over(w.orderBy("f")) - F.col("f"))
     last = F.when(F.col("n") % 2 == 1, F.col("n") - 1).otherwise(F.col("n") - 2)
@@ -44,20 +46,53 @@ def relative_log_power(powers: DataFrame, keys: Sequence[str], total: str) -> Da
     return powers.where(F.col("band") != total).join(whole, list(keys)).select(*keys, "band", F.log10(F.try_divide("power", "whole")).alias("log_power"))
 
 
-def band_pass(samples: DataFrame, low: float, high: float, sfreq: float = 500) -> DataFrame:
-    """samples(subject, t, ch, x) with frequencies outside [low, high] taken away in the Fourier domain."""
-    kinds = dict(samples.dtypes)
+def fir(sfreq: float, low: float | None, high: float | None, stop: bool = False) -> np.ndarray:
+    """Coefficients of a linear-phase filter that keeps low to high (or, with stop, takes that out): a windowed sinc, Hamming, of 3.3 over the narrower transition.
+
+    A transition is a quarter of its edge, 2 Hz at least where there is room, and never more than what is left to 0 or to half the rate.
+    """
+    low_room = min(max(0.25 * low, 2.0), low) if low else np.inf
+    high_room = min(max(0.25 * high, 2.0), sfreq / 2 - high) if high else np.inf
+    if stop:
+        low_room = high_room = min(1.0, (high - low) / 2)
+    n = int(np.ceil(3.3 * sfreq / min(low_room, high_room))) | 1
+    t = np.arange(n) - n // 2
+
+    def below(edge: float) -> np.ndarray:
+        h = 2 * edge / sfreq * np.sinc(2 * edge / sfreq * t) * np.hamming(n)
+        return h / h.sum()
+
+    one = (t == 0).astype(float)
+    if stop:
+        return below(low + low_room / 2) + one - below(high - high_room / 2)
+    out = below(high + high_room / 2) if high else one
+    return out - below(low - low_room / 2) if low else out
+
+
+def filtered(samples: DataFrame, coefficients: np.ndarray) -> DataFrame:
+    """samples(subject, t, ch, x) through a linear-phase filter without delay; beyond its ends a series is mirrored around its end value."""
+    kinds, half = dict(samples.dtypes), len(coefficients) // 2
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t")
-        spectrum = np.fft.rfft(rows["x"].to_numpy(dtype=float))
-        f = np.fft.rfftfreq(len(rows), 1 / sfreq)
-        spectrum[(f < low) | (f > high)] = 0
-        return rows.assign(x=np.fft.irfft(spectrum, len(rows)))
+        x = rows["x"].to_numpy(dtype=float)
+        n = min(half, len(x) - 1)
+        wide = np.r_[np.full(half - n, 2 * x[0] - x[n]), 2 * x[0] - x[n:0:-1], x, 2 * x[-1] - x[-2 : -n - 2 : -1], np.full(half - n, 2 * x[-1] - x[-n - 1])]
+        return rows.assign(x=np.convolve(wide, coefficients, mode="valid"))
 
     return samples.select("subject", "t", "ch", "x").groupBy("subject", "ch").applyInPandas(run, f"subject {kinds['subject']}, t {kinds['t']}, ch {kinds['ch']}, x double")
 
 
+def band_pass(samples: DataFrame, low: float | None = 1.0, high: float | None = 30.0, sfreq: float = 500) -> DataFrame:
+    """Frequencies outside [low, high] taken away by a finite impulse response."""
+    return filtered(samples, fir(sfreq, low, high))
+
+
+def notch(samples: DataFrame, line: float = 60.0, sfreq: float = 500, width: float = 4.0) -> DataFrame:
+    """The power line's frequency, and what is within half the width of it, taken away."""
+    return filtered(samples, fir(sfreq, line - width / 2, line + width / 2, stop=True))
+
+
 def resample(samples: DataFrame, sfreq: float, target: float) -> DataFrame:
     """samples(subject, t, ch, x) at another rate, by cutting or padding the Fourier spectrum; t is numbered anew."""
     kinds = dict(samples.dtypes)

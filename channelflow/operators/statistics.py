@@ -82,8 +82,10 @@ def paired_t(df: DataFrame, subject: str, condition: str, value: str) -> DataFra
 
 
 def bonferroni(df: DataFrame, p: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Adds adjusted: p times the number of tests (of the keys' group), 1 at most."""
-    return df.withColumn("adjusted", F.least(F.lit(1.0), F.col(p) * F.count(p).over(Window.partitionBy(*keys))))
+    """Adds adjusted: p times the number of tests (of the keys' group), 1 at most. The numbers come from one aggregate and are joined back."""
+    tests = df.groupBy(*keys).agg(F.count(p).alias("_tests"))
+    joined = df.join(tests, list(keys)) if keys else df.join(F.broadcast(tests), how="cross")  # one row
+    return joined.withColumn("adjusted", F.least(F.lit(1.0), F.col(p) * F.col("_tests"))).drop("_tests")
 
 
 def bad_epochs(samples: DataFrame, length: int, thresholds: Sequence[float]) -> DataFrame:
@@ -105,14 +107,95 @@ def bad_epochs(samples: DataFrame, length: int, thresholds: Sequence[float]) ->
     return crit.select("subject", "epoch", "ch", (flags[0] | flags[1] | flags[2] | flags[3]).alias("bad"))
 
 
-def marked_epochs(bad: DataFrame, drop_ratio: float = 0.25) -> DataFrame:
-    """An epoch is dropped if so large a share of its channels is bad, else its bad channels are left to interpolation."""
-    return bad.groupBy("subject", "epoch").agg(F.avg(F.col("bad").cast("double")).alias("ratio")).withColumn("dropped", F.col("ratio") >= drop_ratio)
+def marked_epochs(bad: DataFrame, drop_ratio: float = 0.25, global_bads: DataFrame | None = None) -> DataFrame:
+    """subject, epoch, ratio, dropped, interpolated: an epoch is dropped if so large a share of its channels is bad, else its bad channels are left to interpolation.
+
+    global_bads(subject, ch) are bad in all epochs: they neither count for the ratio nor are interpolated with an epoch.
+    """
+    judged = bad.join(global_bads, ["subject", "ch"], "left_anti") if global_bads is not None else bad
+    per = judged.groupBy("subject", "epoch").agg(F.avg(F.col("bad").cast("double")).alias("ratio"), F.array_sort(F.collect_list(F.when(F.col("bad"), F.col("ch")))).alias("found"))
+    dropped = F.col("ratio") >= drop_ratio
+    return per.select("subject", "epoch", "ratio", dropped.alias("dropped"), F.when(dropped, F.array().cast("array<int>")).otherwise(F.col("found")).alias("interpolated"))
+
+
+def global_bad_channels(bad: DataFrame, share: float = 0.5) -> DataFrame:
+    """subject, ch of the channels that are bad in more than so large a share of the subject's epochs."""
+    per = bad.groupBy("subject", "ch").agg(F.avg(F.col("bad").cast("double")).alias("votes"))
+    return per.where(F.col("votes") > share).select("subject", "ch")
+
+
+def channel_mask(channels: DataFrame, global_bads: DataFrame, local_bads: DataFrame) -> DataFrame:
+    """subject, ch, mask of channels(subject, ch): 1 where the channel is in either table of bad channels, else 0."""
+    bads = global_bads.select("subject", "ch").union(local_bads.select("subject", "ch")).distinct().withColumn("mask", F.lit(1))
+    return channels.select("subject", "ch").join(bads, ["subject", "ch"], "left").select("subject", "ch", F.coalesce("mask", F.lit(0)).alias("mask"))
+
+
+def channel_groups(samples: DataFrame, groups: DataFrame) -> DataFrame:
+    """subject, t, grp, x: mean over the channels of each group (a lobe, a subset); samples(subject, t, ch, x), groups(grp, ch). A channel may be in several groups."""
+    return samples.join(groups, "ch").groupBy("subject", "t", "grp").agg(F.avg("x").alias("x"))
+
+
+def repaired_channels(samples: DataFrame, bads: DataFrame, places: DataFrame, power: float = 2.0) -> DataFrame:
+    """samples(subject, t, ch, x) with channels of bads(subject, ch) replaced by the mean of the subject's other ones, weighted by distance ** -power.
+
+    places(ch, angle, radius) is the montage: degrees from the front, and distance from the top. Without other channels x is null.
+    """
+    at = places.select("ch", (F.col("radius") * F.sin(F.radians("angle"))).alias("px"), (F.col("radius") * F.cos(F.radians("angle"))).alias("py"))
+    other = at.select(F.col("ch").alias("from_ch"), F.col("px").alias("qx"), F.col("py").alias("qy"))
+    apart = F.sqrt(F.pow(F.col("px") - F.col("qx"), F.lit(2)) + F.pow(F.col("py") - F.col("qy"), F.lit(2)))
+    weights = bads.join(at, "ch").join(other, F.col("ch") != F.col("from_ch")).join(bads.select("subject", F.col("ch").alias("from_ch")), ["subject", "from_ch"], "left_anti")
+    weights = weights.select("subject", "ch", "from_ch", F.pow(F.greatest(apart, F.lit(1e-9)), F.lit(-power)).alias("w"))  # bad channels by channels: a dimension
+    good = samples.join(bads, ["subject", "ch"], "left_anti")
+    made = good.select("subject", "t", F.col("ch").alias("from_ch"), "x").join(weights, ["subject", "from_ch"]).groupBy("subject", "t", "ch").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
+    lost = samples.join(bads, ["subject", "ch"], "left_semi").select("subject", "t", "ch").join(made, ["subject", "t", "ch"], "left")
+    return good.select("subject", "t", "ch", "x").unionByName(lost.select("subject", "t", "ch", "x"))
+
+
+def rereferenced(samples: DataFrame, reference: list[int] | None = None) -> DataFrame:
+    """samples(subject, t, ch, x) less the mean of the reference channels (by choice of all) at the same time."""
+    chosen = F.avg(F.when(F.col("ch").isin(reference), F.col("x")) if reference else F.col("x"))
+    means = samples.groupBy("subject", "t").agg(chosen.alias("_m"))
+    return samples.join(means, ["subject", "t"]).withColumn("x", F.col("x") - F.col("_m")).drop("_m")
+
+
+def vote_statistics(flags: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """flags(keys, subject, flagged): mean over subjects of the number flagged, and its standard error, null for one subject."""
+    per = flags.groupBy(*keys, "subject").agg(F.count_if("flagged").cast("double").alias("n"))
+    return per.groupBy(*keys).agg(F.avg("n").alias("mean"), (F.stddev_samp("n") / F.sqrt(F.count("n"))).alias("sem"), F.count("*").alias("subjects"))
+
+
+def quality_summary(quality: DataFrame, files: DataFrame) -> DataFrame:
+    """condition, files, and mean and population deviation of WCSS and silhouette over the condition's files; quality(file, wcss, silhouette), files(condition, file)."""
+    rows = files.join(quality, "file")
+    measures = [f(c).alias(f"{name}_{c}") for c in ("wcss", "silhouette") for f, name in ((F.avg, "mean"), (F.stddev_pop, "std"))]
+    return rows.groupBy("condition").agg(F.greatest(F.count("wcss"), F.count("silhouette")).alias("files"), *measures)
+
+
+def mean_best_k(best: DataFrame, least: int = 2) -> DataFrame:
+    """task, mean_opt_k, place: the mean best number of maps of each task over its subjects, cut to a whole number, and its place in lists that begin with `least` maps; best(subject, task, k_total)."""
+    per = best.groupBy("task").agg(F.floor(F.avg("k_total")).cast("int").alias("mean_opt_k"))
+    return per.withColumn("place", F.col("mean_opt_k") - least)
+
+
+def condition_parameters(parameters: DataFrame, conditions: DataFrame) -> DataFrame:
+    """subject, condition, state and its duration and occurrence (means of the epochs that have any) and coverage (mean of all), over the epochs of the condition's tasks.
+
+    parameters(subject, task, epoch, state, duration, occurrence, coverage), conditions(condition, place, task)."""
+    rows = parameters.join(conditions.select("condition", "task"), "task")
+    return rows.groupBy("subject", "condition", "state").agg(nonzero_mean(F.col("duration")).alias("duration"), nonzero_mean(F.col("occurrence")).alias("occurrence"), F.avg("coverage").alias("coverage"))
+
+
+def in_bands(spectrum: DataFrame, bands: DataFrame) -> DataFrame:
+    """Rows of spectrum(f, ...) with each band(band, low, high) that holds their frequency, ends included. The bands travel as one array."""
+    all_of = bands.agg(F.collect_list(F.struct("band", "low", "high")).alias("_bands"))
+    held = F.filter("_bands", lambda b: F.col("f").between(b["low"], b["high"]))
+    rows = spectrum.join(F.broadcast(all_of), how="cross").select(*spectrum.columns, F.explode(held).alias("_band"))  # one row
+    return rows.select(*spectrum.columns, "_band.band", "_band.low", "_band.high")
 
 
 def band_power(spectrum: DataFrame, bands: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """spectrum(keys, f, p), bands(band, low, high): area under p from low to high, inclusive, by trapezoids between neighbouring frequencies; bands are a small dimension."""
-    joined = spectrum.join(F.broadcast(bands), F.col("f").between(F.col("low"), F.col("high")))
+    """spectrum(keys, f, p), bands(band, low, high): area under p from low to high, inclusive, by trapezoids between neighbouring frequencies."""
+    joined = in_bands(spectrum, bands)
     w = Window.partitionBy(*keys, "band").orderBy("f")
     area = (F.col("f") - F.lag("f").over(w)) * (F.col("p") + F.lag("p").over(w)) / 2
     return joined.withColumn("area", area).groupBy(*keys, "band").agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("power"))

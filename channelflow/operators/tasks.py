@@ -34,10 +34,23 @@ def merged_tasks(rows: DataFrame, merges: DataFrame) -> DataFrame:
     """Tasks laid end to end: merges(merged), names such as a#b, gives rows(subject, task, t, ...) of task a, then b, as (subject, merged, place, ...)."""
     parts = merges.select("merged", F.posexplode(F.split("merged", "#")).alias("part", "task"))
     order = Window.partitionBy("subject", "merged").orderBy("part", "t")
-    return rows.join(F.broadcast(parts), "task").withColumn("place", (F.row_number().over(order) - 1).cast("long")).drop("part")
+    return rows.join(parts, "task").withColumn("place", (F.row_number().over(order) - 1).cast("long")).drop("part")
 
 
 def complete_pairs(rows: DataFrame, active: str, reference: str) -> DataFrame:
     """log power of the active task less that of the reference task: rows(subject, task, band, ch, log_power)."""
     one = lambda task, name: F.max(F.when(F.col("task") == task, F.col("log_power"))).alias(name)
     return rows.where(F.col("task").isin(active, reference)).groupBy("subject", "band", "ch").agg(one(active, "a"), one(reference, "r")).where("a is not null and r is not null").select("subject", "band", "ch", (F.col("a") - F.col("r")).alias("related_power"))
+
+
+def joined_tasks(*parts: DataFrame) -> DataFrame:
+    """Rows of all parts, columns by name."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def shared_keys(one: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
+    """Distinct keys that both tables have."""
+    return one.select(*keys).intersect(other.select(*keys))

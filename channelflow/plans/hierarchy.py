@@ -5,6 +5,8 @@ Each level is a DataFrame of (key..., k, m); a level's sets are averaged by iter
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from channelflow.operators import alignment as A
 from channelflow.operators import clustering as C
 from channelflow.operators import maps as M
 from channelflow.operators import sequences as S
+from channelflow.operators import statistics as Q
 from channelflow.operators.tasks import by_condition
 
 KEY = "\u0000"
@@ -37,11 +40,27 @@ def principal_maps(recordings: DataFrame, share: float = 0.95, **options: object
     parts = F.split("subject", KEY)
     split = lambda df: df.select(F.get(parts, F.lit(0)).alias("subject"), F.get(parts, F.lit(1)).alias("task"), *[c for c in df.columns if c != "subject"])
     found = individual_maps(split(scores), **options)
-    keyed = found.select(F.concat_ws(KEY, "subject", "task", F.col("k_total").cast("string")).alias("set"), F.concat_ws(KEY, "subject", "task").alias("subject"), "k", "m")
-    cells = keyed.select("set", "subject", "k", F.posexplode("m").alias("i", "w")).join(components.select("subject", "i", "vector"), ["subject", "i"]).select("set", "k", "w", F.posexplode("vector").alias("ch", "x"))
-    back = cells.groupBy("set", "k", "ch").agg(F.sum(F.col("w") * F.col("x")).alias("x")).groupBy("set", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("ch", "x"))), lambda s: s["x"]).alias("m"))
-    p = F.split("set", KEY)
-    return back.select(F.get(p, F.lit(0)).alias("subject"), F.get(p, F.lit(1)).alias("task"), F.get(p, F.lit(2)).cast("int").alias("k_total"), "k", "m")
+    keyed = found.select(F.concat_ws(KEY, "subject", "task").alias("subject"), "k_total", "k", "m")
+    back = C.back_projection(keyed, components, ("subject", "k_total"))
+    judged = channel_criteria(rows, back)
+    return split(back.join(judged, ["subject", "k_total", "k"]))
+
+
+def channel_criteria(samples: DataFrame, maps: DataFrame) -> DataFrame:
+    """subject, k_total, k, cv, gev of maps(subject, k_total, k, m), several sets a subject, on samples(subject, t, v)."""
+    key = F.concat_ws(KEY, "subject", F.col("k_total").cast("string"))
+    sets = maps.select(key.alias("set"), "subject", "k", "m")
+    each = samples.join(sets.select("subject", "set").distinct(), "subject").select(F.col("set").alias("subject"), "t", "v")
+    by_set = sets.select(F.col("set").alias("subject"), "k", "m")
+    labels = M.labelled(each, by_set)
+    gev = M.explained_variance(labels).withColumnRenamed("state", "k")
+    variance = M.residual_variance(labels, by_set.withColumn("m", V.unit(F.col("m"))))
+    sizes = by_set.groupBy("subject").agg(F.count("*").alias("k_total"))
+    cv = variance.join(sizes, "subject").select("subject", M.cross_validation(F.col("variance"), F.col("channels"), F.col("k_total")).alias("cv"))
+    rows = by_set.select("subject", "k").join(gev, ["subject", "k"], "left").join(cv, "subject", "left")
+    p = F.split("subject", KEY)
+    n = F.size(p)
+    return rows.select(F.array_join(F.slice(p, 1, n - 1), KEY).alias("subject"), F.element_at(p, -1).cast("int").alias("k_total"), "k", "cv", F.coalesce("gev", F.lit(0.0)).alias("gev"))
 
 
 def across_runs(maps: DataFrame, conditions: DataFrame, n_maps: int) -> DataFrame:
@@ -62,36 +81,96 @@ def across_conditions(maps: DataFrame) -> DataFrame:
     return A.mean_maps(maps.select(F.lit(0).alias("grp"), F.col("condition").alias("subject"), "k", "m"), "grp").drop("grp")
 
 
-def recording_metrics(recordings: DataFrame, maps: DataFrame, sfreq: float = 500, seconds: float = 2.0, distance: int = 10, deviations: float = 3, polarity: bool = False) -> dict[str, DataFrame]:
-    """Metrics of every epoch of every recording against one map set(k, m), by name: coverage, duration, transition_frequency, entropy_rate, transition_matrix, hurst.
+#: Metrics of one sequence a subject, each as (subject, state or s0 and s1, value).
+METRICS: dict[str, Callable[[DataFrame, float], DataFrame]] = {
+    "coverage": lambda seq, sfreq: S.coverage(seq),
+    "duration": lambda seq, sfreq: S.duration_trimmed(seq),
+    "duration_seconds": lambda seq, sfreq: S.duration_label(seq, sfreq).select("subject", "state", "mean"),
+    "occurrence": lambda seq, sfreq: S.occurrence(seq, int(sfreq)),
+    "segments": lambda seq, sfreq: S.segments(seq).withColumn("segments", F.col("segments").cast("double")),
+    "transition_frequency": S.transition_frequency,
+    "entropy_rate": lambda seq, sfreq: S.entropy_rate(seq),
+    "transition_matrix": lambda seq, sfreq: S.transition_matrix(seq).select("subject", "s0", "s1", "p"),
+    "hurst": lambda seq, sfreq: S.hurst_states(seq),
+}
+
+
+def sequence_metrics(seq: DataFrame, sfreq: float, chosen: Sequence[str] = tuple(METRICS)) -> DataFrame:
+    """subject, metric, state_from, state_to, value: the chosen metrics of each subject's sequence(subject, t, state) in one long table; no other is computed.
 
-    Each is long: subject, task, epoch, and its own columns. A back-fit begins anew in each epoch.
+    state_from is the state of metrics by state; both are null for metrics of the whole sequence. Subjects of fewer than two samples have one row a metric, with no value.
     """
+    unknown = set(chosen) - set(METRICS)
+    if unknown:
+        raise ValueError(f"no such metrics: {sorted(unknown)}")
+    kind = dict(seq.dtypes)["state"]
+    known = seq.where("state is not null")
+    lengths = seq.groupBy("subject").agg(F.count("*").alias("_n"))
+    enough = known.join(lengths.where("_n >= 2").select("subject"), "subject", "left_semi")
+    none = F.lit(None).cast(kind)
+    short = lengths.where("_n < 2").select("subject", F.explode(F.array(*[F.lit(m) for m in chosen])).alias("metric"), none.alias("state_from"), none.alias("state_to"), F.lit(None).cast("double").alias("value"))
+    out = short
+    for name in chosen:
+        found = METRICS[name](enough, sfreq)
+        states = [F.col(c) for c in found.columns if c in ("state", "s0", "s1")]
+        states += [none] * (2 - len(states))
+        rows = found.select("subject", F.lit(name).alias("metric"), states[0].alias("state_from"), states[1].alias("state_to"), F.col(found.columns[-1]).cast("double").alias("value"))
+        out = out.unionByName(rows)
+    return out
+
+
+def epoch_sequences(recordings: DataFrame, maps: DataFrame, sfreq: float = 500, seconds: float = 2.0, distance: int = 10, deviations: float = 3, polarity: bool = False) -> DataFrame:
+    """subject (recording and epoch), t, state: every epoch of every recording against one map set(k, m). A back-fit begins anew in each epoch."""
     length = int(sfreq * seconds)
     rows = recordings.withColumn("epoch", F.floor(F.col("t") / length)).select(F.concat_ws(KEY, "subject", "task", F.col("epoch").cast("string")).alias("subject"), (F.col("t") % length).alias("t"), V.centred(F.col("v")).alias("v"))
-    powered = M.field_power(rows)
-    peaks = rows.join(C.pick_peaks(powered, "gfp", distance, deviations), ["subject", "t"])
-    own = rows.select("subject").distinct().join(F.broadcast(maps.select("k", "m")), how="cross")  # a few maps for each epoch
-    seq = M.backfit(rows, peaks, own, polarity)
+    peaks = rows.join(C.pick_peaks(M.field_power(rows), "gfp", distance, deviations), ["subject", "t"])
+    return M.backfit(rows, peaks, maps.select("k", "m"), polarity)
+
+
+def recording_metrics(
+    recordings: DataFrame,
+    maps: DataFrame,
+    sfreq: float = 500,
+    seconds: float = 2.0,
+    distance: int = 10,
+    deviations: float = 3,
+    polarity: bool = False,
+    chosen: Sequence[str] = tuple(METRICS),
+) -> DataFrame:
+    """The chosen metrics of every epoch of every recording against one map set(k, m): subject, task, epoch, metric, state_from, state_to, value.
+
+    The sequences that all metrics read are persisted; the caller's session frees them with the result's plan.
+    """
+    seq = epoch_sequences(recordings, maps, sfreq, seconds, distance, deviations, polarity).persist()
     p = F.split("subject", KEY)
-    named = lambda df: df.select(F.get(p, F.lit(0)).alias("subject"), F.get(p, F.lit(1)).alias("task"), F.get(p, F.lit(2)).cast("long").alias("epoch"), *[c for c in df.columns if c != "subject"])
-    known = seq.where("state is not null")
-    return {
-        "coverage": named(S.coverage(seq)),
-        "duration": named(S.duration_trimmed(known)),
-        "segments": named(S.segments(known)),
-        "transition_frequency": named(S.transition_frequency(known, sfreq)),
-        "entropy_rate": named(S.entropy_rate(known)),
-        "transition_matrix": named(S.transition_matrix(known)),
-        "hurst": named(S.hurst_states(known)),
-    }
-
-
-def explained_by(recordings: DataFrame, maps: DataFrame, distance: int = 10, deviations: float = 3) -> DataFrame:
-    """Explained variance of each recording by its maps(subject, k, m), on peaks and on all samples, with its length: subject, gev_peaks, gev_raw, n."""
-    rows = recordings.select("subject", "t", V.centred(F.col("v")).alias("v"))
-    labels = M.labelled(rows, maps)
+    found = sequence_metrics(seq, sfreq, chosen)
+    return found.select(F.get(p, F.lit(0)).alias("subject"), F.get(p, F.lit(1)).alias("task"), F.get(p, F.lit(2)).cast("long").alias("epoch"), "metric", "state_from", "state_to", "value")
+
+
+def explained_by(recordings: DataFrame, maps: DataFrame, conditions: DataFrame | None = None, distance: int = 10, deviations: float = 3) -> DataFrame:
+    """Explained variance of each recording(subject, task, t, v), on peaks and on all samples, with its length: subject, task, condition, gev_peaks, gev_raw, n.
+
+    maps(k, m) are one set for all, with condition null; or maps(condition, k, m) with conditions(condition, place, task): a recording meets its task's condition's.
+    """
+    if conditions is None:
+        rows = recordings.withColumn("condition", F.lit(None).cast("string"))
+    else:
+        rows, _ = by_condition(recordings, conditions)
+    key = F.concat_ws(KEY, "subject", "task", F.coalesce("condition", F.lit("")))
+    keyed = rows.select(key.alias("subject"), "t", V.centred(F.col("v")).alias("v"))
+    if conditions is not None:
+        own = rows.select(key.alias("subject"), "condition").distinct().join(maps, "condition")
+        maps = own.select("subject", "k", "m")
+    labels = M.labelled(keyed, maps)
     peaks = C.pick_peaks(labels.select("subject", "t", "gfp"), "gfp", distance, deviations).withColumn("peak", F.lit(True))
     e, g = F.col("gfp") * F.col("gfp") * F.col("r") * F.col("r"), F.col("gfp") * F.col("gfp")
     joined = labels.join(peaks, ["subject", "t"], "left")
-    return joined.groupBy("subject").agg(F.try_divide(F.sum(F.when(F.col("peak"), e)), F.sum(F.when(F.col("peak"), g))).alias("gev_peaks"), F.try_divide(F.sum(e), F.sum(g)).alias("gev_raw"), F.count("*").alias("n"))
+    out = joined.groupBy("subject").agg(F.try_divide(F.sum(F.when(F.col("peak"), e)), F.sum(F.when(F.col("peak"), g))).alias("gev_peaks"), F.try_divide(F.sum(e), F.sum(g)).alias("gev_raw"), F.count("*").alias("n"))
+    p = F.split("subject", KEY)
+    condition = F.when(F.get(p, F.lit(2)) != "", F.get(p, F.lit(2)))
+    return out.select(F.get(p, F.lit(0)).alias("subject"), F.get(p, F.lit(1)).alias("task"), condition.alias("condition"), "gev_peaks", "gev_raw", "n")
+
+
+def explained_summary(explained: DataFrame, value: str = "gev_raw") -> DataFrame:
+    """condition, mean, std of the explained variance, recordings weighted by their length."""
+    return Q.weighted_stats(explained.where(F.col(value).isNotNull()), ["condition"], value, "n")

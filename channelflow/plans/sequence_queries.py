@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from channelflow.operators import inference as I
 from channelflow.operators import sequences as S
+from channelflow.operators import spectral as P
 
-from .registry import query, rounded, table
+from . import hierarchy as H
+from .registry import SQL, query, rounded, table
 
 LONG = 10  # users are dealt to so many long sequences where an operator needs length
 
@@ -231,3 +234,55 @@ SELECT subject, round(2 * sum(g), 6) + 0.0 AS g, ((n // 20 - 1) * (SELECT (k - 1
 )
 def homogeneity_g(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(S.homogeneity_g(states(spark, folder), 20))
+
+
+@query(f"WITH mi AS ({SQL['mutual_information']}), l AS (SELECT subject, lag, ln(mutual_information) AS y FROM mi WHERE mutual_information > 0 AND lag > 0) SELECT subject, round(exp(regr_intercept(y, lag)), 4) + 0.0 AS a, round(-regr_slope(y, lag), 4) + 0.0 AS b FROM l GROUP BY subject")
+def exponential_decay(spark: SparkSession, folder: str) -> DataFrame:
+    mi = mutual_information(spark, folder).where("lag > 0").withColumnRenamed("mutual_information", "value")
+    found = I.exponential_decay(mi)
+    return found.select("subject", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("a", "b")])
+
+
+@query(f"SELECT lag, round(quantile_cont(mutual_information, 0.025), 6) + 0.0 AS low, round(quantile_cont(mutual_information, 0.975), 6) + 0.0 AS high FROM ({SQL['mutual_information']}) GROUP BY lag")
+def percentile_band(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(I.percentile_band(mutual_information(spark, folder), ["lag"], "mutual_information"))
+
+
+@query(
+    f"""WITH {SEQ}, w AS (SELECT subject, t AS begin, list(state) OVER a AS states, list(state) OVER b AS target, count(*) OVER (PARTITION BY subject) AS n FROM seq WINDOW a AS (PARTITION BY subject ORDER BY t ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING), b AS (PARTITION BY subject ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING))
+SELECT subject, begin, array_to_string(states, ',') AS states, array_to_string(target, ',') AS target FROM w WHERE begin % 5 = 0 AND begin + 11 <= n"""
+)
+def sequence_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return P.windows(states(spark, folder), 10, 5, 1).select("subject", "begin", F.array_join("states", ",").alias("states"), F.array_join("target", ",").alias("target"))
+
+
+def metric_sql(name: str, query_name: str, value: str, states: tuple[str, ...] = ()) -> str:
+    columns = [*states, *["NULL"] * (2 - len(states))]
+    return f"SELECT subject, '{name}' AS metric, {columns[0]}::VARCHAR AS state_from, {columns[1]}::VARCHAR AS state_to, {value}::DOUBLE AS value FROM ({SQL[query_name]})"
+
+
+@query(
+    " UNION ALL ".join(
+        [
+            metric_sql("coverage", "coverage", "coverage", ("state",)),
+            metric_sql("duration", "duration_trimmed", "duration", ("state",)),
+            metric_sql("segments", "segments", "segments", ("state",)),
+            metric_sql("occurrence", "occurrence", "occurrence", ("state",)),
+            metric_sql("entropy_rate", "entropy_rate", "entropy_rate"),
+            metric_sql("transition_matrix", "transition_matrix", "p", ("s0", "s1")),
+        ]
+    )
+)
+def metrics_bundle(spark: SparkSession, folder: str) -> DataFrame:
+    chosen = ["coverage", "duration", "segments", "occurrence", "entropy_rate", "transition_matrix"]
+    return rounded(H.sequence_metrics(states(spark, folder), 10, chosen))
+
+
+@query()
+def surrogate_chain(spark: SparkSession, folder: str) -> DataFrame:
+    return I.surrogates(S.transition_matrix(states(spark, folder)), 100, 2)
+
+
+@query()
+def surrogate_chain_order2(spark: SparkSession, folder: str) -> DataFrame:
+    return I.surrogates(S.transition_matrix(states(spark, folder), 2), 100, 2)

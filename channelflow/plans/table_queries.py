@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from channelflow.functions import vectors as V
+from channelflow.operators import alignment as A
 from channelflow.operators import inference as I
 from channelflow.operators import sequences as S
 from channelflow.operators import statistics as Q
@@ -66,12 +68,6 @@ def markov_p(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(g.withColumn("p", I.chi_square_p(F.col("g"), F.col("df"))))
 
 
-@query()
-def surrogate_chain(spark: SparkSession, folder: str) -> DataFrame:
-    seq = states(spark, folder)
-    return I.surrogates(S.transition_matrix(seq), S.coverage(seq), 100, 2)
-
-
 @query(
     """WITH c AS (SELECT unnest([0, 1]) AS class), n AS (SELECT class, count(*) FILTER (quality = class AND toxic = class) AS tp, count(*) FILTER (quality = class AND toxic <> class) AS fn, count(*) FILTER (quality <> class AND toxic = class) AS fp, count(*) FILTER (quality <> class AND toxic <> class) AS tn FROM c, labels GROUP BY class)
 SELECT class, round(tp / (tp + fn), 6) AS sensitivity, round(tn / (tn + fp), 6) AS specificity, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM n"""
@@ -144,3 +140,81 @@ def rollup_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
     nation = F.broadcast(table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")))
     rows = table(spark, folder, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     return rounded(rows.rollup("r_name", "n_name").agg(F.count("*").alias("suppliers"), F.avg("s_acctbal").alias("mean")))
+
+
+@query("SELECT o_orderpriority AS task, floor(avg(2 + o_orderkey % 9))::INT AS mean_opt_k, floor(avg(2 + o_orderkey % 9))::INT - 2 AS place FROM orders GROUP BY 1")
+def mean_best_k(spark: SparkSession, folder: str) -> DataFrame:
+    best = table(spark, folder, "orders").select(F.col("o_custkey").alias("subject"), F.col("o_orderpriority").alias("task"), (2 + F.col("o_orderkey") % 9).alias("k_total"))
+    return Q.mean_best_k(best)
+
+
+@query(
+    """WITH p AS (SELECT user_id AS subject, CASE WHEN user_id % 3 = 2 THEN 'work' ELSE 'rest' END AS condition, event_type AS state, CASE WHEN event_id % 4 = 0 THEN 0 ELSE value END AS d, value AS c FROM events)
+SELECT subject, condition, state, round(sum(d) / nullif(count(*) FILTER (d <> 0), 0), 6) AS duration, round(sum(d) / nullif(count(*) FILTER (d <> 0), 0), 6) AS occurrence, round(avg(c), 6) AS coverage FROM p GROUP BY ALL"""
+)
+def condition_parameters(spark: SparkSession, folder: str) -> DataFrame:
+    value = F.when(F.col("event_id") % 4 == 0, 0.0).otherwise(F.col("value"))
+    epochs = table(spark, folder, "events").select(F.col("user_id").alias("subject"), F.concat(F.lit("task_"), F.col("user_id") % 3).alias("task"), F.col("event_id").alias("epoch"), F.col("event_type").alias("state"), value.alias("duration"), value.alias("occurrence"), F.col("value").alias("coverage"))
+    return rounded(Q.condition_parameters(epochs, conditions(spark, {"rest": ["task_0", "task_1"], "work": ["task_2"]})))
+
+
+@query(
+    """WITH RECURSIVE c AS (SELECT n_regionkey AS grp, (n_nationkey * 7 % 25)::DOUBLE AS score, [n_nationkey % 6, 6 + n_nationkey % 4]::BIGINT[] AS members FROM nation),
+pick AS (SELECT grp, 0 AS place, score, members, members AS used FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC) AS o FROM c) WHERE o = 1
+UNION ALL SELECT grp, place, score, members, used FROM (SELECT p.grp, p.place + 1 AS place, c.score, c.members, list_concat(p.used, c.members) AS used, row_number() OVER (PARTITION BY p.grp ORDER BY c.score DESC) AS o FROM pick p JOIN c ON c.grp = p.grp AND NOT list_has_any(p.used, c.members) AND c.score < p.score) WHERE o = 1)
+SELECT grp, place, score, array_to_string(members, '-') AS members FROM pick"""
+)
+def best_combinations(spark: SparkSession, folder: str) -> DataFrame:
+    n = F.col("n_nationkey").cast("long")
+    scored = table(spark, folder, "nation").select(F.col("n_regionkey").alias("grp"), (n * 7 % 25).cast("double").alias("score"), F.array(n % 6, 6 + n % 4).alias("members"))
+    return A.best_combinations(scored).withColumn("members", F.array_join("members", "-"))
+
+
+@query("SELECT o_orderkey, m1 AS m0, m2 AS m1, m0 AS m2 FROM (SELECT o_orderkey, o_totalprice AS m0, o_totalprice * 2 AS m1, o_totalprice * 3 AS m2 FROM orders)")
+def reordered_sheet(spark: SparkSession, folder: str) -> DataFrame:
+    sheet = table(spark, folder, "orders").select("o_orderkey", *[(F.col("o_totalprice") * (i + 1)).alias(f"m{i}") for i in range(3)])
+    return A.reordered_sheet(sheet, ["o_orderkey"], "m", [1, 2, 0])
+
+
+@query("SELECT l_suppkey, l_returnflag, " + ", ".join(f'round(avg(l_quantity) FILTER (l_linenumber = {i}), 6) AS "p{i}"' for i in range(1, 8)) + " FROM lineitem GROUP BY ALL")
+def condition_sheet(spark: SparkSession, folder: str) -> DataFrame:
+    runs = table(spark, folder, "lineitem").withColumn("place", F.concat(F.lit("p"), "l_linenumber"))
+    found = rounded(A.condition_sheet(runs, "l_suppkey", "l_returnflag", "l_quantity", "place"))
+    return found.select("l_suppkey", "l_returnflag", *[F.col(f"p{i}") if f"p{i}" in found.columns else F.lit(None).cast("double").alias(f"p{i}") for i in range(1, 8)])
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey = 0 THEN 0 ELSE ceil(log2(p_partkey)) END::BIGINT AS power, CASE WHEN p_partkey % 12 > 9 THEN 0 ELSE factorial(9) // (factorial((p_partkey % 12)::INT) * factorial((9 - least(9, p_partkey % 12))::INT)) END::BIGINT AS nine_over, ceil(p_partkey / 7 * 100) / 100 AS up, round(1 / (1 + exp(-0.1 * (p_partkey - 50))), 6) AS ramp FROM part")
+def math_helpers(spark: SparkSession, folder: str) -> DataFrame:
+    k = F.col("p_partkey")
+    out = table(spark, folder, "part").select("p_partkey", V.next_power_of_two(k).alias("power"), V.choose(F.lit(9), (k % 12).cast("int")).alias("nine_over"), V.ceil_to(k / 7, 2).alias("up"), F.round(V.ramp(k, 50, 0.1), 6).alias("ramp"))
+    return out
+
+
+@query("WITH p AS (SELECT a.s_suppkey AS i, b.s_suppkey AS j FROM supplier a JOIN supplier b ON b.s_suppkey > a.s_suppkey) SELECT i, j, row_number() OVER (ORDER BY i, j) - 1 AS k FROM p")
+def condensed_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Places of all pairs of suppliers; the pair that stands there is what is returned, so both directions are held against the list."""
+    ids = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("i"))
+    n = ids.count()
+    pairs = ids.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1)))).where("i < j")  # the places themselves are pairs
+    found = pairs.select(V.condensed_place(F.col("j"), F.col("i"), F.lit(n)).alias("k"))
+    return found.withColumn("p", V.square_place(F.col("k"), F.lit(n))).select("p.i", "p.j", "k")
+
+
+@query("SELECT o_custkey AS custkey FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0")
+def shared_keys(spark: SparkSession, folder: str) -> DataFrame:
+    one = table(spark, folder, "orders").select(F.col("o_custkey").alias("custkey"))
+    other = table(spark, folder, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("custkey"))
+    return J.shared_keys(one, other, "custkey")
+
+
+@query("SELECT s_suppkey AS id, s_acctbal AS balance FROM supplier UNION ALL SELECT c_custkey, c_acctbal FROM customer")
+def joined_tasks(spark: SparkSession, folder: str) -> DataFrame:
+    one = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance"))
+    other = table(spark, folder, "customer").select(F.col("c_acctbal").alias("balance"), F.col("c_custkey").alias("id"))
+    return J.joined_tasks(one, other)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_tax AS x0, l_quantity AS x1, l_discount AS x2 FROM lineitem")
+def reordered_lists(spark: SparkSession, folder: str) -> DataFrame:
+    v = V.reordered(F.array("l_quantity", "l_discount", "l_tax"), F.array(F.lit(2), F.lit(0), F.lit(1)))
+    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", v.alias("v")).select("l_orderkey", "l_linenumber", *[F.get("v", F.lit(i)).alias(f"x{i}") for i in range(3)])

@@ -29,10 +29,10 @@ def file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1)
 
 
-def read_recordings(spark: SparkSession, path: str, tasks: list[str] | None = None, channels_first: bool = True) -> DataFrame:
+def read_recordings(spark: SparkSession, path: str, tasks: list[str] | None = None, channels_first: bool | None = True) -> DataFrame:
     """{subject}.json files of {task: matrix} as (subject, task, t, v array<double>).
 
-    Matrices are channels x times (or, by choice, times x channels). A missing task, or a ragged matrix, is an error when it is read.
+    Matrices are channels x times (or, by choice, times x channels; None: times are the longer side). A missing task, or a ragged matrix, is an error when it is read.
     """
     files = _whole_files(spark, path).select(file_stem(F.col("path")).alias("subject"), F.from_json("text", RECORDING).alias("data"))
     if tasks:
@@ -45,9 +45,9 @@ def read_recordings(spark: SparkSession, path: str, tasks: list[str] | None = No
     width = F.size(F.get("x", F.lit(0)))
     even = F.when(F.exists("x", lambda r: F.size(r) != width), F.raise_error(F.concat(F.lit("ragged matrix: "), F.col("subject"), F.lit("/"), F.col("task"))).cast("boolean")).otherwise(True)
     rows = rows.where(even)
-    if channels_first:
-        times = F.sequence(F.lit(0), width - 1)
-        rows = rows.where(width > 0).withColumn("x", F.transform(times, lambda t: F.transform("x", lambda channel: F.get(channel, t))))
+    if channels_first is not False:
+        turned = F.transform(F.sequence(F.lit(0), width - 1), lambda t: F.transform("x", lambda channel: F.get(channel, t)))
+        rows = rows.where(width > 0).withColumn("x", turned if channels_first else F.when(F.size("x") <= width, turned).otherwise(F.col("x")))
     return rows.select("subject", "task", F.posexplode("x").alias("t", "v")).withColumn("t", F.col("t").cast("long"))
 
 
@@ -60,11 +60,47 @@ def read_matrices(spark: SparkSession, path: str, columns: int, header: bool = F
     return rows.select("path", (F.row_number().over(order) - 1).cast("long").alias("t"), "v")
 
 
-def read_labelled_csv(spark: SparkSession, path: str, label: str) -> DataFrame:
-    """CSV files with a header: (path, label, v) of all numeric columns but the label."""
+def whole_number_like(x: Column) -> Column:
+    return F.trim(x).rlike(r"^[+-]?\d+(\.0*)?$")
+
+
+def number_like(x: Column) -> Column:
+    return F.trim(x).try_cast("double").isNotNull()
+
+
+def has_letter(x: Column) -> Column:
+    return x.rlike(r"\p{L}")
+
+
+def has_header(spark: SparkSession, path: str) -> bool:
+    """Whether the first line of the CSV files holds a value that is no number: judged by all files' first lines, an error if they differ."""
+    first = _whole_files(spark, path).select(F.split(F.substring_index("text", "\n", 1), ",").alias("xs"))
+    found = first.select(F.exists("xs", lambda x: ~number_like(F.regexp_replace(x, "[\"\r]", ""))).alias("header")).distinct().collect()
+    if len(found) != 1:
+        raise ValueError(f"files with and without a header, or none: {path}")
+    return found[0]["header"]
+
+
+def index_column(df: DataFrame, column: str) -> bool:
+    """Whether a column of df(path, ...) numbers the rows of each file: whole numbers, all different, without gaps."""
+    x = F.col(column).cast("double")
+    per = df.groupBy("path").agg(F.count("*").alias("n"), F.countDistinct(x).alias("different"), (F.max(x) - F.min(x)).alias("span"), F.bool_and(F.coalesce(x == F.floor(x), F.lit(False))).alias("whole"))
+    return bool(per.agg(F.bool_and(F.col("whole") & (F.col("different") == F.col("n")) & (F.col("span") == F.col("n") - 1))).first()[0])
+
+
+def read_labelled_csv(spark: SparkSession, path: str, label: str, index: str | bool | None = None) -> DataFrame:
+    """CSV files with a header: (path, label, v) of all numeric columns but the label and the index.
+
+    index names a column that only numbers the rows; True: the first one does; False: there is none; None: the first one if it does (one more pass over the files).
+    """
     df = spark.read.option("recursiveFileLookup", True).csv(path, header=True, inferSchema=True)
     numbers = [c for c, kind in df.dtypes if c != label and kind in ("int", "bigint", "double")]
-    return df.select(F.input_file_name().alias("path"), F.col(label).alias("label"), F.array(*[F.col(c).cast("double") for c in numbers]).alias("v"))
+    df = df.select(F.input_file_name().alias("path"), *[F.col(f"`{c}`") for c in df.columns])
+    first = df.columns[1]
+    if index is None:
+        index = first in numbers and index_column(df.select("path", F.col(f"`{first}`").alias("x")), "x")
+    left_out = index if isinstance(index, str) else first if index else None
+    return df.select("path", F.col(f"`{label}`").alias("label"), F.array(*[F.col(f"`{c}`").cast("double") for c in numbers if c != left_out]).alias("v"))
 
 
 def read_text_matrix(spark: SparkSession, path: str) -> DataFrame:
@@ -94,6 +130,36 @@ def read_montage(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select((F.get(p, F.lit(0)).cast("int") - 1).alias("ch"), F.get(p, F.lit(1)).cast("double").alias("angle"), F.get(p, F.lit(2)).cast("double").alias("radius"), F.rtrim(F.get(p, F.lit(3))).alias("name"))
 
 
+def channels(spark: SparkSession) -> DataFrame:
+    """ch, name of a recording's channels."""
+    return spark.createDataFrame(list(enumerate(CAP63)), "ch int, name string")
+
+
+def placed_channels(spark: SparkSession, path: str) -> DataFrame:
+    """ch, name, angle, radius of a recording's channels, by the montage file's places; channels that it doesn't name have none."""
+    return channels(spark).join(read_montage(spark, path).select("name", "angle", "radius"), "name", "left").select("ch", "name", "angle", "radius")
+
+
+def mirrored_channels(named: DataFrame) -> DataFrame:
+    """left, right of channels(ch, name): an odd number is on the left, the next even one on the right of the same place."""
+    number = F.regexp_extract("name", r"(\d+)$", 1).try_cast("int")
+    parts = named.select("ch", F.regexp_replace("name", r"\d+$", "").alias("place"), number.alias("number")).where("number is not null")
+    right = parts.select(F.col("ch").alias("right"), "place", (F.col("number") - 1).alias("number"))
+    return parts.where("number % 2 = 1").join(right, ["place", "number"]).select(F.col("ch").alias("left"), "right")
+
+
+def channel_lobes(named: DataFrame) -> DataFrame:
+    """grp, ch of channels(ch, name): the letters of a name tell its region, such as F, FC or PO."""
+    return named.select(F.upper(F.regexp_extract("name", r"^([A-Za-z]+?)[zZ]?\d*$", 1)).alias("grp"), "ch")
+
+
+def read_prior_statistic(spark: SparkSession, path: str) -> DataFrame:
+    """task, mean_opt_k of statistic files {task: {mean_opt_k, ...}}."""
+    entry = T.StructType([T.StructField("mean_opt_k", T.IntegerType())])
+    found = _whole_files(spark, path).select(F.explode(F.from_json("text", T.MapType(T.StringType(), entry))).alias("task", "e"))
+    return found.select("task", "e.mean_opt_k")
+
+
 def read_markers(spark: SparkSession, path: str) -> DataFrame:
     """Marker files' stimulus lines as (path, marker, sample)."""
     line = r"^Mk(\d+)=Stimulus,[^,]*,(\d+)"
@@ -106,21 +172,28 @@ def conditions(spark: SparkSession, mapping: dict[str, list[str]] | str) -> Data
     return spark.createDataFrame([(c, i, t) for c, tasks in found.items() for i, t in enumerate(tasks)], "condition string, place int, task string")
 
 
-def json_safe(x: Column) -> Column:
-    """NaN and infinities as null, as JSON has neither."""
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
+def json_safe(x: Column, kind: T.DataType | None = None) -> Column:
+    """NaN and infinities as null, as JSON has neither, at any depth of arrays, structs and map values; binary values as base64, decimals as doubles."""
+    kind = kind or T.DoubleType()
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(x, lambda e: json_safe(e, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(x, lambda _, v: json_safe(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(x.isNotNull(), F.struct(*[json_safe(x[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.BinaryType):
+        return F.base64(x)
+    if isinstance(kind, T.DecimalType):
+        return x.cast("double")
+    return x
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One JSON object a row; doubles made safe, also in arrays. Errors are raised."""
-    def safe(name: str, kind: T.DataType) -> Column:
-        if isinstance(kind, (T.DoubleType, T.FloatType)):
-            return json_safe(F.col(name)).alias(name)
-        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.DoubleType, T.FloatType)):
-            return F.transform(name, json_safe).alias(name)
-        return F.col(name)
-
-    df.select(*[safe(f.name, f.dataType) for f in df.schema.fields]).write.mode(mode).option("ignoreNullFields", False).json(path)
+    """One JSON object a row, made safe. Errors are raised."""
+    safe = [json_safe(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields]
+    df.select(*safe).write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
 def write_components(components: DataFrame, scores: DataFrame, percentage: int, path: str, mode: str = "overwrite") -> None:

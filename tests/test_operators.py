@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from channelflow.functions import vectors as V
 from channelflow.operators import alignment as A
 from channelflow.operators import clustering as C
 from channelflow.operators import inference as I
@@ -132,10 +133,51 @@ def test_assignment_equals_hungarian_and_all_permutations(spark):
     template = spark.createDataFrame([(k, rng.normal(size=8).tolist()) for k in range(4)], "k int, m array<double>")
     a, b = (np.array([r["m"] for r in x.orderBy("k").collect()]) for x in (sets, template))
     c = np.corrcoef(a, b)[:4, 4:]
-    got = {r["k_src"]: r["k_dst"] for r in A.assign(sets, template, 4).collect()}
+    got = {r["k_src"]: r["k_dst"] for r in A.assign(sets, template).collect()}
     assert [got[i] for i in range(4)] == A.hungarian(-c)
 
 
+def test_assignment_of_sets_of_any_size(spark):
+    rng = np.random.default_rng(15)
+    cost = rng.normal(size=(12, 12))
+    order = rng.permutation(12)
+    cost[np.arange(12), order] -= 50
+    assert A.hungarian(cost) == order.tolist()
+    base = rng.normal(size=(11, 20))
+    rows = [("same", k, (-base[order[k]] if order[k] < 11 else rng.normal(size=20)).tolist()) for k in range(12)] + [("few", k, base[k + 3].tolist()) for k in range(2)]
+    sets = spark.createDataFrame(rows, "subject string, k int, m array<double>")
+    template = spark.createDataFrame([(k, m.tolist()) for k, m in enumerate(base)], "k int, m array<double>")
+    found = {(r["subject"], r["k_src"]): (r["k_dst"], r["r"]) for r in A.padded_similarity(sets, template, 0.95).collect()}
+    assert all(found["same", k][0] == (order[k] if order[k] < 11 else -1) for k in range(12))
+    assert found["few", 0] == (3, pytest.approx(1)) and found["few", 1] == (4, pytest.approx(1))
+    assert sum(r["k_dst"] is None for r in A.assign(sets, template).where("subject = 'same'").collect()) == 1
+
+
+def test_threshold_comes_before_the_assignment(spark):
+    """Pairs of 0.8 and 0.5 would be assigned for their total; below 0.6 they count as nothing, and 0.7 is taken."""
+    c = [[0.7, 0.8], [0.1, 0.5]]
+    a, b = np.zeros((2, 6)), np.zeros((2, 6))
+    b[0, :2], b[1, 2:4] = (1, -1), (1, -1)
+    for i in range(2):
+        a[i, :2], a[i, 2:4] = c[i][0] * b[0, :2], c[i][1] * b[1, 2:4]
+        rest = 2 - 2 * (c[i][0] ** 2 + c[i][1] ** 2)
+        a[i, 4:] = (1, -1) * np.array(np.sqrt(max(rest, 0) / 2))
+    sets = spark.createDataFrame([("s", k, m.tolist()) for k, m in enumerate(a)], "subject string, k int, m array<double>")
+    template = spark.createDataFrame([(k, m.tolist()) for k, m in enumerate(b)], "k int, m array<double>")
+    got = {r["k_src"]: (r["k_dst"], round(r["r"], 1)) for r in A.padded_similarity(sets, template, 0.75).collect()}
+    assert got[0] == (1, 0.8) and got[1] == (0, 0.0)
+
+
+def test_orders_are_checked(spark):
+    with pytest.raises(ValueError, match="no permutation"):
+        A.checked_order([0, 2, 2], 3)
+    sheet = spark.createDataFrame([("a", 1, 2)], "name string, p0 int, p1 int")
+    assert A.reordered_sheet(sheet, ["name"], "p", [1, 0]).first().asDict() == {"name": "a", "p0": 2, "p1": 1}
+    lists = spark.createDataFrame([([1, 2, 3], [2, 0, 0])], "v array<int>, o array<int>")
+    with pytest.raises(Exception, match="no permutation"):
+        lists.select(V.reordered(F.col("v"), F.col("o"))).collect()
+
+
 def test_mean_of_permuted_copies_is_the_set(spark):
     rng = np.random.default_rng(6)
     base = rng.normal(size=(4, 10))
@@ -157,6 +199,63 @@ def test_principal_components_against_numpy(spark):
     assert np.linalg.norm(scores) == pytest.approx(np.linalg.norm(x[0] - x.mean(axis=0)))
 
 
+def test_component_ratios_and_reconstruction(spark):
+    x = np.random.default_rng(17).normal(size=(40, 6))
+    samples = as_samples(spark, x)
+    found = C.principal_components(samples, 2.0)
+    rows = found.orderBy("i").collect()
+    assert sum(r["ratio"] for r in rows) == pytest.approx(1)
+    scores = np.array([r["v"] for r in C.component_scores(samples, found, True).orderBy("t").collect()])
+    vectors = np.array([r["vector"] for r in rows])
+    assert np.abs(scores @ vectors + x.mean(axis=0) - x).max() < 1e-9
+    maps = spark.createDataFrame([("a", 0, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]), ("a", 1, [0.5, 0.0, 0.0, 2.0, 0.0, 0.0])], "subject string, k int, m array<double>")
+    back = {r["k"]: r["m"] for r in C.back_projection(maps, found).collect()}
+    assert back[0] == pytest.approx(vectors[0].tolist()) and back[1] == pytest.approx((0.5 * vectors[0] + 2 * vectors[3]).tolist())
+    parts = np.array([[r["i"], r["j"], r["c"]] for r in C.covariance(samples.repartition(3)).collect()])
+    assert all(c == pytest.approx(np.cov(x.T)[int(i), int(j)]) for i, j, c in parts)
+
+
+def test_k_sweep_finds_the_planted_number(spark):
+    maps, _, data = planted(k=4, n=400, noise=0.03)
+    found = C.kmeans_modified(as_samples(spark, data - data.mean(axis=1, keepdims=True)), 2, 6, 20)
+    assert found.where("k_total = 4").count() == 4
+    gev = {r["k_total"]: r["g"] for r in found.groupBy("k_total").agg(F.sum("gev").alias("g")).collect()}
+    assert gev[4] - gev[3] > 5 * abs(gev[5] - gev[4]) and C.best_k(found).first()["k_total"] >= 4
+
+
+def test_pairwise_similarity_of_permuted_sets(spark):
+    base = np.random.default_rng(18).normal(size=(5, 12))
+    rows = [(1, s, i, (sign * base[p]).tolist()) for s, (order, sign) in enumerate((([0, 1, 2, 3, 4], 1), ([4, 2, 0, 1, 3], -1))) for i, p in enumerate(order)]
+    assert A.pairwise_similarity(spark.createDataFrame(rows, "grp int, subject int, k int, m array<double>")).first()["similarity"] == pytest.approx(1)
+
+
+def test_surrogates_keep_their_transitions(spark):
+    chain = [("a", t, s) for t, s in enumerate(([0, 1, 2] * 40) + [0])] + [("b", t, s) for t, s in enumerate([0, 0, 1, 1] * 30)]
+    seq = spark.createDataFrame(chain, "subject string, t long, state int")
+    one = {}
+    for r in I.surrogates(S.transition_matrix(seq), 60, 2).orderBy("t").collect():
+        one.setdefault((r["subject"], r["chain"]), []).append(r["state"])
+    assert len(one) == 4 and all(len(x) == 60 for x in one.values())
+    assert all((b - a) % 3 == 1 for (s, _), x in one.items() if s == "a" for a, b in itertools.pairwise(x))
+    two = {}
+    for r in I.surrogates(S.transition_matrix(seq, 2), 60, 2).orderBy("t").collect():
+        two.setdefault((r["subject"], r["chain"]), []).append(r["state"])
+    known = {(0, 0, 1), (0, 1, 1), (1, 1, 0), (1, 0, 0)}
+    assert all(len(x) == 60 for x in two.values())
+    assert all(t in known for (s, _), x in two.items() if s == "b" for t in zip(x, x[1:], x[2:], strict=False))
+
+
+def test_bootstrap_and_tanova(spark):
+    rng = np.random.default_rng(19)
+    rows = [(k, s, c, (rng.normal(size=12) + (3 * np.sin(np.arange(12) * (c + 1)) if k else 0)).tolist()) for k in (0, 1) for s in range(12) for c in (0, 1)]
+    df = spark.createDataFrame(rows, "k int, subject int, condition int, v array<double>")
+    band = {r["k"]: r for r in I.bootstrap_test(df, 200).collect()}
+    plain = {r["k"]: r["statistic"] for r in I.dissimilarity_of_conditions(df).collect()}
+    assert all(band[k]["statistic"] == pytest.approx(plain[k]) and band[k]["low"] < band[k]["high"] for k in (0, 1)) and band[1]["low"] > band[0]["statistic"]
+    effects = {r["effect"]: r["p"] for r in I.tanova(df.where("k = 1").unionByName(df.where("k = 1").withColumn("k", F.lit(2))).withColumn("group", F.lit(1)), 200).collect()}
+    assert effects["condition"] <= 0.02 and effects["class"] > 0.9
+
+
 def test_tails():
     assert I.chi_square_tail(3.841459, 1) == pytest.approx(0.05, abs=1e-6)
     assert I.chi_square_tail(18.307038, 10) == pytest.approx(0.05, abs=1e-6)
@@ -179,6 +278,35 @@ def test_permutation_test_finds_a_planted_effect(spark):
     assert out[1] <= 0.02 < out[0]
 
 
+def test_bad_channels(spark):
+    bad = spark.createDataFrame([("a", e, c, c == 2 or (c == 1 and e == 0)) for e in range(4) for c in range(4)], "subject string, epoch int, ch int, bad boolean")
+    whole = Q.global_bad_channels(bad, 0.5)
+    assert [(r["subject"], r["ch"]) for r in whole.collect()] == [("a", 2)]
+    marked = {r["epoch"]: r for r in Q.marked_epochs(bad, 0.3, whole).collect()}
+    assert marked[0]["ratio"] == pytest.approx(1 / 3) and marked[0]["dropped"] and marked[1]["interpolated"] == []
+    mask = {r["ch"]: r["mask"] for r in Q.channel_mask(bad.select("subject", "ch").distinct(), whole, bad.where("epoch = 0 and bad")).collect()}
+    assert mask == {0: 0, 1: 1, 2: 1, 3: 0}
+    places = spark.createDataFrame([(0, 0.0, 0.5), (1, 90.0, 0.5), (2, 45.0, 0.5)], "ch int, angle double, radius double")
+    samples = spark.createDataFrame([("a", 0, 0, 1.0), ("a", 0, 1, 3.0), ("a", 0, 2, 99.0)], "subject string, t long, ch int, x double")
+    fixed = {r["ch"]: r["x"] for r in Q.repaired_channels(samples, whole, places).collect()}
+    assert fixed == {0: 1.0, 1: 3.0, 2: pytest.approx(2.0)}
+
+
+def test_reading_with_choices(spark, tmp_path):
+    (tmp_path / "long.json").write_text(json.dumps({"rest": [[1, 2], [3, 4], [5, 6]]}))
+    assert [r["v"] for r in R.read_recordings(spark, str(tmp_path / "long.json"), channels_first=None).orderBy("t").collect()] == [[1, 2], [3, 4], [5, 6]]
+    (tmp_path / "csv").mkdir()
+    (tmp_path / "csv/a.csv").write_text("n,x,microstate_label\n4,0.5,1\n5,0.25,2\n6,1.5,1\n")
+    path = str(tmp_path / "csv")
+    assert R.has_header(spark, path)
+    assert [r["v"] for r in R.read_labelled_csv(spark, path, "microstate_label").collect()] == [[0.5], [0.25], [1.5]]
+    assert len(R.read_labelled_csv(spark, path, "microstate_label", index=False).first()["v"]) == 2
+    assert len(R.read_labelled_csv(spark, path, "microstate_label", index="x").first()["v"]) == 1
+    df = spark.createDataFrame([("1", "x1", "1.5"), ("-2", "", "e")], "a string, b string, c string")
+    checks = df.select(R.whole_number_like(F.col("a")).alias("w"), R.has_letter(F.col("b")).alias("l"), R.number_like(F.col("c")).alias("n")).collect()
+    assert [tuple(r) for r in checks] == [(True, True, True), (True, False, False)]
+
+
 def test_segments_and_merges(spark):
     rows = spark.createDataFrame([("a", "x", t) for t in range(5)] + [("a", "y", t) for t in range(3)], "subject string, task string, t long")
     merged = J.merged_tasks(rows, spark.createDataFrame([("y#x",)], "merged string")).orderBy("place").collect()
@@ -225,9 +353,12 @@ def test_four_levels(spark):
     groups = H.across_subjects(runs)
     final = H.across_conditions(groups).orderBy("k").collect()
     assert len(final) == 3 and final[0]["similarity"] > 0.95
-    metrics = H.recording_metrics(recordings, spark.createDataFrame([(r["k"], r["m"]) for r in final], "k int, m array<double>"), sfreq=100, seconds=1.0, distance=2)
-    total = metrics["coverage"].groupBy("subject", "task", "epoch").agg(F.sum("coverage").alias("c")).collect()
+    metrics = H.recording_metrics(recordings, spark.createDataFrame([(r["k"], r["m"]) for r in final], "k int, m array<double>"), sfreq=100, seconds=1.0, distance=2, chosen=["coverage", "transition_frequency"])
+    total = metrics.where("metric = 'coverage'").groupBy("subject", "task", "epoch").agg(F.sum("value").alias("c")).collect()
     assert len(total) == 2 * 3 * 3 and all(r["c"] == pytest.approx(1) for r in total)
+    assert {r["metric"] for r in metrics.select("metric").distinct().collect()} == {"coverage", "transition_frequency"}
+    with pytest.raises(ValueError, match="no such metrics"):
+        H.recording_metrics(recordings, maps, chosen=["beauty"])
 
 
 def test_streams(spark, tmp_path):

@@ -31,10 +31,28 @@ def test_simpson_is_exact_on_a_parabola(spark):
     assert P.simpson_band_power(spectrum, bands, ["k"]).first()["power"] == pytest.approx(8**3 / 3)
 
 
-def test_filter_and_resample(wave):
+def test_filters(spark, wave):
+    x, df = wave
+    t = np.arange(1000)
+    low, high = np.sin(2 * np.pi * 10 * t / 250), 0.1 * np.sin(2 * np.pi * 60 * t / 250)
+    inside = slice(200, 800)
+    values = lambda frame: np.array([r["x"] for r in frame.orderBy("t").collect()])
+    assert np.abs(values(P.band_pass(df, 1, 30, 250)) - low)[inside].max() < 0.03
+    assert np.abs(values(P.band_pass(df, 40, None, 250)) - high)[inside].max() < 0.03
+    assert np.abs(values(P.notch(df, 60, 250)) - low)[inside].max() < 0.03
+    short = df.where("t < 5")
+    assert values(P.band_pass(short, 1, 30, 250)).shape == (5,)
+
+
+def test_filter_response():
+    for taps, kept, lost in ((P.fir(500, 1, 30), [5, 10, 25], [0, 60, 100]), (P.fir(500, None, 40), [0, 10, 30], [60, 200]), (P.fir(500, 58, 62, stop=True), [0, 40, 56, 64, 200], [60])):
+        gain = lambda f, h=taps: abs(np.sum(h * np.exp(-2j * np.pi * f / 500 * np.arange(len(h)))))
+        assert len(taps) % 2 == 1 and np.abs(taps - taps[::-1]).max() < 1e-12
+        assert all(abs(gain(f) - 1) < 0.02 for f in kept) and all(gain(f) < 0.02 for f in lost)
+
+
+def test_resample(wave):
     x, df = wave
-    kept = np.array([r["x"] for r in P.band_pass(df, 1, 30, 250).orderBy("t").collect()])
-    assert np.abs(kept - np.sin(2 * np.pi * 10 * np.arange(1000) / 250)).max() < 1e-6
     half = np.array([r["x"] for r in P.resample(df, 250, 125).orderBy("t").collect()])
     assert len(half) == 500 and np.abs(half - x[::2]).max() < 0.2
 
