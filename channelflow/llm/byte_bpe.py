@@ -183,7 +183,8 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.starts, self.lengths = (np.zeros(0, dtype=t) for t in (np.int32, np.int64, np.int64))
+        self.flat, self.starts, self.lengths = (np.zeros(1 << 16, dtype=t) for t in (np.int32, np.int64, np.int64))  # with room to grow
+        self.used = 0
         if self.shared is not None:
             self.add(self.shared.column("w").to_pylist(), self.shared.column("ids").to_pylist())
         self.shared_words = len(self.known)
@@ -195,18 +196,25 @@ class Encoder:
             self.forget()
 
     def add(self, words: list[str], ids: list[list[int]]) -> None:
+        n, total = len(self.known), sum(map(len, ids))
+        while n + len(words) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lengths))
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
-        self.lengths = np.concatenate((self.lengths, lengths))
-        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(lengths.sum()))))
+        self.starts[n : n + len(words)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[n : n + len(words)] = lengths
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=total)
+        self.used += total
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
 
     def learn(self, words: Iterable[str]) -> None:
         """Ids of these pre-tokens, by one replay of the merges over all that are new."""
         if len(self.known) > self.shared_words + KEPT_WORDS:
             self.forget()
         new = list({w for w in words if w not in self.known})
-        self.add(new, self.replay.encode([w.encode("utf-8", "surrogatepass") for w in new]))
+        if new:
+            self.add(new, self.replay.encode([w.encode("utf-8", "surrogatepass") for w in new]))
 
     def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts whose pre-tokens are known, end to end, and how many each text has."""
