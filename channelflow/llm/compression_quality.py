@@ -2,7 +2,8 @@
 
 Half of a bounded sample of labelled rows builds the two dictionaries; the other half calibrates
 a logistic score on normalised compressed sizes: the difference between both dictionaries, their mean,
-and the size without a dictionary, each per byte.
+and the size without a dictionary, each per byte. The logarithm of the text's length and products of these enter too (13 features in all), so that
+short texts, whose sizes per byte are large whatever they say, are calibrated as well; the difference carries the score.
 """
 
 from __future__ import annotations

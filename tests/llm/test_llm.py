@@ -113,6 +113,56 @@ def test_copies_on_unmarked_pages_keep_their_article(spark):
     assert {r["page_id"]: r["text"] for r in got} == dict(enumerate(texts))
 
 
+def test_awkward_pages(spark):
+    long = " ".join(f"long{i}" for i in range(60_000))
+    rows = [
+        (1, "http://h.example/a", f"<article><p>{long}</p></article>", "k", 5, "t", 1),
+        (1, "http://h.example/b", "<article><p>same id on another url</p></article>", "k", 5, "t", 1),
+        (2, None, None, None, None, None, None),
+        (3, "http://h.example/c", "<" * 3000 + "<p>x &amp; y", "k", 5, "t", 1),
+        (4, "http://h.example/c", "<p", "k", 5, "t", 1),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, key string, n_chars int, text string, host int")
+    got = {(r["page_id"], r["url"]): (r["text"], r["n_chars"]) for r in main_text(df).collect()}
+    assert len(got) == 5 and got[1, "http://h.example/a"] == (long, len(long)) and got[1, "http://h.example/b"][0] == "same id on another url"
+    assert got[2, None] == ("", 0) and got[3, "http://h.example/c"][0].endswith("x & y")
+
+
+def test_repeated_substrings_by_brute_force(spark):
+    """Blocks that share a run of eight tokens with pages that otherwise differ go, on generated hosts whose pages have much of their own."""
+    rng = random.Random(12)
+    rows, expected = [], {}
+    for host in range(3):
+        shared = [[f"h{host}s{k}w{j}" for j in range(rng.choice([8, 9, 14]))] for k in range(4)]
+        for page in range(8):
+            blocks = []
+            for b in range(5):
+                own = [f"h{host}p{page}b{b}w{j}" for j in range(rng.randint(20, 40))]
+                blocks.append((own, True))
+                if rng.random() < 0.6:
+                    blocks.append((rng.choice(shared), False))
+                if rng.random() < 0.3:
+                    blocks.append((rng.choice(shared)[:7], True))  # too short a run
+            rows.append((host * 100 + page, f"http://host{host}.example/{page}", "<body>" + "".join(f"<div>{' '.join(b)}</div>" for b, _ in blocks) + "</body>", blocks))
+    streams = {i: [t for b, _ in blocks for t in b] for i, _, _, blocks in rows}
+    runs = {i: {tuple(s[k : k + 8]) for k in range(len(s) - 7)} for i, s in streams.items()}
+    for i, _, _, blocks in rows:
+        other = set().union(*(r for j, r in runs.items() if j // 100 == i // 100 and j != i))
+        place, kept = 0, []
+        covered = [False] * len(streams[i])
+        for k in range(len(streams[i]) - 7):
+            if tuple(streams[i][k : k + 8]) in other:
+                covered[k : k + 8] = [True] * 8
+        for b, _ in blocks:
+            if sum(covered[place : place + len(b)]) < 0.5 * len(b):
+                kept.append(" ".join(b))
+            place += len(b)
+        expected[i] = "\n".join(kept)
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    for chars in (1 << 24, 500):
+        assert {r["page_id"]: r["text"] for r in main_text(df, shard_chars=chars).collect()} == expected
+
+
 # 2 and 5: classifiers
 
 
