@@ -16,17 +16,18 @@ def part_size(total: int) -> int:
     return max(PART, total // MOST_KEYS)
 
 
-def spread_join(rows: DataFrame, one: DataFrame, key: str, by: str, total: int, how: str = "inner") -> DataFrame:
-    """rows joined with one (unique by key), frequent keys of rows in parts by the hash of `by`, for each of which `one` has a copy.
-
-    total is the number of rows, or more. The frequent keys, MOST_KEYS at most, are counted with partial sums, and are all that is collected.
-    """
+def frequent_keys(rows: DataFrame, key: str, total: int) -> list[tuple[int, int]]:
+    """(key, parts) of the keys that more rows have than may stay together, MOST_KEYS at most, counted with partial sums."""
     size = part_size(total)
-    counted = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_rows")).where(F.col("_rows") > size)
-    frequent = [(r["_key"], -(-r["_rows"] // size)) for r in counted.collect()]
+    counted = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count("*").alias("rows")).where(F.col("rows") > size)
+    return [(r["key"], -(-r["rows"] // size)) for r in counted.collect()]
+
+
+def spread_join(rows: DataFrame, one: DataFrame, key: str, by: str, frequent: list[tuple[int, int]], how: str = "inner") -> DataFrame:
+    """rows joined with one (unique by key), the frequent keys of rows in parts by the hash of `by`, for each of which `one` has a copy."""
     if not frequent:
         return rows.join(one, key, how)
-    parts = F.broadcast(rows.sparkSession.createDataFrame(frequent, f"{key} {dict(rows.dtypes)[key]}, _parts int"))
+    parts = F.broadcast(rows.sparkSession.createDataFrame(frequent, f"{key} {dict(rows.dtypes)[key]}, _parts int"))  # MOST_KEYS at most
     n = F.coalesce("_parts", F.lit(1))
     left = rows.join(parts, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), n).cast("int")).drop("_parts")
     right = one.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts")
@@ -44,11 +45,12 @@ def components(links: DataFrame) -> DataFrame:
     total = edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        frequent = frequent_keys(both, "u", total) if total > PART else []  # neither join below has more rows of a node than it has edges
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = spread_join(both.where("v > u"), least, "u", "v", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = spread_join(both.where("v > u"), least, "u", "v", frequent).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = spread_join(large, least, "u", "v", total).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = cut(small)
+        small = spread_join(large, least, "u", "v", frequent).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -43,7 +43,16 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 #: What ends an open element of the first kind when it begins.
-ENDS = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
+ENDS = {
+    "p": BLOCK,
+    "li": frozenset(["li"]),
+    "dt": frozenset(["dt", "dd"]),
+    "dd": frozenset(["dt", "dd"]),
+    "tr": frozenset(["tr", "tbody", "tfoot"]),
+    "td": frozenset(["td", "th", "tr"]),
+    "th": frozenset(["td", "th", "tr"]),
+    "option": frozenset(["option"]),
+}
 CHROME = frozenset("nav header footer aside form button select dialog menu head search fieldset datalist audio video map".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 CHROME_WORDS = frozenset(
@@ -81,7 +90,10 @@ class Page:
                 elif key.lower() == "role":
                     role = value.lower()
         marks = name in ("article", "main") or role in ("main", "article")
-        chrome = hidden or name in CHROME or role in CHROME_ROLES or (bool(CHROME_WORDS & set(words)) and name not in ("html", "body", "main") and not (marks and name == "article" and not {"comment", "comments", "reply", "ad", "related"} & set(words)))
+        named = set(words)
+        own_article = marks and name == "article" and not {"comment", "comments", "reply", "ad", "related"} & named
+        by_name = bool(CHROME_WORDS & named) and name not in ("html", "body", "main") and not own_article
+        chrome = hidden or name in CHROME or role in CHROME_ROLES or by_name
         return chrome, marks
 
     def read(self, source: str) -> None:
@@ -268,7 +280,9 @@ def main_text(pages: DataFrame, long: int = LONG, covered: float = COVERED, shar
                 values = np.concatenate([x for _, x in found])
                 keys, streams = np.array([p[0] for p, _ in found], dtype=np.int64), np.array([p[1] for p, _ in found], dtype=np.uint64)
                 counts = np.array([len(x) for _, x in found], dtype=np.int32)
-                rows.append((host, part, keys.tobytes(), streams.tobytes(), b"".join(p[2] for p, _ in found), counts.tobytes(), values.astype(np.uint32).tobytes(), zlib.compress((values >> np.uint64(32)).astype(np.uint8).tobytes(), 1)))
+                low, high = values.astype(np.uint32), (values >> np.uint64(32)).astype(np.uint8)
+                signs = b"".join(p[2] for p, _ in found)
+                rows.append((host, part, keys.tobytes(), streams.tobytes(), signs, counts.tobytes(), low.tobytes(), zlib.compress(high.tobytes(), 1)))
             if rows:
                 yield pd.DataFrame(rows, columns=["host", "part", "keys", "streams", "signs", "counts", "low", "high"])
 
@@ -308,7 +322,11 @@ def main_text(pages: DataFrame, long: int = LONG, covered: float = COVERED, shar
 
     @F.pandas_udf("string")
     def text_beside(texts: pd.Series, heads: pd.Series) -> pd.Series:
-        return pd.Series([unique_runs(zlib.decompress(t).decode("utf-8", "surrogatepass").split("\n"), np.frombuffer(b"".join(h), dtype=np.uint64) if h is not None else np.zeros(0, dtype=np.uint64), long, covered) for t, h in zip(texts, heads, strict=True)], dtype=object)
+        out = []
+        for packed, found in zip(texts, heads, strict=True):
+            blocks = zlib.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
+            out.append(unique_runs(blocks, np.frombuffer(b"".join(found if found is not None else []), dtype=np.uint64), long, covered))
+        return pd.Series(out, dtype=object)
 
     alone = pages.where(~flagged("key")).select("page_id", "url", text_alone("html").alias("text"))
     beside = pages.where(flagged("key")).select("page_id", "url", "key", packed_text("html").alias("packed"))

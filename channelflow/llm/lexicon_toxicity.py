@@ -168,8 +168,7 @@ class LexiconAutomaton:
         """The state of these readings and of those that come with a lost letter."""
         if read not in self.states:
             lost = {(child, 1, "") for node, edits, awaited in read if not edits and not awaited for child in self.children[node].values() if self.inexact[child]}
-            ends = lambda found: [(2 - edits, self.entry[node]) for node, edits, awaited in found if not awaited and node in self.entry and (not edits or self.entry[node] not in self.exact)]
-            full, begun = ends(read | lost), ends(read)
+            full, begun = self.ends(read | lost), self.ends(read)
             self.states[read] = len(self.sets)
             self.sets.append(read | lost)
             self.steps.append({})
@@ -179,6 +178,11 @@ class LexiconAutomaton:
             self.entries.append(frozenset(word for level, word in full if level == 1) - self.spelled[-1])
         return self.states[read]
 
+    def ends(self, read: frozenset) -> list[tuple[int, str]]:
+        """(2 as spelled or 1 with an edit, entry) of the readings that end an entry."""
+        words = [(2 - edits, self.entry[node]) for node, edits, awaited in read if not awaited and node in self.entry]
+        return [(level, word) for level, word in words if level == 2 or word not in self.exact]
+
     def step(self, at: int, c: str) -> int:
         """-1: no entry can follow any more."""
         read = set()

@@ -140,7 +140,9 @@ def date(m: Column, key: str) -> Column:
         day = F.date_add(F.lit("1900-01-01").cast("date"), (left * 4297 + right).cast("int"))
         short = lambda number, like: F.when(F.length(like) == 1, number.cast("string")).otherwise(F.lpad(number.cast("string"), 2, "0"))
         joined = F.when(m.contains("/"), "/").otherwise(".")
-        return F.when(iso, F.date_format(day, "yyyy-MM-dd")).when(american, F.concat(short(F.month(day), at(1)), joined, short(F.dayofmonth(day), at(2)), joined, F.year(day))).otherwise(F.concat(short(F.dayofmonth(day), at(1)), joined, short(F.month(day), at(2)), joined, F.year(day)))
+        month_day = F.concat(short(F.month(day), at(1)), joined, short(F.dayofmonth(day), at(2)), joined, F.year(day))
+        day_month = F.concat(short(F.dayofmonth(day), at(1)), joined, short(F.month(day), at(2)), joined, F.year(day))
+        return F.when(iso, F.date_format(day, "yyyy-MM-dd")).when(american, month_day).otherwise(day_month)
 
     number = F.datediff(value, F.lit("1900-01-01").cast("date")).cast("long")
     return F.when(value.isNull(), m).otherwise(in_pair(F.floor(number / 4297), number % 4297, 17, 4297, key, "date", write))

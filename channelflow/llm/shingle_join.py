@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, release_memory, text_of
-from .components import components, part_size, spread_join
+from .components import components, frequent_keys, part_size, spread_join
 
 WORDS = 4
 PERCENT = 85
@@ -151,7 +151,7 @@ def bit_filter(ids: DataFrame) -> np.ndarray:
 
 
 def overlaps(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, with_difference: bool, total: int) -> DataFrame:
-    """Adds the exact overlap to pairs(a, b, na, nb) of set ids, and by choice what a lacks of b (places in b) and has beside it.
+    """Adds the exact overlap to pairs(a, b, na, nb) of set ids, and by choice what a lacks of b (places in b) and has beside it; then a is unique.
 
     Only documents that stand for such a set are read again into sets, once for each side of the pairs. Sets travel as 48 bits a shingle.
     """
@@ -192,8 +192,8 @@ def overlaps(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, wit
         return pd.DataFrame(rows, columns=["common", "lost", "own"]).astype({"common": "int32"})
 
     # repeated rows of a document give repeated pairs
-    met = spread_join(pairs, fetched("b"), "b", "a", total)
-    met = met.join(fetched("a"), "a") if with_difference else spread_join(pairs, fetched("a"), "a", "b", total).join(met.select("a", "b", "set_b"), ["a", "b"])
+    met = spread_join(pairs, fetched("b"), "b", "a", frequent_keys(pairs, "b", total))
+    met = spread_join(met, fetched("a"), "a", "b", [] if with_difference else frequent_keys(pairs, "a", total))
     return met.withColumn("x", compared("set_a", "set_b")).select("a", "b", "na", "nb", "x.common", "x.lost", "x.own").dropDuplicates(["a", "b"])
 
 
@@ -223,9 +223,9 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     levels, many, long_list = frequency_levels(docs, words)
     rows = cut(document_sets(docs, levels, many, words, percent))
     total = rows.count()
-    some = rows.where("sid is not null").groupBy("sid")
-    reps = some.agg(F.min("doc_id").alias("rep"))
-    starts = some.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("start").alias("start"), F.first("hot").alias("hot")).where("start is not null and rep is not null")
+    firsts = [F.first(c).alias(c) for c in ("n", "start", "hot")]
+    sets = cut(rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), *firsts))
+    reps, starts = sets.select("sid", "rep"), sets.where("start is not null and rep is not null")
 
     # the index: lists of two or more sets, each with its hub; the longest lists, a bounded number, are counted apart and known to all tasks
     entry = starts.select("sid", "n", "hot", F.posexplode("start").alias("pos", "h"))
@@ -256,7 +256,7 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
         most = F.least("shared_a", "shared_b")
         if exact:
             most = F.least(most, c("lists") + F.least("long_a", "long_b"))
-        joined = spread_join(pairs.join(side("a"), "a"), side("b"), "b", "a", total) if not exact else pairs.join(side("a"), "a").join(side("b"), "b")
+        joined = spread_join(pairs.join(side("a"), "a"), side("b"), "b", "a", [] if exact else frequent_keys(pairs, "b", total))
         return joined.where(most + F.greatest(rest(c("na")), rest(c("nb"))) >= at_least(c("na"), c("nb"), percent)).select("a", "b", "na", "nb", "lists")
 
     # short lists give their pairs, counted over all lists; of long ones each set is paired with the hub only
@@ -271,7 +271,8 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     counted = counted.join(reached.select(c("sid").alias("a"), c("long").alias("long_lists")), "a").where("can or long_lists > 0").drop("can", "long_lists")
     paired = cut(plausible(counted, True))
     long_lists = live.where((c("size") > SHORT) & (c("sid") != hub["sid"]))
-    with_hub = long_lists.where(fits(c("n"), hub["n"])).groupBy(c("sid").alias("a"), hub["sid"].alias("b"), c("n").alias("na"), hub["n"].alias("nb")).agg(F.count("*").alias("lists"))
+    of_pair = c("sid").alias("a"), hub["sid"].alias("b"), c("n").alias("na"), hub["n"].alias("nb")
+    with_hub = cut(long_lists.where(fits(c("n"), hub["n"])).groupBy(*of_pair).agg(F.count("*").alias("lists")))
 
     # each set is compared with the one, of greater id in short lists, that it shares most lists with
     either = paired.unionByName(plausible(with_hub, False))
@@ -301,7 +302,7 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     ahead = c("x.sid") < c("y.sid")
     either_way = lambda one, two: F.when(ahead, c(one)).otherwise(c(two))
     met = met.select(either_way("x.sid", "y.sid").alias("a"), either_way("y.sid", "x.sid").alias("b"), either_way("x.n", "y.n").alias("na"), either_way("y.n", "x.n").alias("nb"))
-    met = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("lists"))
+    met = cut(met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("lists")))
     across = apart.unionByName(plausible(met, False).drop("lists")).distinct()
 
     # overlaps with a common hub decide a pair where they can; else the differences to it give the exact overlap
@@ -327,6 +328,6 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
 
     classes = reps.join(member.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     names = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = spread_join(classes, names, "component", "sid", total).select("sid", "component_id")
-    out = spread_join(rows, named, "sid", "doc_id", total, "left")
+    named = spread_join(classes, names, "component", "sid", frequent_keys(member, "component", total)).select("sid", "component_id")
+    out = spread_join(rows, named, "sid", "doc_id", frequent_keys(rows, "sid", total), "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

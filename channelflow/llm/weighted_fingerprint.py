@@ -211,7 +211,9 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, rows_a_block: i
                     k = len(last) // 2
                     edited = last[: len(last) - k] + text[:k]
                     edited_sign = own.signature(edited)
-                    out.append((last_id, len(last), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), as_text(last_sign, samples), as_text(edited_sign, samples), likeness(last_sign, edited_sign), likeness(last_sign, sign)))
+                    digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+                    signs = as_text(last_sign, samples), as_text(edited_sign, samples)
+                    out.append((last_id, len(last), digest, *signs, likeness(last_sign, edited_sign), likeness(last_sign, sign)))
                 held = None if head else (doc_id, text, sign)
             if out:
                 frame = pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
