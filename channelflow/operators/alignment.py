@@ -78,9 +78,12 @@ def padded_similarity(sets: DataFrame, template: DataFrame, threshold: float = 0
 def greedy_similarity(sets: DataFrame, template: DataFrame) -> DataFrame:
     """Repeatedly the greatest absolute correlation left, its row and column struck out; ties by row, then column."""
     joined = _with_target(sets, template)
-    cells = F.flatten(F.transform("maps", lambda x: F.transform("target", lambda y: F.struct((-F.round(F.coalesce(F.abs(V.correlation(x["m"], y["m"])), F.lit(0.0)), 12)).alias("n"), x["k"].alias("i"), y["k"].alias("j")))))
+    less = lambda x, y: -F.round(F.coalesce(F.abs(V.correlation(x["m"], y["m"])), F.lit(0.0)), 12)
+    cell = lambda x, y: F.struct(less(x, y).alias("n"), x["k"].cast("int").alias("i"), y["k"].cast("int").alias("j"))
+    cells = F.flatten(F.transform("maps", lambda x: F.transform("target", lambda y: cell(x, y))))
     empty = F.expr("cast(array() as array<struct<n: double, i: int, j: int>>)")
-    pick = F.aggregate(F.array_sort(cells), empty, lambda got, c: F.when(F.exists(got, lambda g: (g["i"] == c["i"]) | (g["j"] == c["j"])), got).otherwise(F.concat(got, F.array(F.struct(c["n"].cast("double").alias("n"), c["i"].cast("int").alias("i"), c["j"].cast("int").alias("j"))))))
+    taken = lambda got, c: F.exists(got, lambda g: (g["i"] == c["i"]) | (g["j"] == c["j"]))
+    pick = F.aggregate(F.array_sort(cells), empty, lambda got, c: F.when(taken(got, c), got).otherwise(F.concat(got, F.array(c))))
     return joined.select("subject", F.explode(pick).alias("g")).select("subject", F.col("g.i").alias("k_src"), F.col("g.j").alias("k_dst"), (-F.col("g.n")).alias("r"))
 
 

@@ -49,8 +49,13 @@ def criteria(data: np.ndarray, maps: np.ndarray, polarity: bool, n_total: int |
     return label, variance * (channels - 1) ** 2 / free**2 if free else np.inf, gev
 
 
-def kmeans_run(data: np.ndarray, k: int, restart: int, seed: int, polarity: bool = False, tolerance: float = 1e-6, rounds: int = 1000, n_total: int | None = None) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
-    """Maps, labels, criterion and explained variances of one restart: samples go to the map of greatest squared product, maps become their samples' principal vector. A map that loses all samples stays."""
+def kmeans_run(
+    data: np.ndarray, k: int, restart: int, seed: int, polarity: bool = False, tolerance: float = 1e-6, rounds: int = 1000, n_total: int | None = None
+) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """Maps, labels, criterion and explained variances of one restart.
+
+    Samples go to the map of greatest squared product, maps become their samples' principal vector. A map that loses all samples stays.
+    """
     rng = np.random.default_rng([seed, k, restart])
     power = (data**2).sum()
     maps = data[rng.permutation(len(data))[:k]]
@@ -190,7 +195,8 @@ def component_scores(samples: DataFrame, components: DataFrame, centre: bool) ->
     sets = components.groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("i", "vector"))).alias("components"))
     rows = samples.join(sets, "subject")
     if centre:
-        means = samples.select("subject", F.posexplode("v").alias("ch", "x")).groupBy("subject", "ch").agg(F.avg("x").alias("m")).groupBy("subject").agg(F.transform(F.array_sort(F.collect_list(F.struct("ch", "m"))), lambda s: s["m"]).alias("means"))
+        means = samples.select("subject", F.posexplode("v").alias("ch", "x")).groupBy("subject", "ch").agg(F.avg("x").alias("m"))
+        means = means.groupBy("subject").agg(F.transform(F.array_sort(F.collect_list(F.struct("ch", "m"))), lambda s: s["m"]).alias("means"))
         rows = rows.join(means, "subject").withColumn("v", F.zip_with("v", "means", lambda x, m: x - m))
     return rows.select("subject", "t", F.transform("components", lambda c: V.dot(F.col("v"), c["vector"])).alias("v"))
 

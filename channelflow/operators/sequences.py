@@ -60,7 +60,8 @@ def duration_trimmed(seq: DataFrame) -> DataFrame:
     """Mean run in samples without the sequence's last run; the first run's state loses its first one, or else the last run's state its last stored one. 0 without runs."""
     stored = runs(seq)
     whole = Window.partitionBy("subject")
-    stored = stored.withColumn("first_state", F.max(F.when(F.col("first"), F.col("state"))).over(whole)).withColumn("last_state", F.max(F.when(F.col("last"), F.col("state"))).over(whole)).where("not last")
+    at_end = lambda end: F.max(F.when(F.col(end), F.col("state"))).over(whole)
+    stored = stored.withColumn("first_state", at_end("first")).withColumn("last_state", at_end("last")).where("not last")
     by_state = Window.partitionBy("subject", "state")
     stored = stored.withColumn("i", F.row_number().over(by_state.orderBy("run"))).withColumn("n", F.count("*").over(by_state))
     lost = F.when(F.col("state") == F.col("first_state"), F.col("i") == 1).when(F.col("state") == F.col("last_state"), F.col("i") == F.col("n")).otherwise(False)
@@ -197,7 +198,9 @@ def entropy_rate(seq: DataFrame) -> DataFrame:
 
 def indicators(seq: DataFrame) -> DataFrame:
     """One 0/1 series for each subject and state: subject, state, t, x."""
-    return seq.alias("a").join(seq.select("state").where("state is not null").distinct().alias("s"), how="cross").select(F.col("a.subject"), F.col("s.state"), F.col("a.t"), F.coalesce((F.col("a.state") == F.col("s.state")).cast("double"), F.lit(0.0)).alias("x"))
+    states = seq.where("state is not null").agg(F.array_sort(F.collect_set("state")).alias("_states"))  # one row: the few states travel as an array
+    each = seq.join(F.broadcast(states), how="cross").select("subject", "t", F.col("state").alias("_own"), F.explode("_states").alias("state"))
+    return each.select("subject", "state", "t", F.coalesce((F.col("_own") == F.col("state")).cast("double"), F.lit(0.0)).alias("x"))
 
 
 def hurst_rs(series: DataFrame, keys: Sequence[str], least: int = 16, most: int = 1024) -> DataFrame:
@@ -205,7 +208,8 @@ def hurst_rs(series: DataFrame, keys: Sequence[str], least: int = 16, most: int
     whole = Window.partitionBy(*keys)
     counted = series.withColumn("n", F.count("*").over(whole)).where(F.col("n") >= 4 * least)
     sizes = [least << i for i in range(20) if least << i <= most]
-    scales = counted.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes]))).where((F.col("size") <= F.greatest(F.least(F.floor(F.col("n") / 4), F.lit(most)), F.lit(least))) & (F.floor(F.col("n") / F.col("size")) >= 4))
+    fits = (F.col("size") <= F.greatest(F.least(F.floor(F.col("n") / 4), F.lit(most)), F.lit(least))) & (F.floor(F.col("n") / F.col("size")) >= 4)
+    scales = counted.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes]))).where(fits)
     blocks = scales.withColumn("block", F.floor(F.col("t") / F.col("size"))).where(F.col("block") < F.floor(F.col("n") / F.col("size")))
     block = Window.partitionBy(*keys, "size", "block")
     walked = blocks.withColumn("z", F.sum("x").over(block.orderBy("t")) - (F.row_number().over(block.orderBy("t")) * F.avg("x").over(block)))
@@ -231,7 +235,9 @@ def dfa(series: DataFrame, keys: Sequence[str], scales: Sequence[int]) -> DataFr
     whole = Window.partitionBy(*keys)
     walked = series.withColumn("y", F.sum("x").over(whole.orderBy("t")) - (F.col("t") + 1) * F.avg("x").over(whole)).withColumn("n", F.count("*").over(whole))
     cut = walked.withColumn("scale", F.explode(F.array(*[F.lit(s) for s in scales]))).withColumn("w", F.floor(F.col("t") / F.col("scale"))).where(F.col("w") < F.floor(F.col("n") / F.col("scale")))
-    rest = cut.groupBy(*keys, "scale", "w").agg((F.regr_syy("y", F.col("t").cast("double")) - F.coalesce(F.try_divide(F.pow(F.regr_sxy("y", F.col("t").cast("double")), F.lit(2.0)), F.regr_sxx("y", F.col("t").cast("double"))), F.lit(0.0))).alias("ss"))
+    t = F.col("t").cast("double")
+    explained = F.coalesce(F.try_divide(F.pow(F.regr_sxy("y", t), F.lit(2.0)), F.regr_sxx("y", t)), F.lit(0.0))
+    rest = cut.groupBy(*keys, "scale", "w").agg((F.regr_syy("y", t) - explained).alias("ss"))
     flat = rest.groupBy(*keys, "scale").agg(F.sqrt(F.avg(F.greatest(F.col("ss"), F.lit(0.0)) / F.col("scale"))).alias("f"))
     return flat.where("f > 0").groupBy(*keys).agg(F.regr_slope(F.log2("f"), F.log2("scale")).alias("dfa"))
 
@@ -252,7 +258,8 @@ def homogeneity_g(seq: DataFrame, block: int) -> DataFrame:
     """G statistic of the test that order-1 transitions are alike in whole blocks of the sequence; pairs don't cross blocks."""
     whole = Window.partitionBy("subject")
     blocked = seq.withColumn("len", F.count("*").over(whole)).withColumn("b", F.floor(F.col("t") / block)).where(F.col("b") < F.floor(F.col("len") / block))
-    pairs = blocked.withColumn("next", F.lead("state").over(Window.partitionBy("subject", "b").orderBy("t"))).withColumn("there", F.lead("t").over(Window.partitionBy("subject", "b").orderBy("t")).isNotNull()).where("there")
+    inside = Window.partitionBy("subject", "b").orderBy("t")
+    pairs = blocked.withColumn("next", F.lead("state").over(inside)).withColumn("there", F.lead("t").over(inside).isNotNull()).where("there")
     counted = pairs.groupBy("subject", "b", "state", "next").agg(F.count("*").cast("double").alias("n"))
     over = lambda *cols: F.sum("n").over(Window.partitionBy("subject", *cols))
     n = F.col("n")

@@ -13,7 +13,9 @@ from channelflow.functions import vectors as V
 def weighted_stats(df: DataFrame, keys: Sequence[str], x: str, w: str) -> DataFrame:
     """Weighted mean and population deviation. Both from one pass over shifted sums would lose digits, so the mean is joined back."""
     means = df.groupBy(*keys).agg(F.try_divide(F.sum(F.col(x) * F.col(w)), F.sum(w)).alias("mean"))
-    return df.join(F.broadcast(means) if not keys else means, list(keys)).groupBy(*keys).agg(F.first("mean").alias("mean"), F.sqrt(F.try_divide(F.sum(F.pow(F.col(x) - F.col("mean"), F.lit(2)) * F.col(w)), F.sum(w))).alias("std"))
+    beside = df.join(means, list(keys)) if keys else df.join(F.broadcast(means), how="cross")  # one row
+    squares = F.sum(F.pow(F.col(x) - F.col("mean"), F.lit(2)) * F.col(w))
+    return beside.groupBy(*keys).agg(F.first("mean").alias("mean"), F.sqrt(F.try_divide(squares, F.sum(w))).alias("std"))
 
 
 def iqr_filter(df: DataFrame, keys: Sequence[str], x: str, factor: float = 1.5) -> DataFrame:
@@ -47,7 +49,10 @@ def silhouette(points: DataFrame, rows_a_block: int = 2000) -> DataFrame:
     away = lambda o: V.norm(F.zip_with(F.col("v"), o["v"], lambda x, y: x - y))
     each = here.select("file", "i", "label", F.transform(F.filter("others", lambda o: o["i"] != F.col("i")), lambda o: F.struct(o["label"].alias("other"), away(o).alias("d"))).alias("ds"))
     labels = F.array_distinct(F.transform("ds", lambda x: x["other"]))
-    sums = each.select("file", "i", "label", F.explode(F.transform(labels, lambda k: F.struct(k.alias("other"), F.aggregate("ds", F.lit(0.0), lambda a, x: a + F.when(x["other"] == k, x["d"]).otherwise(0.0)).alias("s"), F.size(F.filter("ds", lambda x: x["other"] == k)).alias("n")))).alias("x"))
+    total = lambda k: F.aggregate("ds", F.lit(0.0), lambda a, x: a + F.when(x["other"] == k, x["d"]).otherwise(0.0))
+    number = lambda k: F.size(F.filter("ds", lambda x: x["other"] == k))
+    of_label = F.transform(labels, lambda k: F.struct(k.alias("other"), total(k).alias("s"), number(k).alias("n")))
+    sums = each.select("file", "i", "label", F.explode(of_label).alias("x"))
     mean = sums.groupBy("file", "i", "label", F.col("x.other").alias("other")).agg((F.sum("x.s") / F.sum("x.n")).alias("d"))
     per = mean.groupBy("file", "i", "label").agg(F.min(F.when(F.col("other") == F.col("label"), F.col("d"))).alias("a"), F.min(F.when(F.col("other") != F.col("label"), F.col("d"))).alias("b"))
     width = F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
@@ -146,7 +151,8 @@ def repaired_channels(samples: DataFrame, bads: DataFrame, places: DataFrame, po
     weights = bads.join(at, "ch").join(other, F.col("ch") != F.col("from_ch")).join(bads.select("subject", F.col("ch").alias("from_ch")), ["subject", "from_ch"], "left_anti")
     weights = weights.select("subject", "ch", "from_ch", F.pow(F.greatest(apart, F.lit(1e-9)), F.lit(-power)).alias("w"))  # bad channels by channels: a dimension
     good = samples.join(bads, ["subject", "ch"], "left_anti")
-    made = good.select("subject", "t", F.col("ch").alias("from_ch"), "x").join(weights, ["subject", "from_ch"]).groupBy("subject", "t", "ch").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
+    weighed = good.select("subject", "t", F.col("ch").alias("from_ch"), "x").join(weights, ["subject", "from_ch"])
+    made = weighed.groupBy("subject", "t", "ch").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
     lost = samples.join(bads, ["subject", "ch"], "left_semi").select("subject", "t", "ch").join(made, ["subject", "t", "ch"], "left")
     return good.select("subject", "t", "ch", "x").unionByName(lost.select("subject", "t", "ch", "x"))
 
@@ -172,7 +178,9 @@ def quality_summary(quality: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def mean_best_k(best: DataFrame, least: int = 2) -> DataFrame:
-    """task, mean_opt_k, place: the mean best number of maps of each task over its subjects, cut to a whole number, and its place in lists that begin with `least` maps; best(subject, task, k_total)."""
+    """task, mean_opt_k, place: the mean best number of maps of each task over its subjects, cut to a whole number, and its place in lists that begin with `least` maps.
+
+    best(subject, task, k_total)."""
     per = best.groupBy("task").agg(F.floor(F.avg("k_total")).cast("int").alias("mean_opt_k"))
     return per.withColumn("place", F.col("mean_opt_k") - least)
 
@@ -182,7 +190,8 @@ def condition_parameters(parameters: DataFrame, conditions: DataFrame) -> DataFr
 
     parameters(subject, task, epoch, state, duration, occurrence, coverage), conditions(condition, place, task)."""
     rows = parameters.join(conditions.select("condition", "task"), "task")
-    return rows.groupBy("subject", "condition", "state").agg(nonzero_mean(F.col("duration")).alias("duration"), nonzero_mean(F.col("occurrence")).alias("occurrence"), F.avg("coverage").alias("coverage"))
+    lengths = [nonzero_mean(F.col(c)).alias(c) for c in ("duration", "occurrence")]
+    return rows.groupBy("subject", "condition", "state").agg(*lengths, F.avg("coverage").alias("coverage"))
 
 
 def in_bands(spectrum: DataFrame, bands: DataFrame) -> DataFrame:

@@ -40,7 +40,8 @@ def merged_tasks(rows: DataFrame, merges: DataFrame) -> DataFrame:
 def complete_pairs(rows: DataFrame, active: str, reference: str) -> DataFrame:
     """log power of the active task less that of the reference task: rows(subject, task, band, ch, log_power)."""
     one = lambda task, name: F.max(F.when(F.col("task") == task, F.col("log_power"))).alias(name)
-    return rows.where(F.col("task").isin(active, reference)).groupBy("subject", "band", "ch").agg(one(active, "a"), one(reference, "r")).where("a is not null and r is not null").select("subject", "band", "ch", (F.col("a") - F.col("r")).alias("related_power"))
+    both = rows.where(F.col("task").isin(active, reference)).groupBy("subject", "band", "ch").agg(one(active, "a"), one(reference, "r")).where("a is not null and r is not null")
+    return both.select("subject", "band", "ch", (F.col("a") - F.col("r")).alias("related_power"))
 
 
 def joined_tasks(*parts: DataFrame) -> DataFrame:

@@ -55,7 +55,8 @@ def read_matrices(spark: SparkSession, path: str, columns: int, header: bool = F
     """CSV files of numbers as (path, t, v): rows are times. The header is an explicit choice. Lines that aren't numbers give nulls inside v, none is dropped."""
     schema = T.StructType([T.StructField(f"c{i}", T.DoubleType()) for i in range(columns)])
     lines = spark.read.option("recursiveFileLookup", True).csv(path, schema=schema, header=header, sep=sep, mode="PERMISSIVE")
-    rows = lines.select(F.input_file_name().alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), F.array(*[F.col(f"c{i}") for i in range(columns)]).alias("v"))
+    v = F.array(*[F.col(f"c{i}") for i in range(columns)]).alias("v")
+    rows = lines.select(F.input_file_name().alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), v)
     order = Window.partitionBy("path").orderBy("block", "i")
     return rows.select("path", (F.row_number().over(order) - 1).cast("long").alias("t"), "v")
 
@@ -84,7 +85,8 @@ def has_header(spark: SparkSession, path: str) -> bool:
 def index_column(df: DataFrame, column: str) -> bool:
     """Whether a column of df(path, ...) numbers the rows of each file: whole numbers, all different, without gaps."""
     x = F.col(column).cast("double")
-    per = df.groupBy("path").agg(F.count("*").alias("n"), F.countDistinct(x).alias("different"), (F.max(x) - F.min(x)).alias("span"), F.bool_and(F.coalesce(x == F.floor(x), F.lit(False))).alias("whole"))
+    whole = F.bool_and(F.coalesce(x == F.floor(x), F.lit(False))).alias("whole")
+    per = df.groupBy("path").agg(F.count("*").alias("n"), F.countDistinct(x).alias("different"), (F.max(x) - F.min(x)).alias("span"), whole)
     return bool(per.agg(F.bool_and(F.col("whole") & (F.col("different") == F.col("n")) & (F.col("span") == F.col("n") - 1))).first()[0])
 
 
@@ -118,16 +120,21 @@ def read_maps(spark: SparkSession, path: str) -> DataFrame:
 
 def read_map_lists(spark: SparkSession, path: str) -> DataFrame:
     """Files of {task: {maps_list, cv_list, gev_list, min_maps, ...}} as (subject, task, k_total, k, m, cv, gev)."""
-    entry = T.StructType([T.StructField("maps_list", T.ArrayType(MATRIX)), T.StructField("cv_list", T.ArrayType(T.DoubleType())), T.StructField("gev_list", MATRIX), T.StructField("min_maps", T.IntegerType())])
+    fields = {"maps_list": T.ArrayType(MATRIX), "cv_list": T.ArrayType(T.DoubleType()), "gev_list": MATRIX, "min_maps": T.IntegerType()}
+    entry = T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
     files = _whole_files(spark, path).select(file_stem(F.col("path")).alias("subject"), F.explode(F.from_json("text", T.MapType(T.StringType(), entry))).alias("task", "e"))
     lists = files.select("subject", "task", F.posexplode("e.maps_list").alias("i", "maps"), "e")
-    return lists.select("subject", "task", (F.col("i") + F.coalesce("e.min_maps", F.lit(2))).alias("k_total"), F.posexplode("maps").alias("k", "m"), F.get("e.cv_list", F.col("i")).alias("cv"), F.get("e.gev_list", F.col("i")).alias("gevs")).withColumn("gev", F.get("gevs", F.col("k"))).drop("gevs")
+    k_total = (F.col("i") + F.coalesce("e.min_maps", F.lit(2))).alias("k_total")
+    of_set = F.get("e.cv_list", F.col("i")).alias("cv"), F.get("e.gev_list", F.col("i")).alias("gevs")
+    return lists.select("subject", "task", k_total, F.posexplode("maps").alias("k", "m"), *of_set).withColumn("gev", F.get("gevs", F.col("k"))).drop("gevs")
 
 
 def read_montage(spark: SparkSession, path: str) -> DataFrame:
     """.locs files (number, angle, radius, name) as (ch, angle, radius, name)."""
     p = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).where(F.trim("value") != "").select((F.get(p, F.lit(0)).cast("int") - 1).alias("ch"), F.get(p, F.lit(1)).cast("double").alias("angle"), F.get(p, F.lit(2)).cast("double").alias("radius"), F.rtrim(F.get(p, F.lit(3))).alias("name"))
+    number = lambda i: F.get(p, F.lit(i)).cast("double")
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select((number(0).cast("int") - 1).alias("ch"), number(1).alias("angle"), number(2).alias("radius"), F.rtrim(F.get(p, F.lit(3))).alias("name"))
 
 
 def channels(spark: SparkSession) -> DataFrame:
@@ -163,7 +170,9 @@ def read_prior_statistic(spark: SparkSession, path: str) -> DataFrame:
 def read_markers(spark: SparkSession, path: str) -> DataFrame:
     """Marker files' stimulus lines as (path, marker, sample)."""
     line = r"^Mk(\d+)=Stimulus,[^,]*,(\d+)"
-    return spark.read.text(path).where(F.col("value").rlike(line)).select(F.input_file_name().alias("path"), F.regexp_extract("value", line, 1).cast("int").alias("marker"), F.regexp_extract("value", line, 2).cast("long").alias("sample"))
+    part = lambda i: F.regexp_extract("value", line, i)
+    found = spark.read.text(path).where(F.col("value").rlike(line))
+    return found.select(F.input_file_name().alias("path"), part(1).cast("int").alias("marker"), part(2).cast("long").alias("sample"))
 
 
 def conditions(spark: SparkSession, mapping: dict[str, list[str]] | str) -> DataFrame:
