@@ -24,14 +24,17 @@ def frequent_keys(rows: DataFrame, key: str, total: int) -> list[tuple[int, int]
 
 
 def spread_join(rows: DataFrame, one: DataFrame, key: str, by: str, frequent: list[tuple[int, int]], how: str = "inner") -> DataFrame:
-    """rows joined with one (unique by key), the frequent keys of rows in parts by the hash of `by`, for each of which `one` has a copy."""
+    """rows joined with one (unique by key), the frequent keys of rows in parts by the hash of `by`, for each of which `one` has a copy.
+
+    A merge join, however small `one` may be: tables that are broadcast are built on the driver, and steps that repeat would leave many there.
+    """
     if not frequent:
-        return rows.join(one, key, how)
+        return rows.join(one.hint("merge"), key, how)
     parts = F.broadcast(rows.sparkSession.createDataFrame(frequent, f"{key} {dict(rows.dtypes)[key]}, _parts int"))  # MOST_KEYS at most
     n = F.coalesce("_parts", F.lit(1))
     left = rows.join(parts, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), n).cast("int")).drop("_parts")
     right = one.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts")
-    return left.join(right, [key, "_part"], how).drop("_part")
+    return left.join(right.hint("merge"), [key, "_part"], how).drop("_part")
 
 
 def components(links: DataFrame) -> DataFrame:

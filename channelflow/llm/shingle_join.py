@@ -107,6 +107,7 @@ def frequency_levels(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
     # sketch counts below the usual fill of a counter tell nothing of their shingle
     usual = int(np.median(levels)) + 1
     size = part_size(int(many.sum()))
+    release_memory()
     return np.where(levels <= usual, 0, levels - usual).astype(np.uint8), many > size, size
 
 
@@ -147,6 +148,8 @@ def bit_filter(ids: DataFrame) -> np.ndarray:
     found = words.toPandas()
     out = np.zeros(1 << (FILTER - 6), dtype=np.int64)
     out[found["w"].to_numpy(dtype=np.int64)] = found["b"].to_numpy(dtype=np.int64)
+    del found
+    release_memory()
     return out
 
 
@@ -256,7 +259,7 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
         most = F.least("shared_a", "shared_b")
         if exact:
             most = F.least(most, c("lists") + F.least("long_a", "long_b"))
-        joined = spread_join(pairs.join(side("a"), "a"), side("b"), "b", "a", [] if exact else frequent_keys(pairs, "b", total))
+        joined = spread_join(pairs.join(side("a").hint("merge"), "a"), side("b"), "b", "a", [] if exact else frequent_keys(pairs, "b", total))
         return joined.where(most + F.greatest(rest(c("na")), rest(c("nb"))) >= at_least(c("na"), c("nb"), percent)).select("a", "b", "na", "nb", "lists")
 
     # short lists give their pairs, counted over all lists; of long ones each set is paired with the hub only
@@ -268,7 +271,7 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     within = F.flatten(F.transform("xs", lambda x: F.transform(after(x), lambda y: pair(x, y))))
     counted = short.select(F.explode(within).alias("p")).groupBy("p.a", "p.b", "p.na", "p.nb").agg(F.count("*").alias("lists"), F.bool_or("p.can").alias("can"))
     # a pair whose first shared place is in a long list may have none in a short one that would do
-    counted = counted.join(reached.select(c("sid").alias("a"), c("long").alias("long_lists")), "a").where("can or long_lists > 0").drop("can", "long_lists")
+    counted = counted.join(reached.select(c("sid").alias("a"), c("long").alias("long_lists")).hint("merge"), "a").where("can or long_lists > 0").drop("can", "long_lists")
     paired = cut(plausible(counted, True))
     long_lists = live.where((c("size") > SHORT) & (c("sid") != hub["sid"]))
     of_pair = c("sid").alias("a"), hub["sid"].alias("b"), c("n").alias("na"), hub["n"].alias("nb")
@@ -285,8 +288,8 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     # pairs across components are left: those of short lists, and of the long lists that still hold several
     of = member.withColumnRenamed("node", "sid")
     home = lambda side: of.select(c("sid").alias(side), c("component").alias(f"home_{side}"))
-    apart = paired.join(home("a"), "a", "left").join(home("b"), "b", "left").where(F.coalesce("home_a", "a") != F.coalesce("home_b", "b")).select("a", "b", "na", "nb")
-    entries = live.where(c("size") > SHORT).select("h", "sid", "n", "pos", "size").join(of, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    apart = paired.join(home("a").hint("merge"), "a", "left").join(home("b").hint("merge"), "b", "left").where(F.coalesce("home_a", "a") != F.coalesce("home_b", "b")).select("a", "b", "na", "nb")
+    entries = live.where(c("size") > SHORT).select("h", "sid", "n", "pos", "size").join(of.hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     by_component = entries.groupBy("h", "size", "component").agg(F.count("*").alias("m"))
     several = by_component.groupBy("h", "size").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
 
@@ -294,7 +297,7 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     parts = F.ceil(F.sqrt(c("size")) * LIST_PARTS).cast("int")
     every_part = F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
     own_part = F.pmod(F.xxhash64("sid"), parts).cast("int")
-    open_lists = cut(entries.withColumn("part", own_part).join(several.select("h", "main", every_part), ["h", "part"]))
+    open_lists = cut(entries.withColumn("part", own_part).join(several.select("h", "main", every_part).hint("merge"), ["h", "part"]))
     x, y = open_lists.alias("x"), open_lists.where("component <> main").drop("part").select("*", every_part).alias("y")
     once = (c("x.component") == c("x.main")) | (c("x.sid") < c("y.sid"))
     fit = can_link(c("x.n"), c("x.pos"), c("y.n"), c("y.pos"))
@@ -311,7 +314,7 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     def hub_of(s: str) -> DataFrame:
         return to.select(c("sid").alias(s), c("hub").alias(f"hub_{s}"), c("o").alias(f"o_{s}"), c("close").alias(f"close_{s}"), *([c("hub_n")] if s == "a" else []))
 
-    known = across.join(hub_of("a"), "a", "left").join(hub_of("b"), "b", "left")
+    known = across.join(hub_of("a").hint("merge"), "a", "left").join(hub_of("b").hint("merge"), "b", "left")
     known = known.where(~F.coalesce((c("hub_a") == c("b")) | (c("hub_b") == c("a")), F.lit(False)))  # compared already
     same = F.coalesce((c("hub_a") == c("hub_b")) & c("close_a") & c("close_b"), F.lit(False))
     need = at_least(c("na"), c("nb"), percent)
@@ -319,14 +322,14 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     sure = (same & (c("o_a") + c("o_b") - c("hub_n") >= need)).alias("sure")
     known = cut(known.where(~(same & (upper < need))).select("a", "b", "na", "nb", same.alias("same"), "hub_n", sure))
     diff = lambda s: tested.select(c("a").alias(s), c("lost").alias(f"lost_{s}"), c("own").alias(f"own_{s}"))
-    derived = known.where("same and not sure").join(diff("a"), "a").join(diff("b"), "b")
+    derived = known.where("same and not sure").join(diff("a").hint("merge"), "a").join(diff("b").hint("merge"), "b")
     derived = derived.withColumn("common", derived_common("lost_a", "own_a", "lost_b", "own_b", "hub_n")).where(is_link).select("a", "b")
     fetched = overlaps(known.where("not same").select("a", "b", "na", "nb"), reps, docs, words, False, total).where(is_link).select("a", "b")
     late = cut(known.where("sure").select("a", "b").unionByName(derived).unionByName(fetched))
     if not late.isEmpty():
         member = components(links.unionByName(late))
 
-    classes = reps.join(member.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    classes = reps.join(member.withColumnRenamed("node", "sid").hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     names = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = spread_join(classes, names, "component", "sid", frequent_keys(member, "component", total)).select("sid", "component_id")
     out = spread_join(rows, named, "sid", "doc_id", frequent_keys(rows, "sid", total), "left")
