@@ -29,9 +29,9 @@ from .common import cut, release_memory, text_of
 NONE = 1 << 30  # the rank of a pair that no merge joins
 OUT_ROWS = 250  # documents whose ids are held at once
 CHUNK_CHARS = 1_000_000  # of texts that are split at once
-LAID_OUT = 1 << 14  # bytes of pre-tokens that one index covers, or one longer pre-token: what a processor's cache holds
+LAID_OUT = 1 << 15  # bytes of pre-tokens that one index covers, or one longer pre-token: what a processor's cache holds
 COUNTED_WORDS = 200_000  # pre-tokens that a task counts before it hands its counts on
-KEPT_WORDS = 100_000  # rare pre-tokens that a worker remembers between chunks
+KEPT_WORDS = 150_000  # rare pre-tokens that a worker remembers between chunks
 SHARED_WORDS = 150_000  # pre-tokens at most whose ids all tasks get
 SHARED_CHARS = 40  # of such a pre-token at most: with the line above, the bound of what is broadcast
 TOP_COUNT = 65_536  # counts from here on are alike
@@ -177,23 +177,23 @@ class Encoder:
         most = max(self.replay.token)
         self.tokens = Strings([self.replay.token.get(i, b"") for i in range(most + 1)])
         self.decimals = Strings([b"%d " % i for i in range(most + 1)])
-        self.shared: pa.Table | None = None
-        self.shared_words = 0
-        self.forget()
+        self.share(None)
 
-    def forget(self) -> None:
+    def share(self, shared: pa.Table | None) -> None:
+        """Takes ids that the corpus's replay has found: w, ids. None: none, and those learned since go too."""
+        if shared is not None and shared is self.shared:
+            return
+        self.shared = shared
         self.known: dict[str, int] = {}
         self.flat, self.starts, self.lengths = (np.zeros(1 << 16, dtype=t) for t in (np.int32, np.int64, np.int64))  # with room to grow
         self.used = 0
-        if self.shared is not None:
-            self.add(self.shared.column("w").to_pylist(), self.shared.column("ids").to_pylist())
-        self.shared_words = len(self.known)
+        if shared is not None:
+            self.add(shared.column("w").to_pylist(), shared.column("ids").to_pylist())
+        self.shared_known, self.shared_used = dict(self.known), self.used
 
-    def share(self, shared: pa.Table | None) -> None:
-        """Takes ids that the corpus's replay has found: w, ids. None: none, and those learned since go too."""
-        if shared is not self.shared or shared is None:
-            self.shared = shared
-            self.forget()
+    def forget(self) -> None:
+        """Back to what is shared."""
+        self.known, self.used = dict(self.shared_known), self.shared_used
 
     def add(self, words: list[str], ids: list[list[int]]) -> None:
         n, total = len(self.known), sum(map(len, ids))
@@ -210,7 +210,7 @@ class Encoder:
 
     def learn(self, words: Iterable[str]) -> None:
         """Ids of these pre-tokens, by one replay of the merges over all that are new."""
-        if len(self.known) > self.shared_words + KEPT_WORDS:
+        if len(self.known) > len(self.shared_known) + KEPT_WORDS:
             self.forget()
         new = list({w for w in words if w not in self.known})
         if new:
