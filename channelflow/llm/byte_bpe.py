@@ -1,6 +1,6 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The corpus's pre-tokens are counted with partial sums. The most frequent ones, a bounded number, are laid out in shards, each
+The corpus's words are counted with partial sums. The pre-tokens of the most frequent ones, a bounded number, are laid out in shards, each
 one array of byte symbols with an inverted index that leads from the rank of a token pair to every position where that pair starts.
 Ranks are replayed in ascending order; a merge touches its own position and its two neighbours only, so each of these
 pre-tokens is merged once, however often the corpus repeats it. Their ids go to all tasks. What is rarer is laid out and replayed in the same
@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
@@ -30,10 +29,9 @@ NONE = 1 << 30  # the rank of a pair that no merge joins
 OUT_ROWS = 250  # documents whose ids are held at once
 CHUNK_CHARS = 1_000_000  # of texts that are split at once
 LAID_OUT = 1 << 15  # bytes of pre-tokens that one index covers, or one longer pre-token: what a processor's cache holds
-COUNTED_WORDS = 200_000  # pre-tokens that a task counts before it hands its counts on
 KEPT_WORDS = 150_000  # rare pre-tokens that a worker remembers between chunks
-SHARED_WORDS = 150_000  # pre-tokens at most whose ids all tasks get
-SHARED_CHARS = 40  # of such a pre-token at most: with the line above, the bound of what is broadcast
+SHARED_WORDS = 150_000  # words at most whose pre-tokens' ids all tasks get
+SHARED_CHARS = 40  # of such a word at most: with the line above, the bound of what is broadcast
 TOP_COUNT = 65_536  # counts from here on are alike
 
 
@@ -168,6 +166,19 @@ class Strings:
         return [joined[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
 
+class Numbers(dict):
+    """Numbers of strings; a new one gets the next number and is listed in `new`."""
+
+    def __init__(self, *known: dict[str, int]):
+        super().__init__(*known)
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class Encoder:
     """A worker's encoder: splits texts and remembers the ids of pre-tokens in one array."""
 
@@ -184,42 +195,54 @@ class Encoder:
         if shared is not None and shared is self.shared:
             return
         self.shared = shared
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.flat, self.starts, self.lengths = (np.zeros(1 << 16, dtype=t) for t in (np.int32, np.int64, np.int64))  # with room to grow
         self.used = 0
         if shared is not None:
-            self.add(shared.column("w").to_pylist(), shared.column("ids").to_pylist())
+            self.known.update(zip(shared.column("w").to_pylist(), range(len(shared)), strict=True))
+            self.add(shared.column("ids").to_pylist(), 0)
         self.shared_known, self.shared_used = dict(self.known), self.used
 
     def forget(self) -> None:
         """Back to what is shared."""
-        self.known, self.used = dict(self.shared_known), self.shared_used
+        self.known, self.used = Numbers(self.shared_known), self.shared_used
 
-    def add(self, words: list[str], ids: list[list[int]]) -> None:
-        n, total = len(self.known), sum(map(len, ids))
-        while n + len(words) > len(self.starts):
+    def add(self, ids: list[list[int]], first: int | None = None) -> None:
+        """Ids of the pre-tokens numbered from `first` on, by default of the last ones numbered."""
+        n, total = len(self.known) - len(ids) if first is None else first, sum(map(len, ids))
+        end = n + len(ids)
+        while end > len(self.starts):
             self.starts, self.lengths = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lengths))
         while self.used + total > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        self.starts[n : n + len(words)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[n : n + len(words)] = lengths
+        self.starts[n:end] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[n:end] = lengths
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=total)
         self.used += total
-        self.known.update(zip(words, range(n, n + len(words)), strict=True))
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Ids of these pre-tokens, by one replay of the merges over all that are new."""
+    def make_room(self) -> None:
         if len(self.known) > len(self.shared_known) + KEPT_WORDS:
             self.forget()
-        new = list({w for w in words if w not in self.known})
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Ids of these pre-tokens, by one replay of the merges over all that are new."""
+        self.make_room()
+        for w in words:
+            self.known[w]  # noqa: B018 numbers it if it is new
+        self.replay_new()
+
+    def replay_new(self) -> None:
+        new = self.known.new
         if new:
-            self.add(new, self.replay.encode([w.encode("utf-8", "surrogatepass") for w in new]))
+            self.add(self.replay.encode([w.encode("utf-8", "surrogatepass") for w in new]))
+            self.known.new = []
 
     def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of texts whose pre-tokens are known, end to end, and how many each text has."""
+        """The ids of texts, end to end, and how many each text has. Pre-tokens that are new are numbered as they are met, and then replayed together."""
         counts = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         place = np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=int(counts.sum()))
+        self.replay_new()
         lengths = self.lengths[place]
         ends = np.r_[0, np.cumsum(lengths)][np.r_[0, np.cumsum(counts)]]
         return ragged(self.flat, self.starts[place], lengths), np.diff(ends)
@@ -250,42 +273,19 @@ def in_chunks(batches: Iterator[pa.RecordBatch], chars: int = CHUNK_CHARS) -> It
             begin = end
 
 
-def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
-    """w and n of the pre-tokens of docs(text) of at most SHARED_CHARS characters, from partial sums of the tasks.
-
-    They are those of the words between white space, each with a space before it, which split alike wherever they stand: nearly all pre-tokens. The counts only choose
-    what is shared.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, words = regex.compile(pattern).findall, Counter()
-
-        def found() -> pa.RecordBatch:
-            counts: dict[str, int] = {}
-            for word, n in words.items():
-                for w in split(" " + word):
-                    counts[w] = counts.get(w, 0) + n
-            words.clear()
-            kept = [(w, n) for w, n in counts.items() if len(w) <= SHARED_CHARS]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["w", "n"])
-
-        for _, texts in in_chunks(batches):
-            for text in texts:
-                words.update(text.split())
-            if len(words) > COUNTED_WORDS:
-                yield found()
-        yield found()
-        release_memory()
-
-    return docs.mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word and n of what stands between white space in docs(text), at most SHARED_CHARS characters long and met more than once, from partial sums of the tasks."""
+    words = docs.select(F.explode(F.split("text", r"\s+")).alias("word")).where(F.length("word").between(1, SHARED_CHARS))
+    return words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def shared_ids(docs: DataFrame, path: str, pattern: str, most: int = SHARED_WORDS) -> pa.Table:
-    """w and ids of the corpus's most frequent pre-tokens, by replays over shards of them.
+    """w and ids of the pre-tokens of the corpus's most frequent words, each word with a space before it, by replays over shards of them.
 
-    The count from which a pre-token is among the `most` comes from a histogram of counts, so nothing is sorted, and no more than `most` rows reach the driver.
+    The count from which a word is among the `most` comes from a histogram of counts, so nothing is sorted, and few more than `most` rows reach the driver. Counts only
+    choose what is shared: whatever is missing is replayed where it occurs.
     """
-    counted = cut(word_counts(docs, pattern).where("n > 1"))
+    counted = cut(word_counts(docs))
     histogram = {r["n"]: r["words"] for r in counted.groupBy(F.least("n", F.lit(TOP_COUNT)).alias("n")).agg(F.count("*").alias("words")).collect()}
     least, total = TOP_COUNT + 1, 0
     for n in sorted(histogram, reverse=True):
@@ -297,10 +297,12 @@ def shared_ids(docs: DataFrame, path: str, pattern: str, most: int = SHARED_WORD
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in batches:
-            ids = own.replay.encode([w.encode() for w in batch.column("w").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("w"), pa.array(ids, pa.list_(pa.int32()))], names=["w", "ids"])
+            words = list(set(chain.from_iterable(own.split(" " + w) for w in batch.column("word").to_pylist())))
+            ids = own.replay.encode([w.encode() for w in words])
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ids, pa.list_(pa.int32()))], names=["w", "ids"])
 
-    return counted.where(F.col("n") >= least).select("w").repartition(8).mapInArrow(replay, "w string, ids array<int>").toArrow()
+    found = counted.where(F.col("n") >= least).select("word").repartition(8).mapInArrow(replay, "w string, ids array<int>")
+    return found.dropDuplicates(["w"]).toArrow()
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = False) -> DataFrame:
@@ -321,7 +323,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
         own.share(shared.value)
         for doc_ids, texts in in_chunks(batches):
             split = list(map(own.split, texts))
-            own.learn(set().union(*split))
+            own.make_room()
             for at in range(0, len(split), OUT_ROWS):
                 ids, counts = own.ids(split[at : at + OUT_ROWS])
                 columns = [
