@@ -28,7 +28,7 @@ from .common import cut, release_memory, text_of
 NONE = 1 << 30  # the rank of a pair that no merge joins
 OUT_ROWS = 250  # documents whose ids are held at once
 CHUNK_CHARS = 1_000_000  # of texts that are split at once
-LAID_OUT = 1 << 15  # bytes of pre-tokens that one index covers, or one longer pre-token: what a processor's cache holds
+LAID_OUT = 1 << 12  # bytes of pre-tokens that one index covers, or one longer pre-token: what a processor's cache holds
 KEPT_WORDS = 150_000  # rare pre-tokens that a worker remembers between chunks
 SHARED_WORDS = 150_000  # words at most whose pre-tokens' ids all tasks get
 SHARED_CHARS = 40  # of such a word at most: with the line above, the bound of what is broadcast
