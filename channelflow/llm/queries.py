@@ -11,8 +11,11 @@ from .byte_bpe import encode_documents
 from .common import label_hash, table
 from .compression_quality import fit_quality, score_quality
 from .edit_counts import edited_counts
+from .fill_middle import MIDDLE_SQL, fill_in_middle, restored
 from .html_text import main_text
+from .lexical_search import RANKED_SQL, ranked_documents
 from .lexicon_toxicity import fit_toxicity, score_toxicity
+from .minhash_dedup import near_duplicates
 from .private_data import pseudonymise
 from .shingle_join import linked_documents
 from .source_mix import TAKEN_SQL, taken_words
@@ -68,6 +71,20 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(table(spark, sf_dir, "documents"))
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(restored("output", "form"), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_documents(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_html_text,
     op2_compression_quality,
@@ -79,6 +96,9 @@ QUERIES = (
     op8_edit_counts,
     op9_shingle_join,
     op10_source_mix,
+    op11_minhash_dedup,
+    op12_fill_middle,
+    op13_lexical_search,
 )
 
 
@@ -87,4 +107,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_vector_search": TOP_SQL, "op10_source_mix": TAKEN_SQL}
+    return {"op3_vector_search": TOP_SQL, "op10_source_mix": TAKEN_SQL, "op12_fill_middle": MIDDLE_SQL, "op13_lexical_search": RANKED_SQL}

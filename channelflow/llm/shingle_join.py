@@ -108,7 +108,7 @@ def frequency_levels(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
-    """doc_id, n, sid (a hash of the set, null for an empty one) and the start of the set, rare shingles first, that the index needs."""
+    """doc_id, key, n, sid (a hash of the set, null for an empty one) and the start of the set, rare shingles first, that the index needs."""
     level = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,10 +127,10 @@ def document_sets(docs: DataFrame, levels: np.ndarray, words: int, percent: int)
                 key = level.value[(s >> np.uint64(64 - COUNTERS)).astype(np.int64)].astype(np.int64)
                 # by level, then by hash: s is sorted, so a stable sort of the levels does it
                 start.append(s[np.argsort(key, kind="stable")[:length]].view(np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": np.array(n, dtype=np.int32), "sid": pd.array(sid, dtype="Int64"), "start": start}, index=batch.index)
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "key": batch["key"], "n": np.array(n, dtype=np.int32), "sid": pd.array(sid, dtype="Int64"), "start": start}, index=batch.index)
         release_memory()
 
-    return docs.mapInPandas(run, "doc_id long, n int, sid long, start array<long>")
+    return docs.mapInPandas(run, "doc_id long, key long, n int, sid long, start array<long>")
 
 
 def bit_filter(ids: DataFrame) -> np.ndarray:
@@ -146,7 +146,7 @@ def bit_filter(ids: DataFrame) -> np.ndarray:
 def overlaps(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, with_difference: bool) -> DataFrame:
     """Adds the exact overlap to pairs(a, b, na, nb) of set ids, and by choice what a lacks of b (places in b) and has beside it.
 
-    Only documents that stand for such a set are read again into sets, once for each side of the pairs. Sets travel as 48 bits a shingle.
+    docs(key, text) are read again, and those whose key stands for such a set in reps(sid, rep) made into sets, once for each side of the pairs. Sets travel as 48 bits a shingle.
     """
 
     def fetched(side: str) -> DataFrame:
@@ -162,8 +162,8 @@ def overlaps(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, wit
                     yield pd.DataFrame({side: [set_id(s) for s in found], f"set_{side}": [(s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in found]})
             release_memory()
 
-        bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER)).alias("bit")
-        return docs.where("doc_id is not null").select("text", bit).mapInPandas(run, f"{side} long, set_{side} binary")
+        bit = F.pmod(F.xxhash64("key"), F.lit(1 << FILTER)).alias("bit")
+        return docs.select("text", bit).mapInPandas(run, f"{side} long, set_{side} binary")
 
     def unpacked(packed: bytes) -> np.ndarray:
         out = np.zeros((len(packed) // 6, 8), dtype=np.uint8)
@@ -207,16 +207,16 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
 
     Two documents link when percent * union <= 100 * intersection of their distinct shingles of `words` words, A-Z taken as a-z. A text
     without words (or a null one) has no shingles and its own doc_id as component. Repeated rows, copies and texts of equal sets
-    share a component. Rows with a null doc_id count as documents that can't name a component; if a component has no other, its id is null.
+    share a component. Rows with a null doc_id link as any other but can't name a component; if a component has no other, its id is null. A hash of the text stands for a row inside.
     """
-    docs = docs.select("doc_id", text_of().alias("text"))
+    docs = docs.select("doc_id", text_of().alias("text")).withColumn("key", F.xxhash64("text"))
     rows = cut(document_sets(docs, frequency_levels(docs, words), words, percent))
     some = rows.where("sid is not null").groupBy("sid")
-    reps = some.agg(F.min("doc_id").alias("rep"))
-    starts = some.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("start").alias("start"))
+    reps = some.agg(F.min("key").alias("rep"), F.min("doc_id").alias("first_id"))
+    starts = some.agg(F.first("n").alias("n"), F.first("start").alias("start"))
 
     # the index: lists of two or more sets, each with its hub
-    entry = starts.where("start is not null and rep is not null").select("sid", "n", F.posexplode("start").alias("pos", "h"))
+    entry = starts.where("start is not null").select("sid", "n", F.posexplode("start").alias("pos", "h"))
     in_list = Window.partitionBy("h")  # one exchange; long lists spill, and rare-first order keeps them to groups of copies
     lists = entry.withColumn("size", F.count("*").over(in_list)).withColumn("hub", F.min(F.struct("pos", "n", "sid")).over(in_list)).where("size > 1")
     live = cut(lists.select("h", "sid", "n", "pos", "size", "hub"))
@@ -309,7 +309,7 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
         member = components(links.unionByName(late))
 
     classes = reps.join(member.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    names = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
+    names = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = classes.join(names, "component").select("sid", "component_id")
     out = rows.join(named, "sid", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -18,5 +18,5 @@ def test_equals_sql(spark, name):
     ours, theirs = llm.queries()[name](spark, DATA).toPandas(), con.execute(llm.oracle_sql()[name]).df()
     columns = sorted(ours.columns)
     assert columns == sorted(theirs.columns)
-    a, b = (x[columns].astype(str).sort_values(columns).reset_index(drop=True) for x in (ours, theirs))
+    a, b = (x[columns].convert_dtypes().astype(str).sort_values(columns).reset_index(drop=True) for x in (ours, theirs))
     assert a.equals(b)
