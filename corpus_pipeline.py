@@ -41,18 +41,20 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component: that of smallest doc_id, of rows without one or with equal ids that of smallest key.
+    """One row of each component: that of smallest doc_id, of rows without one or with equal ids that of smallest key, of rows equal in id and text that whose other columns hash lowest.
 
     Rows are linked by a key of id and text, so rows of equal or without id but with different texts are documents of their own; rows equal in both are one. Texts
     without words link with nothing, so they stay here (and give the mix no words).
     """
     key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("_key")
     slimmed = slim(docs, "doc_id", "text").select("*", key)
+    others = ["_others"] if "_others" in slimmed.columns else []
+    slimmed = slimmed.withColumn("_row", F.xxhash64("_key", *others))
     linked = linked_documents(slimmed.select(F.col("_key").alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT)
-    linked = linked.select(F.col("doc_id").alias("_key"), "component_id").distinct().join(slimmed.select("_key", "doc_id").distinct(), "_key")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key"))
-    kept = linked.groupBy("component_id").agg(first.alias("first")).select("first._key")
-    one = slimmed.join(kept, "_key", "left_semi").dropDuplicates(["_key", "doc_id"])
+    linked = linked.select(F.col("doc_id").alias("_key"), "component_id").distinct().join(slimmed.groupBy("_key", "doc_id").agg(F.min("_row").alias("_row")), "_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key", "_row"))
+    kept = linked.groupBy("component_id").agg(first.alias("first")).select("first._row")
+    one = slimmed.join(kept, "_row", "left_semi").dropDuplicates(["_row"])
     return widened(one, docs.columns, "doc_id", "text")
 
 
