@@ -32,7 +32,7 @@ LAID_OUT = 1 << 12  # bytes of pre-tokens that one index covers, or one longer p
 KEPT_WORDS = 150_000  # rare pre-tokens that a worker remembers between chunks
 SHARED_WORDS = 150_000  # words at most whose pre-tokens' ids all tasks get
 SHARED_CHARS = 40  # of such a word at most: with the line above, the bound of what is broadcast
-TOP_COUNT = 65_536  # counts from here on are alike
+COUNT_BITS = 12  # leading bits in which counts are told apart
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -282,12 +282,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def shared_ids(docs: DataFrame, path: str, pattern: str, most: int = SHARED_WORDS) -> pa.Table:
     """w and ids of the pre-tokens of the corpus's most frequent words, each word with a space before it, by replays over shards of them.
 
-    The count from which a word is among the `most` comes from a histogram of counts, so nothing is sorted, and few more than `most` rows reach the driver. Counts only
-    choose what is shared: whatever is missing is replayed where it occurs.
+    The count from which a word is among the `most` comes from a histogram of counts by their leading bits, so nothing is sorted; its cells have a bounded number, and at most `most`
+    words are shared: a cell that would exceed them is left out with all below it. Counts only choose what is shared: whatever is missing is replayed where it occurs.
     """
     counted = cut(word_counts(docs))
-    histogram = {r["n"]: r["words"] for r in counted.groupBy(F.least("n", F.lit(TOP_COUNT)).alias("n")).agg(F.count("*").alias("words")).collect()}
-    least, total = TOP_COUNT + 1, 0
+    rest = F.greatest(F.length(F.bin("n")) - COUNT_BITS, F.lit(0))
+    cell = F.call_function("shiftleft", F.call_function("shiftright", F.col("n"), rest), rest)
+    histogram = {r["cell"]: r["words"] for r in counted.groupBy(cell.alias("cell")).agg(F.count("*").alias("words")).collect()}
+    least, total = max(histogram, default=0) * 2 + 1, 0
     for n in sorted(histogram, reverse=True):
         total += histogram[n]
         if total > most:

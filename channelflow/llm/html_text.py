@@ -4,7 +4,7 @@ Pages are read as blocks in page order. A page's candidates are the blocks insid
 forms and comments that the markup names; where it has none, the blocks outside menus, headers, footers and the like. The
 host decides on all candidates: their token streams are laid end to end, and all suffixes are brought together by their first tokens, the
 leading part of a suffix array, sharded by host and key. Suffixes that meet are a repeated substring. It is boilerplate if the
-pages that hold it otherwise differ; blocks that such substrings cover go, the unique runs stay.
+pages that hold it otherwise differ; blocks that such substrings cover go, the unique runs stay. An article's headings and its page's title are its own, however many articles share them.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from .common import cut
 
 LONG = 8  # tokens that a repeated substring has at least
 COVERED = 0.5  # share of a block's tokens from which on it goes
+TEASER = 0.25  # share of the text outside chrome that the article has at least
 ALIKE = 0.8  # mean resemblance of the pages that hold a substring, from which on they are copies of each other
 SIGNS = 256  # bits of a page's sketch
 SHARD_CHARS = 16_000_000  # of HTML whose suffixes one group holds
@@ -37,6 +38,7 @@ SLOTS = _rng.integers(0, 1 << 63, SIGNS, dtype=np.uint64) * np.uint64(2) + np.ui
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.DOTALL)
 ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.DOTALL)
 NAME = re.compile(r"[a-z]+", re.IGNORECASE)
+HEADING = re.compile("h[1-6]")
 RAW = frozenset("script style noscript template iframe textarea title svg math canvas object xmp noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -58,14 +60,15 @@ CHROME_ROLES = frozenset("navigation banner contentinfo complementary search for
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion cookie cookies consent gdpr notice notices notification popup modal overlay sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs masthead topbar footer copyright comment comments disqus reply replies respond share sharing social related recommended newsletter subscribe subscription signup login pagination pager skip toolbar widget".split()
 )
-ARTICLE_WORDS = frozenset("article post entry story".split())
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre".split())
 
 
 class Page:
-    """A page's blocks: (text, inside an article or main element)."""
+    """A page's blocks: (text, inside an article or main element, heading), and its title."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, bool]] = []
+        self.blocks: list[tuple[str, bool, bool]] = []
+        self.title = ""
         self.parts: list[str] = []
         self.stack: list[tuple[str, bool, bool]] = []  # element, whether in chrome, whether in the article
         self.read(source)
@@ -74,23 +77,24 @@ class Page:
         text = " ".join(markup.unescape("".join(self.parts)).split()) if self.parts else ""
         self.parts.clear()
         if text and not chrome:
-            self.blocks.append((text, inside))
+            self.blocks.append((text, inside, any(HEADING.fullmatch(x[0]) for x in self.stack)))
 
     @staticmethod
     def kind(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
         """Whether the element is chrome, and whether it marks the article."""
-        words, role, hidden = [], "", False
+        words, tokens, role, hidden = [], [], "", False
         if attributes.strip():
             for key, *values, bare in ATTRIBUTE.findall(attributes):
                 value = "".join(values)
                 if bare or key.lower() == "aria-hidden" and value.lower() == "true":
                     hidden = True
                 elif key.lower() in ("class", "id"):
+                    tokens += value.lower().split()
                     words += [w.lower() for w in NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value))]
                 elif key.lower() == "role":
                     role = value.lower()
         marks = name in ("article", "main") or role in ("main", "article")
-        named = set(words)
+        named = set(tokens if inside and name in TEXT else words)  # within the article, a part of a class doesn't name a paragraph
         own_article = marks and name == "article" and not {"comment", "comments", "reply", "ad", "related"} & named
         by_name = bool(CHROME_WORDS & named) and name not in ("html", "body", "main") and not own_article
         chrome = hidden or name in CHROME or role in CHROME_ROLES or by_name
@@ -112,6 +116,8 @@ class Page:
             name = name.lower()
             if not closing and name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(source, at)
+                if name == "title" and not self.title:
+                    self.title = " ".join(markup.unescape(source[at : end.start() if end else len(source)]).split())
                 at = end.end() if end else len(source)
                 continue
             block = name in BLOCK
@@ -151,14 +157,19 @@ class Page:
         self.flush(chrome, inside)
 
 
-def candidates(source: str) -> list[str]:
-    """The article's blocks; if the markup encloses none, all blocks outside chrome."""
-    blocks = Page(source).blocks
-    return [t for t, inside in blocks if inside] or [t for t, _ in blocks]
+def candidates(source: str) -> list[tuple[str, bool]]:
+    """The article's blocks, and of each whether it is the page's own in any case: a heading of the article, or the page's title.
+
+    If the markup encloses no article, or one with less than TEASER of the text outside chrome, all blocks outside chrome.
+    """
+    page = Page(source)
+    within = sum(len(t) for t, inside, _ in page.blocks if inside)
+    enclosed = within > 0 and within >= TEASER * sum(len(t) for t, *_ in page.blocks)
+    return [(t, inside and heading or t == page.title) for t, inside, heading in page.blocks if inside or not enclosed]
 
 
 def marked_text(source: str) -> str:
-    return "\n".join(candidates(source))
+    return "\n".join(t for t, _ in candidates(source))
 
 
 def host_of(url: str | None) -> str:
@@ -226,16 +237,16 @@ def boilerplate(heads: np.ndarray, page: np.ndarray, keys: np.ndarray, streams:
     return out
 
 
-def unique_runs(blocks: list[str], repeated: np.ndarray, long: int = LONG, covered: float = COVERED) -> str:
-    """The blocks of which less than the covered share lies in substrings that begin with one of the repeated heads."""
-    words = [b.split() for b in blocks]
+def unique_runs(blocks: list[tuple[str, bool]], repeated: np.ndarray, long: int = LONG, covered: float = COVERED) -> str:
+    """The page's own blocks, and those of which less than the covered share lies in substrings that begin with one of the repeated heads."""
+    words = [b.split() for b, _ in blocks]
     found = np.flatnonzero(np.isin(heads_of(numbers([t for b in words for t in b]), long) & np.uint64(0xFFFFFFFFFF), repeated))
     cover = np.zeros(sum(map(len, words)) + 1, dtype=np.int64)
     np.add.at(cover, found, 1)
     np.add.at(cover, found + long, -1)
     total = np.r_[0, np.cumsum(np.cumsum(cover) > 0)]
     ends = np.cumsum([0, *map(len, words)])
-    return "\n".join(b for b, i, j in zip(blocks, ends[:-1], ends[1:], strict=True) if total[j] - total[i] < covered * (j - i))
+    return "\n".join(b for (b, own), i, j in zip(blocks, ends[:-1], ends[1:], strict=True) if own or total[j] - total[i] < covered * (j - i))
 
 
 def main_text(pages: DataFrame, long: int = LONG, covered: float = COVERED, shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -263,7 +274,7 @@ def main_text(pages: DataFrame, long: int = LONG, covered: float = COVERED, shar
         for batch in batches:
             packed: dict[tuple[str, int], list] = {}
             for url, source, key in zip(batch["url"], batch["html"], batch["key"], strict=True):
-                tokens = [t for b in candidates(source or "") for t in b.split()]
+                tokens = [t for b, _ in candidates(source or "") for t in b.split()]
                 if len(tokens) < long:
                     continue
                 hashed = numbers(tokens)
@@ -318,13 +329,16 @@ def main_text(pages: DataFrame, long: int = LONG, covered: float = COVERED, shar
 
     @F.pandas_udf("binary")
     def packed_text(sources: pd.Series) -> pd.Series:
-        return pd.Series([zlib.compress(marked_text(s or "").encode("utf-8", "surrogatepass"), 1) for s in sources], dtype=object)
+        """The blocks a line each, own ones after a mark."""
+        lines = ("\n".join("!" * own + " " * (not own) + b for b, own in candidates(s or "")) for s in sources)
+        return pd.Series([zlib.compress(x.encode("utf-8", "surrogatepass"), 1) for x in lines], dtype=object)
 
     @F.pandas_udf("string")
     def text_beside(texts: pd.Series, heads: pd.Series) -> pd.Series:
         out = []
         for packed, found in zip(texts, heads, strict=True):
-            blocks = zlib.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
+            lines = zlib.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
+            blocks = [(x[1:], x[0] == "!") for x in lines if x]
             out.append(unique_runs(blocks, np.frombuffer(b"".join(found if found is not None else []), dtype=np.uint64), long, covered))
         return pd.Series(out, dtype=object)
 

@@ -70,8 +70,8 @@ def shifted(text: Column, hexadecimal: Column, letters: Column) -> Column:
 
 
 def permuted_text(text: Column, key: str, kind: str) -> Column:
-    """Feistel over the halves of a text, within letters and digits; hexadecimal texts stay hexadecimal."""
-    letters = F.when(text.rlike("^[0-9a-f]+$"), 6).otherwise(26)
+    """Feistel over the halves of a text, within letters and digits. The alphabet is the kind's, whatever a text holds, so all texts of a kind and form are permuted among themselves."""
+    letters = F.lit(6 if kind == "hex" else 26)
     half = (F.length(text) / 2).cast("int")
     state = F.struct(F.substr(text, F.lit(1), half).alias("l"), F.substr(text, half + 1, F.length(text)).alias("r"))
     done = F.aggregate(
@@ -187,7 +187,7 @@ RULES = {
     "mail": mail,
     "key": lambda m, key: F.concat(F.lit("AKIA"), permuted_text(F.substr(m, F.lit(5), F.lit(16)), key, "key")),
     "secret": secret,
-    "hex": lambda m, key: permuted_text(m, key, "secret"),
+    "hex": lambda m, key: permuted_text(m, key, "hex"),
     "address": address,
     "date": date,
     "social": social,

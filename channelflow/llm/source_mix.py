@@ -127,9 +127,10 @@ def plan_mix(
 ) -> DataFrame:
     """Adds size, source_size, target, rank and draws array<struct<shard int, slot long, words long>> to every row of docs.
 
-    docs has doc_id, source and text, or instead of text a column size if sized says so. Columns of docs with the added names are replaced, others kept. Sources
+    docs has doc_id, source and text, or instead of text the columns size and text_key (md5 of the text) if sized says so. Columns of docs with the added names are replaced, others kept. Sources
     are weighed in code point order, null last (null is a source of its own). A null or empty text has size 0: it is drawn with its source's passes and
-    gives no words. Repeated rows are blocks of their own. Rows of equal key stand by doc_id, then size. An empty table gives an empty result.
+    gives no words. Repeated rows are blocks of their own. The key that permutes a source is a hash of doc_id and
+    text, so rows without id, or with one id, spread as others do; rows equal in both are interchangeable. An empty table gives an empty result.
 
     rank is the row's place in its source's permutation. A source's draws are numbered slots: all ranks, pass after pass. The splitting tree gives each shard
     a run of every source's slots, and a row's draws are its slots in the shards' runs: what no shard draws isn't taken.
@@ -140,7 +141,8 @@ def plan_mix(
     docs = docs if sized else docs.drop("size")
     columns = docs.columns
     bins = max(LEAST_BINS, -(-docs.count() // rows_a_bin))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    text_key = F.col("text_key") if sized and "text_key" in columns else F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")) if "text" in columns else F.lit("")
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text_key).cast("binary"))
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "source", "doc_id", key.alias("key"))
     base = base.withColumn("bin", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * bins / F.lit(1 << 32)))
     size = F.col("row")["size"].cast("long") if sized else size_in_words(F.coalesce(F.col("row")["text"], F.lit("")))
@@ -220,7 +222,7 @@ def taken_words(docs: DataFrame) -> DataFrame:
 
     Words are counted once, into a narrow table; the shards draw their blocks from it, and taken sums what they drew of each block.
     """
-    sized = cut(docs.select("doc_id", "source", size_in_words(text_of()).alias("size")))
+    sized = cut(docs.select("doc_id", "source", size_in_words(text_of()).alias("size"), F.md5(text_of().cast("binary")).alias("text_key")))
     planned = cut(plan_mix(sized, sized=True))
     drawn = draw_mix(planned).groupBy(F.col("source").alias("of"), F.col("rank").alias("at")).agg(F.sum("words").alias("words"))
     taken = planned.join(drawn, F.col("source").eqNullSafe(F.col("of")) & (F.col("rank") == F.col("at")), "left")
@@ -229,7 +231,8 @@ def taken_words(docs: DataFrame) -> DataFrame:
 
 #: The same rows in DuckDB's SQL, with the defaults above.
 TAKEN_SQL = r"""
-WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('42:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  md5('42:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS s, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM sized GROUP BY source),
 capped AS (SELECT *, 2 * s / w::DOUBLE AS ratio, (sum(s) OVER ())::DOUBLE AS total, sum(w) OVER ()::DOUBLE AS weight FROM sources),
 met AS (SELECT *, (1.5 * total - coalesce(sum(2 * s) OVER earlier, 0)::DOUBLE) / (weight - coalesce(sum(w) OVER earlier, 0)::DOUBLE) AS per

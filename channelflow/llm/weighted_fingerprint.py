@@ -111,10 +111,11 @@ class WeightedSampler:
             _, (once,) = self.rows(single[i : i + 4096], (3,))
             least = np.minimum(least, once.min(axis=0))
         for i in range(0, len(several), 4096):
-            part, (r, b, log_c) = self.rows(several[i : i + 4096], (0, 1, 2))
+            part, (r, b, log_c, once) = self.rows(several[i : i + 4096], (0, 1, 2, 3))
             weight = np.log(np.fromiter(map(counts.__getitem__, part), dtype=np.float64, count=len(part))).astype(np.float32)
             t = np.floor(weight[:, None] / r + b)
-            least = np.minimum(least, (log_c - r * (t - b + 1)).min(axis=0))
+            # where t is 0, the very number that weight 1 has there, so that equal samples are equal numbers
+            least = np.minimum(least, np.where(t == 0, once, log_c - r * (t - b + 1)).min(axis=0))
         steps = np.rint(least.astype(np.float64) * STEPS).astype(np.int64).astype(np.uint64)
         return (_mixed(steps) >> np.uint64(48)).astype(np.uint16)
 

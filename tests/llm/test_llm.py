@@ -494,7 +494,7 @@ def plain_shift(text, key, letters, sign):
 
 def plain_text(text, kind, back=False):
     """The same of texts."""
-    letters, half = (6 if re.fullmatch("[0-9a-f]+", text) else 26), len(text) // 2
+    letters, half = (6 if kind == "hex" else 26), len(text) // 2
     left, right, sign = text[:half], text[half:], -1 if back else 1
     hashed = lambda i, x: hashlib.sha256(f"key|{kind}|{i}|{x}".encode()).hexdigest()
     for i in reversed(range(6)) if back else range(6):
