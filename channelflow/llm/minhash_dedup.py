@@ -5,9 +5,10 @@ and every pair of a left and a right half is a table's key (tensoring: Andoni an
 about the square root of what separate tables take. Sets of similarity s meet in some table with probability (1 - (1 - s^ROWS)^HALVES)^2, 0.999 at the threshold.
 A key can only be shared where both of its halves are, so halves that no other set has are dropped before any pair is formed.
 
-Equal sets are one class. In every table each set is compared with one hub, the class that it shares most keys with; links are confirmed on full sets. What hubs have brought into
-one component isn't compared again. Keys that still hold several components give their pairs across these, if four bits of each of the same minhashes, kept beside a set, allow the
-similarity (the bound is five standard deviations below what the threshold expects), and these are confirmed on full sets too.
+Equal sets are one class. Every set is compared with the most central set of its tables, and with that one's own centre; links are confirmed on full sets, and what they have brought into
+one component isn't compared again. Keys that still hold several components give their pairs across these. Of two sets that were compared with the same one, their anchor, masks of the places that each lacks of it, and of what
+each has beside it that any other set has too, bound their own overlap, and the full lists of both give the exact number. Other pairs go on if four bits of each of the
+minhashes, kept beside a set, allow the similarity (the bound is five standard deviations below what the threshold expects), and are then confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, release_memory, text_of
 from .components import components
-from .shingle_join import in_pieces, overlaps, set_id, shingles
+from .shingle_join import at_least, derived_common, in_pieces, overlaps, set_id, shingles
 
 WORDS = 3
 PERCENT = 85
@@ -29,6 +30,7 @@ HALVES = 8  # half-keys of either side; their square is the number of tables
 ROWS = 3  # minhashes of a half
 DEVIATIONS = 5  # standard deviations that a sketch may lie below the threshold's expectation
 
+MASKS = 4  # words of 64 bits that stand for the elements in which a set differs from its anchor
 _SKETCH = 16  # hashes a word of the sketch, four bits each
 _TOP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -88,6 +90,38 @@ def most_differing(hashes: int, percent: int, deviations: float = DEVIATIONS) ->
     return int(hashes * p + deviations * (hashes * p * (1 - p)) ** 0.5)
 
 
+def longs(column: str) -> Column:
+    """The packed numbers as an array."""
+
+    @F.pandas_udf("array<long>")
+    def unpacked(packed: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(x, dtype=np.int64) for x in packed], dtype=object)
+
+    return unpacked(column)
+
+
+def position_masks(column: str) -> Column:
+    """The packed places as MASKS words of 64 bits, place modulo their number."""
+    names = [f"lost{w}" for w in range(MASKS)]
+
+    @F.pandas_udf(", ".join(f"{x} long" for x in names))
+    def masked(packed: pd.Series) -> pd.DataFrame:
+        out = np.zeros((len(packed), MASKS), dtype=np.uint64)
+        for i, x in enumerate(packed):
+            at = np.frombuffer(x, dtype=np.uint32) % (64 * MASKS)
+            np.bitwise_or.at(out[i], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        return pd.DataFrame(out.view(np.int64), columns=names)
+
+    return masked(column)
+
+
+def at_most_common(mask: str, size: str) -> Column:
+    """A bound of what two sets a and b of `size` elements share, from their masks: shared bits, and the elements that a mask has no bit of their own for."""
+    shared = sum((F.bit_count(F.col(f"{mask}{w}_a").bitwiseAND(F.col(f"{mask}{w}_b"))) for w in range(MASKS)), F.lit(0))
+    spare = [F.col(f"{size}_{x}") - sum((F.bit_count(f"{mask}{w}_{x}") for w in range(MASKS)), F.lit(0)) for x in "ab"]
+    return F.least(shared + F.least(*spare), F.col(f"{size}_a"), F.col(f"{size}_b"))
+
+
 def document_halves(docs: DataFrame, words: int, percent: int, halves: int, rows: int) -> DataFrame:
     """doc_id, key, n, sid (null for an empty set), the half-keys of both sides in one array (null if only an equal set can link) and the sketch's words."""
     words_of_sketch = -(-2 * halves * rows // _SKETCH)
@@ -134,42 +168,72 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         F.collect_list(F.when(c("at") < halves, c("h"))).alias("left"), F.collect_list(F.when(c("at") >= halves, c("h"))).alias("right")
     )
     pairs = of.select("sid", F.explode("left").alias("one"), "right").select("sid", "one", F.explode("right").alias("two"))
-    keys = cut(pairs.select(F.xxhash64("one", "two").alias("k"), "sid").join(keyed.select("sid", "n"), "sid"))
-    hubs = keys.groupBy("k").agg(F.count("*").alias("m"), F.min(F.struct("sid", "n")).alias("hub")).where("m > 1").select("k", c("hub.sid").alias("hub"), c("hub.n").alias("hub_n"))
-    live = cut(keys.join(hubs, "k").select("k", "sid", "n", "hub", "hub_n"))
+    keys = cut(pairs.select(F.xxhash64("one", "two").alias("k"), "sid"))
+    counts = keys.groupBy("k").agg(F.count("*").alias("m")).where("m > 1")
+    live = cut(keys.join(counts, "k"))
+
+    # each set meets the most central one of its tables, the set with most neighbours, and that one's own centre
+    central = live.groupBy("sid").agg(F.sum("m").alias("degree")).join(keyed.select("sid", "n"), "sid")
+    hubs = live.join(central, "sid").groupBy("k").agg(F.max(F.struct("degree", "sid", "n")).alias("hub"))
+    chosen = live.join(hubs, "k").groupBy("sid").agg(F.max("hub").alias("hub")).join(keyed.select("sid", "n"), "sid")
+    chosen = cut(chosen.select("sid", "n", c("hub.sid").alias("hub"), c("hub.n").alias("hub_n"), c("hub.degree").alias("degree")))
+    above = chosen.select(c("sid").alias("hub"), c("hub").alias("b"), c("hub_n").alias("nb"), c("degree").alias("rank"))
+    first = chosen.select(c("sid").alias("a"), c("n").alias("na"), c("hub").alias("b"), c("hub_n").alias("nb"), c("degree").alias("rank"))
+    second = chosen.select(c("sid").alias("a"), c("n").alias("na"), "hub").join(above, "hub").select("a", "na", "b", "nb", "rank")
+    to_hub = cut(first.unionByName(second).where("a <> b").distinct())
 
     def fits(n: Column, m: Column) -> Column:
         return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
-    limit = most_differing(2 * halves * rows, percent)
-    side = lambda x: keyed.select(c("sid").alias(x), *[c(m).alias(f"{m}_{x}") for m in marks])
-    alike = differing([c(f"{m}_a") for m in marks], [c(f"{m}_b") for m in marks]) <= limit
     is_link = c("common") * (100 + percent) >= (c("na") + c("nb")) * percent
-
-    with_hub = live.where((c("sid") != c("hub")) & fits(c("n"), c("hub_n"))).groupBy(c("sid").alias("a"), c("hub").alias("b"), c("n").alias("na"), c("hub_n").alias("nb")).agg(F.count("*").alias("lists"))
-    with_hub = with_hub.join(side("a"), "a").join(side("b"), "b").where(alike)
-    to_hub = cut(with_hub.groupBy("a", "na").agg(F.max(F.struct("lists", "b", "nb")).alias("h")).select("a", c("h.b").alias("b"), "na", c("h.nb").alias("nb")))
     reps = classes.select("sid", "rep")
-    tested = cut(overlaps(to_hub, reps, docs, words, False))
+    tested = cut(overlaps(to_hub, reps, docs, words, True))
     links = tested.where(is_link).select("a", "b")
     member = components(links)
 
-    # keys that still hold several components: pairs across them, those of the largest one with others only
+    # keys that still hold several components
     home = member.select(c("node").alias("sid"), "component")
-    entries = live.select("k", "sid", "n").join(home, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    entries = live.select("k", "sid").join(home, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     sizes = entries.groupBy("k", "component").agg(F.count("*").alias("m"))
     several = sizes.groupBy("k").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("k", "main")
-    opened = cut(entries.join(several, "k").join(keyed.select("sid", *marks), "sid"))
-    x = opened.select("k", *[c(m).alias(f"{m}_a") for m in marks], c("sid").alias("x"), c("n").alias("nx"), c("component").alias("cx"), "main")
-    y = opened.where("component <> main").select("k", *[c(m).alias(f"{m}_b") for m in marks], c("sid").alias("y"), c("n").alias("ny"), c("component").alias("cy"))
-    once = (c("cx") == c("main")) | (c("x") < c("y"))
-    met = x.join(y, "k").where((c("cx") != c("cy")) & once & fits(c("nx"), c("ny")) & alike)
-    ordered = lambda one, two: F.when(c("x") < c("y"), c(one)).otherwise(c(two))
-    across = met.select(ordered("x", "y").alias("a"), ordered("y", "x").alias("b"), ordered("nx", "ny").alias("na"), ordered("ny", "nx").alias("nb")).distinct()
-    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    opened = cut(entries.join(several, "k"))
+
+    # what a set has in common with its anchor, a hub that it was compared with (a hub's is itself), and how much of what it has beside it others have too
+    itself = to_hub.select(c("b").alias("sid"), c("nb").alias("anchor_n")).distinct().select("sid", c("sid").alias("anchor"), "anchor_n", c("anchor_n").alias("o"), *[F.unhex(F.lit("")).alias(x) for x in ("lost", "own")])
+    nearest = F.max(F.struct("rank", "b", "nb", "common", "lost", "own")).alias("t")
+    others = tested.where("lost is not null").join(to_hub.select("a", "b", "rank"), ["a", "b"]).join(itself.select(c("sid").alias("a")), "a", "left_anti").groupBy("a").agg(nearest)
+    others = others.select(c("a").alias("sid"), c("t.b").alias("anchor"), c("t.nb").alias("anchor_n"), c("t.common").alias("o"), c("t.lost").alias("lost"), c("t.own").alias("own"))
+    placed = cut(itself.unionByName(others).join(opened.select("sid").distinct(), "sid", "left_semi"))
+    beside = placed.select("sid", "anchor", F.explode(longs("own")).alias("x"))
+    known = beside.groupBy("anchor", "x").agg(F.count("*").alias("m")).where("m > 1").select("anchor", "x")
+    bits = [F.bit_or(F.when(F.pmod("x", F.lit(MASKS)) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("x", 8), F.lit(64)).cast("int")))).alias(f"own{w}") for w in range(MASKS)]
+    known = beside.join(known, ["anchor", "x"]).groupBy("sid").agg(F.count("*").cast("int").alias("s"), *bits)
+    about = placed.select("sid", "anchor", "anchor_n", (c("anchor_n") - c("o")).alias("l"), position_masks("lost").alias("p")).join(known, "sid", "left")
+    masks = [F.coalesce(f"own{w}", F.lit(0)).alias(f"own{w}") for w in range(MASKS)] + [c(f"p.lost{w}").alias(f"lost{w}") for w in range(MASKS)]
+    about = about.select("sid", "anchor", "anchor_n", "l", F.coalesce("s", F.lit(0)).alias("s"), *masks)
+    about = keyed.select("sid", "n", *marks).join(about, "sid", "left")
+
+    # pairs across components, those of the largest one with others only: of sets with one anchor, the overlaps with it bound their own; of others, their sketches
+    limit = most_differing(2 * halves * rows, percent)
+    sides = opened.join(about, "sid")
+    named = lambda df, x: df.select("k", *([c("main")] if x == "a" else []), *[c(y).alias(f"{y}_{x}") for y in ("sid", "n", "component", "anchor", "anchor_n", "l", "s", *[f"{z}{w}" for z in ("own", "lost") for w in range(MASKS)], *marks)])
+    x, y = named(sides, "a"), named(sides.where("component <> main"), "b")
+    once = (c("component_a") == c("main")) | (c("sid_a") < c("sid_b"))
+    one_anchor = F.coalesce(c("anchor_a") == c("anchor_b"), F.lit(False))
+    both_lost, both_own = at_most_common("lost", "l"), at_most_common("own", "s")
+    bound = c("anchor_n_a") - c("l_a") - c("l_b") + both_lost + both_own >= at_least(c("n_a"), c("n_b"), percent)
+    alike = differing([c(f"{m}_a") for m in marks], [c(f"{m}_b") for m in marks]) <= limit
+    met = x.join(y, "k").where((c("component_a") != c("component_b")) & once & fits(c("n_a"), c("n_b")) & (~one_anchor | bound) & alike)
+    ahead = c("sid_a") < c("sid_b")
+    ordered = lambda u, v: F.when(ahead, c(u)).otherwise(c(v))
+    across = met.select(ordered("sid_a", "sid_b").alias("a"), ordered("sid_b", "sid_a").alias("b"), ordered("n_a", "n_b").alias("na"), ordered("n_b", "n_a").alias("nb"), one_anchor.alias("same")).distinct()
+    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     across = cut(across.join(done, ["a", "b"], "left_anti"))
     if not across.isEmpty():
-        late = cut(overlaps(across, reps, docs, words, False).where(is_link).select("a", "b"))
+        lists = lambda z: placed.select(c("sid").alias(z), c("lost").alias(f"lost_{z}"), c("own").alias(f"own_{z}"), *([c("anchor_n")] if z == "a" else []))
+        derived = across.where("same").join(lists("a"), "a").join(lists("b"), "b").withColumn("common", derived_common("lost_a", "own_a", "lost_b", "own_b", "anchor_n"))
+        fetched = overlaps(across.where("not same").drop("same"), reps, docs, words, False)
+        late = cut(derived.where(is_link).select("a", "b").unionByName(fetched.where(is_link).select("a", "b")))
         if not late.isEmpty():
             member = components(links.unionByName(late))
 
