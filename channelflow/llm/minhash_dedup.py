@@ -153,7 +153,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     nothing. Repeated rows, copies and texts of equal sets share a component; a row with a null doc_id links as any other but can't name a component, whose id is null if it has no other row.
     Every link is confirmed on full sets; a pair at the threshold is missed with probability 0.002 unless other links join it. Further columns are dropped.
     """
-    docs = docs.select("doc_id", text_of().alias("text")).withColumn("key", F.xxhash64("text"))
+    docs = docs.select("doc_id", text_of().alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     table = cut(document_halves(docs, words, percent, halves, rows))
     c = F.col
     marks = [x for x in table.columns if x[0] == "s" and x[1:].isdigit()]

@@ -146,7 +146,7 @@ def bit_filter(ids: DataFrame) -> np.ndarray:
 def overlaps(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, with_difference: bool) -> DataFrame:
     """Adds the exact overlap to pairs(a, b, na, nb) of set ids, and by choice what a lacks of b (places in b) and has beside it.
 
-    docs(key, text) are read again, and those whose key stands for such a set in reps(sid, rep) made into sets, once for each side of the pairs. Sets travel as 48 bits a shingle.
+    docs(key, text) are read again, and those whose key stands for such a set in reps(sid, rep) made into sets, once for each side of the pairs; of repeated rows each task gives one. Sets travel as 48 bits a shingle.
     """
 
     def fetched(side: str) -> DataFrame:
@@ -154,16 +154,19 @@ def overlaps(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, wit
         wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(ids.select(F.col("rep").alias("id"))))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            met: set[int] = set()
             for batch in in_pieces(batches):
                 bit = batch["bit"].to_numpy(dtype=np.int64)
-                batch = batch[(wanted.value[bit >> 6] >> (bit & 63)) & 1 == 1]
+                batch = batch[(wanted.value[bit >> 6] >> (bit & 63)) & 1 == 1].drop_duplicates("key")
+                batch = batch[~batch["key"].isin(met)]
+                met.update(batch["key"])
                 if len(batch):
                     found = [shingles(t, words) for t in batch["text"]]
                     yield pd.DataFrame({side: [set_id(s) for s in found], f"set_{side}": [(s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in found]})
             release_memory()
 
         bit = F.pmod(F.xxhash64("key"), F.lit(1 << FILTER)).alias("bit")
-        return docs.select("text", bit).mapInPandas(run, f"{side} long, set_{side} binary")
+        return docs.select("key", "text", bit).mapInPandas(run, f"{side} long, set_{side} binary")
 
     def unpacked(packed: bytes) -> np.ndarray:
         out = np.zeros((len(packed) // 6, 8), dtype=np.uint8)
@@ -207,9 +210,9 @@ def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
 
     Two documents link when percent * union <= 100 * intersection of their distinct shingles of `words` words, A-Z taken as a-z. A text
     without words (or a null one) has no shingles and its own doc_id as component. Repeated rows, copies and texts of equal sets
-    share a component. Rows with a null doc_id link as any other but can't name a component; if a component has no other, its id is null. A hash of the text stands for a row inside.
+    share a component. Rows with a null doc_id link as any other but can't name a component; if a component has no other, its id is null. A hash of id and text stands for a row inside.
     """
-    docs = docs.select("doc_id", text_of().alias("text")).withColumn("key", F.xxhash64("text"))
+    docs = docs.select("doc_id", text_of().alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     rows = cut(document_sets(docs, frequency_levels(docs, words), words, percent))
     some = rows.where("sid is not null").groupBy("sid")
     reps = some.agg(F.min("key").alias("rep"), F.min("doc_id").alias("first_id"))
