@@ -1,6 +1,6 @@
 """Prototype maps by iteration: modified k-means, agglomeration, a sweep over K, principal components.
 
-What is iterated is a recording's field-power peaks, at most one sample in `distance`; a task holds the peaks of one recording and one K.
+What is iterated is a recording's field-power peaks, at most one sample in `distance`; a task holds the peaks of one recording and one K. Peaks themselves are found in blocks of time.
 Seeds are fixed and eigenvectors have a canonical sign, so reruns agree.
 """
 
@@ -45,7 +45,8 @@ def criteria(data: np.ndarray, maps: np.ndarray, polarity: bool, n_total: int |
     free = channels - k - 1
     power = data.std(axis=1) ** 2
     own = c[np.arange(len(data)), label]
-    gev = np.bincount(label, weights=power * own**2, minlength=k) / power.sum()
+    total = power.sum()
+    gev = np.bincount(label, weights=power * own**2, minlength=k) / (total if total > 0 else np.inf)  # of samples without power: 0
     return label, variance * (channels - 1) ** 2 / free**2 if free else np.inf, gev
 
 
@@ -54,43 +55,65 @@ def kmeans_run(
 ) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
     """Maps, labels, criterion and explained variances of one restart.
 
-    Samples go to the map of greatest squared product, maps become their samples' principal vector. A map that loses all samples stays.
+    Samples go to the map of greatest squared product, maps become their samples' principal vector. A map that loses all samples stays. The run ends when no sample changes its map, or
+    when what the maps explain of the samples' power grows by less than the tolerance's share of what is left.
     """
     rng = np.random.default_rng([seed, k, restart])
     power = (data**2).sum()
     maps = data[rng.permutation(len(data))[:k]]
     maps = maps / np.maximum(np.linalg.norm(maps, axis=1, keepdims=True), 1e-300)
-    now, before, n = 1.0, 0.0, 0
-    while n < rounds and abs(now - before) > tolerance * abs(now):
-        n += 1
-        label = ((data @ maps.T) ** 2).argmax(axis=1)
+    label, explained = np.full(len(data), -1), -np.inf
+    for _ in range(rounds):
+        products = (data @ maps.T) ** 2
+        own = products.argmax(axis=1)
+        reached = products[np.arange(len(data)), own].sum()
+        if (own == label).all() or reached - explained <= tolerance * (power - reached):
+            break
+        label, explained = own, reached
         for i in np.unique(label):
             maps[i] = principal_vector(data[label == i])
-        before, now = now, (power - ((maps[label] * data).sum(axis=1) ** 2).sum()) / (len(data) * (data.shape[1] - 1))
     label, cv, gev = criteria(data, maps, polarity, n_total)
     return maps, label, cv, gev
 
 
 def agglomerate(data: np.ndarray, least: int, most: int, polarity: bool = False) -> Iterator[tuple[int, np.ndarray, float, np.ndarray]]:
     """Atomise and agglomerate: every sample begins as a map; the map of least explained variance is dissolved, its members go to their best
-    remaining map, whose vector is found again. Yields (k, maps, criterion, explained variances) from most to least maps."""
+    remaining map, whose vector is found again. Yields (k, maps, criterion, explained variances) from most to least maps.
+
+    Correlations are kept: a round finds those of the maps that it touched, and looks again for the best map of samples whose own was touched or dissolved; other samples only compare with the touched ones.
+    """
+    n = len(data)
+    size = np.abs if not polarity else np.asarray
     maps = data / np.maximum(np.linalg.norm(data, axis=1, keepdims=True), 1e-300)
-    members = [[i] for i in range(len(data))]
-    while len(maps) >= max(1, least):
-        _, cv, gev = criteria(data, maps, polarity)
-        if len(maps) <= most:
-            yield len(maps), maps.copy(), cv, gev
-        if len(maps) == 1:
+    members = {i: [i] for i in range(n)}
+    c = size(map_correlations(data, maps))
+    best, power, rows = c.argmax(axis=1), data.std(axis=1) ** 2, np.arange(n)
+    own = c[rows, best]
+    while len(members) >= max(1, least):
+        alive = np.fromiter(members, dtype=np.int64)
+        if len(members) <= most:
+            _, cv, gev = criteria(data, maps[alive], polarity)
+            yield len(members), maps[alive].copy(), cv, gev
+        if len(members) == 1:
             return
-        worst = int(gev.argmin())
-        maps = np.delete(maps, worst, axis=0)
+        explained = np.bincount(best, weights=power * own**2, minlength=n)
+        worst = int(alive[explained[alive].argmin()])
         freed = members.pop(worst)
-        c = map_correlations(data[freed], maps)
-        targets = (c if polarity else np.abs(c)).argmax(axis=1)
+        c[:, worst] = -np.inf
+        targets = c[freed].argmax(axis=1)
         for i, target in zip(freed, targets, strict=True):
-            members[target].append(i)
-        for target in np.unique(targets):
-            maps[target] = principal_vector(data[members[target]])
+            members[int(target)].append(i)
+        touched = np.unique(targets)
+        again = np.isin(best, np.append(touched, worst))
+        for target in touched:
+            maps[target] = principal_vector(data[members[int(target)]])
+        c[:, touched] = size(map_correlations(data, maps[touched]))
+        nearest = touched[c[:, touched].argmax(axis=1)]
+        value = c[rows, nearest]
+        better = ~again & ((value > own) | (value == own) & (nearest < best))
+        best[better] = nearest[better]
+        best[again] = c[again].argmax(axis=1)
+        own = c[rows, best]
 
 
 MAPS = "subject {kind}, k_total int, k int, m array<double>, cv double, gev double"
@@ -215,41 +238,60 @@ def reclustered(maps: DataFrame, least: int = 2, most: int = 10, restarts: int =
     return kmeans_modified(samples, least, most, restarts, seed=seed)
 
 
-def peak_indices(series: np.ndarray, distance: int, deviations: float) -> np.ndarray:
-    """Local maxima (of a plateau, its middle) within so many deviations of the mean, then thinned from the highest down so that none is nearer than `distance` to a higher one."""
-    n = len(series)
-    found, i = [], 1
-    while i < n - 1:
-        if series[i] > series[i - 1]:
-            j = i
-            while j < n - 1 and series[j + 1] == series[i]:
-                j += 1
-            if j < n - 1 and series[j + 1] < series[i]:
-                found.append((i + j) // 2)
-            i = j + 1
-        else:
-            i += 1
-    peaks = np.array(found, dtype=np.int64)
-    if not len(peaks):
-        return peaks
-    mean, spread = series.mean(), series.std()
-    peaks = peaks[np.abs(series[peaks] - mean) <= deviations * spread]
-    keep = np.ones(len(peaks), dtype=bool)
-    for i in np.argsort(series[peaks], kind="stable")[::-1]:
-        if keep[i]:
-            near = np.abs(peaks - peaks[i]) < distance
-            near[i] = False
-            keep &= ~near
-    return peaks[keep]
-
-
-def pick_peaks(series: DataFrame, value: str, distance: int = 10, deviations: float = 3) -> DataFrame:
-    """subject, t of the peaks of series(subject, t, value). Thinning by distance is sequential, so a recording's series, numbers only, is one task."""
+def thinned(t: np.ndarray, height: np.ndarray, distance: int) -> np.ndarray:
+    """Which peaks stay: from the highest down (of equal ones the later first), each that has no kept one nearer than `distance`. t ascends."""
+    keep, open_ = np.zeros(len(t), dtype=bool), np.ones(len(t), dtype=bool)
+    begin, end = np.searchsorted(t, t - distance, side="right"), np.searchsorted(t, t + distance, side="left")
+    for i in np.argsort(height, kind="stable")[::-1]:
+        if open_[i]:
+            keep[i] = True
+            open_[begin[i] : end[i]] = False
+    return keep
+
+
+def all_peaks(series: DataFrame, value: str, block: int) -> DataFrame:
+    """subject, t, x of the local maxima of series(subject, t, value), of a plateau its middle.
+
+    Neighbours meet in blocks of time that hold one row of either neighbouring block. Only the ends of plateaus are ordered over a whole recording.
+    """
+    rows = series.select("subject", "t", F.col(value).cast("double").alias("x"))
+    own = F.floor(F.col("t") / block)
+    at_edges = F.array(own, F.when(F.col("t") % block == 0, own - 1), F.when((F.col("t") + 1) % block == 0, own + 1))
+    dealt = rows.withColumn("own", own).withColumn("block", F.explode(F.array_compact(at_edges)))
+    w = Window.partitionBy("subject", "block").orderBy("t")
+    beside = dealt.withColumn("a", F.lag("x").over(w)).withColumn("b", F.lead("x").over(w)).where("block = own")
+    x, a, b = F.col("x"), F.col("a"), F.col("b")
+    sharp = beside.where((x > a) & (x > b)).select("subject", "t", "x")
+    begins, ends = (x == b) & F.coalesce(x != a, F.lit(True)), (x == a) & F.coalesce(x != b, F.lit(True))
+    bounds = beside.where(begins | ends).select("subject", "t", "x", begins.alias("begins"), (x > a).alias("rises"), (x > b).alias("falls"))
+    run = Window.partitionBy("subject").orderBy("t")
+    flat = bounds.withColumn("t1", F.lead("t").over(run)).withColumn("down", F.lead("falls").over(run)).where("begins and rises and down")
+    return sharp.unionByName(flat.select("subject", F.floor((F.col("t") + F.col("t1")) / 2).alias("t"), "x"))
+
+
+def pick_peaks(series: DataFrame, value: str, distance: int = 10, deviations: float = 3, block: int = 1 << 16) -> DataFrame:
+    """subject, t of the peaks of series(subject, t, value): local maxima within so many deviations of the mean, thinned from the highest down so that none is nearer than `distance` to a higher one.
+
+    t counts samples without gaps. Peaks on either side of a stretch of `distance` without any don't touch each other, so the pieces between such stretches are thinned apart: those that begin in one block of time
+    are a task's, whatever the recording's length. The result doesn't depend on the block.
+    """
     kind = dict(series.dtypes)["subject"]
+    block = max(block, distance)
+    frame = series.groupBy("subject").agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"))
+    found = all_peaks(series, value, block).join(frame, "subject").where(F.abs(F.col("x") - F.col("m")) <= deviations * F.col("s")).select("subject", "t", "x")
+    own = F.floor(F.col("t") / block)
+    dealt = found.withColumn("own", own).withColumn("block", F.explode(F.array_compact(F.array(own, F.when((F.col("t") + distance) >= (own + 1) * block, own + 1)))))
+    w = Window.partitionBy("subject", "block").orderBy("t")
+    begins = F.coalesce(F.col("t") - F.lag("t").over(w) >= distance, F.lit(True))
+    inside = dealt.withColumn("begins", begins & (F.col("block") == F.col("own"))).withColumn("begun", F.max("begins").over(w)).where("block = own")
+    # where a block goes on with a piece of an earlier one: the last block before it in which a piece begins
+    of_block = inside.groupBy("subject", "block").agg(F.max("begins").alias("any"))
+    last = F.last(F.when(F.col("any"), F.col("block")), ignorenulls=True).over(Window.partitionBy("subject").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    home = of_block.select("subject", "block", last.alias("before"))
+    pieces = inside.join(home, ["subject", "block"]).withColumn("home", F.when(F.col("begun"), F.col("block")).otherwise(F.col("before")))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t")
-        at = peak_indices(rows[value].to_numpy(dtype=float), distance, deviations)
-        return pd.DataFrame({"subject": rows["subject"].iloc[0], "t": rows["t"].to_numpy()[at]})
+        return rows.loc[thinned(rows["t"].to_numpy(), rows["x"].to_numpy(), distance), ["subject", "t"]]
 
-    return series.select("subject", "t", value).groupBy("subject").applyInPandas(run, f"subject {kind}, t long")
+    return pieces.select("subject", "t", "x", "home").groupBy("subject", "home").applyInPandas(run, f"subject {kind}, t long")

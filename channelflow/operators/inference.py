@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 
@@ -130,21 +131,25 @@ def complete(cells: list, places: list[str]) -> np.ndarray | None:
     return np.stack(full).astype(float) if full else None
 
 
-def _shuffled(packed: DataFrame, key: str, kind: str, times: int, seed: int, names: list[str], measure: Callable[[list, np.random.Generator | None], np.ndarray | None]) -> DataFrame:
-    """key, effect, statistic, p: the observed measure of each name, and the share of shufflings (the observed order among them) that reach it, in blocks of shufflings."""
+def _shuffled(packed: DataFrame, key: str, kind: str, times: int, seed: int, names: list[str], prepared: Callable, measure: Callable[..., np.ndarray]) -> DataFrame:
+    """key, effect, statistic, p: the observed measure of each name, and the share of shufflings (the observed order among them) that reach it, in blocks of shufflings.
+
+    A task prepares its array once a block (None: no test) and shuffles that.
+    """
     blocks = packed.select(key, "cells", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-(times - 1) // BLOCK) - 1)))).alias("block")).repartition(key, "block")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for name, cells, block in zip(batch[key], batch["cells"], batch["block"], strict=True):
-                observed = measure(cells, None)
-                if observed is None:
+                ready = prepared(cells)
+                if ready is None:
                     rows += [(name, e, None, None) for e in names]
                     continue
+                observed = measure(*ready, None)
                 rng = np.random.default_rng([seed, block])
                 n = max(0, min(BLOCK, times - 1 - block * BLOCK))
-                reached = sum((measure(cells, rng) >= observed - 1e-12 for _ in range(n)), np.zeros(len(names)))
+                reached = sum((measure(*ready, rng) >= observed - 1e-12 for _ in range(n)), np.zeros(len(names)))
                 rows += [(name, e, float(s), float(r)) for e, s, r in zip(names, observed, reached, strict=True)]
             yield pd.DataFrame(rows, columns=[key, "effect", "statistic", "reached"])
 
@@ -156,17 +161,17 @@ def permutation_test(rows: DataFrame, times: int = 1000, seed: int = 3) -> DataF
     """rows(k, subject, condition, v): for each map k, the observed dissimilarity of conditions and its p, the share of within-subject shufflings (the observed one
     among them) that reach it. Only subjects with every condition take part. A task has a map's subjects x conditions and a block of shufflings."""
 
-    def measure(cells: list, rng: np.random.Generator | None) -> np.ndarray | None:
+    def prepared(cells: list) -> tuple | None:
         cube = complete(cells, ["condition"])
-        if cube is None or cube.shape[1] < 2:
-            return None
-        cube = normalised(cube)
+        return None if cube is None or cube.shape[1] < 2 else (normalised(cube),)
+
+    def measure(cube: np.ndarray, rng: np.random.Generator | None) -> np.ndarray:
         if rng is not None:
             order = rng.permuted(np.arange(cube.shape[1])[None, :].repeat(len(cube), 0), axis=1)
             cube = np.take_along_axis(cube, order[..., None], axis=1)
         return np.array([generalised_dissimilarity(cube)])
 
-    return _shuffled(_cubes(rows, "k", ["condition"]), "k", dict(rows.dtypes)["k"], times, seed, ["condition"], measure).drop("effect")
+    return _shuffled(_cubes(rows, "k", ["condition"]), "k", dict(rows.dtypes)["k"], times, seed, ["condition"], prepared, measure).drop("effect")
 
 
 def tanova(rows: DataFrame, times: int = 1000, seed: int = 3) -> DataFrame:
@@ -175,22 +180,21 @@ def tanova(rows: DataFrame, times: int = 1000, seed: int = 3) -> DataFrame:
     Effects are sums of root mean square distances from the grand mean: of conditions over classes, of classes over conditions, and of cells without their class's mean.
     """
 
-    def measure(cells: list, rng: np.random.Generator | None) -> np.ndarray | None:
+    def prepared(cells: list) -> tuple | None:
         flat = complete(cells, ["condition", "k"])
-        if flat is None:
-            return None
-        flat = flat - flat.mean(axis=2, keepdims=True)
+        return None if flat is None else (flat - flat.mean(axis=2, keepdims=True), len({c["condition"] for c in cells}))
+
+    def measure(flat: np.ndarray, conditions: int, rng: np.random.Generator | None) -> np.ndarray:
         if rng is not None:
             order = np.argsort(rng.random(flat.shape[:2]), axis=1)
             flat = np.take_along_axis(flat, order[..., None], axis=1)
-        conditions = len({c["condition"] for c in cells})
         mean = flat.reshape(len(flat), conditions, -1, flat.shape[-1]).mean(axis=0)
         distance = lambda x: np.sqrt((x**2).mean(axis=-1)).sum()
         grand = mean.mean(axis=(0, 1))
         of_condition, of_class = mean.mean(axis=1) - grand, mean.mean(axis=0) - grand
         return np.array([distance(of_condition), distance(of_class), distance(mean - grand - of_condition[:, None] - of_class[None])])
 
-    return _shuffled(_cubes(rows, "group", ["condition", "k"]), "group", dict(rows.dtypes)["group"], times, seed, ["condition", "class", "interaction"], measure)
+    return _shuffled(_cubes(rows, "group", ["condition", "k"]), "group", dict(rows.dtypes)["group"], times, seed, ["condition", "class", "interaction"], prepared, measure)
 
 
 def bootstrap_test(rows: DataFrame, times: int = 1000, seed: int = 3) -> DataFrame:
@@ -239,7 +243,7 @@ def surrogates(matrix: DataFrame, length: int, count: int, seed: int = 5) -> Dat
                     begin[past] = begin.get(past, 0.0) + m["joint"]
                 follow = {past: (states, np.cumsum(shares)) for past, (states, shares) in follow.items()}
                 pasts, weights = list(begin), np.cumsum(list(begin.values()))
-                number = abs(hash(int(subject))) if isinstance(subject, (int, np.integer)) else sum(map(ord, str(subject)))
+                number = int.from_bytes(hashlib.blake2b(str(subject).encode(), digest_size=8).digest())
                 u = np.random.default_rng([seed, chain, number]).random(2 * length)
                 pick = lambda total, x: int(min(np.searchsorted(total, x * total[-1], side="right"), len(total) - 1))
                 out = list(pasts[pick(weights, u[0])])

@@ -7,11 +7,14 @@ grouped sums within a subject. Results are undefined (null) rather than NaN wher
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+
 def by_time() -> WindowSpec:
     return Window.partitionBy("subject").orderBy("t")
 
@@ -203,25 +206,70 @@ def indicators(seq: DataFrame) -> DataFrame:
     return each.select("subject", "state", "t", F.coalesce((F.col("_own") == F.col("state")).cast("double"), F.lit(0.0)).alias("x"))
 
 
-def hurst_rs(series: DataFrame, keys: Sequence[str], least: int = 16, most: int = 1024) -> DataFrame:
-    """Hurst exponent by rescaled range: series(keys, t, x). Chunks of 16 * 2^i samples up to min(n / 4, 1024), four at least; null below 64 samples or with one size only."""
-    whole = Window.partitionBy(*keys)
-    counted = series.withColumn("n", F.count("*").over(whole)).where(F.col("n") >= 4 * least)
+def _rescaled(codes: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, float, int]]:
+    """Of each size, the sum of range over deviation of its whole blocks, and their number; blocks of constant numbers have none."""
+    for size in sizes:
+        blocks = codes[: len(codes) // size * size].reshape(-1, size)
+        deviation = blocks.std(axis=1, ddof=1)
+        blocks, deviation = blocks[deviation > 0], deviation[deviation > 0]
+        if len(blocks):
+            walk = np.cumsum(blocks - blocks.mean(axis=1, keepdims=True), axis=1)
+            yield size, float(((walk.max(axis=1) - walk.min(axis=1)) / deviation).sum()), len(blocks)
+
+
+def _fitted(sums: DataFrame, lengths: DataFrame, keys: Sequence[str], by: Sequence[str], least: int, most: int) -> DataFrame:
+    """keys and hurst from sums(keys, size, rs, blocks) of the largest blocks, and lengths(by, n)."""
+    fits = (F.col("n") >= 4 * least) & (F.col("size") <= F.greatest(F.least(F.floor(F.col("n") / 4), F.lit(most)), F.lit(least))) & (F.floor(F.col("n") / F.col("size")) >= 4)
+    means = sums.groupBy(*keys, "size").agg((F.sum("rs") / F.sum("blocks")).alias("rs")).join(lengths, list(by)).where(fits)
+    return means.groupBy(*keys).agg(F.when(F.count("*") >= 2, F.regr_slope(F.ln("rs"), F.ln("size"))).alias("hurst"))
+
+
+def _kind(df: DataFrame, columns: Sequence[str]) -> str:
+    return ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in columns)
+
+
+def _largest_blocks(rows: DataFrame, keys: Sequence[str], value: str, least: int, most: int) -> tuple[DataFrame, list[int]]:
+    """keys and xs: the values of each stretch of the largest size by t, which holds whole blocks of all smaller ones; and the sizes."""
     sizes = [least << i for i in range(20) if least << i <= most]
-    fits = (F.col("size") <= F.greatest(F.least(F.floor(F.col("n") / 4), F.lit(most)), F.lit(least))) & (F.floor(F.col("n") / F.col("size")) >= 4)
-    scales = counted.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes]))).where(fits)
-    blocks = scales.withColumn("block", F.floor(F.col("t") / F.col("size"))).where(F.col("block") < F.floor(F.col("n") / F.col("size")))
-    block = Window.partitionBy(*keys, "size", "block")
-    walked = blocks.withColumn("z", F.sum("x").over(block.orderBy("t")) - (F.row_number().over(block.orderBy("t")) * F.avg("x").over(block)))
-    ranges = walked.groupBy(*keys, "size", "block").agg((F.max("z") - F.min("z")).alias("r"), F.stddev_samp("x").alias("s")).where("s > 0")
-    means = ranges.groupBy(*keys, "size").agg(F.avg(F.col("r") / F.col("s")).alias("rs"))
-    fitted = means.groupBy(*keys).agg(F.when(F.count("*") >= 2, F.regr_slope(F.ln("rs"), F.ln("size"))).alias("hurst"))
-    return series.select(*keys).distinct().join(fitted, list(keys), "left")
+    packed = rows.groupBy(*keys, F.floor(F.col("t") / sizes[-1]).alias("stretch")).agg(F.array_sort(F.collect_list(F.struct("t", F.col(value).alias("x")))).alias("xs"))
+    return packed.select(*keys, F.transform("xs", lambda s: s["x"]).alias("xs")), sizes
+
+
+def hurst_rs(series: DataFrame, keys: Sequence[str], least: int = 16, most: int = 1024) -> DataFrame:
+    """Hurst exponent by rescaled range: series(keys, t, x). Chunks of 16 * 2^i samples up to min(n / 4, 1024), four at least; null below 64 samples or with one size only.
+
+    t counts from 0 without gaps. Samples are gathered once, in stretches of the largest chunk, and all sizes' sums come from these.
+    """
+    packed, sizes = _largest_blocks(series, keys, "x", least, most)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(*key, *found) for *key, xs in batch[[*keys, "xs"]].itertuples(index=False) for found in _rescaled(np.asarray(xs, dtype=float), sizes)]
+            yield pd.DataFrame(rows, columns=[*keys, "size", "rs", "blocks"])
+
+    sums = packed.mapInPandas(run, f"{_kind(series, keys)}, size int, rs double, blocks long")
+    lengths = series.groupBy(*keys).agg(F.count("*").alias("n"))
+    return lengths.select(*keys).join(_fitted(sums, lengths, keys, keys, least, most), list(keys), "left")
+
 
+def hurst_states(seq: DataFrame, least: int = 16, most: int = 1024) -> DataFrame:
+    """Hurst exponent of each state's 0/1 series, for the states that the table has. A stretch of the sequence gives the sums of all its states, so rows aren't copied by state."""
+    packed, sizes = _largest_blocks(seq, ["subject"], "state", least, most)
 
-def hurst_states(seq: DataFrame) -> DataFrame:
-    """Hurst exponent of each state's 0/1 series."""
-    return hurst_rs(indicators(seq), ["subject", "state"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for subject, xs in zip(batch["subject"], batch["xs"], strict=True):
+                xs = np.array(list(xs), dtype=object)
+                for state in {x for x in xs if x is not None}:
+                    rows += [(subject, state, *found) for found in _rescaled((xs == state).astype(float), sizes)]
+            yield pd.DataFrame(rows, columns=["subject", "state", "size", "rs", "blocks"])
+
+    sums = packed.mapInPandas(run, f"{_kind(seq, ['subject', 'state'])}, size int, rs double, blocks long")
+    lengths = seq.groupBy("subject").agg(F.count("*").alias("n"))
+    states = seq.where("state is not null").select("state").distinct().agg(F.collect_list("state").alias("_states"))  # one row: the few states travel as an array
+    each = lengths.select("subject").join(F.broadcast(states), how="cross").select("subject", F.explode("_states").alias("state"))
+    return each.join(_fitted(sums, lengths, ["subject", "state"], ["subject"], least, most), ["subject", "state"], "left")
 
 
 def random_walk(seq: DataFrame, up: Sequence[object]) -> DataFrame:
@@ -229,17 +277,45 @@ def random_walk(seq: DataFrame, up: Sequence[object]) -> DataFrame:
     return seq.select("subject", "t", F.when(F.col("state").isin(*up), 1.0).otherwise(-1.0).alias("x"))
 
 
+def _joined_walks(parts: Column) -> Column:
+    """Sums of a walk over consecutive parts from the parts' own: n samples, s their sum, and over the walk y (the cumulated samples) and the places t the sums of y, y * y and t * y."""
+    none = F.struct(F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(c) for c in ("s", "y", "yy", "ty")])
+
+    def put(a: Column, b: Column) -> Column:
+        places = b["n"] * (b["n"] - 1) / 2
+        return F.struct(
+            (a["n"] + b["n"]).alias("n"),
+            (a["s"] + b["s"]).alias("s"),
+            (a["y"] + b["y"] + b["n"] * a["s"]).alias("y"),
+            (a["yy"] + b["yy"] + 2 * a["s"] * b["y"] + b["n"] * a["s"] * a["s"]).alias("yy"),
+            (a["ty"] + b["ty"] + a["s"] * places + a["n"] * b["y"] + a["n"] * a["s"] * b["n"]).alias("ty"),
+        )
+
+    return F.aggregate(parts, none, put)
+
+
 def dfa(series: DataFrame, keys: Sequence[str], scales: Sequence[int]) -> DataFrame:
-    """Detrended fluctuation: slope of log2 F(scale) over log2 scale. F is the root mean square of what is left of the
-    cumulated, centred series after a line in each whole window; the line's residual is its closed form, so no window is gathered."""
-    whole = Window.partitionBy(*keys)
-    walked = series.withColumn("y", F.sum("x").over(whole.orderBy("t")) - (F.col("t") + 1) * F.avg("x").over(whole)).withColumn("n", F.count("*").over(whole))
-    cut = walked.withColumn("scale", F.explode(F.array(*[F.lit(s) for s in scales]))).withColumn("w", F.floor(F.col("t") / F.col("scale"))).where(F.col("w") < F.floor(F.col("n") / F.col("scale")))
-    t = F.col("t").cast("double")
-    explained = F.coalesce(F.try_divide(F.pow(F.regr_sxy("y", t), F.lit(2.0)), F.regr_sxx("y", t)), F.lit(0.0))
-    rest = cut.groupBy(*keys, "scale", "w").agg((F.regr_syy("y", t) - explained).alias("ss"))
-    flat = rest.groupBy(*keys, "scale").agg(F.sqrt(F.avg(F.greatest(F.col("ss"), F.lit(0.0)) / F.col("scale"))).alias("f"))
-    return flat.where("f > 0").groupBy(*keys).agg(F.regr_slope(F.log2("f"), F.log2("scale")).alias("dfa"))
+    """Detrended fluctuation: slope of log2 F(scale) over log2 scale. F is the root mean square of what is left of the cumulated, centred series(keys, t, x) after a line in each whole window.
+
+    A line takes up where a window's walk begins, so each window's walk is its own; sums of windows of one scale are joined to those of the next scale that it divides, and samples are
+    gathered once for such a chain of scales. t counts from 0 without gaps.
+    """
+    means = series.groupBy(*keys).agg(F.avg("x").alias("_m"))
+    x = F.col("x") - F.col("_m")
+    samples = series.join(means, list(keys)).select(*keys, F.col("t").alias("w"), F.struct(F.lit(1).cast("long").alias("n"), x.alias("s"), x.alias("y"), (x * x).alias("yy"), F.lit(0.0).alias("ty")).alias("p"))
+    levels: dict[int, DataFrame] = {1: samples}
+    for scale in sorted(set(scales) - {1}):
+        below = max(s for s in levels if scale % s == 0)
+        parts = levels[below].groupBy(*keys, F.floor(F.col("w") / (scale // below)).alias("w")).agg(F.array_sort(F.collect_list(F.struct(F.col("w").alias("i"), "p"))).alias("parts"))
+        levels[scale] = parts.select(*keys, "w", _joined_walks(F.transform("parts", lambda s: s["p"])).alias("p")).where(F.col("p.n") == scale)
+    flats = None
+    for scale in sorted(set(scales)):
+        n, middle = float(scale), (scale - 1) / 2
+        yy, ty = F.col("p.yy") - F.col("p.y") * F.col("p.y") / n, F.col("p.ty") - middle * F.col("p.y")
+        left = yy - ty * ty / (n * (n * n - 1) / 12) if scale > 1 else F.lit(0.0)
+        flat = levels[scale].groupBy(*keys).agg(F.lit(scale).alias("scale"), F.sqrt(F.avg(F.greatest(left, F.lit(0.0)) / n)).alias("f"))
+        flats = flat if flats is None else flats.unionByName(flat)
+    return flats.where("f > 0").groupBy(*keys).agg(F.regr_slope(F.log2("f"), F.log2("scale")).alias("dfa"))
 
 
 def markov_g(seq: DataFrame, order: int) -> DataFrame:

@@ -94,7 +94,7 @@ def notch(samples: DataFrame, line: float = 60.0, sfreq: float = 500, width: flo
 
 
 def resample(samples: DataFrame, sfreq: float, target: float) -> DataFrame:
-    """samples(subject, t, ch, x) at another rate, by cutting or padding the Fourier spectrum; t is numbered anew."""
+    """samples(subject, t, ch, x) at another rate, by cutting or padding the Fourier spectrum; t is numbered anew. The middle bin of an even length stands for two frequencies: cut, it takes both, padded, it is halved."""
     kinds = dict(samples.dtypes)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -104,6 +104,9 @@ def resample(samples: DataFrame, sfreq: float, target: float) -> DataFrame:
         own = np.fft.rfft(x)
         k = min(len(own), len(spectrum))
         spectrum[:k] = own[:k]
+        least = min(n, len(x))
+        if least % 2 == 0 and n != len(x):
+            spectrum[least // 2] *= 2 if n < len(x) else 0.5
         return pd.DataFrame({"subject": rows["subject"].iloc[0], "t": np.arange(n), "ch": rows["ch"].iloc[0], "x": np.fft.irfft(spectrum, n) * n / len(x)})
 
     return samples.groupBy("subject", "ch").applyInPandas(run, f"subject {kinds['subject']}, t long, ch {kinds['ch']}, x double")

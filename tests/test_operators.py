@@ -107,11 +107,109 @@ def test_kmeans_and_agglomeration_recover_planted_maps(spark):
     assert C.kmeans_modified(samples.limit(2), 3, 3, 2).count() == 0
 
 
-def test_peaks_distance_and_plateau():
+def peaks_of(spark, x, distance, deviations, block=1 << 16):
+    df = spark.createDataFrame([("a", t, float(v)) for t, v in enumerate(x)], "subject string, t long, x double")
+    return sorted(r["t"] for r in C.pick_peaks(df, "x", distance, deviations, block).collect())
+
+
+def test_peaks_distance_and_plateau(spark):
     x = np.array([0, 1, 0, 3, 0, 2, 2, 2, 0, 1, 0], dtype=float)
-    assert C.peak_indices(x, 1, 3).tolist() == [1, 3, 6, 9]
-    assert C.peak_indices(x, 3, 3).tolist() == [3, 6, 9]
-    assert C.peak_indices(np.zeros(5), 1, 3).tolist() == []
+    assert peaks_of(spark, x, 1, 3) == [1, 3, 6, 9]
+    assert peaks_of(spark, x, 3, 3) == [3, 6, 9]
+    assert peaks_of(spark, np.zeros(5), 1, 3) == []
+
+
+def sequential_peaks(x, distance, deviations):
+    """The rule, sample after sample."""
+    found, i = [], 1
+    while i < len(x) - 1:
+        j = i
+        while j < len(x) - 1 and x[j + 1] == x[i]:
+            j += 1
+        if x[i] > x[i - 1] and j < len(x) - 1 and x[j + 1] < x[i]:
+            found.append((i + j) // 2)
+        i = j + 1
+    left = sorted((p for p in found if abs(x[p] - x.mean()) <= deviations * x.std()), key=lambda p: (x[p], p))
+    kept = []
+    while left:
+        top = left.pop()
+        kept.append(top)
+        left = [p for p in left if abs(p - top) >= distance]
+    return sorted(kept)
+
+
+@pytest.mark.parametrize("distance, deviations, block", [(1, 3, 64), (10, 2, 64), (25, 3, 50), (200, 3, 64), (7, 9, 1 << 16)])
+def test_peaks_of_blocks_equal_the_sequential_rule(spark, distance, deviations, block):
+    rng = np.random.default_rng(distance)
+    smooth = np.convolve(rng.standard_normal(2000), np.ones(5))
+    steps = np.repeat(rng.integers(0, 4, 500), rng.integers(1, 9, 500)).astype(float)
+    quiet = np.where(rng.random(3000) < 0.02, rng.integers(1, 4, 3000), 0).astype(float)
+    for x in (smooth, steps, quiet):
+        assert peaks_of(spark, x, distance, deviations, block) == sequential_peaks(x, distance, deviations)
+
+
+def plain_agglomeration(data, least, most):
+    """The same with all correlations found again in every round."""
+    maps, members = data / np.linalg.norm(data, axis=1, keepdims=True), [[i] for i in range(len(data))]
+    while len(maps) >= least:
+        _, cv, gev = C.criteria(data, maps, False)
+        if len(maps) <= most:
+            yield maps.copy(), cv, gev
+        if len(maps) == 1:
+            return
+        worst = int(gev.argmin())
+        maps, freed = np.delete(maps, worst, axis=0), members.pop(worst)
+        targets = np.abs(C.map_correlations(data[freed], maps)).argmax(axis=1)
+        for i, k in zip(freed, targets, strict=True):
+            members[k].append(i)
+        for k in np.unique(targets):
+            maps[k] = C.principal_vector(data[members[k]])
+
+
+def test_kept_correlations_give_the_same_agglomeration():
+    for seed in range(3):
+        data = np.random.default_rng(seed).standard_normal((70, 9))
+        data -= data.mean(axis=1, keepdims=True)
+        ours, plain = list(C.agglomerate(data, 1, 70)), list(plain_agglomeration(data, 1, 70))
+        assert len(ours) == len(plain) == 70
+        for (k, maps, cv, gev), (m, c, g) in zip(ours, plain, strict=True):
+            assert k == len(m) and np.abs(maps - m).max() < 1e-9 and np.abs(gev - g).max() < 1e-9 and (cv == c or abs(cv - c) < 1e-9 * abs(c))
+
+
+def test_samples_without_power_have_no_nan():
+    for found in (C.kmeans_run(np.zeros((6, 7)), 2, 0, 1), next(C.agglomerate(np.zeros((5, 7)), 2, 3))[1:]):
+        assert all(np.isfinite(np.asarray(x, dtype=float)).all() for x in found)
+
+
+def test_hurst_of_several_subjects_and_states(spark):
+    rng = np.random.default_rng(3)
+    seqs = {"a": rng.integers(0, 3, 3000).tolist(), "b": np.repeat(rng.integers(0, 2, 200), 5).tolist(), "c": [0] * 30, "d": [None if x == 2 else int(x) for x in rng.integers(0, 3, 700)]}
+    df = spark.createDataFrame([(s, t, x) for s, xs in seqs.items() for t, x in enumerate(xs)], "subject string, t long, state int")
+    got = {(r["subject"], r["state"]): r["hurst"] for r in S.hurst_states(df).collect()}
+    each = {(r["subject"], r["state"]): r["hurst"] for r in S.hurst_rs(S.indicators(df), ["subject", "state"]).collect()}
+    assert got.keys() == each.keys() == {(s, k) for s in seqs for k in range(3)}
+    assert all(got[k] == pytest.approx(each[k], abs=1e-12) if each[k] is not None else got[k] is None for k in each)
+    assert got["c", 0] is None and got["b", 2] is None and got["a", 1] is not None
+
+
+def test_fluctuation_of_odd_scales_against_numpy(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal(1501) + 3
+    scales = [5, 10, 20, 7, 63, 100]
+    got = S.dfa(spark.createDataFrame([("a", t, float(v)) for t, v in enumerate(x)], "subject string, t long, x double"), ["subject"], scales).first()["dfa"]
+    y, f = np.cumsum(x - x.mean()), []
+    for n in scales:
+        parts = y[: len(y) // n * n].reshape(-1, n)
+        line = np.polyfit(np.arange(n), parts.T, 1)
+        f.append(np.sqrt(((parts - (np.outer(line[0], np.arange(n)) + line[1][:, None])) ** 2).mean(axis=1).mean()))
+    assert got == pytest.approx(np.polyfit(np.log2(scales), np.log2(f), 1)[0], abs=1e-9)
+
+
+def test_subjects_of_equal_letters_have_chains_of_their_own(spark):
+    rows = [(s, a, b, 1, 0.25, 0.5) for s in ("ab", "ba") for a in range(2) for b in range(2)]
+    matrix = spark.createDataFrame(rows, "subject string, s0 int, s1 int, n long, joint double, p double")
+    chains = {s: [r["state"] for r in S_chain.orderBy("t").collect()] for s, S_chain in ((s, I.surrogates(matrix, 200, 1).where(F.col("subject") == s)) for s in ("ab", "ba"))}
+    assert chains["ab"] != chains["ba"]
 
 
 def test_backfit_midpoints_and_single_peak(spark):

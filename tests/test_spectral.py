@@ -57,6 +57,23 @@ def test_resample(wave):
     assert len(half) == 500 and np.abs(half - x[::2]).max() < 0.2
 
 
+@pytest.mark.parametrize("n, rate, target", [(100, 100, 50), (100, 100, 60), (50, 50, 100), (64, 64, 48), (75, 75, 50), (99, 99, 33)])
+def test_resample_equals_the_fourier_series(spark, n, rate, target):
+    """Of the samples' trigonometric interpolation, the frequencies that the new rate holds; a middle one counts by its cosine."""
+    x = np.random.default_rng(n).standard_normal(n)
+    df = spark.createDataFrame([("a", i, 0, float(v)) for i, v in enumerate(x)], "subject string, t long, ch int, x double")
+    got = np.array([r["x"] for r in P.resample(df, rate, target).orderBy("t").collect()])
+    m, least = len(got), min(n, len(got))
+    t, j = np.arange(m) / m, np.arange(n)
+    want = np.full(m, x.mean())
+    for k in range(1, (least - 1) // 2 + 1):
+        want += 2 / n * (x @ np.cos(2 * np.pi * k * (j[:, None] / n - t)))
+    if least % 2 == 0:
+        k = least // 2
+        want += (2 if m < n else 1) / n * (x @ np.cos(2 * np.pi * k * j / n)[:, None] * np.cos(2 * np.pi * k * t))
+    assert np.abs(got - want).max() < 1e-9
+
+
 def test_sequence_windows(spark):
     seq = spark.createDataFrame([("a", t, t % 3) for t in range(7)], "subject string, t long, state int")
     got = [(r["begin"], r["states"], r["target"]) for r in P.windows(seq, 3, 2, 1).orderBy("begin").collect()]
