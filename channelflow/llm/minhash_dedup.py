@@ -6,8 +6,8 @@ about the square root of what separate tables take. Sets of similarity s meet in
 A key can only be shared where both of its halves are, so halves that no other set has are dropped before any pair is formed.
 
 Equal sets are one class. Every set is compared with the most central set of its tables, and with that one's own centre; links are confirmed on full sets, and what they have brought into
-one component isn't compared again. Keys that still hold several components give their pairs across these. Of two sets that were compared with the same one, their anchor, masks of the places that each lacks of it, and of what
-each has beside it that any other set has too, bound their own overlap, and the full lists of both give the exact number. Other pairs go on if four bits of each of the
+one component isn't compared again. Keys that still hold several components give their pairs across these. All sets of such a key are compared with one anchor: masks of the places that each lacks of it, and of what
+each has beside it that any other set has too, bound the overlap of two, and the full lists of both give the exact number. Other pairs go on if four bits of each of the
 minhashes, kept beside a set, allow the similarity (the bound is five standard deviations below what the threshold expects), and are then confirmed on full sets.
 """
 
@@ -176,10 +176,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     central = live.groupBy("sid").agg(F.sum("m").alias("degree")).join(keyed.select("sid", "n"), "sid")
     hubs = live.join(central, "sid").groupBy("k").agg(F.max(F.struct("degree", "sid", "n")).alias("hub"))
     chosen = live.join(hubs, "k").groupBy("sid").agg(F.max("hub").alias("hub")).join(keyed.select("sid", "n"), "sid")
-    chosen = cut(chosen.select("sid", "n", c("hub.sid").alias("hub"), c("hub.n").alias("hub_n"), c("hub.degree").alias("degree")))
-    above = chosen.select(c("sid").alias("hub"), c("hub").alias("b"), c("hub_n").alias("nb"), c("degree").alias("rank"))
-    first = chosen.select(c("sid").alias("a"), c("n").alias("na"), c("hub").alias("b"), c("hub_n").alias("nb"), c("degree").alias("rank"))
-    second = chosen.select(c("sid").alias("a"), c("n").alias("na"), "hub").join(above, "hub").select("a", "na", "b", "nb", "rank")
+    chosen = cut(chosen.select("sid", "n", c("hub.sid").alias("hub"), c("hub.n").alias("hub_n")))
+    above = chosen.select(c("sid").alias("hub"), c("hub").alias("b"), c("hub_n").alias("nb"))
+    first = chosen.select(c("sid").alias("a"), c("n").alias("na"), c("hub").alias("b"), c("hub_n").alias("nb"))
+    second = chosen.select(c("sid").alias("a"), c("n").alias("na"), "hub").join(above, "hub").select("a", "na", "b", "nb")
     to_hub = cut(first.unionByName(second).where("a <> b").distinct())
 
     def fits(n: Column, m: Column) -> Column:
@@ -196,46 +196,52 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     entries = live.select("k", "sid").join(home, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     sizes = entries.groupBy("k", "component").agg(F.count("*").alias("m"))
     several = sizes.groupBy("k").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("k", "main")
-    opened = cut(entries.join(several, "k"))
-
-    # what a set has in common with its anchor, a hub that it was compared with (a hub's is itself), and how much of what it has beside it others have too
-    itself = to_hub.select(c("b").alias("sid"), c("nb").alias("anchor_n")).distinct().select("sid", c("sid").alias("anchor"), "anchor_n", c("anchor_n").alias("o"), *[F.unhex(F.lit("")).alias(x) for x in ("lost", "own")])
-    nearest = F.max(F.struct("rank", "b", "nb", "common", "lost", "own")).alias("t")
-    others = tested.where("lost is not null").join(to_hub.select("a", "b", "rank"), ["a", "b"]).join(itself.select(c("sid").alias("a")), "a", "left_anti").groupBy("a").agg(nearest)
-    others = others.select(c("a").alias("sid"), c("t.b").alias("anchor"), c("t.nb").alias("anchor_n"), c("t.common").alias("o"), c("t.lost").alias("lost"), c("t.own").alias("own"))
-    placed = cut(itself.unionByName(others).join(opened.select("sid").distinct(), "sid", "left_semi"))
+    opened = entries.join(several, "k")
+
+    # a key's anchor: of the hubs that its sets were compared with (a hub with itself) the one of most; those that weren't yet are compared with it now
+    itself = to_hub.select(c("b").alias("sid"), c("nb").alias("anchor_n")).distinct().select("sid", c("sid").alias("anchor"), "anchor_n", *[F.unhex(F.lit("")).alias(x) for x in ("lost", "own")])
+    against = lambda df: df.where("lost is not null").select(c("a").alias("sid"), c("b").alias("anchor"), c("nb").alias("anchor_n"), "lost", "own")
+    first = itself.unionByName(against(tested))
+    votes = opened.select("k", "sid").join(first.select("sid", "anchor", "anchor_n"), "sid").groupBy("k", "anchor", "anchor_n").agg(F.count("*").alias("m"))
+    anchors = votes.groupBy("k").agg(F.max(F.struct("m", "anchor", "anchor_n")).alias("x")).select("k", "x.anchor", "x.anchor_n")
+    opened = cut(opened.join(anchors, "k", "left"))
+    met = opened.where("sid <> anchor").select(c("sid").alias("a"), c("anchor").alias("b"), c("anchor_n").alias("nb")).distinct()
+    missing = met.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(keyed.select(c("sid").alias("a"), c("n").alias("na")), "a")
+    more = cut(overlaps(cut(missing), reps, docs, words, True))
+    placed = cut(first.unionByName(against(more)).join(opened.select("sid", "anchor").distinct(), ["sid", "anchor"], "left_semi"))
+
+    # masks of what a set lacks of its key's anchor, and of what it has beside it that others with that anchor have too
     beside = placed.select("sid", "anchor", F.explode(longs("own")).alias("x"))
     known = beside.groupBy("anchor", "x").agg(F.count("*").alias("m")).where("m > 1").select("anchor", "x")
     bits = [F.bit_or(F.when(F.pmod("x", F.lit(MASKS)) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("x", 8), F.lit(64)).cast("int")))).alias(f"own{w}") for w in range(MASKS)]
-    known = beside.join(known, ["anchor", "x"]).groupBy("sid").agg(F.count("*").cast("int").alias("s"), *bits)
-    about = placed.select("sid", "anchor", "anchor_n", (c("anchor_n") - c("o")).alias("l"), position_masks("lost").alias("p")).join(known, "sid", "left")
+    known = beside.join(known, ["anchor", "x"]).groupBy("sid", "anchor").agg(F.count("*").cast("int").alias("s"), *bits)
+    about = placed.select("sid", "anchor", (F.length("lost") / 4).cast("int").alias("l"), position_masks("lost").alias("p")).join(known, ["sid", "anchor"], "left")
     masks = [F.coalesce(f"own{w}", F.lit(0)).alias(f"own{w}") for w in range(MASKS)] + [c(f"p.lost{w}").alias(f"lost{w}") for w in range(MASKS)]
-    about = about.select("sid", "anchor", "anchor_n", "l", F.coalesce("s", F.lit(0)).alias("s"), *masks)
-    about = keyed.select("sid", "n", *marks).join(about, "sid", "left")
+    about = about.select("sid", "anchor", "l", F.coalesce("s", F.lit(0)).alias("s"), *masks)
 
-    # pairs across components, those of the largest one with others only: of sets with one anchor, the overlaps with it bound their own; of others, their sketches
+    # pairs across components, those of the largest one with others only: where both have a place by the anchor, masks bound their overlap; of others, their sketches
     limit = most_differing(2 * halves * rows, percent)
-    sides = opened.join(about, "sid")
-    named = lambda df, x: df.select("k", *([c("main")] if x == "a" else []), *[c(y).alias(f"{y}_{x}") for y in ("sid", "n", "component", "anchor", "anchor_n", "l", "s", *[f"{z}{w}" for z in ("own", "lost") for w in range(MASKS)], *marks)])
+    sides = opened.join(about, ["sid", "anchor"], "left").join(keyed.select("sid", "n", *marks), "sid")
+    own_columns = ("sid", "n", "component", "l", "s", *[f"{z}{w}" for z in ("own", "lost") for w in range(MASKS)], *marks)
+    named = lambda df, x: df.select("k", *(["main", "anchor", "anchor_n"] if x == "a" else []), *[c(y).alias(f"{y}_{x}") for y in own_columns])
     x, y = named(sides, "a"), named(sides.where("component <> main"), "b")
     once = (c("component_a") == c("main")) | (c("sid_a") < c("sid_b"))
-    one_anchor = F.coalesce(c("anchor_a") == c("anchor_b"), F.lit(False))
-    both_lost, both_own = at_most_common("lost", "l"), at_most_common("own", "s")
-    bound = c("anchor_n_a") - c("l_a") - c("l_b") + both_lost + both_own >= at_least(c("n_a"), c("n_b"), percent)
+    placed_both = c("l_a").isNotNull() & c("l_b").isNotNull()
+    bound = c("anchor_n") - c("l_a") - c("l_b") + at_most_common("lost", "l") + at_most_common("own", "s") >= at_least(c("n_a"), c("n_b"), percent)
     alike = differing([c(f"{m}_a") for m in marks], [c(f"{m}_b") for m in marks]) <= limit
-    met = x.join(y, "k").where((c("component_a") != c("component_b")) & once & fits(c("n_a"), c("n_b")) & (~one_anchor | bound) & alike)
+    met = x.join(y, "k").where((c("component_a") != c("component_b")) & once & fits(c("n_a"), c("n_b")) & F.coalesce(~placed_both | bound, F.lit(True)) & alike)
     ahead = c("sid_a") < c("sid_b")
     ordered = lambda u, v: F.when(ahead, c(u)).otherwise(c(v))
-    across = met.select(ordered("sid_a", "sid_b").alias("a"), ordered("sid_b", "sid_a").alias("b"), ordered("n_a", "n_b").alias("na"), ordered("n_b", "n_a").alias("nb"), one_anchor.alias("same")).distinct()
-    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    across = met.select(ordered("sid_a", "sid_b").alias("a"), ordered("sid_b", "sid_a").alias("b"), ordered("n_a", "n_b").alias("na"), ordered("n_b", "n_a").alias("nb"), F.when(placed_both, c("anchor")).alias("anchor"))
+    across = across.groupBy("a", "b", "na", "nb").agg(F.max("anchor").alias("anchor"))
+    done = tested.unionByName(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     across = cut(across.join(done, ["a", "b"], "left_anti"))
-    if not across.isEmpty():
-        lists = lambda z: placed.select(c("sid").alias(z), c("lost").alias(f"lost_{z}"), c("own").alias(f"own_{z}"), *([c("anchor_n")] if z == "a" else []))
-        derived = across.where("same").join(lists("a"), "a").join(lists("b"), "b").withColumn("common", derived_common("lost_a", "own_a", "lost_b", "own_b", "anchor_n"))
-        fetched = overlaps(across.where("not same").drop("same"), reps, docs, words, False)
-        late = cut(derived.where(is_link).select("a", "b").unionByName(fetched.where(is_link).select("a", "b")))
-        if not late.isEmpty():
-            member = components(links.unionByName(late))
+    lists = lambda z: placed.select("anchor", c("sid").alias(z), c("lost").alias(f"lost_{z}"), c("own").alias(f"own_{z}"), *([c("anchor_n")] if z == "a" else []))
+    derived = across.join(lists("a"), ["anchor", "a"]).join(lists("b"), ["anchor", "b"]).withColumn("common", derived_common("lost_a", "own_a", "lost_b", "own_b", "anchor_n"))
+    fetched = overlaps(across.where("anchor is null").drop("anchor"), reps, docs, words, False)
+    late = cut(derived.where(is_link).select("a", "b").unionByName(fetched.where(is_link).select("a", "b")).unionByName(more.where(is_link).select("a", "b")))
+    if not late.isEmpty():
+        member = components(links.unionByName(late))
 
     joined = classes.join(member.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     names = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
