@@ -146,6 +146,63 @@ def document_halves(docs: DataFrame, words: int, percent: int, halves: int, rows
     return docs.mapInPandas(run, schema)
 
 
+def _across(opened: DataFrame, tested: DataFrame, info: DataFrame, reps: DataFrame, docs: DataFrame, marks: list[str], words: int, percent: int, hashes: int, fits, is_link: Column) -> DataFrame:
+    """Links a, b between different components of opened(k, sid, anchor, component, main).
+
+    Sets outside a key's main component first meet that component in one of their keys; what links joins it, and all other pairs follow.
+    """
+    c = F.col
+    # a set's place by its key's anchor: masks of what it lacks of that, and of what it has beside it that others with the anchor have too
+    itself = opened.select(c("anchor").alias("sid"), "anchor").distinct().select("*", *[F.unhex(F.lit("")).alias(x) for x in ("lost", "own")])
+    against = tested.where("lost is not null").select(c("a").alias("sid"), c("b").alias("anchor"), "lost", "own")
+    placed = cut(itself.unionByName(against).join(opened.select("sid", "anchor").distinct(), ["sid", "anchor"], "left_semi"))
+    beside = placed.select("sid", "anchor", F.explode(longs("own")).alias("x"))
+    known = beside.groupBy("anchor", "x").agg(F.count("*").alias("m")).where("m > 1").select("anchor", "x")
+    bits = [F.bit_or(F.when(F.pmod("x", F.lit(MASKS)) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("x", 8), F.lit(64)).cast("int")))).alias(f"own{w}") for w in range(MASKS)]
+    known = beside.join(known, ["anchor", "x"]).groupBy("sid", "anchor").agg(F.count("*").cast("int").alias("s"), *bits)
+    about = placed.select("sid", "anchor", (F.length("lost") / 4).cast("int").alias("l"), position_masks("lost").alias("p")).join(known, ["sid", "anchor"], "left")
+    masks = [F.coalesce(f"own{w}", F.lit(0)).alias(f"own{w}") for w in range(MASKS)] + [c(f"p.lost{w}").alias(f"lost{w}") for w in range(MASKS)]
+    about = about.select("sid", "anchor", "l", F.coalesce("s", F.lit(0)).alias("s"), *masks).join(info.select(c("sid").alias("anchor"), c("n").alias("anchor_n")), "anchor")
+    sides = cut(opened.join(about, ["sid", "anchor"], "left").join(info, "sid"))
+    own_columns = ("sid", "n", "component", "l", "s", *[f"{z}{w}" for z in ("own", "lost") for w in range(MASKS)], *marks)
+    limit = most_differing(hashes, percent)
+
+    def pairs(one: DataFrame, other: DataFrame) -> DataFrame:
+        """a, b, na, nb, anchor (null if one has no place by it) of the pairs of a key that masks or else sketches allow."""
+        named = lambda df, x: df.select("k", *(["main", "anchor", "anchor_n"] if x == "a" else []), *[c(y).alias(f"{y}_{x}") for y in own_columns])
+        once = (c("component_a") == c("main")) | (c("sid_a") < c("sid_b"))
+        placed_both = c("l_a").isNotNull() & c("l_b").isNotNull()
+        bound = c("anchor_n") - c("l_a") - c("l_b") + at_most_common("lost", "l") + at_most_common("own", "s") >= at_least(c("n_a"), c("n_b"), percent)
+        alike = differing([c(f"{m}_a") for m in marks], [c(f"{m}_b") for m in marks]) <= limit
+        met = named(one, "a").join(named(other, "b"), "k").where((c("component_a") != c("component_b")) & once & fits(c("n_a"), c("n_b")) & F.coalesce(~placed_both | bound, F.lit(True)) & alike)
+        ahead = c("sid_a") < c("sid_b")
+        ordered = lambda u, v: F.when(ahead, c(u)).otherwise(c(v))
+        found = met.select(ordered("sid_a", "sid_b").alias("a"), ordered("sid_b", "sid_a").alias("b"), ordered("n_a", "n_b").alias("na"), ordered("n_b", "n_a").alias("nb"), F.when(placed_both, c("anchor")).alias("anchor"))
+        return found.groupBy("a", "b", "na", "nb").agg(F.max("anchor").alias("anchor"))
+
+    anchor_sizes = info.select(c("sid").alias("anchor"), c("n").alias("anchor_n"))
+    lists = lambda z: placed.select("anchor", c("sid").alias(z), c("lost").alias(f"lost_{z}"), c("own").alias(f"own_{z}"))
+
+    def derived(found: DataFrame) -> DataFrame:
+        """The links among pairs that have places by one anchor, from the full lists of both."""
+        both = found.where("anchor is not null").join(lists("a"), ["anchor", "a"]).join(lists("b"), ["anchor", "b"]).join(anchor_sizes, "anchor")
+        return both.withColumn("common", derived_common("lost_a", "own_a", "lost_b", "own_b", "anchor_n")).where(is_link).select("a", "b")
+
+    outside = sides.where("component <> main")
+    one_key = outside.groupBy("sid").agg(F.min("k").alias("k"))
+    soon = cut(derived(pairs(sides.where("component = main"), outside.join(one_key, ["sid", "k"], "left_semi"))))
+    home = sides.select("sid", "component").distinct()
+    ends = soon.join(home.select(c("sid").alias("a"), c("component").alias("u")), "a").join(home.select(c("sid").alias("b"), c("component").alias("v")), "b")
+    moved = ends.select("u", "v").unionByName(ends.select(c("v").alias("u"), c("u").alias("v"))).join(sides.select(c("main").alias("v")).distinct(), "v", "left_semi")
+    moved = moved.groupBy("u").agg(F.min("v").alias("joined")).join(sides.select(c("main").alias("u")).distinct(), "u", "left_anti")
+    now = sides.join(moved.withColumnRenamed("u", "component"), "component", "left").withColumn("component", F.coalesce("joined", "component")).drop("joined")
+    rest = pairs(now, now.where("component <> main"))
+    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = cut(rest.join(done, ["a", "b"], "left_anti"))
+    fetched = overlaps(rest.where("anchor is null").drop("anchor"), reps, docs, words, False).where(is_link).select("a", "b")
+    return cut(soon.unionByName(derived(rest)).unionByName(fetched))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and kept (doc_id equals component_id) of every row of docs(doc_id, text).
 
@@ -159,7 +216,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     marks = [x for x in table.columns if x[0] == "s" and x[1:].isdigit()]
     some = table.where("sid is not null").groupBy("sid")
     classes = some.agg(F.min("key").alias("rep"), F.min("doc_id").alias("first_id"))
-    keyed = table.where("half is not null").dropDuplicates(["sid"]).select("sid", "n", "half", *marks)
+    keyed = table.where("half is not null").dropDuplicates(["sid"])
+    info = cut(keyed.select("sid", "n", *marks))
+    sizes = lambda x, n: info.select(c("sid").alias(x), c("n").alias(n))
 
     # halves that several sets have; the keys of each set's remaining ones
     entry = keyed.select("sid", F.posexplode("half").alias("at", "h"))
@@ -172,74 +231,32 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     counts = keys.groupBy("k").agg(F.count("*").alias("m")).where("m > 1")
     live = cut(keys.join(counts, "k"))
 
-    # each set meets the most central one of its tables, the set with most neighbours, and that one's own centre
-    central = live.groupBy("sid").agg(F.sum("m").alias("degree")).join(keyed.select("sid", "n"), "sid")
-    hubs = live.join(central, "sid").groupBy("k").agg(F.max(F.struct("degree", "sid", "n")).alias("hub"))
-    chosen = live.join(hubs, "k").groupBy("sid").agg(F.max("hub").alias("hub")).join(keyed.select("sid", "n"), "sid")
-    chosen = cut(chosen.select("sid", "n", c("hub.sid").alias("hub"), c("hub.n").alias("hub_n")))
-    above = chosen.select(c("sid").alias("hub"), c("hub").alias("b"), c("hub_n").alias("nb"))
-    first = chosen.select(c("sid").alias("a"), c("n").alias("na"), c("hub").alias("b"), c("hub_n").alias("nb"))
-    second = chosen.select(c("sid").alias("a"), c("n").alias("na"), "hub").join(above, "hub").select("a", "na", "b", "nb")
-    to_hub = cut(first.unionByName(second).where("a <> b").distinct())
+    # each set meets the most central one of its tables, the set with most neighbours, and of each table the one that most of its sets meet: the key's anchor
+    central = live.groupBy("sid").agg(F.sum("m").alias("degree"))
+    hubs = live.join(central, "sid").groupBy("k").agg(F.max(F.struct("degree", "sid")).alias("hub"))
+    chosen = cut(live.join(hubs, "k").groupBy("sid").agg(F.max("hub").alias("hub")).select("sid", c("hub.sid").alias("hub")))
+    votes = live.select("k", "sid").join(chosen, "sid").groupBy("k", "hub").agg(F.count("*").alias("m"))
+    anchors = votes.groupBy("k").agg(F.max(F.struct("m", "hub")).alias("x")).select("k", c("x.hub").alias("anchor"))
+    anchored = cut(live.select("k", "sid").join(anchors, "k"))
+    meet = chosen.select(c("sid").alias("a"), c("hub").alias("b")).unionByName(anchored.select(c("sid").alias("a"), c("anchor").alias("b"))).where("a <> b").distinct()
+    meet = cut(meet.join(sizes("a", "na"), "a").join(sizes("b", "nb"), "b"))
 
     def fits(n: Column, m: Column) -> Column:
         return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
     is_link = c("common") * (100 + percent) >= (c("na") + c("nb")) * percent
     reps = classes.select("sid", "rep")
-    tested = cut(overlaps(to_hub, reps, docs, words, True))
+    tested = cut(overlaps(meet, reps, docs, words, True))
     links = tested.where(is_link).select("a", "b")
     member = components(links)
 
     # keys that still hold several components
     home = member.select(c("node").alias("sid"), "component")
-    entries = live.select("k", "sid").join(home, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    sizes = entries.groupBy("k", "component").agg(F.count("*").alias("m"))
-    several = sizes.groupBy("k").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("k", "main")
-    opened = entries.join(several, "k")
-
-    # a key's anchor: of the hubs that its sets were compared with (a hub with itself) the one of most; those that weren't yet are compared with it now
-    itself = to_hub.select(c("b").alias("sid"), c("nb").alias("anchor_n")).distinct().select("sid", c("sid").alias("anchor"), "anchor_n", *[F.unhex(F.lit("")).alias(x) for x in ("lost", "own")])
-    against = lambda df: df.where("lost is not null").select(c("a").alias("sid"), c("b").alias("anchor"), c("nb").alias("anchor_n"), "lost", "own")
-    first = itself.unionByName(against(tested))
-    votes = opened.select("k", "sid").join(first.select("sid", "anchor", "anchor_n"), "sid").groupBy("k", "anchor", "anchor_n").agg(F.count("*").alias("m"))
-    anchors = votes.groupBy("k").agg(F.max(F.struct("m", "anchor", "anchor_n")).alias("x")).select("k", "x.anchor", "x.anchor_n")
-    opened = cut(opened.join(anchors, "k", "left"))
-    met = opened.where("sid <> anchor").select(c("sid").alias("a"), c("anchor").alias("b"), c("anchor_n").alias("nb")).distinct()
-    missing = met.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(keyed.select(c("sid").alias("a"), c("n").alias("na")), "a")
-    more = cut(overlaps(cut(missing), reps, docs, words, True))
-    placed = cut(first.unionByName(against(more)).join(opened.select("sid", "anchor").distinct(), ["sid", "anchor"], "left_semi"))
-
-    # masks of what a set lacks of its key's anchor, and of what it has beside it that others with that anchor have too
-    beside = placed.select("sid", "anchor", F.explode(longs("own")).alias("x"))
-    known = beside.groupBy("anchor", "x").agg(F.count("*").alias("m")).where("m > 1").select("anchor", "x")
-    bits = [F.bit_or(F.when(F.pmod("x", F.lit(MASKS)) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("x", 8), F.lit(64)).cast("int")))).alias(f"own{w}") for w in range(MASKS)]
-    known = beside.join(known, ["anchor", "x"]).groupBy("sid", "anchor").agg(F.count("*").cast("int").alias("s"), *bits)
-    about = placed.select("sid", "anchor", (F.length("lost") / 4).cast("int").alias("l"), position_masks("lost").alias("p")).join(known, ["sid", "anchor"], "left")
-    masks = [F.coalesce(f"own{w}", F.lit(0)).alias(f"own{w}") for w in range(MASKS)] + [c(f"p.lost{w}").alias(f"lost{w}") for w in range(MASKS)]
-    about = about.select("sid", "anchor", "l", F.coalesce("s", F.lit(0)).alias("s"), *masks)
-
-    # pairs across components, those of the largest one with others only: where both have a place by the anchor, masks bound their overlap; of others, their sketches
-    limit = most_differing(2 * halves * rows, percent)
-    sides = opened.join(about, ["sid", "anchor"], "left").join(keyed.select("sid", "n", *marks), "sid")
-    own_columns = ("sid", "n", "component", "l", "s", *[f"{z}{w}" for z in ("own", "lost") for w in range(MASKS)], *marks)
-    named = lambda df, x: df.select("k", *(["main", "anchor", "anchor_n"] if x == "a" else []), *[c(y).alias(f"{y}_{x}") for y in own_columns])
-    x, y = named(sides, "a"), named(sides.where("component <> main"), "b")
-    once = (c("component_a") == c("main")) | (c("sid_a") < c("sid_b"))
-    placed_both = c("l_a").isNotNull() & c("l_b").isNotNull()
-    bound = c("anchor_n") - c("l_a") - c("l_b") + at_most_common("lost", "l") + at_most_common("own", "s") >= at_least(c("n_a"), c("n_b"), percent)
-    alike = differing([c(f"{m}_a") for m in marks], [c(f"{m}_b") for m in marks]) <= limit
-    met = x.join(y, "k").where((c("component_a") != c("component_b")) & once & fits(c("n_a"), c("n_b")) & F.coalesce(~placed_both | bound, F.lit(True)) & alike)
-    ahead = c("sid_a") < c("sid_b")
-    ordered = lambda u, v: F.when(ahead, c(u)).otherwise(c(v))
-    across = met.select(ordered("sid_a", "sid_b").alias("a"), ordered("sid_b", "sid_a").alias("b"), ordered("n_a", "n_b").alias("na"), ordered("n_b", "n_a").alias("nb"), F.when(placed_both, c("anchor")).alias("anchor"))
-    across = across.groupBy("a", "b", "na", "nb").agg(F.max("anchor").alias("anchor"))
-    done = tested.unionByName(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = cut(across.join(done, ["a", "b"], "left_anti"))
-    lists = lambda z: placed.select("anchor", c("sid").alias(z), c("lost").alias(f"lost_{z}"), c("own").alias(f"own_{z}"), *([c("anchor_n")] if z == "a" else []))
-    derived = across.join(lists("a"), ["anchor", "a"]).join(lists("b"), ["anchor", "b"]).withColumn("common", derived_common("lost_a", "own_a", "lost_b", "own_b", "anchor_n"))
-    fetched = overlaps(across.where("anchor is null").drop("anchor"), reps, docs, words, False)
-    late = cut(derived.where(is_link).select("a", "b").unionByName(fetched.where(is_link).select("a", "b")).unionByName(more.where(is_link).select("a", "b")))
+    entries = anchored.join(home, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    parts = entries.groupBy("k", "component").agg(F.count("*").alias("m"))
+    several = parts.groupBy("k").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("k", "main")
+    opened = cut(entries.join(several, "k"))
+    late = _across(opened, tested, info, reps, docs, marks, words, percent, 2 * halves * rows, fits, is_link)
     if not late.isEmpty():
         member = components(links.unionByName(late))
 
