@@ -27,6 +27,25 @@ def principal_vector(rows: np.ndarray) -> np.ndarray:
     return found * (1 if found[np.abs(found).argmax()] >= 0 else -1)
 
 
+def principal_vectors(samples: DataFrame) -> DataFrame:
+    """subject and vector: principal_vector() of each subject's samples(subject, v), from sums of products of the batches. Nothing is centred."""
+    kind = dict(samples.dtypes)["subject"]
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for subject, part in batch.groupby("subject", sort=False):
+                x = np.stack(part["v"].to_numpy()).astype(float)
+                yield pd.DataFrame({"subject": [subject], "p": [(x.T @ x).tobytes()]})
+
+    def leading(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(p) for p in rows["p"]], axis=0)
+        found = np.linalg.eigh(total.reshape(2 * [int(len(total) ** 0.5)]))[1][:, -1]
+        return pd.DataFrame({"subject": rows["subject"].iloc[:1], "vector": [found * (1 if found[np.abs(found).argmax()] >= 0 else -1)]})
+
+    parts = samples.select("subject", "v").mapInPandas(products, f"subject {kind}, p binary")
+    return parts.groupBy("subject").applyInPandas(leading, f"subject {kind}, vector array<double>")
+
+
 def map_correlations(data: np.ndarray, maps: np.ndarray) -> np.ndarray:
     """Spatial correlations (samples x maps)."""
     deviation = np.outer(data.std(axis=1), maps.std(axis=1)) * data.shape[1]

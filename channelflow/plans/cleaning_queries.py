@@ -28,23 +28,23 @@ def recording(spark: SparkSession, folder: str, subjects: int = 1) -> DataFrame:
     return samples(spark, folder, subjects).select("subject", "t", "v")
 
 
-@query(f"WITH {X}, c AS (SELECT DISTINCT ch FROM x) SELECT a.ch AS i, b.ch AS j, CASE WHEN a.ch = b.ch THEN 1.0 ELSE 0.0 END AS c FROM c a, c b")
+@query(f"WITH {long_samples(2)}, c AS (SELECT DISTINCT subject, ch FROM x) SELECT a.subject, a.ch AS i, b.ch AS j, CASE WHEN a.ch = b.ch THEN 1.0 ELSE 0.0 END AS c FROM c a JOIN c b USING (subject)")
 def independent_components(spark: SparkSession, folder: str) -> DataFrame:
-    """Covariances of the components, which are as many as the channels here: 1 with themselves, 0 with others."""
-    rows = recording(spark, folder)
-    parts = W.sources(rows, kept(W.unmixed(rows))).select("t", F.posexplode("v").alias("i", "x"))
+    """Covariances of each recording's components, which are as many as the channels here: 1 with themselves, 0 with others."""
+    rows = recording(spark, folder, 2)
+    parts = W.sources(rows, kept(W.unmixed(rows))).select("subject", "t", F.posexplode("v").alias("i", "x"))
     n = F.count("*")
-    pairs = parts.join(parts.select("t", F.col("i").alias("j"), F.col("x").alias("y")), "t")  # components x components of each sample
-    return rounded(pairs.groupBy("i", "j").agg((F.sum(F.col("x") * F.col("y")) / n - F.avg("x") * F.avg("y")).alias("c")))
+    pairs = parts.join(parts.select("subject", "t", F.col("i").alias("j"), F.col("x").alias("y")), ["subject", "t"])  # components x components of each sample
+    return rounded(pairs.groupBy("subject", "i", "j").agg((F.sum(F.col("x") * F.col("y")) / n - F.avg("x") * F.avg("y")).alias("c")))
 
 
-@query(f"WITH {X} SELECT t, ch, round(x, 3) + 0.0 AS x FROM x")
+@query(f"WITH {long_samples(2)} SELECT subject, t, ch, round(x, 3) + 0.0 AS x FROM x")
 def components_mixed_back(spark: SparkSession, folder: str) -> DataFrame:
     """Samples to components and back."""
-    rows = recording(spark, folder)
+    rows = recording(spark, folder, 2)
     model = kept(W.unmixed(rows))
     back = M.long_format(W.mixed(W.sources(rows, model), model))
-    return back.select("t", "ch", (F.round("x", 3) + F.lit(0.0)).alias("x"))
+    return back.select("subject", "t", "ch", (F.round("x", 3) + F.lit(0.0)).alias("x"))
 
 
 @query()
@@ -82,7 +82,7 @@ def wavelet_shrunk(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def artefacts_removed(spark: SparkSession, folder: str) -> DataFrame:
     """Samples less what wavelet thresholds leave of their independent components, five levels of the long wavelet."""
-    return rounded(M.long_format(W.without_artefacts(recording(spark, folder))))
+    return rounded(M.long_format(W.without_artefacts(recording(spark, folder, 2))))
 
 
 def spread_out(spark: SparkSession) -> DataFrame:

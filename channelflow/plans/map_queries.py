@@ -223,9 +223,12 @@ def representative(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(A.representative(prototypes(spark, folder, 5).withColumnRenamed("subject", "grp")))
 
 
-@query(f"WITH {X}, {MAPS}, o AS (SELECT unnest([0, 1, 2, 3, 4, 5]) AS place, unnest([3, 5, 4, 1, 0, 2]) AS k) SELECT o.place AS k, ch, round(m, 6) + 0.0 AS x FROM maps JOIN o USING (k)")
+ORDER = [3, 5, 4, 1, 0, 2, 9, 7, 8, 6]
+
+
+@query(f"WITH {X}, {MAPS}, o AS (SELECT unnest(range(10)) AS place, unnest({ORDER}) AS k) SELECT o.place AS k, ch, round(m, 6) + 0.0 AS x FROM maps JOIN o USING (k)")
 def reorder_maps(spark: SparkSession, folder: str) -> DataFrame:
-    order = spark.createDataFrame([(0, place, k) for place, k in enumerate([3, 5, 4, 1, 0, 2])], "subject int, place int, k int")
+    order = spark.createDataFrame([(0, place, k) for place, k in enumerate(ORDER)], "subject int, place int, k int")
     return rounded(A.reordered(prototypes(spark, folder), order).select("k", F.posexplode("m").alias("ch", "x")))
 
 
@@ -374,9 +377,13 @@ def channel_lobes(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(Q.channel_groups(rows, R.channel_lobes(R.channels(spark))).select("t", "grp", "x"))
 
 
-@query(f"WITH n AS (SELECT ch, regexp_replace(name, '[0-9]+$', '') AS place, regexp_extract(name, '[0-9]+$')::INT AS number FROM (VALUES {LOBES}) v(ch, name) WHERE regexp_matches(name, '[0-9]$')) SELECT a.ch::INT AS left, b.ch::INT AS right FROM n a JOIN n b ON a.place = b.place AND b.number = a.number + 1 WHERE a.number % 2 = 1")
+@query(f"WITH {X}, n AS (SELECT ch, regexp_replace(name, '[0-9]+$', '') AS place, regexp_extract(name, '[0-9]+$')::INT AS number FROM (VALUES {LOBES}) v(ch, name) WHERE regexp_matches(name, '[0-9]$')), p AS (SELECT a.ch::INT AS left, b.ch::INT AS right FROM n a JOIN n b ON a.place = b.place AND b.number = a.number + 1 WHERE a.number % 2 = 1) SELECT p.left, p.right, round(avg(a.x - b.x), 6) + 0.0 AS difference FROM p JOIN x a ON a.ch = p.left JOIN x b ON b.ch = p.right AND b.t = a.t GROUP BY ALL")
 def mirrored_channels(spark: SparkSession, folder: str) -> DataFrame:
-    return R.mirrored_channels(R.channels(spark))
+    """The mean difference of the samples of each pair of mirrored channels."""
+    pairs, rows = R.mirrored_channels(R.channels(spark)), samples(spark, folder)
+    each = rows.join(pairs.agg(F.collect_list(F.struct("left", "right")).alias("pairs")), how="cross").select("v", F.explode("pairs").alias("p"))  # one row of channels' pairs
+    difference = F.get("v", F.col("p.left")) - F.get("v", F.col("p.right"))
+    return rounded(each.groupBy("p.left", "p.right").agg(F.avg(difference).alias("difference")))
 
 
 @query(f"WITH {X} SELECT t, ch, round(x - avg(x) FILTER (ch IN (9, 20)) OVER (PARTITION BY t), 6) + 0.0 AS x FROM x")
@@ -457,16 +464,20 @@ def notch(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(P.notch(M.long_format(samples(spark, folder)), 10, 40).select("t", "ch", "x"))
 
 
-@query()
+@query(
+    f"""WITH {X}, n AS (SELECT count(DISTINCT t) AS n, round_even(count(DISTINCT t) / 2.0, 0)::BIGINT AS m FROM x), s AS (SELECT unnest(range(m)) AS i, n, m FROM n),
+d AS (SELECT s.*, x.ch, x.t, x.x, i::DOUBLE / m - t::DOUBLE / n AS a, CASE WHEN m % 2 = 0 THEN m - 1 ELSE m END AS terms FROM s, x),
+e AS (SELECT i, ch, x, n, CASE WHEN abs(sin(pi() * a)) < 1e-12 THEN terms ELSE sin(pi() * terms * a) / sin(pi() * a) END + CASE WHEN m % 2 = 0 THEN 2 * cos(pi() * m * t / n) * cos(pi() * i) ELSE 0 END AS w FROM d)
+SELECT i AS t, ch, round(sum(w * x) / any_value(n), 6) + 0.0 AS x FROM e GROUP BY i, ch"""
+)
 def resample(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(P.resample(M.long_format(samples(spark, folder)), 100, 50).select("t", "ch", "x"))
 
 
 @query()
 def principal_vector(spark: SparkSession, folder: str) -> DataFrame:
-    """The first principal component of each quarter of the samples, as k-means takes it from a map's samples."""
-    found = C.principal_components(samples(spark, folder, 4).select("subject", "t", "v"), 1e-9)
-    return rounded(found.select("subject", F.posexplode("vector").alias("ch", "x")))
+    """The unit vector of greatest sum of squared products with each quarter of the samples, as k-means takes it from a map's samples."""
+    return rounded(C.principal_vectors(samples(spark, folder, 4)).select("subject", F.posexplode("vector").alias("ch", "x")))
 
 
 def recordings(spark: SparkSession, folder: str) -> DataFrame:
@@ -479,7 +490,8 @@ RUNS = {"rest": ["rest_0", "rest_1"], "work": ["work_0", "work_1"]}
 
 
 def some_maps(spark: SparkSession, folder: str) -> DataFrame:
-    return H.individual_maps(recordings(spark, folder), 4, 4, 10, distance=2)
+    """Maps of all recordings by the operator's own defaults (2 to 10 maps, 100 restarts); the recordings are short, so peaks may be near."""
+    return H.individual_maps(recordings(spark, folder), distance=2)
 
 
 @query()
@@ -489,7 +501,7 @@ def individual_maps(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def principal_maps(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(H.principal_maps(recordings(spark, folder), 0.9, least=4, most=4, restarts=10, distance=2).select("subject", "task", "k_total", "k", "cv", "gev"))
+    return rounded(H.principal_maps(recordings(spark, folder), 0.9, distance=2).select("subject", "task", "k_total", "k", "cv", "gev"))
 
 
 @query()
@@ -511,8 +523,8 @@ def across_conditions(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def reclustered(spark: SparkSession, folder: str) -> DataFrame:
-    maps = some_maps(spark, folder).select(F.col("subject").alias("grp"), F.col("task").alias("subject"), "k", "m")
-    return rounded(C.reclustered(maps, 3, 3, 20).select("subject", "k_total", "k", "cv", "gev"))
+    maps = some_maps(spark, folder).where("k_total = 4").select(F.col("subject").alias("grp"), F.col("task").alias("subject"), "k", "m")
+    return rounded(C.reclustered(maps).select("subject", "k_total", "k", "cv", "gev"))
 
 
 EXPLAINED = f"""WITH x AS (SELECT vec_id % 2 AS s, CASE WHEN vec_id % 8 < 4 THEN 'rest_' ELSE 'work_' END || (vec_id % 8 // 2 % 2) AS task, vec_id // 8 AS t, label, unnest(range(len(embedding)))::INT AS ch, unnest(embedding)::DOUBLE AS x FROM embeddings),

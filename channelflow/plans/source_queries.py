@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from channelflow.operators import clustering as C
+from channelflow.operators import maps as M
 from channelflow.sources import recordings as R
 
 from .map_queries import long_samples, prototypes, samples
@@ -37,10 +38,10 @@ def matrix_text(rows: DataFrame, key: str, order: str, v: str) -> DataFrame:
 @query(f"WITH {long_samples(4)} SELECT 'task_' || subject AS task, t, ch, round(x, 6) + 0.0 AS x FROM x")
 def json_recordings(spark: SparkSession, folder: str) -> DataFrame:
     rows = samples(spark, folder, 4).select(F.concat(F.lit("task_"), "subject").alias("task"), "t", "v")
-    whole = matrix_text(rows, "task", "t", "v").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('"'), "task", F.lit('":'), "text"))), ","), F.lit("}")).alias("value"))
+    whole = matrix_text(rows, "task", "t", "v").select("task", F.concat(F.lit('{"'), "task", F.lit('":'), "text", F.lit("}")).alias("value"))
     path = new_folder(spark, "recordings")
-    whole.coalesce(1).write.text(path)
-    read = R.read_recordings(spark, path, [f"task_{i}" for i in range(4)], channels_first=None)
+    whole.write.partitionBy("task").text(path)  # one file a recording
+    read = R.read_recordings(spark, path, channels_first=None)
     return rounded(read.select("task", "t", F.posexplode("v").alias("ch", "x")))
 
 
@@ -57,7 +58,7 @@ def labelled_csv(spark: SparkSession, folder: str) -> DataFrame:
     """The first column only numbers the rows, so it is left out."""
     path = new_folder(spark, "labelled")
     rows = table(spark, folder, "supplier").select((F.col("s_suppkey") - 1).alias("n"), "s_acctbal", F.col("s_nationkey").alias("microstate_label"), "s_name")
-    rows.coalesce(1).write.csv(path, header=True)
+    rows.write.csv(path, header=True)
     if not R.has_header(spark, path):
         raise ValueError("no header found")
     read = R.read_labelled_csv(spark, path, "microstate_label")
@@ -95,13 +96,14 @@ def map_lists(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(read.select("task", "k_total", "k", F.posexplode("m").alias("ch", "x"), "cv", "gev"))
 
 
-@query(f"SELECT i::INT AS ch, name, round(i * 5.5 - 170, 6) AS angle, CASE WHEN i % 9 < 8 THEN 0.25 END AS radius FROM (VALUES {', '.join(f'({i}, {name!r})' for i, name in enumerate(R.CAP63))}) v(i, name)".replace("round(i * 5.5 - 170, 6) AS angle", "CASE WHEN i % 9 < 8 THEN round(i * 5.5 - 170, 6) END AS angle"))
+@query(f"WITH {long_samples(1)} SELECT i::INT AS ch, name, round(i * 5.5 - 170, 6) AS angle, CASE WHEN i % 9 < 8 THEN 0.25 END AS radius, round(m, 6) + 0.0 AS mean FROM (VALUES {', '.join(f'({i}, {name!r})' for i, name in enumerate(R.CAP63))}) v(i, name) JOIN (SELECT ch, avg(x) AS m FROM x GROUP BY ch) ON ch = i".replace("round(i * 5.5 - 170, 6) AS angle", "CASE WHEN i % 9 < 8 THEN round(i * 5.5 - 170, 6) END AS angle"))
 def montage(spark: SparkSession, folder: str) -> DataFrame:
-    """A montage that lacks every ninth channel, by name with the recording's channels."""
+    """A montage that lacks every ninth channel, by name with the recording's channels and their samples' means."""
     path = new_folder(spark, "montage")
     lines = [(f"{i + 1}\t{i * 5.5 - 170}\t0.25\t{name}",) for i, name in reversed(list(enumerate(R.CAP63))) if i % 9 < 8]
     spark.createDataFrame(lines, "value string").write.text(path)
-    return R.placed_channels(spark, path)
+    means = M.long_format(samples(spark, folder)).groupBy("ch").agg(F.avg("x").alias("mean"))
+    return rounded(R.placed_channels(spark, path).join(means, "ch"))
 
 
 @query("SELECT (event_id % 100)::INT AS marker, event_id * 3 AS sample FROM events WHERE event_type = 'click'")
