@@ -81,6 +81,42 @@ def duration_label(seq: DataFrame, sfreq: float | None = None) -> DataFrame:
     )
 
 
+def profile(seq: DataFrame) -> DataFrame:
+    """What the metrics of a sequence are made of, in one row a subject: n, last_t, runs, first_state, last_state and states, an array of one struct a state that the subject has.
+
+    A state has k (samples), segments, length and m (of its runs but the sequence's first), stored and stored_n (of those but the last), the first and last stored run's length, and
+    nexts (next state, n). One exchange by subject and one order by time serve all; runs, then states, then subjects are grouped where they are. Null states are runs of their own.
+    """
+    changed = (~F.lag("state").over(by_time()).eqNullSafe(F.col("state")) | F.lag("t").over(by_time()).isNull()).cast("int")
+    marked = seq.withColumn("run", F.sum(changed).over(by_time()))
+    found = marked.groupBy("subject", "run").agg(F.first("state").alias("state"), F.max("t").alias("end"), F.count("*").alias("length"))
+    in_order = Window.partitionBy("subject").orderBy("run")
+    found = found.withColumn("next", F.lead("state").over(in_order)).withColumn("last", F.lead("run").over(in_order).isNull())
+    length, later, stored = F.col("length"), F.col("run") > 1, ~F.col("last")
+    sums = [
+        F.sum("length").alias("k"),
+        F.count("*").alias("segments"),
+        F.coalesce(F.sum(F.when(later, length)), F.lit(0)).alias("length"),
+        F.count_if(later).alias("m"),
+        F.coalesce(F.sum(F.when(stored, length)), F.lit(0)).alias("stored"),
+        F.count_if(stored).alias("stored_n"),
+        F.min(F.when(stored, F.struct("run", "length"))).alias("first_stored"),
+        F.max(F.when(stored, F.struct("run", "length"))).alias("last_stored"),
+        F.min("run").alias("run"),
+        F.max("end").alias("end"),
+    ]
+    pairs = found.groupBy("subject", "state", "next", "last").agg(*sums)
+    add = lambda c: F.sum(c).alias(c)
+    nexts = F.collect_list(F.when(~F.col("last"), F.struct(F.col("next").alias("state"), F.col("segments").alias("n")))).alias("nexts")
+    by_state = pairs.groupBy("subject", "state").agg(
+        add("k"), add("segments"), add("length"), add("m"), add("stored"), add("stored_n"), F.min("first_stored").alias("first_stored"), F.max("last_stored").alias("last_stored"), F.min("run").alias("run"), F.max("end").alias("end"), F.bool_or("last").alias("last"), nexts
+    )
+    one = F.struct("state", "k", "segments", "length", "m", "stored", "stored_n", F.col("first_stored.length").alias("first_stored"), F.col("last_stored.length").alias("last_stored"), "nexts")
+    return by_state.groupBy("subject").agg(
+        F.sum("k").alias("n"), F.max("end").alias("last_t"), F.sum("segments").alias("runs"), F.min_by("state", "run").alias("first_state"), F.max(F.when(F.col("last"), F.col("state"))).alias("last_state"), F.collect_list(one).alias("states")
+    )
+
+
 def in_windows(seq: DataFrame, window: int) -> DataFrame:
     """Whole windows as subjects of their own: subject becomes a struct of subject and w."""
     whole = seq.withColumn("n", F.count("*").over(Window.partitionBy("subject"))).withColumn("w", F.floor(F.col("t") / window)).where(F.col("w") < F.floor(F.col("n") / window))

@@ -5,12 +5,13 @@ Each level is a DataFrame of (key..., k, m); a level's sets are averaged by iter
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from channelflow.functions import vectors as V
+from channelflow.functions.lineage import kept
 from channelflow.operators import alignment as A
 from channelflow.operators import clustering as C
 from channelflow.operators import maps as M
@@ -82,40 +83,62 @@ def across_conditions(maps: DataFrame) -> DataFrame:
 
 
 #: Metrics of one sequence a subject, each as (subject, state or s0 and s1, value).
-METRICS: dict[str, Callable[[DataFrame, float], DataFrame]] = {
-    "coverage": lambda seq, sfreq: S.coverage(seq),
-    "duration": lambda seq, sfreq: S.duration_trimmed(seq),
-    "duration_seconds": lambda seq, sfreq: S.duration_label(seq, sfreq).select("subject", "state", "mean"),
-    "occurrence": lambda seq, sfreq: S.occurrence(seq, int(sfreq)),
-    "segments": lambda seq, sfreq: S.segments(seq).withColumn("segments", F.col("segments").cast("double")),
-    "transition_frequency": S.transition_frequency,
-    "entropy_rate": lambda seq, sfreq: S.entropy_rate(seq),
-    "transition_matrix": lambda seq, sfreq: S.transition_matrix(seq).select("subject", "s0", "s1", "p"),
-    "hurst": lambda seq, sfreq: S.hurst_states(seq),
-}
-
-
-def sequence_metrics(seq: DataFrame, sfreq: float, chosen: Sequence[str] = tuple(METRICS)) -> DataFrame:
+METRICS = ("coverage", "duration", "duration_seconds", "occurrence", "segments", "transition_frequency", "entropy_rate", "transition_matrix", "hurst")
+
+
+def _measured(sfreq: float, chosen: Sequence[str]) -> Column:
+    """An array of (metric, state_from, state_to, value) from a row of S.profile() and _all, the table's states."""
+    c = F.col
+    value = lambda name, one, two, x: F.struct(F.lit(name).alias("metric"), one.alias("state_from"), two.alias("state_to"), x.cast("double").alias("value"))
+    none = F.lit(None)
+    own = lambda state: F.get(F.filter("states", lambda s: s["state"] == state), F.lit(0))
+    each = lambda name, of: F.transform("_all", lambda state: value(name, state, none, of(own(state), state)))
+
+    def trimmed(s: Column, state: Column) -> Column:
+        lost = F.when(state == c("first_state"), s["first_stored"]).when(state == c("last_state"), s["last_stored"])
+        return F.coalesce(F.try_divide(s["stored"] - F.coalesce(lost, F.lit(0)), s["stored_n"] - lost.isNotNull().cast("int")), F.lit(0.0))
+
+    steps = lambda s: F.concat(F.array(F.struct(s["state"].alias("state"), (s["k"] - s["segments"]).alias("n"))), s["nexts"])
+    total = lambda s: F.aggregate(steps(s), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    moves = F.flatten(F.transform("states", lambda s: F.transform(F.filter(steps(s), lambda x: x["n"] > 0), lambda x: F.struct(s["state"].alias("a"), x["state"].alias("b"), (x["n"] / total(s)).alias("p"), (s["k"] / c("n")).alias("share")))))
+    chunks = F.floor(c("last_t") / int(sfreq)) + 1
+    found = {
+        "coverage": lambda: each("coverage", lambda s, _: F.coalesce(s["k"], F.lit(0)) / c("n")),
+        "duration": lambda: each("duration", trimmed),
+        "duration_seconds": lambda: each("duration_seconds", lambda s, _: F.try_divide(s["length"] / sfreq, s["m"])),
+        "occurrence": lambda: each("occurrence", lambda s, _: F.coalesce(s["k"], F.lit(0)) / chunks),
+        "segments": lambda: F.transform("states", lambda s: value("segments", s["state"], none, s["segments"])),
+        "transition_frequency": lambda: F.array(value("transition_frequency", none, none, (c("runs") - 1) / (c("n") / sfreq))),
+        "entropy_rate": lambda: F.array(value("entropy_rate", none, none, -F.aggregate(moves, F.lit(0.0), lambda a, x: a + x["share"] * x["p"] * F.ln(x["p"])))),
+        "transition_matrix": lambda: F.transform(moves, lambda x: value("transition_matrix", x["a"], x["b"], x["p"])),
+    }
+    return F.concat(*[found[m]() for m in chosen])
+
+
+def sequence_metrics(seq: DataFrame, sfreq: float, chosen: Sequence[str] = METRICS) -> DataFrame:
     """subject, metric, state_from, state_to, value: the chosen metrics of each subject's sequence(subject, t, state) in one long table; no other is computed.
 
-    state_from is the state of metrics by state; both are null for metrics of the whole sequence. Subjects of fewer than two samples have one row a metric, with no value.
+    state_from is the state of metrics by state; both are null for metrics of the whole sequence. Unlabelled (null) samples are left out. Subjects of fewer than two labelled samples have one row a metric, with no value.
+    All metrics but the Hurst exponent come from one profile of each sequence, so samples are exchanged and ordered once.
     """
     unknown = set(chosen) - set(METRICS)
     if unknown:
         raise ValueError(f"no such metrics: {sorted(unknown)}")
     kind = dict(seq.dtypes)["state"]
-    known = seq.where("state is not null")
-    lengths = seq.groupBy("subject").agg(F.count("*").alias("_n"))
-    enough = known.join(lengths.where("_n >= 2").select("subject"), "subject", "left_semi")
     none = F.lit(None).cast(kind)
-    short = lengths.where("_n < 2").select("subject", F.explode(F.array(*[F.lit(m) for m in chosen])).alias("metric"), none.alias("state_from"), none.alias("state_to"), F.lit(None).cast("double").alias("value"))
+    subjects = seq.groupBy("subject").agg(F.count("state").alias("_n"))
+    enough = seq.where("state is not null").join(subjects.where("_n >= 2").select("subject"), "subject", "left_semi")
+    short = subjects.where("_n < 2").select("subject", F.explode(F.array(*[F.lit(m) for m in chosen])).alias("metric"), none.alias("state_from"), none.alias("state_to"), F.lit(None).cast("double").alias("value"))
     out = short
-    for name in chosen:
-        found = METRICS[name](enough, sfreq)
-        states = [F.col(c) for c in found.columns if c in ("state", "s0", "s1")]
-        states += [none] * (2 - len(states))
-        rows = found.select("subject", F.lit(name).alias("metric"), states[0].alias("state_from"), states[1].alias("state_to"), F.col(found.columns[-1]).cast("double").alias("value"))
-        out = out.unionByName(rows)
+    by_profile = [m for m in chosen if m != "hurst"]
+    if by_profile:
+        states = enough.select("state").distinct().agg(F.array_sort(F.collect_list("state")).alias("_all"))  # one row: the few states travel as an array
+        rows = S.profile(enough).join(F.broadcast(states), how="cross")
+        shape = f"array<struct<metric:string, state_from:{kind}, state_to:{kind}, value:double>>"
+        out = out.unionByName(rows.select("subject", F.inline(_measured(sfreq, by_profile).cast(shape))))
+    if "hurst" in chosen:
+        found = S.hurst_states(enough)
+        out = out.unionByName(found.select("subject", F.lit("hurst").alias("metric"), F.col("state").alias("state_from"), none.alias("state_to"), F.col("hurst").alias("value")))
     return out
 
 
@@ -135,13 +158,13 @@ def recording_metrics(
     distance: int = 10,
     deviations: float = 3,
     polarity: bool = False,
-    chosen: Sequence[str] = tuple(METRICS),
+    chosen: Sequence[str] = METRICS,
 ) -> DataFrame:
     """The chosen metrics of every epoch of every recording against one map set(k, m): subject, task, epoch, metric, state_from, state_to, value.
 
-    The sequences that all metrics read are persisted; the caller's session frees them with the result's plan.
+    The sequences that the metrics read are kept in the shared folder.
     """
-    seq = epoch_sequences(recordings, maps, sfreq, seconds, distance, deviations, polarity).persist()
+    seq = kept(epoch_sequences(recordings, maps, sfreq, seconds, distance, deviations, polarity))
     p = F.split("subject", KEY)
     found = sequence_metrics(seq, sfreq, chosen)
     return found.select(F.get(p, F.lit(0)).alias("subject"), F.get(p, F.lit(1)).alias("task"), F.get(p, F.lit(2)).cast("long").alias("epoch"), "metric", "state_from", "state_to", "value")

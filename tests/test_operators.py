@@ -476,3 +476,31 @@ def test_streams(spark, tmp_path):
     seen = result(T.windowed_coverage(stream, "ts", "user", "state", "10 seconds", "5 seconds"), "complete")
     assert {r["state"]: r["samples"] for r in seen} == {"a": 3, "b": 3}
     assert result(T.sessions(stream, "ts", "user", "5 seconds", "1 second"), "complete")[0]["samples"] == 6
+
+
+def test_metrics_of_one_profile_equal_those_found_one_by_one(spark):
+    rng = np.random.default_rng(7)
+    seqs = {"a": rng.integers(0, 4, 400).tolist(), "b": np.repeat(rng.integers(0, 3, 60), rng.integers(1, 9, 60)).tolist(), "c": [2] * 9, "d": [0, 1], "e": [1], "f": [3, 3, 0, 3, 0, 0]}
+    df = spark.createDataFrame([(s, t, int(x)) for s, xs in seqs.items() for t, x in enumerate(xs)], "subject string, t long, state int")
+    long = df.where("subject <> 'e'")
+    one_by_one = {
+        "coverage": S.coverage(long), "duration": S.duration_trimmed(long), "duration_seconds": S.duration_label(long, 5).select("subject", "state", "mean"), "occurrence": S.occurrence(long, 5), "segments": S.segments(long),
+        "transition_frequency": S.transition_frequency(long, 5), "entropy_rate": S.entropy_rate(long), "transition_matrix": S.transition_matrix(long).select("subject", "s0", "s1", "p"), "hurst": S.hurst_states(long),
+    }
+    got = {}
+    for r in H.sequence_metrics(df, 5).collect():
+        got[tuple(r)[:4]] = r["value"]
+    want = {}
+    for name, found in one_by_one.items():
+        for r in found.collect():
+            subject, *states, x = tuple(r)
+            want[subject, name, *(states + [None, None])[:2]] = x
+    for k, x in want.items():
+        assert got[k] == pytest.approx(x, abs=1e-12) if x is not None else got[k] is None, k
+    assert {k for k in got if k[0] != "e"} == want.keys() and {k[1] for k in got if k[0] == "e"} == set(H.METRICS)
+
+
+def test_metrics_leave_unlabelled_samples_out(spark):
+    df = spark.createDataFrame([("a", t, s) for t, s in enumerate([None, 0, None, 0, 1, None])], "subject string, t long, state int")
+    got = {tuple(r)[1:4]: r["value"] for r in H.sequence_metrics(df, 1, ["coverage", "segments", "transition_matrix"]).collect()}
+    assert got == {("coverage", 0, None): 2 / 3, ("coverage", 1, None): 1 / 3, ("segments", 0, None): 1, ("segments", 1, None): 1, ("transition_matrix", 0, 0): 0.5, ("transition_matrix", 0, 1): 0.5}
