@@ -20,6 +20,7 @@ from channelflow.functions.lineage import kept
 TOGETHER = 256  # recordings that are unmixed at once
 ROUNDS, ATTEMPTS, TOLERANCE, WIDEN = 200, 3, 0.025, 5.0
 BLOCK = 1 << 15  # samples of a block of a series
+FEW_TASKS = 64  # whose sums may meet on the driver
 
 # Low-pass decomposition filters of the wavelets, in order.
 WAVELETS = {
@@ -47,8 +48,8 @@ def packed(samples: DataFrame) -> DataFrame:
     return samples.where("v is not null").select("subject", "v").mapInPandas(run, f"subject {kind}, n long, x binary")
 
 
-def _summed(blocks: DataFrame, sums, width: dict) -> dict:
-    """subject -> sum over its blocks of the array sums(subject, block); tasks add up first, then each subject's rows meet."""
+def _summed(blocks: DataFrame, sums, width: dict, tasks: int = FEW_TASKS) -> dict:
+    """subject -> sum over its blocks of the array sums(subject, block); tasks add up first, then each subject's rows meet: of few tasks on the driver, else in tasks of their own."""
     kind = dict(blocks.dtypes)["subject"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,8 +65,13 @@ def _summed(blocks: DataFrame, sums, width: dict) -> dict:
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"subject": rows["subject"].iloc[:1], "s": [np.sum([np.frombuffer(s) for s in rows["s"]], axis=0).tobytes()]})
 
-    parts = blocks.mapInPandas(run, f"subject {kind}, s binary").groupBy("subject").applyInPandas(add, f"subject {kind}, s binary")
-    return {r["subject"]: np.frombuffer(r["s"]) for r in parts.collect()}
+    parts = blocks.mapInPandas(run, f"subject {kind}, s binary")
+    if tasks > FEW_TASKS:
+        return {r["subject"]: np.frombuffer(r["s"]) for r in parts.groupBy("subject").applyInPandas(add, f"subject {kind}, s binary").collect()}
+    total: dict = {}
+    for r in parts.collect():
+        total[r["subject"]] = total.get(r["subject"], 0) + np.frombuffer(r["s"])
+    return total
 
 
 def decorrelated(w: np.ndarray) -> np.ndarray:
@@ -103,10 +109,11 @@ def unmixed(samples: DataFrame, components: int | None = None, rounds: int = ROU
 
 
 def _unmix(blocks: DataFrame, components: int | None, rounds: int, attempts: int, tolerance: float, widen: float, seed: int) -> list[tuple]:
+    tasks = blocks.rdd.getNumPartitions()
     widths = {r["subject"]: r["c"] for r in blocks.groupBy("subject").agg(F.max(F.expr("length(x) div (8 * n)")).cast("int").alias("c")).collect()}
-    moments = _summed(blocks, lambda _, x: np.concatenate(([len(x)], x.sum(axis=0))), widths)
+    moments = _summed(blocks, lambda _, x: np.concatenate(([len(x)], x.sum(axis=0))), widths, tasks)
     means = {s: (m[0], m[1:] / m[0]) for s, m in moments.items()}
-    squares = _summed(blocks, lambda s, x: ((x - means[s][1]).T @ (x - means[s][1])).ravel(), widths)
+    squares = _summed(blocks, lambda s, x: ((x - means[s][1]).T @ (x - means[s][1])).ravel(), widths, tasks)
     white = {s: whitener(q.reshape(widths[s], -1) / means[s][0], components) for s, q in squares.items()}
     done: dict = {s: (k, 0, tolerance) for s, k in white.items() if len(k) == 0}
     state = {s: decorrelated(np.random.default_rng([seed, 0]).standard_normal((len(k), len(k)))) for s, k in white.items() if len(k)}
@@ -118,7 +125,7 @@ def _unmix(blocks: DataFrame, components: int | None, rounds: int, attempts: int
             u = np.tanh(z @ state[s].T)
             return np.concatenate(((u.T @ z).ravel(), (1 - u**2).sum(axis=0)))
 
-        total = _summed(blocks, sums, state)
+        total = _summed(blocks, sums, state, tasks)
         after = {}
         for s, w in state.items():
             k, n = len(w), means[s][0]

@@ -267,6 +267,51 @@ def exponential_decay(points: DataFrame) -> DataFrame:
     return known.groupBy("subject").agg(F.exp(F.regr_intercept("log", "lag")).alias("a"), (-F.regr_slope("log", "lag")).alias("b"))
 
 
+def fitted_decay(lag: np.ndarray, value: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float] | None:
+    """a, b, c of a * exp(-b * lag) + c with the least sum of squares, and that sum, by damped Gauss-Newton steps from several rates; None for fewer than three points."""
+    if len(lag) < 3:
+        return None
+    best = None
+    for rate in (0.1, 1.0, 10.0):
+        p, damping = np.array([value[0] - value[-1] or 1.0, rate / max(np.ptp(lag) / 4, 1e-9), value[-1]]), 1e-3
+        miss = value - (p[0] * np.exp(-p[1] * lag) + p[2])
+        for _ in range(rounds):
+            e = np.exp(-p[1] * lag)
+            j = np.stack((e, -p[0] * lag * e, np.ones_like(lag)), axis=1)
+            square = j.T @ j
+            step = np.linalg.lstsq(square + damping * np.diag(np.maximum(np.diag(square), 1e-12)), j.T @ miss, rcond=None)[0]
+            with np.errstate(over="ignore", invalid="ignore"):
+                new = p + step
+                after = value - (new[0] * np.exp(-new[1] * lag) + new[2])
+                square_after = after @ after
+            if np.isfinite(square_after) and square_after <= miss @ miss:
+                done = miss @ miss - square_after <= 1e-14 * (miss @ miss)
+                p, miss, damping = new, after, damping / 5
+                if done:
+                    break
+            else:
+                damping *= 5
+        if best is None or miss @ miss < best[1]:
+            best = p, float(miss @ miss)
+    return best
+
+
+def exponential_fit(points: DataFrame) -> DataFrame:
+    """points(subject, lag, value): a, b and c of a * exp(-b * lag) + c by nonlinear least squares, with the root mean square of what is left. Values may be negative; null ones are left out.
+
+    A task has a subject's points, one a lag. Subjects of fewer than three points have nulls.
+    """
+    kind = dict(points.dtypes)["subject"]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        known = rows.dropna(subset=["value"]).sort_values("lag")
+        found = fitted_decay(known["lag"].to_numpy(dtype=float), known["value"].to_numpy(dtype=float))
+        a, b, c, left = (*found[0], (found[1] / len(known)) ** 0.5) if found else (None,) * 4
+        return pd.DataFrame({"subject": rows["subject"].iloc[:1], "a": [a], "b": [b], "c": [c], "left": [left]})
+
+    return points.select("subject", "lag", "value").groupBy("subject").applyInPandas(run, f"subject {kind}, a double, b double, c double, left double")
+
+
 def percentile_band(points: DataFrame, keys: list[str], value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """The percentiles of the value over all rows of each key: the confidence band of surrogate statistics."""
     found = points.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("q"))

@@ -1,4 +1,4 @@
-"""Spectra of recordings: Welch periodograms, band powers, filters. A channel's series is one task: numbers of one recording."""
+"""Spectra of recordings: Welch periodograms, band powers, filters, in blocks of time. Resampling alone takes a channel's whole series as one task."""
 
 from __future__ import annotations
 
@@ -12,21 +12,36 @@ from pyspark.sql import functions as F
 from .statistics import in_bands
 
 
-def welch(samples: DataFrame, sfreq: float = 500, segment: int = 1000, overlap: int = 750) -> DataFrame:
-    """samples(subject, t, ch, x) as (subject, ch, f, p): mean periodogram of overlapping segments, Hamming window, mean taken off, one-sided density. Shorter series give one segment of their own."""
-    kind = dict(samples.dtypes)["subject"]
+def welch(samples: DataFrame, sfreq: float = 500, segment: int = 1000, overlap: int = 750, together: int = 64) -> DataFrame:
+    """samples(subject, t, ch, x) as (subject, ch, f, p): mean periodogram of overlapping segments, Hamming window, mean taken off, one-sided density. Shorter series give one segment of their own.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values("t")["x"].to_numpy(dtype=float)
-        n = min(segment, len(x))
-        step = max(1, n - min(overlap, n - 1)) if n > 1 else 1
+    t counts from 0 without gaps. A task has `together` segments of a channel and gives their sums by frequency, so a long channel is many tasks.
+    """
+    kind = dict(samples.dtypes)["subject"]
+    lengths = samples.groupBy("subject", "ch").agg(F.count("*").alias("whole"))
+    rows = samples.select("subject", "t", "ch", "x").join(lengths, ["subject", "ch"])
+    n = F.least("whole", F.lit(segment)).cast("int")
+    step = F.when(n > 1, F.greatest(n - F.least(F.lit(overlap), n - 1), F.lit(1))).otherwise(1)
+    rows = rows.withColumn("n", n).withColumn("step", step)
+    last = F.least(F.floor(F.col("t") / F.col("step")), F.floor((F.col("whole") - F.col("n")) / F.col("step")))
+    first = F.greatest(F.ceil((F.col("t") - F.col("n") + 1) / F.col("step")), F.lit(0))
+    dealt = rows.where(first <= last).withColumn("group", F.explode(F.sequence(F.floor(first / together), F.floor(last / together))))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("t")
+        whole, n, step, group = (int(part[c].iloc[0]) for c in ("whole", "n", "step", "group"))
+        begin = group * together * step
+        x = part["x"].to_numpy(dtype=float)
+        count = min(together, (whole - n) // step + 1 - group * together)
+        x = x[int(begin - part["t"].iloc[0]) :]
         w = np.hamming(n + 1)[:-1]
-        parts = np.stack([x[i : i + n] for i in range(0, len(x) - n + 1, step)])
-        p = (np.abs(np.fft.rfft((parts - parts.mean(axis=1, keepdims=True)) * w, axis=1)) ** 2).mean(axis=0) / (sfreq * (w**2).sum())
+        parts = np.stack([x[i * step : i * step + n] for i in range(count)])
+        p = (np.abs(np.fft.rfft((parts - parts.mean(axis=1, keepdims=True)) * w, axis=1)) ** 2).sum(axis=0) / (sfreq * (w**2).sum())
         p[1 : None if n % 2 else -1] *= 2
-        return pd.DataFrame({"subject": rows["subject"].iloc[0], "ch": rows["ch"].iloc[0], "f": np.fft.rfftfreq(n, 1 / sfreq), "p": p})
+        return pd.DataFrame({"subject": part["subject"].iloc[0], "ch": part["ch"].iloc[0], "f": np.fft.rfftfreq(n, 1 / sfreq), "p": p, "m": count})
 
-    return samples.groupBy("subject", "ch").applyInPandas(run, f"subject {kind}, ch int, f double, p double")
+    sums = dealt.groupBy("subject", "ch", "group").applyInPandas(run, f"subject {kind}, ch int, f double, p double, m long")
+    return sums.groupBy("subject", "ch", "f").agg((F.sum("p") / F.sum("m")).alias("p"))
 
 
 def simpson_band_power(spectrum: DataFrame, bands: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -69,18 +84,34 @@ def fir(sfreq: float, low: float | None, high: float | None, stop: bool = False)
     return out - below(low - low_room / 2) if low else out
 
 
-def filtered(samples: DataFrame, coefficients: np.ndarray) -> DataFrame:
-    """samples(subject, t, ch, x) through a linear-phase filter without delay; beyond its ends a series is mirrored around its end value."""
-    kinds, half = dict(samples.dtypes), len(coefficients) // 2
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        x = rows["x"].to_numpy(dtype=float)
-        n = min(half, len(x) - 1)
-        wide = np.r_[np.full(half - n, 2 * x[0] - x[n]), 2 * x[0] - x[n:0:-1], x, 2 * x[-1] - x[-2 : -n - 2 : -1], np.full(half - n, 2 * x[-1] - x[-n - 1])]
-        return rows.assign(x=np.convolve(wide, coefficients, mode="valid"))
+def filtered(samples: DataFrame, coefficients: np.ndarray, block: int = 1 << 15) -> DataFrame:
+    """samples(subject, t, ch, x) through a linear-phase filter without delay; beyond its ends a series is mirrored around its end value.
 
-    return samples.select("subject", "t", "ch", "x").groupBy("subject", "ch").applyInPandas(run, f"subject {kinds['subject']}, t {kinds['t']}, ch {kinds['ch']}, x double")
+    t counts from 0 without gaps. Blocks of time bring along half a filter's length on either side, so a long channel is many tasks; the result doesn't depend on the block.
+    """
+    kinds, half = dict(samples.dtypes), len(coefficients) // 2
+    block = max(block, half + 1)
+    lengths = samples.groupBy("subject", "ch").agg(F.count("*").alias("whole"))
+    rows = samples.select("subject", "t", "ch", "x").join(lengths, ["subject", "ch"])
+    first = F.greatest(F.floor((F.col("t") - half) / block), F.lit(0))
+    last = F.least(F.floor((F.col("t") + half) / block), F.floor((F.col("whole") - 1) / block))
+    dealt = rows.withColumn("block", F.explode(F.sequence(first, last)))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("t")
+        x, low, whole = part["x"].to_numpy(dtype=float), int(part["t"].iloc[0]), int(part["whole"].iloc[0])
+        begin = int(part["block"].iloc[0]) * block
+        end = min(begin + block, whole)
+        n = min(half, whole - 1)
+        at = np.arange(begin - half, end + half)
+        before, after = np.minimum(-at, n), np.minimum(at - (whole - 1), n)
+        place = np.where(at < 0, before, np.where(at >= whole, whole - 1 - after, at)) - low
+        wide = x[place]
+        wide = np.where(at < 0, 2 * x[0] - wide, np.where(at >= whole, 2 * x[-1] - wide, wide))
+        own = part["t"].between(begin, end - 1)
+        return part.loc[own, ["subject", "t", "ch"]].assign(x=np.convolve(wide, coefficients, mode="valid"))
+
+    return dealt.groupBy("subject", "ch", "block").applyInPandas(run, f"subject {kinds['subject']}, t {kinds['t']}, ch {kinds['ch']}, x double")
 
 
 def band_pass(samples: DataFrame, low: float | None = 1.0, high: float | None = 30.0, sfreq: float = 500) -> DataFrame:

@@ -243,6 +243,13 @@ def exponential_decay(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("subject", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("a", "b")])
 
 
+@query()
+def exponential_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """Decay of the mutual information over lags, with an offset, by least squares."""
+    mi = mutual_information(spark, folder).where("lag > 0").withColumnRenamed("mutual_information", "value")
+    return I.exponential_fit(mi).select("subject", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("a", "b", "c", "left")])
+
+
 @query(f"SELECT lag, round(quantile_cont(mutual_information, 0.025), 6) + 0.0 AS low, round(quantile_cont(mutual_information, 0.975), 6) + 0.0 AS high FROM ({SQL['mutual_information']}) GROUP BY lag")
 def percentile_band(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(I.percentile_band(mutual_information(spark, folder), ["lag"], "mutual_information"))

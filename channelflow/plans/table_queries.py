@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from channelflow.functions import vectors as V
@@ -114,7 +114,7 @@ SELECT subject, segment, part, t, row_number() OVER (PARTITION BY subject, segme
 def segment_range_join(spark: SparkSession, folder: str) -> DataFrame:
     seq = states(spark, folder)
     segments = spark.createDataFrame(SEGMENTS, "segment string, part int, begin long, end long")
-    every = seq.select("subject").distinct().join(F.broadcast(segments), how="cross")  # the same few segments for each subject
+    every = seq.select("subject").distinct().join(segments, how="cross")  # the same few segments for each subject
     return J.in_segments(seq, every, 10).select("subject", "segment", "part", "t", "place", "state")
 
 
@@ -123,8 +123,6 @@ def segment_range_join(spark: SparkSession, folder: str) -> DataFrame:
 SELECT subject, 'click#view' AS merged, task, t, row_number() OVER (PARTITION BY subject ORDER BY task <> 'click', t) - 1 AS place FROM s WHERE task IN ('click', 'view')"""
 )
 def task_merge(spark: SparkSession, folder: str) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = table(spark, folder, "events").select(F.col("user_id").alias("subject"), F.col("event_type").alias("task"), (F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")) - 1).alias("t"))
     return J.merged_tasks(rows, spark.createDataFrame([("click#view",)], "merged string")).select("subject", "merged", "task", "t", "place")
 
@@ -137,7 +135,7 @@ def task_related_power(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT r_name, n_name, count(*) AS suppliers, round(avg(s_acctbal), 6) AS mean FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")
 def rollup_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
-    nation = F.broadcast(table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")))
+    nation = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = table(spark, folder, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     return rounded(rows.rollup("r_name", "n_name").agg(F.count("*").alias("suppliers"), F.avg("s_acctbal").alias("mean")))
 
@@ -190,14 +188,22 @@ def math_helpers(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-@query("WITH p AS (SELECT a.s_suppkey AS i, b.s_suppkey AS j FROM supplier a JOIN supplier b ON b.s_suppkey > a.s_suppkey) SELECT i, j, row_number() OVER (ORDER BY i, j) - 1 AS k FROM p")
+@query(
+    """WITH n AS (SELECT count(*) AS n FROM supplier), o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders), r AS (SELECT range AS i, range * n - range * (range + 1) // 2 AS before, n FROM n, range(100000) WHERE range < n)
+SELECT r.i, k - before + r.i + 1 AS j, k FROM o JOIN r ON k >= before AND k < before + n - 1 - r.i"""
+)
 def condensed_places(spark: SparkSession, folder: str) -> DataFrame:
-    """Places of all pairs of suppliers; the pair that stands there is what is returned, so both directions are held against the list."""
-    ids = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("i"))
-    n = ids.count()
-    pairs = ids.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1)))).where("i < j")  # the places themselves are pairs
-    found = pairs.select(V.condensed_place(F.col("j"), F.col("i"), F.lit(n)).alias("k"))
-    return found.withColumn("p", V.square_place(F.col("k"), F.lit(n))).select("p.i", "p.j", "k")
+    """Orders, numbered by key, as places of the condensed list of pairs of suppliers: the pair that stands there, and the place found again from it. Only as many pairs as orders are made."""
+    n = table(spark, folder, "supplier").count()
+    orders = table(spark, folder, "orders").select("o_orderkey")
+    # numbers by key from counts of ranges of keys, so that no task orders the table
+    width = 10_000
+    ranges = orders.groupBy(F.floor(F.col("o_orderkey") / width).alias("r")).agg(F.count("*").alias("m"))
+    before = ranges.select("r", (F.sum("m").over(Window.orderBy("r")) - F.col("m")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("r").orderBy("o_orderkey")) - 1
+    numbered = orders.withColumn("r", F.floor(F.col("o_orderkey") / width)).withColumn("i", within).join(before, "r").select((F.col("i") + F.col("before")).alias("k"))
+    found = numbered.where(F.col("k") < n * (n - 1) // 2).withColumn("p", V.square_place(F.col("k"), F.lit(n)))
+    return found.select("p.i", "p.j", V.condensed_place(F.col("p.j"), F.col("p.i"), F.lit(n)).alias("k"))
 
 
 @query("SELECT o_custkey AS custkey FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0")

@@ -504,3 +504,18 @@ def test_metrics_leave_unlabelled_samples_out(spark):
     df = spark.createDataFrame([("a", t, s) for t, s in enumerate([None, 0, None, 0, 1, None])], "subject string, t long, state int")
     got = {tuple(r)[1:4]: r["value"] for r in H.sequence_metrics(df, 1, ["coverage", "segments", "transition_matrix"]).collect()}
     assert got == {("coverage", 0, None): 2 / 3, ("coverage", 1, None): 1 / 3, ("segments", 0, None): 1, ("segments", 1, None): 1, ("transition_matrix", 0, 0): 0.5, ("transition_matrix", 0, 1): 0.5}
+
+
+def test_decay_is_fitted_by_least_squares(spark):
+    rng, lag = np.random.default_rng(8), np.arange(1, 41)
+    curves = {"a": (2.5, 0.13, 0.5), "b": (-1.0, 0.4, 0.1), "c": (0.3, 0.02, -0.2)}
+    rows = [(s, int(t), float(a * np.exp(-b * t) + c + 0.001 * rng.standard_normal())) for s, (a, b, c) in curves.items() for t in lag] + [("few", 1, 1.0), ("few", 2, None)]
+    for r in I.exponential_fit(spark.createDataFrame(rows, "subject string, lag int, value double")).collect():
+        if r["subject"] == "few":
+            assert r["a"] is None and r["left"] is None
+            continue
+        x = np.array([v for s, _, v in rows if s == r["subject"]])
+        miss = x - (r["a"] * np.exp(-r["b"] * lag) + r["c"])
+        e = np.exp(-r["b"] * lag)
+        assert max(abs(miss @ e), abs(miss @ (lag * e)), abs(miss.sum())) < 1e-4  # no direction lowers the sum
+        assert r["left"] < 0.02 and r["b"] == pytest.approx(curves[r["subject"]][1], rel=0.4)

@@ -78,3 +78,30 @@ def test_sequence_windows(spark):
     seq = spark.createDataFrame([("a", t, t % 3) for t in range(7)], "subject string, t long, state int")
     got = [(r["begin"], r["states"], r["target"]) for r in P.windows(seq, 3, 2, 1).orderBy("begin").collect()]
     assert got == [(0, [0, 1, 2], [1, 2, 0]), (2, [2, 0, 1], [0, 1, 2])]
+
+
+def in_time(df):
+    return np.array([r["x"] for r in df.orderBy("t").collect()])
+
+
+@pytest.mark.parametrize("n, block", [(5000, 300), (700, 100), (130, 64), (3, 10)])
+def test_filter_of_blocks_equals_the_whole_series(spark, n, block):
+    x, taps = np.random.default_rng(n).standard_normal(n), np.hamming(101) * np.linspace(1, 2, 101)
+    df = spark.createDataFrame([("a", i, 0, float(v)) for i, v in enumerate(x)], "subject string, t long, ch int, x double")
+    m = min(50, n - 1)
+    left, right = 2 * x[0] - x[m:0:-1], 2 * x[-1] - x[-2 : -m - 2 : -1]
+    wide = np.r_[np.full(50 - m, 2 * x[0] - x[m]), left, x, right, np.full(50 - m, 2 * x[-1] - x[-m - 1])]
+    assert np.abs(in_time(P.filtered(df, taps, block)) - np.convolve(wide, taps, mode="valid")).max() < 1e-9
+
+
+@pytest.mark.parametrize("n, segment, overlap, together", [(3000, 100, 75, 4), (1000, 64, 0, 3), (517, 50, 49, 7), (30, 100, 75, 4)])
+def test_welch_of_groups_of_segments_equals_the_mean_of_all(spark, n, segment, overlap, together):
+    x = np.random.default_rng(n).standard_normal(n)
+    df = spark.createDataFrame([("a", i, 0, float(v)) for i, v in enumerate(x)], "subject string, t long, ch int, x double")
+    got = [(r["f"], r["p"]) for r in P.welch(df, 100, segment, overlap, together).orderBy("f").collect()]
+    m = min(segment, n)
+    step, w = m - min(overlap, m - 1), np.hamming(m + 1)[:-1]
+    parts = np.stack([x[i : i + m] for i in range(0, n - m + 1, step)])
+    p = (np.abs(np.fft.rfft((parts - parts.mean(axis=1, keepdims=True)) * w)) ** 2).mean(axis=0) / (100 * (w**2).sum())
+    p[1 : None if m % 2 else -1] *= 2
+    assert np.allclose([f for f, _ in got], np.fft.rfftfreq(m, 0.01)) and np.allclose([v for _, v in got], p)
