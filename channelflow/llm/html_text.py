@@ -3,8 +3,8 @@
 Pages are read as blocks in page order. A page's candidates are the blocks inside its article or main elements, without notices, adverts,
 forms and comments that the markup names; where it has none, the blocks outside menus, headers, footers and the like. The
 host decides on all candidates: their token streams are laid end to end, and all suffixes are brought together by their first tokens, the
-leading part of a suffix array, sharded by host and key. Suffixes that meet are a repeated substring. It is boilerplate if the
-pages that hold it otherwise differ; blocks that such substrings cover go, the unique runs stay. An article's headings and its page's title are its own, however many articles share them.
+leading part of a suffix array, sharded by host and key. Suffixes that meet are a repeated substring. It is boilerplate if at least half of the host's pages
+hold it and these otherwise differ; blocks that such substrings cover go, the unique runs stay. An article's headings and its page's title are its own, however many articles share them.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from .common import cut
 LONG = 8  # tokens that a repeated substring has at least
 COVERED = 0.5  # share of a block's tokens from which on it goes
 TEASER = 0.25  # share of the text outside chrome that the article has at least
+SHARE = 0.5  # share of a host's distinct pages that boilerplate is on at least; below, a repeated run is what articles have in common
 ALIKE = 0.8  # mean resemblance of the pages that hold a substring, from which on they are copies of each other
 SIGNS = 256  # bits of a page's sketch
 SHARD_CHARS = 16_000_000  # of HTML whose suffixes one group holds
@@ -202,8 +203,8 @@ def sketch(hashed: np.ndarray) -> np.ndarray:
     return np.packbits((least >> np.uint64(20) & np.uint64(1)).astype(bool))
 
 
-def boilerplate(heads: np.ndarray, page: np.ndarray, keys: np.ndarray, streams: np.ndarray, signs: np.ndarray, alike: float = ALIKE) -> np.ndarray:
-    """Which suffixes begin a substring that repeats over pages that otherwise differ.
+def boilerplate(heads: np.ndarray, page: np.ndarray, keys: np.ndarray, streams: np.ndarray, signs: np.ndarray, alike: float = ALIKE, share: float = SHARE) -> np.ndarray:
+    """Which suffixes begin a substring that repeats over the given share of all distinct pages, and over pages that otherwise differ.
 
     heads and page (an index) are of suffixes; keys, streams and signs of pages. Equal streams count as one page. The sum over a bit of all pages
     that hold a substring, taken as +1 and -1, gives their mean resemblance over all pairs without meeting pairs.
@@ -232,7 +233,7 @@ def boilerplate(heads: np.ndarray, page: np.ndarray, keys: np.ndarray, streams:
         squares += ((2 * ones - n[:, None]) ** 2).sum(axis=1)
     resemblance = (squares / (8 * signs.shape[1]) - n) / (n * (n - 1))
     gone = np.zeros(len(starts), dtype=bool)
-    gone[g[first]] = resemblance < alike
+    gone[g[first]] = (resemblance < alike) & (n >= share * (stream.max() + 1))
     out[order] = gone[group]
     return out
 
@@ -249,13 +250,14 @@ def unique_runs(blocks: list[tuple[str, bool]], repeated: np.ndarray, long: int
     return "\n".join(b for (b, own), i, j in zip(blocks, ends[:-1], ends[1:], strict=True) if own or total[j] - total[i] < covered * (j - i))
 
 
-def main_text(pages: DataFrame, long: int = LONG, covered: float = COVERED, shard_chars: int = SHARD_CHARS) -> DataFrame:
+def main_text(pages: DataFrame, long: int = LONG, covered: float = COVERED, shard_chars: int = SHARD_CHARS, share: float = SHARE) -> DataFrame:
     """page_id, url, text and n_chars (code points of text) of every row of pages(page_id, url, html).
 
     Character references are decoded; white space inside a block becomes one space; blocks are joined in page order by one line feed. A null or empty html,
     or one without text, gives the empty text. Rows that repeat page_id and url are one page to the host, and so are pages of equal token streams; each gives a row. Null urls are one host.
     All pages take part in their host's suffix array. Hosts are sized in a fixed number of cells, and a large one's suffixes are dealt by
-    their leading tokens to as many groups as its size asks for: a group has a bounded share of the host's HTML. Suffixes travel as packed differences of
+    their leading tokens to as many groups as its size asks for: a group has a bounded share of the host's suffixes, but for those of one run that all its pages hold. The pages that a
+    group knows, those with a suffix there, stand for the host's. Suffixes travel as packed differences of
     40-bit numbers beside a group's pages. Only pages that a fixed-size bitmap marks as having repeated substrings are joined with them.
     """
     spark = pages.sparkSession
@@ -304,7 +306,7 @@ def main_text(pages: DataFrame, long: int = LONG, covered: float = COVERED, shar
         total = np.cumsum(np.r_[np.uint64(0), low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)])
         heads = total[1:] - np.repeat(total[np.cumsum(counts) - counts], counts)
         page = np.repeat(np.arange(len(keys), dtype=np.int32), counts)
-        gone = boilerplate(heads, page, keys, streams, signs)
+        gone = boilerplate(heads, page, keys, streams, signs, share=share)
         heads, page = heads[gone], page[gone]
         at, first = np.unique(page, return_index=True)
         return pd.DataFrame({"key": keys[at], "heads": [x.tobytes() for x in np.split(heads, first[1:])] if len(at) else []})

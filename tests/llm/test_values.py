@@ -101,3 +101,14 @@ def test_a_teaser_does_not_replace_the_body():
 def test_part_of_a_class_names_no_paragraph_of_the_article():
     page = article("T", "x").replace("<p>x</p>", '<p class="lead story-comment">Important paragraph</p><p class="comment">a reader says</p><div class="site-footer">foot</div>')
     assert candidates(page) == [("T", True), ("Important paragraph", False)]
+
+
+def test_lines_that_some_articles_share_stay(spark):
+    """A licence line below a third of the articles is theirs; what all pages have goes, copies of one page count once."""
+    line = "This work and all parts of it are licensed under some public licence of version three"
+    notice = "This notice stands below each article of the host and says nothing of it at all"
+    own = [" ".join(f"w{i}_{k}" for k in range(60)) for i in range(30)]
+    html = [article(f"T{i}", t, *[line] * (i % 3 == 0), notice) for i, t in enumerate(own)]
+    pages = spark.createDataFrame([(i, f"https://h.example/{i}", h) for i, h in enumerate(html)] + [(100 + i, f"https://h.example/copy{i}", html[0]) for i in range(60)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_text(pages).collect()}
+    assert all(got[i] == "\n".join([f"T{i}", own[i], *[line] * (i % 3 == 0)]) for i in range(30)) and all(got[100 + i] == got[0] for i in range(60))
