@@ -2,7 +2,7 @@
 
 A band of an ordinary MinHash table is a key of k minhashes, and L tables take k * L of them. Here two small collections of HALVES half-keys of ROWS minhashes each are formed,
 and every pair of a left and a right half is a table's key (tensoring: Andoni and Indyk, 2006; Christiani, 2019): HALVES squared tables of 2 * ROWS minhashes from 2 * HALVES * ROWS hash functions,
-about the square root of what separate tables take. Sets of similarity s meet in some table with probability (1 - (1 - s^ROWS)^HALVES)^2, 0.999 at the threshold.
+about the square root of what separate tables take. Sets of similarity s meet in some table with probability (1 - (1 - s^ROWS)^HALVES)^2, 0.9998 at the threshold.
 A key can only be shared where both of its halves are, so halves that no other set has are dropped before any pair is formed.
 
 Equal sets are one class. Every set is compared with the most central set of its tables, and with that one's own centre; links are confirmed on full sets, and what they have brought into
@@ -26,7 +26,7 @@ from .shingle_join import at_least, derived_common, in_pieces, overlaps, set_id,
 
 WORDS = 3
 PERCENT = 85
-HALVES = 8  # half-keys of either side; their square is the number of tables
+HALVES = 10  # half-keys of either side; their square is the number of tables
 ROWS = 3  # minhashes of a half
 DEVIATIONS = 5  # standard deviations that a sketch may lie below the threshold's expectation
 
@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     Documents link if percent * union <= 100 * intersection of their distinct shingles of `words` words, A-Z taken as a-z; fewer words are one shingle. A text without words (or a null one) links with
     nothing. Repeated rows, copies and texts of equal sets share a component; a row with a null doc_id links as any other but can't name a component, whose id is null if it has no other row.
-    Every link is confirmed on full sets; a pair at the threshold is missed with probability 0.002 unless other links join it. Further columns are dropped.
+    Every link is confirmed on full sets; a pair at the threshold is missed with probability 0.0002 unless other links join it. Further columns are dropped.
     """
     docs = docs.select("doc_id", text_of().alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     table = cut(document_halves(docs, words, percent, halves, rows))
