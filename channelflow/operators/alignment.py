@@ -204,23 +204,28 @@ def aligned_from(sets: list[np.ndarray], start: int, absolute: bool = False, rou
     return template, labels, signs.tolist(), float(np.abs(values).mean()), float(np.abs(values).std())
 
 
+STARTS = 16  # first templates of a task
+
+
 def mean_maps(sets: DataFrame, group: str) -> DataFrame:
     """sets(group, subject, k, m) of equal K: the group's mean maps (group, k, m, similarity, deviation), each set in turn as the first template; the best by mean
-    similarity, then by lower deviation, then by order of subjects. A task has one start and the group's sets, K maps each."""
+    similarity, then by lower deviation, then by order of subjects. A task has a block of starts and the group's sets, K maps each, so a group's sets are copied once for STARTS of them."""
     kind = dict(sets.dtypes)[group]
     packed = sets.groupBy(group, "subject").agg(F.array_sort(F.collect_list(F.struct("k", "m"))).alias("maps"))
     packed = packed.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("subject", "maps"))), lambda x: F.transform(x["maps"], lambda m: m["m"])).alias("sets"))
-    starts = packed.select(group, "sets", F.explode(F.sequence(F.lit(0), F.size("sets") - 1)).alias("start"))
+    blocks = packed.select(group, "sets", F.explode(F.sequence(F.lit(0), F.floor((F.size("sets") - 1) / STARTS).cast("int"))).alias("block"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for name, given, start in zip(batch[group], batch["sets"], batch["start"], strict=True):
-                maps, _, _, similarity, deviation = aligned_from([np.stack(s) for s in given], start)
-                rows.append((name, start, maps.tolist(), similarity, deviation))
+            for name, given, block in zip(batch[group], batch["sets"], batch["block"], strict=True):
+                sets_of = [np.stack(s) for s in given]
+                for start in range(block * STARTS, min(len(sets_of), (block + 1) * STARTS)):
+                    maps, _, _, similarity, deviation = aligned_from(sets_of, start)
+                    rows.append((name, start, maps.tolist(), similarity, deviation))
             yield pd.DataFrame(rows, columns=[group, "start", "maps", "similarity", "deviation"])
 
-    spread = starts.repartition(group, "start")
+    spread = blocks.repartition(group, "block")
     found = spread.mapInPandas(run, f"{group} {kind}, start int, maps array<array<double>>, similarity double, deviation double")
     order = F.struct(F.round("similarity", 12), -F.round("deviation", 12), -F.col("start"))
     best = found.groupBy(group).agg(F.max_by(F.struct("maps", "similarity", "deviation"), order).alias("b"))
