@@ -16,6 +16,7 @@ from channelflow.operators import spectral as P
 from channelflow.operators import splines as L
 from channelflow.sources import brainvision as B
 from channelflow.sources import matlab as D
+from channelflow.sources import sheets as S
 from channelflow.sources.recordings import CAP63
 
 from .map_queries import X, long_samples, samples
@@ -203,3 +204,27 @@ def mat_recordings(spark: SparkSession, folder: str) -> DataFrame:
 
     rows.groupBy("file").applyInPandas(write, "name string").write.format("noop").mode("overwrite").save()
     return rounded(M.long_format(D.read_mat(spark, path).withColumn("subject", F.struct("subject", "task"))).select("subject.subject", "subject.task", "t", "ch", "x"))
+
+
+@query(
+    """WITH n AS (SELECT r_name AS file, n_name AS segment, n_nationkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT file, 'trials' AS sheet, segment, 0 AS part, k * 10 AS begin, k * 10 + 3 AS "end" FROM n UNION ALL SELECT file, 'trials', segment, 1, k * 10 + 5, k * 10 + 9 FROM n WHERE k % 2 = 1"""
+)
+def trial_sheets(spark: SparkSession, folder: str) -> DataFrame:
+    """A workbook for each region, with a row for each of its nations; odd ones have two parts."""
+    path = new_folder(spark, "sheets")
+    nations = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name", F.col("n_nationkey").cast("long").alias("k"))
+
+    def write(part: pd.DataFrame) -> pd.DataFrame:
+        rows: list[list] = [["trials", "Name", "Start", "End"]]
+        for name, k in zip(part["n_name"], part["k"].astype(int).tolist(), strict=True):
+            rows.append([name, f"{k * 10},{k * 10 + 5}", f"{k * 10 + 3}, {k * 10 + 9}"] if k % 2 else [name, k * 10, k * 10 + 3])
+        region = part["r_name"].iloc[0]
+        files, place = B.file_system(path)
+        files.create_dir(place, recursive=True)
+        with files.open_output_stream(f"{place}/{region}.xlsx") as f:
+            f.write(S.workbook_bytes({"trials": rows, "notes": [["nothing"]]}))
+        return pd.DataFrame({"name": [region]})
+
+    nations.groupBy("r_name").applyInPandas(write, "name string").write.format("noop").mode("overwrite").save()
+    return S.trial_segments(S.read_sheets(spark, path, "trials"))

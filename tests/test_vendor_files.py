@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from channelflow.sources import brainvision as B
 from channelflow.sources import matlab as M
+from channelflow.sources import sheets as X
 
 NAMES = ["Fp1", "a,b", "Cz"]
 
@@ -87,3 +88,40 @@ def test_mat_elements_by_hand():
         list(M.matrices(b"x".ljust(124) + struct.pack("<H", 0x0200) + b"IM"))
     with pytest.raises(ValueError, match="cut off"):
         list(M.matrices(raw[:180]))
+
+
+def test_workbooks_round_trip(spark, tmp_path):
+    rows = [["plan & <a>", None, 3, 2.5], [], ["x", *[None] * 27, "far"], [None, -1e20]]
+    (tmp_path / "one.xlsx").write_bytes(X.workbook_bytes({"first": rows, "second": [["y"]]}))
+    got = X.read_sheets(spark, str(tmp_path)).collect()
+    want = {("first", 1, 1, "plan & <a>", None), ("first", 1, 3, "3", 3.0), ("first", 1, 4, "2.5", 2.5), ("first", 3, 1, "x", None), ("first", 3, 29, "far", None), ("first", 4, 2, "-1e+20", -1e20), ("second", 1, 1, "y", None)}
+    assert {tuple(r)[1:] for r in got} == want and {r["file"] for r in got} == {"one"}
+    assert X.read_sheets(spark, str(tmp_path), "second").count() == 1
+    assert {tuple(r)[2:4]: None for r in X.sheet_rows(X.read_sheets(spark, str(tmp_path), "first")).select("file", "sheet", "row", F.array_join("values", "|").alias("v")).collect()}.keys() == {(1, "plan & <a>|3|2.5"), (3, "x|far"), (4, "-1e+20")}
+    assert [X.column_number(X.column_letters(n)) for n in (1, 26, 27, 702, 703)] == [1, 26, 27, 702, 703]
+
+
+def test_shared_strings_and_cells_without_places(tmp_path):
+    import io
+    import zipfile
+
+    given = X.workbook_bytes({"s": [["gone"]]})
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(given)) as old, zipfile.ZipFile(out, "w") as new:
+        for name in old.namelist():
+            content = old.read(name).decode()
+            if name.endswith("sheet1.xml"):
+                content = f'<worksheet xmlns="{X.MAIN[1:-1]}"><sheetData><row><c t="s"><v>1</v></c><c><v>4</v></c><c/></row><row><c t="e"><v>#N/A</v></c><c t="b"><v>1</v></c></row></sheetData></worksheet>'
+            new.writestr(name, content)
+        new.writestr("xl/sharedStrings.xml", f'<sst xmlns="{X.MAIN[1:-1]}"><si><t>a</t></si><si><r><t>two </t></r><r><t>runs</t></r><rPh><t>no</t></rPh></si></sst>')
+    assert list(X.cells(out.getvalue())) == [("s", 1, 1, "two runs", None), ("s", 1, 2, "4", 4.0), ("s", 2, 1, "#N/A", None), ("s", 2, 2, "1", None)]
+
+
+def test_trial_sheets_name_segments(spark, tmp_path):
+    rows = [["sub1", "Name", "Start", "End"], ["rest", 10, 20], ["task", "30, 50", "40,60", "note"], ["empty"], [None, "late", 5, 9]]
+    (tmp_path / "trials.xlsx").write_bytes(X.workbook_bytes({"sub1": rows}))
+    got = {tuple(r) for r in X.trial_segments(X.read_sheets(spark, str(tmp_path))).collect()}
+    assert got == {("trials", "sub1", "rest", 0, 10, 20), ("trials", "sub1", "task", 0, 30, 40), ("trials", "sub1", "task", 1, 50, 60), ("trials", "sub1", "late", 0, 5, 9)}
+    (tmp_path / "bad.xlsx").write_bytes(X.workbook_bytes({"s": [["t", "1,2", "3"]]}))
+    with pytest.raises(Exception, match="differ in number"):
+        X.trial_segments(X.read_sheets(spark, str(tmp_path))).count()
