@@ -548,3 +548,26 @@ def explained_summary(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def recording_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(H.recording_metrics(recordings(spark, folder), prototypes(spark, folder).select("k", "m"), sfreq=10, distance=2))
+
+
+@query(
+    """WITH x AS (SELECT vec_id % 2 AS s, CASE WHEN vec_id % 8 < 4 THEN 'rest_' ELSE 'work_' END || (vec_id % 8 // 2 % 2) AS task, vec_id // 8 // 20 AS e, vec_id // 8 % 20 AS t, label,
+  unnest(range(len(embedding)))::INT AS ch, unnest(embedding)::DOUBLE AS x FROM embeddings),
+g AS (SELECT s, task, e, t, avg(x) AS mean, stddev_pop(x) AS gfp FROM x GROUP BY ALL), maps AS (SELECT label AS k, ch, avg(x) AS m FROM x GROUP BY ALL), mg AS (SELECT k, avg(m) AS mean, stddev_pop(m) AS sd FROM maps GROUP BY k),
+w AS (SELECT *, lag(gfp) OVER o AS a, lead(gfp) OVER o AS b, avg(gfp) OVER (PARTITION BY s, task, e) AS mu, stddev_pop(gfp) OVER (PARTITION BY s, task, e) AS sd FROM g WINDOW o AS (PARTITION BY s, task, e ORDER BY t)),
+p AS (SELECT s, task, e, t FROM w WHERE gfp > a AND gfp > b AND abs(gfp - mu) <= 3 * sd),
+corr AS (SELECT s, task, e, t, maps.k, abs(sum((x.x - g.mean) * (maps.m - mg.mean)) / (count(*) * any_value(g.gfp) * any_value(mg.sd))) AS r FROM p JOIN x USING (s, task, e, t) JOIN g USING (s, task, e, t) JOIN maps USING (ch) JOIN mg ON mg.k = maps.k GROUP BY ALL),
+best AS (SELECT s, task, e, t, k FROM (SELECT *, row_number() OVER (PARTITION BY s, task, e, t ORDER BY r DESC, k) AS i FROM corr) WHERE i = 1),
+iv AS (SELECT s, task, e, k, coalesce((t + lag(t) OVER o) // 2, 0) AS a, coalesce((t + lead(t) OVER o) // 2, 1000) AS b FROM best WINDOW o AS (PARTITION BY s, task, e ORDER BY t)),
+fit AS (SELECT g.s, g.task, g.e, g.t, iv.k FROM g LEFT JOIN iv ON iv.s = g.s AND iv.task = g.task AND iv.e = g.e AND g.t >= a AND g.t < b),
+n AS (SELECT s, task, e, count(k) AS n FROM fit GROUP BY ALL), q AS (SELECT fit.*, n.n, lag(k) OVER o AS before, lead(k) OVER o AS next FROM fit JOIN n USING (s, task, e) WHERE n.n >= 2 AND k IS NOT NULL WINDOW o AS (PARTITION BY s, task, e ORDER BY t)),
+states AS (SELECT DISTINCT k FROM q), c AS (SELECT s, task, e, k, count(*) AS c, count(*) FILTER (before IS DISTINCT FROM k) AS runs FROM q GROUP BY ALL), m AS (SELECT s, task, e, k, next, count(*) AS c FROM q WHERE next IS NOT NULL GROUP BY ALL),
+out AS (SELECT n.s, n.task, n.e, 'coverage' AS metric, states.k AS a, NULL AS b, coalesce(c.c, 0) / n.n AS value FROM n CROSS JOIN states LEFT JOIN c ON c.s = n.s AND c.task = n.task AND c.e = n.e AND c.k = states.k WHERE n.n >= 2
+  UNION ALL SELECT s, task, e, 'segments', k, NULL, runs FROM c UNION ALL SELECT s, task, e, 'transition_matrix', k, next, c / sum(c) OVER (PARTITION BY s, task, e, k) FROM m
+  UNION ALL SELECT s, task, e, unnest(['coverage', 'segments', 'transition_matrix']), NULL, NULL, NULL FROM n WHERE n < 2)
+SELECT s::VARCHAR AS subject, task, e AS epoch, metric, coalesce(a, -1)::INT AS state_from, coalesce(b, -1)::INT AS state_to, round(value, 6) AS value FROM out"""
+)
+def recording_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Coverage, segments and transitions of every epoch of every recording, from field power peaks to a back-fit against one map set."""
+    found = H.recording_metrics(recordings(spark, folder), prototypes(spark, folder).select("k", "m"), sfreq=10, distance=2, chosen=("coverage", "segments", "transition_matrix"))
+    return rounded(found.withColumns({c: F.coalesce(F.col(c), F.lit(-1)).cast("int") for c in ("state_from", "state_to")}))
