@@ -480,6 +480,18 @@ def principal_vector(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(C.principal_vectors(samples(spark, folder, 4)).select("subject", F.posexplode("vector").alias("ch", "x")))
 
 
+@query(f"WITH {long_samples(4)}, n AS (SELECT subject, ch, count(*) AS n FROM x GROUP BY ALL) SELECT subject, ch, 0.0 AS rest, 1.0 AS length, n FROM n")
+def principal_vector_residual(spark: SparkSession, folder: str) -> DataFrame:
+    """By channel, what the samples' sum of products leaves of each principal vector beside a multiple of it, its length, and the number of samples."""
+    rows = samples(spark, folder, 4)
+    met = rows.join(C.principal_vectors(rows), "subject").withColumn("p", V.dot(F.col("v"), F.col("vector")))
+    power = met.groupBy("subject").agg(F.sum(F.col("p") * F.col("p")).alias("power"))
+    moved = met.select("subject", "p", F.posexplode(F.arrays_zip("v", "vector")).alias("ch", "x")).groupBy("subject", "ch").agg(F.sum(F.col("p") * F.col("x.v")).alias("moved"), F.max("x.vector").alias("own"), F.count("*").alias("n"))
+    length = C.principal_vectors(rows).select("subject", V.norm(F.col("vector")).alias("length"))
+    both = moved.join(power, "subject").join(length, "subject")
+    return rounded(both.select("subject", "ch", (F.col("moved") - F.col("power") * F.col("own")).alias("rest"), "length", "n"))
+
+
 def recordings(spark: SparkSession, folder: str) -> DataFrame:
     """subject, task, t, v: two subjects with four runs each."""
     rows = samples(spark, folder, 8)
