@@ -519,3 +519,14 @@ def test_decay_is_fitted_by_least_squares(spark):
         e = np.exp(-r["b"] * lag)
         assert max(abs(miss @ e), abs(miss @ (lag * e)), abs(miss.sum())) < 1e-4  # no direction lowers the sum
         assert r["left"] < 0.02 and r["b"] == pytest.approx(curves[r["subject"]][1], rel=0.4)
+
+
+def test_places_of_many_pairs(spark):
+    """Squares of 60,000 don't fit an int, and roots of longer lists are rounded."""
+    for n in (60_000, 80_000_000):
+        last = n * (n - 1) // 2 - 1
+        rows = [(k,) for k in (0, n - 2, n - 1, 2 * n - 4, 2 * n - 3, last // 2, last - 3, last - 2, last - 1, last)]
+        found = spark.createDataFrame(rows, "k long").withColumn("p", V.square_place(F.col("k"), F.lit(n)))
+        for r in found.select("k", "p.i", "p.j", V.condensed_place(F.col("p.j"), F.col("p.i"), F.lit(n)).alias("again")).collect():
+            assert 0 <= r["i"] < r["j"] < n
+            assert r["again"] == r["k"] == r["i"] * n - r["i"] * (r["i"] + 1) // 2 + r["j"] - 1 - r["i"]
