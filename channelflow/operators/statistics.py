@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,25 +37,58 @@ def within_cluster_squares(points: DataFrame) -> DataFrame:
     return per.groupBy("file").agg(F.sum("ss").alias("wcss"))
 
 
-def silhouette(points: DataFrame, rows_a_block: int = 2000) -> DataFrame:
+def distances(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows, from products; those that are small beside the rows' lengths, where products lose digits, from differences."""
+    squares = (one**2).sum(axis=1)[:, None] + (other**2).sum(axis=1)[None]
+    found = squares - 2 * (one @ other.T)
+    near, there = np.nonzero(found < 1e-4 * squares)
+    for begin in range(0, len(near), 1 << 14):
+        i, j = near[begin : begin + (1 << 14)], there[begin : begin + (1 << 14)]
+        found[i, j] = ((one[i] - other[j]) ** 2).sum(axis=1)
+    return np.sqrt(found, out=found)
+
+
+def _met(one: pd.DataFrame, other: pd.DataFrame, same: bool, block: int) -> pd.DataFrame:
+    """i, label, other, s, n: of each point of one the sum and number of its distances to the points of each label among other; a point doesn't count for itself."""
+    codes, names = pd.factorize(other["label"])
+    held = (codes[:, None] == np.arange(len(names))[None]).astype(float)
+    x, y = (np.stack(side["v"].to_numpy()).astype(float) for side in (one, other))
+    i, j = one["i"].to_numpy(), other["i"].to_numpy()
+    s, n = np.zeros((len(x), len(names))), np.tile(held.sum(axis=0), (len(x), 1))
+    for h in range(0, len(x), block):
+        for k in range(0, len(y), block):
+            here, there = slice(h, h + block), slice(k, k + block)
+            d = distances(x[here], y[there])
+            if same:
+                own = i[here, None] == j[None, there]
+                d[own] = 0
+                n[here] -= own.astype(float) @ held[there]
+            s[here] += d @ held[there]
+    at, to = np.nonzero(n > 0)
+    return pd.DataFrame({"i": i[at], "label": one["label"].to_numpy()[at], "other": np.asarray(names)[to], "s": s[at, to], "n": n[at, to].astype(np.int64)})
+
+
+def silhouette(points: DataFrame, rows_a_block: int = 2000, blocks_a_part: int = 8) -> DataFrame:
     """points(file, i, label, v): mean silhouette width with Euclidean distances; null unless there are two labels and fewer labels than points.
 
-    Distances are exact over all pairs of a file, which is the measure's definition; they are met in blocks by an equi-join on (file, block), each row
-    with the packed points of a block, and only sums by (point, label) leave a block, so no pair is a row of its own.
+    Distances are exact over all pairs of a file, which is the measure's definition, so its work grows with the square of a file. Parts of a file meet in tasks of their own, each pair of parts once for
+    both its sides; in a task blocks of rows_a_block points meet, and only sums by (point, label) leave it. So what a task holds doesn't grow with a file.
     """
-    n = F.count("*").over(Window.partitionBy("file"))
-    blocked = points.withColumn("b", F.pmod(F.xxhash64("i"), F.greatest(F.lit(1), F.ceil(n / rows_a_block))))
-    packed = blocked.groupBy("file", "b").agg(F.collect_list(F.struct("i", "label", "v")).alias("others"))
-    blocks = packed.groupBy("file").agg(F.collect_list("b").alias("bs"))
-    here = points.join(blocks, "file").select("file", "i", "label", "v", F.explode("bs").alias("b")).join(packed, ["file", "b"])
-    away = lambda o: V.norm(F.zip_with(F.col("v"), o["v"], lambda x, y: x - y))
-    each = here.select("file", "i", "label", F.transform(F.filter("others", lambda o: o["i"] != F.col("i")), lambda o: F.struct(o["label"].alias("other"), away(o).alias("d"))).alias("ds"))
-    labels = F.array_distinct(F.transform("ds", lambda x: x["other"]))
-    total = lambda k: F.aggregate("ds", F.lit(0.0), lambda a, x: a + F.when(x["other"] == k, x["d"]).otherwise(0.0))
-    number = lambda k: F.size(F.filter("ds", lambda x: x["other"] == k))
-    of_label = F.transform(labels, lambda k: F.struct(k.alias("other"), total(k).alias("s"), number(k).alias("n")))
-    sums = each.select("file", "i", "label", F.explode(of_label).alias("x"))
-    mean = sums.groupBy("file", "i", "label", F.col("x.other").alias("other")).agg((F.sum("x.s") / F.sum("x.n")).alias("d"))
+    kinds = dict(points.dtypes)
+    size = rows_a_block * blocks_a_part
+    number = points.groupBy("file").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("long").alias("parts"))
+    dealt = points.join(number, "file").withColumn("part", F.pmod(F.xxhash64("i"), F.col("parts")))
+    met = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.struct(F.least("part", p).alias("a"), F.greatest("part", p).alias("b"))))
+    rows = dealt.select("file", "i", "label", "v", "part", met.alias("p")).select("file", "p.a", "p.b", "part", "i", "label", "v")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        file, a, b = rows[["file", "a", "b"]].iloc[0]
+        one, other = rows[rows["part"] == a], rows[rows["part"] == b]
+        out = [_met(one, other, a == b, rows_a_block)] + ([] if a == b else [_met(other, one, False, rows_a_block)])
+        return pd.concat(out).assign(file=file)[["file", "i", "label", "other", "s", "n"]]
+
+    sums = rows.groupBy("file", "a", "b").applyInPandas(run, f"file {kinds['file']}, i {kinds['i']}, label {kinds['label']}, other {kinds['label']}, s double, n long")
+    mean = sums.groupBy("file", "i", "label", "other").agg((F.sum("s") / F.sum("n")).alias("d"))
     per = mean.groupBy("file", "i", "label").agg(F.min(F.when(F.col("other") == F.col("label"), F.col("d"))).alias("a"), F.min(F.when(F.col("other") != F.col("label"), F.col("d"))).alias("b"))
     width = F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
     sizes = points.groupBy("file").agg(F.countDistinct("label").alias("k"), F.count("*").alias("n"))

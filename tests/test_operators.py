@@ -369,6 +369,22 @@ def test_silhouette_blocks_agree(spark):
     assert Q.silhouette(df.where("label = 0")).first()["silhouette"] is None
 
 
+def test_silhouette_of_parts_and_near_points(spark):
+    """Several parts a file, copies and points so near that products lose their distance: as by definition, with no row that holds a block's points."""
+    rng = np.random.default_rng(18)
+    v = rng.normal(size=(60, 5)) + 1000
+    v[1], v[2] = v[0], v[0] + 1e-7
+    label = np.arange(60) % 4
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
+    mean = np.array([[d[i, (label == k) & (np.arange(60) != i)].mean() for k in range(4)] for i in range(60)])
+    own = mean[np.arange(60), label]
+    nearest = np.where(label[:, None] == np.arange(4), np.inf, mean).min(axis=1)
+    df = spark.createDataFrame([("f", i, int(label[i]), v[i].tolist()) for i in range(60)], "file string, i long, label int, v array<double>")
+    for block, together in ((4, 3), (7, 1), (2000, 8)):
+        assert Q.silhouette(df, block, together).first()["silhouette"] == pytest.approx(((nearest - own) / np.maximum(nearest, own)).mean(), abs=1e-9)
+    assert np.allclose(Q.distances(v, v), d, rtol=1e-9, atol=0)
+
+
 def test_permutation_test_finds_a_planted_effect(spark):
     rng = np.random.default_rng(9)
     rows = [(k, s, c, (rng.normal(size=12) + (3 * np.sin(np.arange(12) * (c + 1)) if k else 0)).tolist()) for k in (0, 1) for s in range(12) for c in (0, 1)]
