@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -183,16 +183,20 @@ def brainvision_markers(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("subject", F.col("marker").cast("int").alias("marker"), unescaped(field(0)).alias("kind"), unescaped(field(1)).alias("description"), (whole(2) - 1).alias("t"), whole(3).alias("length"), whole(4).alias("channel"))
 
 
-def marked_stretches(samples: DataFrame, markers: DataFrame, kind: str = "Stimulus") -> DataFrame:
+def marked_stretches(samples: DataFrame, markers: DataFrame, kind: str = "Stimulus", block: int = 64) -> DataFrame:
     """samples(subject, t, v) with task: the description of the recording's last marker of the kind at or before t, null before the first.
 
-    The markers of a recording, few beside its samples, travel as one sorted array, so samples aren't ordered.
+    A marker holds until the next one of its recording. It goes to the blocks of time that it touches, so a sample meets the few markers of its block, and samples aren't ordered.
     """
-    sets = markers.where(F.col("kind") == kind).groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("t", "marker", "description"))).alias("_m"))
-    last = F.element_at(F.filter("_m", lambda m: m["t"] <= F.col("t")), -1)
-    joined = samples.join(sets, "subject", "left")
-    none = F.coalesce(F.size(F.filter("_m", lambda m: m["t"] <= F.col("t"))), F.lit(0)) <= 0
-    return joined.withColumn("task", F.when(none, None).otherwise(last["description"])).drop("_m")
+    w = Window.partitionBy("subject").orderBy("t", "marker", "description")
+    ends = samples.groupBy("subject").agg((F.max("t") + 1).alias("_end"))
+    held = markers.where((F.col("kind") == kind) & F.col("t").isNotNull()).withColumn("_next", F.lead("t").over(w)).join(ends, "subject")
+    held = held.withColumn("_to", F.least(F.coalesce("_next", "_end"), "_end")).where((F.col("_to") > F.col("t")) & (F.col("_to") > 0))
+    touched = F.sequence(F.floor(F.greatest("t", F.lit(0)) / block), F.floor((F.col("_to") - 1) / block))
+    sets = held.withColumn("_b", F.explode(touched)).groupBy("subject", "_b").agg(F.collect_list(F.struct("t", "marker", "description")).alias("_m"))
+    joined = samples.withColumn("_b", F.floor(F.col("t") / block)).join(sets, ["subject", "_b"], "left")
+    last = F.array_max(F.filter("_m", lambda m: m["t"] <= F.col("t")))
+    return joined.select(*samples.columns, last["description"].alias("task"))
 
 
 def write_recording(folder: str, name: str, x: np.ndarray, names: list[str], interval: float = 2000, kind: str = "INT_16", multiplexed: bool = True, resolution: float = 0.1, markers: tuple = ()) -> None:

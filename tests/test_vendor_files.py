@@ -125,3 +125,15 @@ def test_trial_sheets_name_segments(spark, tmp_path):
     (tmp_path / "bad.xlsx").write_bytes(X.workbook_bytes({"s": [["t", "1,2", "3"]]}))
     with pytest.raises(Exception, match="differ in number"):
         X.trial_segments(X.read_sheets(spark, str(tmp_path))).count()
+
+
+def test_markers_of_many_blocks(spark):
+    """A sample meets the markers of its block of time: those that hold from far before, several at one time, before the first sample and after the last."""
+    marks = [("r", 1, "Stimulus", "early", -5), ("r", 2, "Stimulus", "a", 3), ("r", 3, "Stimulus", "b", 3), ("r", 4, "Other", "no", 7), ("r", 5, "Stimulus", "c", 200), ("r", 6, "Stimulus", "late", 900), ("q", 1, "Stimulus", "z", 10)]
+    markers = spark.createDataFrame(marks, "subject string, marker int, kind string, description string, t long")
+    samples = spark.range(300).selectExpr("explode(array('r', 'q', 'none')) AS subject", "id AS t", "array(1.0D) AS v")
+    for block in (1, 64, 1000):
+        got = {(r["subject"], r["t"]): r["task"] for r in B.marked_stretches(samples, markers, block=block).collect()}
+        assert len(got) == 900
+        assert [got["r", t] for t in (0, 2, 3, 199, 200, 299)] == ["early", "early", "b", "b", "c", "c"]
+        assert [got["q", t] for t in (0, 9, 10, 299)] == [None, None, "z", "z"] and got["none", 5] is None
