@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,6 +114,7 @@ def dissimilarity_of_conditions(rows: DataFrame) -> DataFrame:
 
 
 BLOCK = 50  # shufflings of a task
+CHAINS = 10  # surrogates of a task's row
 
 
 def _cubes(rows: DataFrame, key: str, places: list[str]) -> DataFrame:
@@ -228,37 +230,48 @@ def surrogates(matrix: DataFrame, length: int, count: int, seed: int = 5) -> Dat
     names = sorted((c for c in matrix.columns if c[0] == "s" and c[1:].isdigit()), key=lambda c: int(c[1:]))
     order = len(names) - 1
     steps = matrix.groupBy("subject").agg(F.array_sort(F.collect_list(F.struct(F.array(*names).alias("states"), "joint", "p"))).alias("steps"))
-    tasks = steps.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).repartition("subject", "chain")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [F.col(f"steps.{c}").alias(c) for c in ("states", "joint", "p")]
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((count - 1) // CHAINS))).alias("block")
+    tasks = steps.select("subject", *columns, blocks).repartition("subject", "block")
+
+    def chain_of(subject: object, chain: int, follow: dict, pasts: list, weights: np.ndarray) -> list:
+        number = int.from_bytes(hashlib.blake2b(str(subject).encode(), digest_size=8).digest())
+        u = np.random.default_rng([seed, chain, number]).random(2 * length)
+        pick = lambda total, x: int(min(np.searchsorted(total, x * total[-1], side="right"), len(total) - 1))
+        out = list(pasts[pick(weights, u[0])])
+        for x, again in zip(u[1:length], u[length:], strict=False):
+            if len(out) >= length:
+                break
+            past = tuple(out[len(out) - order :])
+            if past not in follow:
+                out += pasts[pick(weights, again)]
+                continue
+            states, total = follow[past]
+            out.append(states[pick(total, x)])
+        return out[:length]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for subject, moves, chain in zip(batch["subject"], batch["steps"], batch["chain"], strict=True):
+            for i in range(batch.num_rows):  # one row's objects at a time: those of a batch are many times its bytes
+                subject, moves, joint, p, block = (batch.column(c)[i].as_py() for c in ("subject", "states", "joint", "p", "block"))
                 follow: dict[tuple, tuple[list, list]] = {}
                 begin: dict[tuple, float] = {}
-                for m in moves:
-                    past, last = tuple(m["states"][:order]), m["states"][order]
+                for m, share, chance in zip(moves, joint, p, strict=True):
+                    past = tuple(m[:order])
                     states, shares = follow.setdefault(past, ([], []))
-                    states.append(last)
-                    shares.append(m["p"])
-                    begin[past] = begin.get(past, 0.0) + m["joint"]
+                    states.append(m[order])
+                    shares.append(chance)
+                    begin[past] = begin.get(past, 0.0) + share
                 follow = {past: (states, np.cumsum(shares)) for past, (states, shares) in follow.items()}
                 pasts, weights = list(begin), np.cumsum(list(begin.values()))
-                number = int.from_bytes(hashlib.blake2b(str(subject).encode(), digest_size=8).digest())
-                u = np.random.default_rng([seed, chain, number]).random(2 * length)
-                pick = lambda total, x: int(min(np.searchsorted(total, x * total[-1], side="right"), len(total) - 1))
-                out = list(pasts[pick(weights, u[0])])
-                for x, again in zip(u[1:length], u[length:], strict=False):
-                    if len(out) >= length:
-                        break
-                    past = tuple(out[len(out) - order :])
-                    if past not in follow:
-                        out += pasts[pick(weights, again)]
-                        continue
-                    states, total = follow[past]
-                    out.append(states[pick(total, x)])
-                yield pd.DataFrame({"subject": subject, "chain": chain, "t": np.arange(length), "state": out[:length]})
-
-    return tasks.select("subject", "steps", "chain").mapInPandas(run, f"subject {kinds['subject']}, chain int, t long, state {kinds['s0']}")
+                chains = range(block * CHAINS, min(count, (block + 1) * CHAINS))
+                out = [chain_of(subject, c, follow, pasts, weights) for c in chains]
+                n = len(out[0])
+                columns = [pa.array([subject] * (n * len(out)), batch.schema.field("subject").type), pa.array(np.repeat(np.array(chains, dtype=np.int32), n)), pa.array(np.tile(np.arange(n), len(out)))]
+                state = batch.schema.field("states").type.value_type.value_type
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x for c in out for x in c], state)], names=["subject", "chain", "t", "state"])
+
+    return tasks.mapInArrow(run, f"subject {kinds['subject']}, chain int, t long, state {kinds['s0']}")
 
 
 def exponential_decay(points: DataFrame) -> DataFrame:
@@ -267,49 +280,72 @@ def exponential_decay(points: DataFrame) -> DataFrame:
     return known.groupBy("subject").agg(F.exp(F.regr_intercept("log", "lag")).alias("a"), (-F.regr_slope("log", "lag")).alias("b"))
 
 
-def fitted_decay(lag: np.ndarray, value: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float] | None:
-    """a, b, c of a * exp(-b * lag) + c with the least sum of squares, and that sum, by damped Gauss-Newton steps from several rates; None for fewer than three points."""
-    if len(lag) < 3:
-        return None
-    best = None
+def fitted_decays(lag: np.ndarray, value: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of lag and value (series x points): a, b, c of a * exp(-b * lag) + c with the least sum of squares, and that sum, by damped Gauss-Newton steps from several rates. All series step together,
+    each with its own damping, until it is done."""
+    n, within = len(lag), 3 * np.finfo(float).eps
+    best, least = np.zeros((n, 3)), np.full(n, np.inf)
+    span = np.maximum(np.ptp(lag, axis=1) / 4, 1e-9)
+    rise = value[:, 0] - value[:, -1]
     for rate in (0.1, 1.0, 10.0):
-        p, damping = np.array([value[0] - value[-1] or 1.0, rate / max(np.ptp(lag) / 4, 1e-9), value[-1]]), 1e-3
-        miss = value - (p[0] * np.exp(-p[1] * lag) + p[2])
+        p = np.stack((np.where(rise == 0, 1.0, rise), rate / span, value[:, -1]), axis=1)
+        damping = np.full(n, 1e-3)
+        miss = value - (p[:, :1] * np.exp(-p[:, 1:2] * lag) + p[:, 2:])
+        square = (miss**2).sum(axis=1)
+        left = np.arange(n)
         for _ in range(rounds):
-            e = np.exp(-p[1] * lag)
-            j = np.stack((e, -p[0] * lag * e, np.ones_like(lag)), axis=1)
-            square = j.T @ j
-            step = np.linalg.lstsq(square + damping * np.diag(np.maximum(np.diag(square), 1e-12)), j.T @ miss, rcond=None)[0]
+            if len(left) == 0:
+                break
+            x, y, q = lag[left], value[left], p[left]
+            e = np.exp(-q[:, 1:2] * x)
+            j = np.stack((e, -q[:, :1] * x * e, np.ones_like(x)), axis=2)
+            matrix = j.swapaxes(1, 2) @ j
+            diagonal = np.maximum(matrix[:, range(3), range(3)], 1e-12) * damping[left, None]
+            matrix[:, range(3), range(3)] += diagonal
+            step = (np.linalg.pinv(matrix, rcond=within) @ (j.swapaxes(1, 2) @ miss[left][..., None]))[..., 0]
             with np.errstate(over="ignore", invalid="ignore"):
-                new = p + step
-                after = value - (new[0] * np.exp(-new[1] * lag) + new[2])
-                square_after = after @ after
-            if np.isfinite(square_after) and square_after <= miss @ miss:
-                done = miss @ miss - square_after <= 1e-14 * (miss @ miss)
-                p, miss, damping = new, after, damping / 5
-                if done:
-                    break
-            else:
-                damping *= 5
-        if best is None or miss @ miss < best[1]:
-            best = p, float(miss @ miss)
-    return best
+                new = q + step
+                after = y - (new[:, :1] * np.exp(-new[:, 1:2] * x) + new[:, 2:])
+                square_after = (after**2).sum(axis=1)
+            better = np.isfinite(square_after) & (square_after <= square[left])
+            done = better & (square[left] - square_after <= 1e-14 * square[left])
+            taken = left[better]
+            p[taken], miss[taken], square[taken] = new[better], after[better], square_after[better]
+            damping[left] *= np.where(better, 0.2, 5.0)
+            left = left[~done]
+        lower = square < least
+        best[lower], least[lower] = p[lower], square[lower]
+    return best, least
+
+
+def fitted_decay(lag: np.ndarray, value: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float] | None:
+    """fitted_decays() of one series; None for fewer than three points."""
+    if len(lag) < 3:
+        return None
+    best, left = fitted_decays(np.asarray(lag, dtype=float)[None], np.asarray(value, dtype=float)[None], rounds)
+    return best[0], float(left[0])
 
 
 def exponential_fit(points: DataFrame) -> DataFrame:
     """points(subject, lag, value): a, b and c of a * exp(-b * lag) + c by nonlinear least squares, with the root mean square of what is left. Values may be negative; null ones are left out.
 
-    A task has a subject's points, one a lag. Subjects of fewer than three points have nulls.
+    A row has a subject's points, one a lag; the subjects of a batch that have equally many are fitted together. Subjects of fewer than three points have nulls.
     """
     kind = dict(points.dtypes)["subject"]
+    known = F.when(F.col("value").isNotNull(), F.struct(F.col("lag").cast("double").alias("lag"), F.col("value").cast("double").alias("value")))
+    packed = points.groupBy("subject").agg(F.array_sort(F.collect_list(known)).alias("p")).select("subject", F.transform("p", lambda x: x["lag"]).alias("lags"), F.transform("p", lambda x: x["value"]).alias("values"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        known = rows.dropna(subset=["value"]).sort_values("lag")
-        found = fitted_decay(known["lag"].to_numpy(dtype=float), known["value"].to_numpy(dtype=float))
-        a, b, c, left = (*found[0], (found[1] / len(known)) ** 0.5) if found else (None,) * 4
-        return pd.DataFrame({"subject": rows["subject"].iloc[:1], "a": [a], "b": [b], "c": [c], "left": [left]})
-
-    return points.select("subject", "lag", "value").groupBy("subject").applyInPandas(run, f"subject {kind}, a double, b double, c double, left double")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = batch["lags"].map(len)
+            for n, rows in batch.groupby(sizes.to_numpy(), sort=False):
+                out = rows[["subject"]].assign(a=None, b=None, c=None, left=None)
+                if n >= 3:
+                    found, left = fitted_decays(np.stack(rows["lags"].to_numpy()), np.stack(rows["values"].to_numpy()))
+                    out = rows[["subject"]].assign(a=found[:, 0], b=found[:, 1], c=found[:, 2], left=np.sqrt(left / n))
+                yield out
+
+    return packed.mapInPandas(run, f"subject {kind}, a double, b double, c double, left double")
 
 
 def percentile_band(points: DataFrame, keys: list[str], value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
