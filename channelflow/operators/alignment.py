@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from channelflow.functions import vectors as V
+from channelflow.functions.batches import by_key
 
 from .maps import map_sets
 
@@ -236,7 +237,7 @@ def pairwise_similarity(sets: DataFrame) -> DataFrame:
     """Mean matched absolute correlation of each pair of a group's map sets: sets(grp, subject, k, m), few sets a group; pairs within the group's own array."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [(s, _standard(np.stack(p.sort_values("k")["m"].to_numpy()))) for s, p in rows.groupby("subject", sort=True)]
+        parts = [(s, _standard(np.stack(p.sort_values("k")["m"].to_numpy()))) for s, p in sorted(by_key(rows, "subject"), key=lambda x: x[0])]
         out = []
         for i, (a, x) in enumerate(parts):
             for b, y in parts[i + 1 :]:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from channelflow.functions import vectors as V
+from channelflow.functions.batches import by_key
 from channelflow.functions.lineage import kept
 
 TOGETHER = 256  # recordings that are unmixed at once
@@ -41,7 +42,7 @@ def packed(samples: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for subject, part in batch.groupby("subject", sort=False):
+            for subject, part in by_key(batch, "subject"):
                 x = np.stack(part["v"].to_numpy()).astype(float)
                 yield pd.DataFrame({"subject": [subject], "n": [len(x)], "x": [x.tobytes()]})
 

@@ -14,17 +14,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from channelflow.functions import vectors as V
+from channelflow.functions.batches import by_key
+
+
+def _canonical(vector: np.ndarray) -> np.ndarray:
+    return vector * (1 if vector[np.abs(vector).argmax()] >= 0 else -1)
+
+
+def leading_vector(square: np.ndarray) -> np.ndarray:
+    """Unit eigenvector of the greatest eigenvalue of a matrix of products: a column of a high power, squared until the others' share is gone; where two eigenvalues are within about 2 %, by decomposition."""
+    total = square.trace()
+    if total > 0:
+        power = square / total
+        for _ in range(10):
+            power = power @ power
+            power /= power.trace()
+            if 1 - np.vdot(power, power) < 1e-8:  # the others' share, which the last squaring takes below a double's digits
+                power = power @ power
+                column = power[:, power.diagonal().argmax()]
+                return column / np.linalg.norm(column)
+    return np.linalg.eigh(square)[1][:, -1]
 
 
 def principal_vector(rows: np.ndarray) -> np.ndarray:
     """Unit eigenvector of the greatest eigenvalue of rows' rows; its largest component is positive."""
     if len(rows) < rows.shape[1]:  # fewer rows than channels: the smaller matrix has the same eigenvalues
-        _, vectors = np.linalg.eigh(rows @ rows.T)
-        found = rows.T @ vectors[:, -1]
+        found = rows.T @ leading_vector(rows @ rows.T)
         found = found / max(np.linalg.norm(found), 1e-300)
     else:
-        found = np.linalg.eigh(rows.T @ rows)[1][:, -1]
-    return found * (1 if found[np.abs(found).argmax()] >= 0 else -1)
+        found = leading_vector(rows.T @ rows)
+    return _canonical(found)
 
 
 def principal_vectors(samples: DataFrame) -> DataFrame:
@@ -33,7 +52,7 @@ def principal_vectors(samples: DataFrame) -> DataFrame:
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for subject, part in batch.groupby("subject", sort=False):
+            for subject, part in by_key(batch, "subject"):
                 x = np.stack(part["v"].to_numpy()).astype(float)
                 yield pd.DataFrame({"subject": [subject], "p": [(x.T @ x).tobytes()]})
 
@@ -69,6 +88,25 @@ def criteria(data: np.ndarray, maps: np.ndarray, polarity: bool, n_total: int |
     return label, variance * (channels - 1) ** 2 / free**2 if free else np.inf, gev
 
 
+def _regroup(maps: np.ndarray, grams: dict[int, np.ndarray], data: np.ndarray, moved: np.ndarray, before: np.ndarray, after: np.ndarray) -> None:
+    """Makes maps their samples' principal vectors after some have moved. A map with as many samples as channels keeps the sum of their products, to which those that came are added and from which
+    those that went are taken; where that is more than half of its samples, it is summed anew. Maps that no sample joined or left stay."""
+    went, came = (np.bincount(side[moved][side[moved] >= 0], minlength=len(maps)) for side in (before, after))
+    number = np.bincount(after, minlength=len(maps))
+    for i in np.flatnonzero((went + came > 0) & (number > 0)):
+        if number[i] < data.shape[1]:
+            grams.pop(i, None)
+            maps[i] = principal_vector(data[after == i])
+            continue
+        if i in grams and 2 * (went[i] + came[i]) <= number[i]:
+            new, old = data[moved[after[moved] == i]], data[moved[before[moved] == i]]
+            grams[i] += new.T @ new - old.T @ old
+        else:
+            own = data[after == i]
+            grams[i] = own.T @ own
+        maps[i] = _canonical(leading_vector(grams[i]))
+
+
 def kmeans_run(
     data: np.ndarray, k: int, restart: int, seed: int, polarity: bool = False, tolerance: float = 1e-6, rounds: int = 1000, n_total: int | None = None
 ) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
@@ -82,32 +120,70 @@ def kmeans_run(
     maps = data[rng.permutation(len(data))[:k]]
     maps = maps / np.maximum(np.linalg.norm(maps, axis=1, keepdims=True), 1e-300)
     label, explained = np.full(len(data), -1), -np.inf
+    grams: dict[int, np.ndarray] = {}
     for _ in range(rounds):
-        products = (data @ maps.T) ** 2
+        products = data @ maps.T
+        products *= products
         own = products.argmax(axis=1)
-        reached = products[np.arange(len(data)), own].sum()
-        if (own == label).all() or reached - explained <= tolerance * (power - reached):
+        reached = products.max(axis=1).sum()
+        moved = np.flatnonzero(own != label)
+        if len(moved) == 0 or reached - explained <= tolerance * (power - reached):
             break
-        label, explained = own, reached
-        for i in np.unique(label):
-            maps[i] = principal_vector(data[label == i])
+        before, label, explained = label, own, reached
+        _regroup(maps, grams, data, moved, before, label)
     label, cv, gev = criteria(data, maps, polarity, n_total)
     return maps, label, cv, gev
 
 
+CELLS = 1 << 21  # correlations that are held at once
+
+
+class _Alive:
+    """The maps that are left, centred, and their places among all; dissolved ones are passed over, and leave when they are half of what is kept."""
+
+    def __init__(self, maps: np.ndarray, polarity: bool) -> None:
+        self.at, self.polarity, self.dead = np.arange(len(maps)), polarity, np.zeros(len(maps), dtype=bool)
+        self.spread, self.centred = maps.std(axis=1), maps - maps.mean(axis=1, keepdims=True)
+
+    def drop(self, i: int) -> None:
+        self.dead[np.searchsorted(self.at, i)] = True
+        if 2 * self.dead.sum() > len(self.at):
+            keep = ~self.dead
+            self.at, self.spread, self.centred, self.dead = self.at[keep], self.spread[keep], self.centred[keep], self.dead[keep]
+
+    def put(self, i: np.ndarray, maps: np.ndarray) -> None:
+        k = np.searchsorted(self.at, i)
+        self.spread[k], self.centred[k] = maps.std(axis=1), maps - maps.mean(axis=1, keepdims=True)
+
+    def best(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The map of greatest correlation with each sample, the first one on ties, and that correlation."""
+        at, value = np.empty(len(data), dtype=np.int64), np.empty(len(data))
+        step = max(1, CELLS // len(self.at))
+        for begin in range(0, len(data), step):
+            x = data[begin : begin + step]
+            deviation = np.outer(x.std(axis=1), self.spread) * x.shape[1]
+            c = np.divide(x @ self.centred.T, deviation, out=np.zeros(deviation.shape), where=deviation > 0)
+            c = c if self.polarity else np.abs(c, out=c)
+            c[:, self.dead] = -np.inf
+            own = c.argmax(axis=1)
+            at[begin : begin + step], value[begin : begin + step] = self.at[own], c[np.arange(len(x)), own]
+        return at, value
+
+
 def agglomerate(data: np.ndarray, least: int, most: int, polarity: bool = False) -> Iterator[tuple[int, np.ndarray, float, np.ndarray]]:
     """Atomise and agglomerate: every sample begins as a map; the map of least explained variance is dissolved, its members go to their best
     remaining map, whose vector is found again. Yields (k, maps, criterion, explained variances) from most to least maps.
 
-    Correlations are kept: a round finds those of the maps that it touched, and looks again for the best map of samples whose own was touched or dissolved; other samples only compare with the touched ones.
+    Each sample keeps its best map and that correlation only, not those with all maps: a round compares all samples with the maps that it touched, and looks again among all maps for samples whose own was
+    touched or dissolved. So memory grows with the samples, not with their square.
     """
     n = len(data)
     size = np.abs if not polarity else np.asarray
     maps = data / np.maximum(np.linalg.norm(data, axis=1, keepdims=True), 1e-300)
     members = {i: [i] for i in range(n)}
-    c = size(map_correlations(data, maps))
-    best, power, rows = c.argmax(axis=1), data.std(axis=1) ** 2, np.arange(n)
-    own = c[rows, best]
+    alive_maps = _Alive(maps, polarity)
+    best, own = alive_maps.best(data)
+    power = data.std(axis=1) ** 2
     while len(members) >= max(1, least):
         alive = np.fromiter(members, dtype=np.int64)
         if len(members) <= most:
@@ -118,21 +194,22 @@ def agglomerate(data: np.ndarray, least: int, most: int, polarity: bool = False)
         explained = np.bincount(best, weights=power * own**2, minlength=n)
         worst = int(alive[explained[alive].argmin()])
         freed = members.pop(worst)
-        c[:, worst] = -np.inf
-        targets = c[freed].argmax(axis=1)
+        alive_maps.drop(worst)
+        targets, _ = alive_maps.best(data[freed])
         for i, target in zip(freed, targets, strict=True):
             members[int(target)].append(i)
         touched = np.unique(targets)
         again = np.isin(best, np.append(touched, worst))
         for target in touched:
             maps[target] = principal_vector(data[members[int(target)]])
-        c[:, touched] = size(map_correlations(data, maps[touched]))
-        nearest = touched[c[:, touched].argmax(axis=1)]
-        value = c[rows, nearest]
-        better = ~again & ((value > own) | (value == own) & (nearest < best))
-        best[better] = nearest[better]
-        best[again] = c[again].argmax(axis=1)
-        own = c[rows, best]
+        alive_maps.put(touched, maps[touched])
+        for begin in range(0, len(touched), max(1, CELLS // n)):
+            some = touched[begin : begin + max(1, CELLS // n)]
+            c = size(map_correlations(data, maps[some]))
+            nearest, value = some[c.argmax(axis=1)], c.max(axis=1)
+            better = ~again & ((value > own) | (value == own) & (nearest < best))
+            best[better], own[better] = nearest[better], value[better]
+        best[again], own[again] = alive_maps.best(data[again])
 
 
 MAPS = "subject {kind}, k_total int, k int, m array<double>, cv double, gev double"
@@ -158,7 +235,8 @@ def kmeans_modified(samples: DataFrame, least: int = 2, most: int = 10, restarts
     kind = dict(samples.dtypes)["subject"]
     packed = samples.groupBy("subject").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]).alias("data"))
     runs = packed.withColumn("k_total", F.explode(F.sequence(F.lit(least), F.lit(most)))).where(F.col("k_total") <= F.size("data"))
-    runs = runs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-restarts // RESTARTS) - 1)))).repartition("subject", "k_total", "block")
+    runs = runs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-restarts // RESTARTS) - 1))))
+    runs = runs.repartition(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), "subject", "k_total", "block")  # a number, or few bytes would become few tasks
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -199,7 +277,7 @@ def covariance(samples: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for subject, part in batch.groupby("subject", sort=False):
+            for subject, part in by_key(batch, "subject"):
                 x = np.stack(part["v"].to_numpy()).astype(float)
                 mean = x.mean(axis=0)
                 i, j = np.tril_indices(x.shape[1])

@@ -50,7 +50,8 @@ def distances(one: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 def _met(one: pd.DataFrame, other: pd.DataFrame, same: bool, block: int) -> pd.DataFrame:
     """i, label, other, s, n: of each point of one the sum and number of its distances to the points of each label among other; a point doesn't count for itself."""
-    codes, names = pd.factorize(other["label"])
+    names = list(dict.fromkeys(other["label"].dropna()))
+    codes = other["label"].map({name: k for k, name in enumerate(names)}).to_numpy(dtype=float)
     held = (codes[:, None] == np.arange(len(names))[None]).astype(float)
     x, y = (np.stack(side["v"].to_numpy()).astype(float) for side in (one, other))
     i, j = one["i"].to_numpy(), other["i"].to_numpy()
@@ -65,7 +66,7 @@ def _met(one: pd.DataFrame, other: pd.DataFrame, same: bool, block: int) -> pd.D
                 n[here] -= own.astype(float) @ held[there]
             s[here] += d @ held[there]
     at, to = np.nonzero(n > 0)
-    return pd.DataFrame({"i": i[at], "label": one["label"].to_numpy()[at], "other": np.asarray(names)[to], "s": s[at, to], "n": n[at, to].astype(np.int64)})
+    return pd.DataFrame({"i": i[at], "label": one["label"].to_numpy()[at], "other": [names[k] for k in to], "s": s[at, to], "n": n[at, to].astype(np.int64)})
 
 
 def silhouette(points: DataFrame, rows_a_block: int = 2000, blocks_a_part: int = 8) -> DataFrame:

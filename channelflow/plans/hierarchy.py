@@ -5,14 +5,17 @@ Each level is a DataFrame of (key..., k, m); a level's sets are averaged by iter
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from channelflow.functions import vectors as V
 from channelflow.functions.lineage import kept
 from channelflow.operators import alignment as A
+from channelflow.operators import artefacts as W
 from channelflow.operators import clustering as C
 from channelflow.operators import maps as M
 from channelflow.operators import sequences as S
@@ -34,34 +37,53 @@ def individual_maps(recordings: DataFrame, least: int = 2, most: int = 10, resta
 
 
 def principal_maps(recordings: DataFrame, share: float = 0.95, **options: object) -> DataFrame:
-    """Individual maps found in principal components of the recordings and brought back to channels."""
+    """Individual maps found in principal components of the recordings and brought back to channels. Components and maps are kept in the shared folder, so each is found once."""
     rows = recordings.select(F.concat_ws(KEY, "subject", "task").alias("subject"), "t", V.centred(F.col("v")).alias("v"))
-    components = C.principal_components(rows, share)
+    components = kept(C.principal_components(rows, share))
     scores = C.component_scores(rows, components, centre=True)
     parts = F.split("subject", KEY)
     split = lambda df: df.select(F.get(parts, F.lit(0)).alias("subject"), F.get(parts, F.lit(1)).alias("task"), *[c for c in df.columns if c != "subject"])
     found = individual_maps(split(scores), **options)
     keyed = found.select(F.concat_ws(KEY, "subject", "task").alias("subject"), "k_total", "k", "m")
-    back = C.back_projection(keyed, components, ("subject", "k_total"))
+    back = kept(C.back_projection(keyed, components, ("subject", "k_total")))
     judged = channel_criteria(rows, back)
     return split(back.join(judged, ["subject", "k_total", "k"]))
 
 
 def channel_criteria(samples: DataFrame, maps: DataFrame) -> DataFrame:
-    """subject, k_total, k, cv, gev of maps(subject, k_total, k, m), several sets a subject, on samples(subject, t, v)."""
-    key = F.concat_ws(KEY, "subject", F.col("k_total").cast("string"))
-    sets = maps.select(key.alias("set"), "subject", "k", "m")
-    each = samples.join(sets.select("subject", "set").distinct(), "subject").select(F.col("set").alias("subject"), "t", "v")
-    by_set = sets.select(F.col("set").alias("subject"), "k", "m")
-    labels = M.labelled(each, by_set)
-    gev = M.explained_variance(labels).withColumnRenamed("state", "k")
-    variance = M.residual_variance(labels, by_set.withColumn("m", V.unit(F.col("m"))))
-    sizes = by_set.groupBy("subject").agg(F.count("*").alias("k_total"))
-    cv = variance.join(sizes, "subject").select("subject", M.cross_validation(F.col("variance"), F.col("channels"), F.col("k_total")).alias("cv"))
-    rows = by_set.select("subject", "k").join(gev, ["subject", "k"], "left").join(cv, "subject", "left")
-    p = F.split("subject", KEY)
-    n = F.size(p)
-    return rows.select(F.array_join(F.slice(p, 1, n - 1), KEY).alias("subject"), F.element_at(p, -1).cast("int").alias("k_total"), "k", "cv", F.coalesce("gev", F.lit(0.0)).alias("gev"))
+    """subject, k_total, k, cv, gev of maps(subject, k_total, k, m), several sets a subject, on samples(subject, t, v).
+
+    Samples are packed where they are read and meet all sets of their subject at once; only sums by map leave a block. Samples without a known correlation have no map and don't count.
+    """
+    kind = dict(samples.dtypes)["subject"]
+    sets = maps.groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("k_total", "k", "m"))).alias("sets"))
+    joined = W.packed(samples).join(sets.select("subject", F.transform("sets", lambda s: s["k_total"]).alias("totals"), F.transform("sets", lambda s: s["k"]).alias("ks"), F.transform("sets", lambda s: s["m"]).alias("ms")), "subject")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for subject, n, x, totals, ks, ms in batch[["subject", "n", "x", "totals", "ks", "ms"]].itertuples(index=False):
+                x, ms = np.frombuffer(x).reshape(n, -1), np.stack(ms).astype(float)
+                r = np.abs(C.map_correlations(x, ms))
+                r[:, ms.std(axis=1) == 0] = -1.0
+                length = np.linalg.norm(ms, axis=1)
+                power, squares = x.var(axis=1), (x**2).sum(axis=1)
+                along = (x @ np.divide(ms, length[:, None], out=np.zeros_like(ms), where=length[:, None] > 0).T) ** 2
+                for total in np.unique(totals):
+                    at = np.flatnonzero(totals == total)
+                    own = at[r[:, at].argmax(axis=1)]
+                    known = (power > 0) & (r[np.arange(n), own] >= 0)
+                    own, rows = own[known], np.flatnonzero(known)
+                    of = lambda w, own=own: np.bincount(own, weights=w, minlength=len(ms))
+                    sums = {"e": of(power[rows] * r[rows, own] ** 2), "g": of(power[rows]), "vv": of(squares[rows]), "pp": of(along[rows, own]), "n": of(np.ones(len(rows)))}
+                    yield pd.DataFrame({"subject": subject, "k_total": total, "k": ks[at], "channels": x.shape[1], **{c: v[at] for c, v in sums.items()}})
+
+    sums = joined.mapInPandas(run, f"subject {kind}, k_total int, k int, channels int, e double, g double, vv double, pp double, n double")
+    by_map = sums.groupBy("subject", "k_total", "k").agg(F.max("channels").alias("channels"), *[F.sum(c).alias(c) for c in ("e", "g", "vv", "pp", "n")])
+    w = Window.partitionBy("subject", "k_total")
+    whole = lambda c: F.sum(c).over(w)
+    variance = F.try_divide(whole("vv") - whole("pp"), whole("n") * (F.col("channels") - 1))
+    cv = M.cross_validation(variance, F.col("channels"), F.count("*").over(w))
+    return by_map.select("subject", "k_total", "k", cv.alias("cv"), F.coalesce(F.try_divide("e", whole("g")), F.lit(0.0)).alias("gev"))
 
 
 def across_runs(maps: DataFrame, conditions: DataFrame, n_maps: int) -> DataFrame:

@@ -546,3 +546,115 @@ def test_places_of_many_pairs(spark):
         for r in found.select("k", "p.i", "p.j", V.condensed_place(F.col("p.j"), F.col("p.i"), F.lit(n)).alias("again")).collect():
             assert 0 <= r["i"] < r["j"] < n
             assert r["again"] == r["k"] == r["i"] * n - r["i"] * (r["i"] + 1) // 2 + r["j"] - 1 - r["i"]
+
+
+def test_kmeans_rounds_add_what_moved(spark):
+    """Sums of products that are kept between rounds, and their leading vectors by squaring, give the maps that each round's own samples would."""
+    rng = np.random.default_rng(19)
+    data = rng.normal(size=(600, 8)) + 3 * rng.normal(size=(5, 8))[rng.integers(0, 5, 600)]
+    summed = []
+    grown, C._regroup = C._regroup, lambda maps, grams, data, moved, *labels: (summed.append(len(moved)), grown(maps, grams, data, moved, *labels))[1]
+    try:
+        maps, label, cv, _ = C.kmeans_run(data, 5, 0, 1)
+    finally:
+        C._regroup = grown
+    assert summed[0] == 600 and min(summed) < 100
+    plain = data[np.random.default_rng([1, 5, 0]).permutation(600)[:5]]
+    plain = plain / np.linalg.norm(plain, axis=1, keepdims=True)
+    for _ in summed:
+        own = ((data @ plain.T) ** 2).argmax(axis=1)
+        for i in np.unique(own):
+            found = np.linalg.eigh(data[own == i].T @ data[own == i])[1][:, -1]
+            plain[i] = found * (1 if found[np.abs(found).argmax()] >= 0 else -1)
+    assert np.allclose(maps, plain, atol=1e-9)
+    even = np.diag([2.0, 2.0 - 1e-9, 1.0])
+    assert np.abs(C.leading_vector(even)).round(6).tolist() == [1, 0, 0]
+
+
+def test_kmeans_spreads_short_rows(spark):
+    """Runs of few samples are spread over as many tasks as the session's exchanges have, not joined because they have few bytes."""
+    rows = spark.createDataFrame([(0, t, [float((t * j) % 7) for j in range(1, 5)]) for t in range(30)], "subject int, t long, v array<double>")
+    tasks = C.kmeans_modified(rows, 2, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [subject" in tasks and tasks.split("RepartitionByExpression [subject")[1].split("\n")[0].endswith("4")
+
+
+def test_decays_of_a_batch_are_those_of_each(spark):
+    rng = np.random.default_rng(20)
+    lag = np.tile(np.arange(1.0, 7.0), (30, 1))
+    value = 2 * np.exp(-rng.uniform(0.2, 2, 30)[:, None] * lag) + 0.3 + rng.normal(size=(30, 6)) * 0.01
+    value[3] = 1.0
+    found, left = I.fitted_decays(lag, value)
+    for i in range(30):
+        one = I.fitted_decay(lag[i], value[i])
+        assert np.allclose(found[i], one[0], atol=1e-6) and left[i] == pytest.approx(one[1], abs=1e-12)
+    rows = [(i, int(t), None if i == 5 and t > 4 else float(v)) for i in range(30) for t, v in zip(lag[i], value[i])] + [(99, 1, 1.0), (99, 2, None)]
+    plan = I.exponential_fit(spark.createDataFrame(rows, "subject int, lag int, value double"))
+    assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    out = {r["subject"]: r for r in plan.collect()}
+    assert len(out) == 31 and out[99]["a"] is None
+    assert out[0]["b"] == pytest.approx(found[0][1], abs=1e-6) and out[5]["left"] < 0.05
+
+
+def test_criteria_of_sets_are_those_of_samples(spark):
+    """Several sets a subject against criteria() of its samples, without a row for each sample and set."""
+    rng = np.random.default_rng(21)
+    data = rng.normal(size=(50, 6))
+    data -= data.mean(axis=1, keepdims=True)
+    sets = {k: rng.normal(size=(k, 6)) for k in (2, 3)}
+    sets = {k: (m - m.mean(axis=1, keepdims=True)) / np.linalg.norm(m - m.mean(axis=1, keepdims=True), axis=1, keepdims=True) for k, m in sets.items()}
+    rows = spark.createDataFrame([("s", t, v.tolist()) for t, v in enumerate(data)] + [("s", 50, [0.0] * 6)], "subject string, t long, v array<double>")
+    maps = spark.createDataFrame([("s", k, i, m.tolist()) for k, ms in sets.items() for i, m in enumerate(ms)], "subject string, k_total int, k int, m array<double>")
+    plan = H.channel_criteria(rows, maps)
+    out = {(r["k_total"], r["k"]): r for r in plan.collect()}
+    for k, ms in sets.items():
+        _, cv, gev = C.criteria(data, ms, False)
+        for i in range(k):
+            assert out[k, i]["cv"] == pytest.approx(cv) and out[k, i]["gev"] == pytest.approx(gev[i])
+    assert "zip_with" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_surrogates_of_blocks(spark):
+    """A row has the steps of several chains, and each chain is its own."""
+    matrix = spark.createDataFrame([(7, "a", "b", 3, 0.5, 0.6), (7, "a", "a", 2, 0.3, 0.4), (7, "b", "a", 1, 0.2, 1.0)], "subject int, s0 string, s1 string, n long, joint double, p double")
+    plan = I.surrogates(matrix, 12, 23)
+    assert "sequence(0, 2" in plan._jdf.queryExecution().analyzed().toString()
+    rows = plan.collect()
+    assert sorted((r["chain"], r["t"]) for r in rows) == [(c, t) for c in range(23) for t in range(12)]
+    chain = {c: "".join(r["state"] for r in sorted(rows, key=lambda r: r["t"]) if r["chain"] == c) for c in range(23)}
+    assert all("bb" not in x for x in chain.values()) and len(set(chain.values())) > 10
+    fewer = I.surrogates(matrix, 12, 11).collect()
+    assert {c: "".join(r["state"] for r in sorted(fewer, key=lambda r: r["t"]) if r["chain"] == c) for c in range(11)} == {c: chain[c] for c in range(11)}
+
+
+def test_subjects_of_several_parts_stay_apart(spark):
+    """Keys that differ after a null character only, in one batch."""
+    rng = np.random.default_rng(22)
+    rows = [(f"s\u0000{task}", t, (rng.normal(size=4) * (1 + 5 * (np.arange(4) == j))).tolist()) for t in range(40) for j, task in enumerate(("a", "b", "c"))]
+    df = spark.createDataFrame(rows, "subject string, t long, v array<double>").coalesce(1)
+    found = {r["subject"]: np.abs(r["vector"]).argmax() for r in C.principal_components(df, 1.0).where("i = 0").collect()}
+    assert found == {"s\u0000a": 0, "s\u0000b": 1, "s\u0000c": 2}
+    recordings = df.selectExpr("'s' AS subject", "substr(subject, 3) AS task", "t", "v")
+    assert {r["task"] for r in H.principal_maps(recordings, 1.0, least=2, most=2, restarts=2, peaks_only=False).collect()} == {"a", "b", "c"}
+
+
+def test_agglomeration_keeps_no_square():
+    """The memory of samples, not of their square; and the maps of each round's search among all."""
+    import tracemalloc
+
+    rng = np.random.default_rng(23)
+    data = rng.normal(size=(1500, 4))
+    tracemalloc.start()
+    found = list(C.agglomerate(data[:300], 2, 4))
+    short = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [k for k, *_ in found] == [4, 3, 2]
+    tracemalloc.start()
+    cells, C.CELLS = C.CELLS, 3000
+    try:
+        next(C.agglomerate(data, 4, 4))
+        again = list(C.agglomerate(data[:300], 2, 4))
+    finally:
+        C.CELLS = cells
+    assert tracemalloc.get_traced_memory()[1] < 1500 * 1500 * 8 / 4
+    tracemalloc.stop()
+    assert short > 0 and all(np.allclose(a[1], b[1]) and a[2] == pytest.approx(b[2]) for a, b in zip(found, again, strict=True))
