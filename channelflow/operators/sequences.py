@@ -207,11 +207,14 @@ def block_entropy(seq: DataFrame, k: int) -> DataFrame:
 
 
 def block_entropies(seq: DataFrame, most: int) -> DataFrame:
-    parts = [block_entropy(seq, k).withColumn("k", F.lit(k)) for k in range(1, most + 1)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """subject, entropy, k: block_entropy() for 1 to `most` states, from one order by time. States are numbered, so that a block is a short array of numbers."""
+    known = seq.where("state is not null").select("state").distinct().agg(F.array_sort(F.collect_list("state")).alias("_all"))  # one row: the few states travel as an array
+    number = F.coalesce(F.array_position("_all", F.col("state")), F.lit(0)).cast("int")  # null is a state too
+    rows = seq.join(F.broadcast(known), how="cross").select("subject", "t", number.alias("state"))
+    ahead = rows.select("subject", *[F.lead("state", i).over(by_time()).alias(f"s{i}") for i in range(most + 1)])
+    blocks = [F.when(F.col(f"s{k}").isNotNull(), F.array(*[F.col(f"s{i}") for i in range(k)])) for k in range(1, most + 1)]  # the sequence goes on, so the block begins in the first n - k
+    counted = ahead.select("subject", F.explode(F.array_compact(F.array(*blocks))).alias("block")).groupBy("subject", "block").agg(F.count("*").alias("n"))
+    return entropy(counted.withColumn("k", F.size("block")), ["subject", "k"]).select("subject", "entropy", "k")
 
 
 def excess_entropy(seq: DataFrame, most: int) -> DataFrame:

@@ -658,3 +658,17 @@ def test_agglomeration_keeps_no_square():
     assert tracemalloc.get_traced_memory()[1] < 1500 * 1500 * 8 / 4
     tracemalloc.stop()
     assert short > 0 and all(np.allclose(a[1], b[1]) and a[2] == pytest.approx(b[2]) for a, b in zip(found, again, strict=True))
+
+
+def test_block_entropies_from_one_order(spark):
+    """All lengths of block from one order by time, null states and short sequences among them."""
+    given = {1: list("abcabbac") + [None, "a", None], 2: ["a", "b"], 3: ["a"]}
+    seq = spark.createDataFrame([(s, t, x) for s, xs in given.items() for t, x in enumerate(xs)], "subject int, t long, state string")
+    plan = S.block_entropies(seq, 3)
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    out = {(r["subject"], r["k"]): r["entropy"] for r in plan.collect()}
+    assert out.keys() == {(1, 1), (1, 2), (1, 3), (2, 1)}
+    for k in (1, 2, 3):
+        blocks = [tuple(given[1][i : i + k]) for i in range(len(given[1]) - k)]
+        shares = np.array([blocks.count(b) for b in set(blocks)]) / len(blocks)
+        assert out[1, k] == pytest.approx(-(shares * np.log2(shares)).sum())
