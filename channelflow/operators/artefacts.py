@@ -2,6 +2,7 @@
 
 Components: a recording's samples are packed once into blocks; every round is an aggregate over them, the sums of g(w x) x and g'(w x), which are as
 large as channels x channels whatever the recording's length. Only such matrices reach the driver, for a bounded number of recordings at a time.
+A recording's samples meet its model in slices, so a recording isn't one task.
 Wavelets: a series is cut into blocks of time that bring along as many neighbouring samples as the filters reach, so a channel isn't one task.
 """
 
@@ -22,6 +23,7 @@ TOGETHER = 256  # recordings that are unmixed at once
 ROUNDS, ATTEMPTS, TOLERANCE, WIDEN = 200, 3, 0.025, 5.0
 BLOCK = 1 << 15  # samples of a block of a series
 FEW_TASKS = 64  # whose sums may meet on the driver
+SLICE = 2048  # samples of a recording that meet one copy of its model
 
 # Low-pass decomposition filters of the wavelets, in order.
 WAVELETS = {
@@ -90,7 +92,7 @@ def whitener(covariance: np.ndarray, components: int | None) -> np.ndarray:
 
 
 def unmixed(samples: DataFrame, components: int | None = None, rounds: int = ROUNDS, attempts: int = ATTEMPTS, tolerance: float = TOLERANCE, widen: float = WIDEN, seed: int = 1) -> DataFrame:
-    """The independent components of each recording of samples(subject, t, v): subject, mean, unmixing and mixing (components x channels), rounds, tolerance.
+    """The independent components of each recording of samples(subject, t, v): subject, n (its samples), mean, unmixing and mixing (components x channels), rounds, tolerance.
 
     Symmetric fixed-point iteration with g = tanh after whitening. A recording that `attempts` starts of `rounds` rounds don't bring within the tolerance is tried at `widen` times that, and so on; the one that it
     met is told. Components stand by the variance that they explain, the greatest first, and have a positive largest weight, so reruns agree.
@@ -100,7 +102,7 @@ def unmixed(samples: DataFrame, components: int | None = None, rounds: int = ROU
     blocks = kept(packed(samples))
     groups = max(1, -(-blocks.select("subject").distinct().count() // TOGETHER))  # by a hash, so about so many recordings each
     kind = dict(samples.dtypes)["subject"]
-    schema = f"subject {kind}, mean array<double>, unmixing array<array<double>>, mixing array<array<double>>, rounds int, tolerance double"
+    schema = f"subject {kind}, n long, mean array<double>, unmixing array<array<double>>, mixing array<array<double>>, rounds int, tolerance double"
     out = None
     for g in range(groups):
         own = blocks if groups == 1 else blocks.where(F.pmod(F.xxhash64("subject"), F.lit(groups)) == g)
@@ -147,7 +149,7 @@ def _unmix(blocks: DataFrame, components: int | None, rounds: int, attempts: int
         mixing = np.linalg.pinv(unmixing).T if len(unmixing) else unmixing
         order = np.argsort(-(mixing**2).sum(axis=1), kind="stable")
         sign = np.where(mixing[np.arange(len(mixing)), np.abs(mixing).argmax(axis=1)] < 0, -1.0, 1.0)[:, None] if len(mixing) else 1.0
-        rows.append((s, means[s][1].tolist(), (unmixing * sign)[order].tolist(), (mixing * sign)[order].tolist(), n, float(limit)))
+        rows.append((s, int(means[s][0]), means[s][1].tolist(), (unmixing * sign)[order].tolist(), (mixing * sign)[order].tolist(), n, float(limit)))
     return rows
 
 
@@ -162,15 +164,27 @@ def combined(weights: Column, rows: Column, n: Column) -> Column:
     return F.aggregate(F.zip_with(rows, weights, lambda r, w: F.transform(r, lambda x: x * w)), zero, lambda a, r: F.zip_with(a, r, lambda x, y: x + y))
 
 
+def with_model(samples: DataFrame, model: DataFrame, *columns: Column | str, how: str = "inner") -> DataFrame:
+    """samples(subject, t, v) beside the columns of their recording's model(subject, n, ...).
+
+    A recording is dealt over slices of about SLICE samples, each with a copy of the model, so a long one is many tasks. How many slices it has, two numbers a recording, is broadcast: unmixed() held more of each on the driver.
+    """
+    slices = F.greatest(F.lit(1), F.ceil(F.col("n") / SLICE)).cast("int")
+    dealt = samples.select("subject", "t", "v").join(F.broadcast(model.select("subject", slices.alias("_slices"))), "subject", how)
+    dealt = dealt.withColumn("_slice", F.pmod(F.xxhash64("t"), F.coalesce("_slices", F.lit(SLICE))).cast("int")).drop("_slices")
+    copies = model.select("subject", *columns, F.explode(F.sequence(F.lit(0), slices - 1)).alias("_slice"))
+    return dealt.join(copies.hint("merge"), ["subject", "_slice"], how).drop("_slice")
+
+
 def sources(samples: DataFrame, model: DataFrame) -> DataFrame:
     """subject, t, v: each sample's components."""
-    joined = samples.join(model.select("subject", "mean", "unmixing"), "subject")
+    joined = with_model(samples, model, "mean", "unmixing")
     return joined.select("subject", "t", times(F.col("unmixing"), F.zip_with("v", "mean", lambda x, m: x - m)).alias("v"))
 
 
 def mixed(parts: DataFrame, model: DataFrame) -> DataFrame:
     """subject, t, v: samples of the components parts(subject, t, v), the inverse of sources()."""
-    joined = parts.join(model.select("subject", "mean", "mixing"), "subject")
+    joined = with_model(parts, model, "mean", "mixing")
     back = combined(F.col("v"), F.col("mixing"), F.size("mean"))
     return joined.select("subject", "t", F.zip_with(back, "mean", lambda x, m: x + m).alias("v"))
 
@@ -185,8 +199,8 @@ def without_components(samples: DataFrame, model: DataFrame, drop: DataFrame) ->
     """samples(subject, t, v) less what the components of drop(subject, component) add to them. Recordings without a model, or without a row in drop, stay as they are."""
     chosen = drop.select("subject", "component").distinct().groupBy("subject").agg(F.collect_list(F.col("component").cast("int")).alias("chosen"))
     picked = lambda rows: F.transform("chosen", lambda i: F.get(rows, i)).alias(rows)
-    of = model.join(chosen, "subject").select("subject", "mean", picked("unmixing"), picked("mixing"))
-    joined = samples.join(of, "subject", "left")
+    of = model.join(chosen, "subject").select("subject", "n", "mean", picked("unmixing"), picked("mixing"))
+    joined = with_model(samples, of, "mean", "unmixing", "mixing", how="left")
     weights = times(F.col("unmixing"), F.zip_with("v", "mean", lambda x, m: x - m))
     gone = combined(weights, F.col("mixing"), F.size("mean"))
     return joined.select("subject", "t", F.when(F.col("mean").isNull(), F.col("v")).otherwise(F.zip_with("v", gone, lambda x, g: x - g)).alias("v"))

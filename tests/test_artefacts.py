@@ -130,3 +130,23 @@ def test_spikes_go_and_the_rest_stays(spark):
     left = values(A.without_artefacts(table(spark, x), levels=4, tolerance=1e-4))
     at = spikes > 5
     assert np.abs((left - clean)[at]).mean() < 0.25 * np.abs((x - clean)[at]).mean()
+
+
+def test_a_recording_meets_its_model_in_slices(spark, monkeypatch):
+    """One recording is several tasks, and samples and values are those of one slice."""
+    _, _, x = planted(1200)
+    df = table(spark, x)
+    model = A.unmixed(df, tolerance=0.5)
+    assert model.first()["n"] == 1200
+    want = values(A.mixed(A.sources(df, model), model))
+    drop = spark.createDataFrame([("a", 1)], "subject string, component int")
+    less = values(A.without_components(df, model, drop))
+    monkeypatch.setattr(A, "SLICE", 60)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = A.sources(df, model)
+        assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        assert A.without_components(df, model, drop).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert np.array_equal(values(A.mixed(got, model)), want) and np.array_equal(values(A.without_components(df, model, drop)), less)
