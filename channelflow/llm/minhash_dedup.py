@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release_memory, text_of
+from .common import cut, release_memory, shuffles_removed, text_of
 from .components import components
 from .shingle_join import at_least, derived_common, in_pieces, overlaps, set_id, shingles
 
@@ -203,13 +203,8 @@ def _across(opened: DataFrame, tested: DataFrame, info: DataFrame, reps: DataFra
     return cut(soon.unionByName(derived(rest)).unionByName(fetched))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and kept (doc_id equals component_id) of every row of docs(doc_id, text).
-
-    Documents link if percent * union <= 100 * intersection of their distinct shingles of `words` words, A-Z taken as a-z; fewer words are one shingle. A text without words (or a null one) links with
-    nothing. Repeated rows, copies and texts of equal sets share a component; a row with a null doc_id links as any other but can't name a component, whose id is null if it has no other row.
-    Every link is confirmed on full sets; a pair at the threshold is missed with probability 0.0002 unless other links join it. Further columns are dropped.
-    """
+def _linked(docs: DataFrame, words: int, percent: int, halves: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The table of documents, their sets as classes, and the component of each set that links."""
     docs = docs.select("doc_id", text_of().alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     table = cut(document_halves(docs, words, percent, halves, rows))
     c = F.col
@@ -257,9 +252,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     several = parts.groupBy("k").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("k", "main")
     opened = cut(entries.join(several, "k"))
     late = _across(opened, tested, info, reps, docs, marks, words, percent, 2 * halves * rows, fits, is_link)
-    if not late.isEmpty():
+    if late.take(1):  # isEmpty would leave a shuffle
         member = components(links.unionByName(late))
+    return table, classes, member
+
 
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and kept (doc_id equals component_id) of every row of docs(doc_id, text).
+
+    Documents link if percent * union <= 100 * intersection of their distinct shingles of `words` words, A-Z taken as a-z; fewer words are one shingle. A text without words (or a null one) links with
+    nothing. Repeated rows, copies and texts of equal sets share a component; a row with a null doc_id links as any other but can't name a component, whose id is null if it has no other row.
+    Every link is confirmed on full sets; a pair at the threshold is missed with probability 0.0002 unless other links join it. Further columns are dropped.
+    """
+    with shuffles_removed(docs.sparkSession):
+        table, classes, member = _linked(docs, words, percent, halves, rows)
+    c = F.col
     joined = classes.join(member.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     names = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = joined.join(names, "component").select("sid", "component_id")

@@ -4,12 +4,14 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from channelflow.llm import common, minhash_dedup
 from channelflow.llm.fill_middle import EliasFano, TextIndex, fill_in_middle, restored
 from channelflow.llm.lexical_search import bisected, gap_cost, ranked_documents, terms_of
 from channelflow.llm.minhash_dedup import differing, hash_functions, half_keys, minhashes, most_differing, near_duplicates, sketch
@@ -115,6 +117,32 @@ def test_star_of_near_copies_and_far_arms(spark):
     assert by_row([(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, rows)).collect()]) == by_row(want)
 
 
+def shuffles_kept(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return set(re.findall(r"/shuffle_(\d+)_", files))
+
+
+def test_shuffles_go_with_their_action(spark):
+    before = shuffles_kept(spark)
+    with common.shuffles_removed(spark):
+        made = common.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.monotonic() + 10
+    while (left := shuffles_kept(spark) - before) and time.monotonic() < until:  # files go a little after their action
+        time.sleep(0.2)
+    assert not left and made.count() == 7
+
+
+def test_near_duplicates_remove_each_steps_shuffles(spark, monkeypatch):
+    rows, setting, seen = edited_copies(20, groups=4), "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    was = spark.conf.get(setting)
+    monkeypatch.setattr(minhash_dedup, "cut", lambda df: (seen.append(spark.conf.get(setting)), common.cut(df))[1])
+    found = near_duplicates(frame(spark, rows))
+    assert len(seen) > 8 and set(seen) == {"true"} and spark.conf.get(setting) == was
+    want = by_row(brute_components(rows, 3, 85)[0])
+    for _ in range(2):  # the result is built outside, so it can be run again
+        assert by_row([(r.doc_id, r.n_shingles, r.component_id) for r in found.collect()]) == want
+
+
 def test_halves_of_equal_sets_agree_and_similar_sets_meet():
     functions, rng, met, differ = hash_functions(48), np.random.default_rng(5), 0, []
     for _ in range(300):
