@@ -27,7 +27,8 @@ from .common import cut, release_memory, text_of
 
 NONE = 1 << 30  # the rank of a pair that no merge joins
 OUT_ROWS = 250  # documents whose ids are held at once
-CHUNK_CHARS = 1_000_000  # of texts that are split at once
+CHUNK_CHARS = 500_000  # of texts that are split at once
+PICKED = 1 << 14  # strings that are picked and joined at once
 LAID_OUT = 1 << 12  # bytes of pre-tokens that one index covers, or one longer pre-token: what a processor's cache holds
 KEPT_WORDS = 150_000  # rare pre-tokens that a worker remembers between chunks
 SHARED_WORDS = 150_000  # words at most whose pre-tokens' ids all tasks get
@@ -159,9 +160,10 @@ class Strings:
         self.starts = np.cumsum(self.lengths) - self.lengths
 
     def of_runs(self, numbers: np.ndarray, runs: np.ndarray) -> list[bytes]:
-        """The strings of these numbers, joined within each run; runs holds the runs' lengths."""
+        """The strings of these numbers, joined within each run; runs holds the runs' lengths. Places of bytes, eight bytes each, are held for PICKED strings at once."""
         lengths = self.lengths[numbers]
-        joined = ragged(self.bytes, self.starts[numbers], lengths).tobytes()
+        pieces = (slice(i, i + PICKED) for i in range(0, len(numbers), PICKED))
+        joined = b"".join([ragged(self.bytes, self.starts[numbers[p]], lengths[p]).tobytes() for p in pieces])
         ends = np.r_[0, np.cumsum(lengths)][np.cumsum(runs)].tolist()
         return [joined[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
@@ -199,30 +201,38 @@ class Encoder:
         self.flat, self.starts, self.lengths = (np.zeros(1 << 16, dtype=t) for t in (np.int32, np.int64, np.int64))  # with room to grow
         self.used = 0
         if shared is not None:
-            self.known.update(zip(shared.column("w").to_pylist(), range(len(shared)), strict=True))
-            self.add(shared.column("ids").to_pylist(), 0)
-        self.shared_known, self.shared_used = dict(self.known), self.used
+            for part in shared.to_batches():
+                words, ids = part.column("w"), part.column("ids")
+                self.known.update(zip(words.to_pylist(), range(len(self.known), len(self.known) + len(words)), strict=True))
+                self.store(ids.flatten().to_numpy(), pc.list_value_length(ids).to_numpy(), len(self.known) - len(words))
+        self.shared_words, self.shared_used = len(self.known), self.used
 
     def forget(self) -> None:
-        """Back to what is shared."""
-        self.known, self.used = Numbers(self.shared_known), self.shared_used
+        """Back to what is shared: those numbered last go."""
+        while len(self.known) > self.shared_words:
+            self.known.popitem()
+        self.used = self.shared_used
 
     def add(self, ids: list[list[int]], first: int | None = None) -> None:
         """Ids of the pre-tokens numbered from `first` on, by default of the last ones numbered."""
-        n, total = len(self.known) - len(ids) if first is None else first, sum(map(len, ids))
-        end = n + len(ids)
+        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(lengths.sum()))
+        self.store(flat, lengths, len(self.known) - len(ids) if first is None else first)
+
+    def store(self, flat: np.ndarray, lengths: np.ndarray, n: int) -> None:
+        """Ids, end to end, of the pre-tokens numbered from n on."""
+        end, total = n + len(lengths), len(flat)
         while end > len(self.starts):
             self.starts, self.lengths = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lengths))
         while self.used + total > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         self.starts[n:end] = self.used + np.cumsum(lengths) - lengths
         self.lengths[n:end] = lengths
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=total)
+        self.flat[self.used : self.used + total] = flat
         self.used += total
 
     def make_room(self) -> None:
-        if len(self.known) > len(self.shared_known) + KEPT_WORDS:
+        if len(self.known) > self.shared_words + KEPT_WORDS:
             self.forget()
 
     def learn(self, words: Iterable[str]) -> None:
@@ -302,6 +312,8 @@ def shared_ids(docs: DataFrame, path: str, pattern: str, most: int = SHARED_WORD
             words = list(set(chain.from_iterable(own.split(" " + w) for w in batch.column("word").to_pylist())))
             ids = own.replay.encode([w.encode() for w in words])
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ids, pa.list_(pa.int32()))], names=["w", "ids"])
+            del words, ids
+        release_memory()
 
     found = counted.where(F.col("n") >= least).select("word").repartition(8).mapInArrow(replay, "w string, ids array<int>")
     return found.dropDuplicates(["w"]).toArrow()
@@ -339,6 +351,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
                     columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids)))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+                del ids, columns
+            del split, texts  # before the next ones are split
         own.share(None)
         release_memory()
 

@@ -70,6 +70,11 @@ def at_least(n: Column, m: Column, percent: int) -> Column:
     return F.ceil((n + m) * percent / F.lit(100 + percent) - 1e-9)
 
 
+def count_in_place(total: np.ndarray, found: np.ndarray) -> None:
+    """Counts shingles in their counters: no second array of all counters stands beside the first."""
+    np.add.at(total, (found >> np.uint64(64 - COUNTERS)).astype(np.int64), np.uint32(1))
+
+
 def frequency_levels(docs: DataFrame, words: int) -> np.ndarray:
     """About log2 of each shingle's count over all documents, by hash: counted in all tasks, summed in slices, 2 ** COUNTERS bytes in all.
 
@@ -82,10 +87,11 @@ def frequency_levels(docs: DataFrame, words: int) -> np.ndarray:
             for texts in np.array_split(batch["text"].to_numpy(), max(1, len(batch) // 500)):
                 found = [shingles(t, words) for t in texts]
                 if found:
-                    total += np.bincount((np.concatenate(found) >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS).astype(np.uint32)
+                    count_in_place(total, np.concatenate(found))
         if total.any():
-            parts = np.minimum(total, 65535).astype(np.uint16).reshape(-1, SLICE)
-            yield pd.DataFrame({"slice": np.arange(len(parts)), "counts": [zlib.compress(p.tobytes(), 1) for p in parts]})
+            parts = total.reshape(-1, SLICE)
+            yield pd.DataFrame({"slice": np.arange(len(parts)), "counts": [zlib.compress(np.minimum(p, 65535).astype(np.uint16).tobytes(), 1) for p in parts]})
+            del parts
         del total
         release_memory()
 
