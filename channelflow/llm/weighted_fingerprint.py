@@ -6,7 +6,7 @@ is brought down to the largest y = exp(r (t - b)) not above it, t an integer, an
 c / (y exp(r)) is the sample, with its t. Two documents agree in a sample with probability equal to
 their generalised Jaccard similarity, the sum of least over the sum of greatest weights.
 
-Draws come from a 64-bit hash of the term, mixed with the sample, so no two terms share them; a worker keeps those of the first terms it meets and of recent ones. What a
+Draws come from a 64-bit hash of the term, mixed with the sample, so no two terms share them; a worker keeps the values c / (y exp(r)) of the terms, with their weights, that it met last. What a
 signature keeps of a sample is its least value: it stands for the term and its t, as equal values of others are as unlikely as equal hashes.
 """
 
@@ -15,6 +15,8 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -25,8 +27,9 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 SAMPLES = 96
-KEPT_TERMS = 1 << 15  # terms whose draws a worker keeps for good
-RECENT_TERMS = 1 << 12  # and while they are recent
+KEPT_TERMS = 1 << 17  # terms with their weights whose values a worker keeps
+RECENT_TERMS = 1 << 12  # and room for those that are met at once
+DRAWN = 1 << 8  # terms that are drawn at once: what a processor's cache holds
 ROWS_A_BLOCK = 100_000
 NO_TERMS = "0000"  # of each sample of a text without words
 STEPS = 1 << 20  # least values are told apart by such parts of one
@@ -45,15 +48,17 @@ def _products(x: np.ndarray) -> np.ndarray:
 
 
 class WeightedSampler:
-    """Signatures, and the draws of terms: of the first ones met, which the frequent ones are among, for good, of others while they are recent."""
+    """Signatures, and the values of terms with their weights: those met longest ago make room for new ones."""
 
     def __init__(self, samples: int = SAMPLES, seed: int = 7, kept: int = KEPT_TERMS, recent: int = RECENT_TERMS):
-        self.samples, self.kept, self.recent = samples, kept, recent
+        self.samples, self.piece, self.size = samples, recent, max(kept, recent) + recent
         self.own = _mixed(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-        self.tables = [np.zeros((kept + recent, samples), dtype=np.float32) for _ in range(4)]
-        self.place: dict[bytes, int] = {}
-        self.last: list[bytes | None] = [None] * recent  # the terms in the places of recent ones
-        self.next = 0
+        self.table = np.zeros((self.size, samples), dtype=np.float32)
+        self.place: dict[bytes | tuple[bytes, int], int] = {}  # of a term, and of one of weight 2 or more with its weight
+        self.terms: list[bytes | tuple[bytes, int] | None] = [None] * self.size  # by place
+        self.met = np.zeros(self.size, dtype=np.int64)  # when a place was last asked for
+        self.free = np.arange(self.size)
+        self.now = 0
 
     def draws(self, terms: list[bytes]) -> tuple[np.ndarray, ...]:
         """r, b, log c and, for weight 1, where t is 0, the log of c / (y exp(r)) of each term and sample."""
@@ -62,60 +67,58 @@ class WeightedSampler:
         second = _mixed(first + np.uint64(0x9E3779B97F4A7C15))
         r, log_c = -np.log(_products(first)), np.log(-np.log(_products(second)))
         b = (((first ^ (second >> np.uint64(13))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)) * 2.0**-32
-        return tuple(x.astype(np.float32) for x in (r, b, log_c, log_c + r * (b - 1)))
-
-    def remember(self, terms: list[bytes], found: tuple[np.ndarray, ...]) -> None:
-        begin = 0
-        while begin < len(terms):
-            if self.next < self.kept:
-                at, room = self.next, self.kept - self.next
-            else:
-                at = self.kept + (self.next - self.kept) % self.recent
-                room = self.kept + self.recent - at
-            part = terms[begin : begin + room]
-            for table, x in zip(self.tables, found, strict=True):
-                table[at : at + len(part)] = x[begin : begin + len(part)]
-            if at >= self.kept:
-                own = slice(at - self.kept, at - self.kept + len(part))
-                for w in self.last[own]:
-                    self.place.pop(w, None)
-                self.last[own] = part
-            self.place.update(zip(part, range(at, at + len(part)), strict=True))
-            self.next += len(part)
-            begin += len(part)
-
-    def rows(self, terms: list[bytes], which: tuple[int, ...]) -> tuple[list[bytes], list[np.ndarray]]:
-        """The terms, those with known draws first, and these of their draws."""
-        at = list(map(self.place.get, terms))
-        known, new = terms, []
-        if None in at:
-            known, new = [w for w, i in zip(terms, at, strict=True) if i is not None], [w for w, i in zip(terms, at, strict=True) if i is None]
-            at = [i for i in at if i is not None]
-        out = [self.tables[k][at] for k in which]
-        for i in range(0, len(new), 1024):
-            part = new[i : i + 1024]
-            found = self.draws(part)
-            out = [np.concatenate((x, found[k])) for x, k in zip(out, which, strict=True)]
-            self.remember(part, found)
-        return known + new, out
+        return r, b, log_c, log_c + r * (b - 1)
+
+    def values(self, terms: list[bytes | tuple[bytes, int]]) -> np.ndarray:
+        """The log of c / (y exp(r)) of each term, with its weight, and sample."""
+        several = [i for i, w in enumerate(terms) if type(w) is tuple]
+        r, b, log_c, once = self.draws([w if type(w) is bytes else w[0] for w in terms])
+        out = once.astype(np.float32)
+        if several:
+            r, b, log_c = (x[several].astype(np.float32) for x in (r, b, log_c))
+            weight = np.log(np.array([terms[i][1] for i in several], dtype=np.float64)).astype(np.float32)
+            t = np.floor(weight[:, None] / r + b)
+            # where t is 0, the very number that weight 1 has there, so that equal samples are equal numbers
+            out[several] = np.where(t == 0, out[several], log_c - r * (t - b + 1))
+        return out
+
+    def make_room(self) -> None:
+        """Frees the places asked for longest ago, as many as one call may need."""
+        oldest = np.argpartition(self.met, self.piece)[: self.piece]
+        for i in oldest.tolist():
+            if self.terms[i] is not None:
+                del self.place[self.terms[i]]
+                self.terms[i] = None
+        self.free = oldest
+
+    def places(self, terms: list[bytes | tuple[bytes, int]]) -> np.ndarray:
+        """Where the values of these terms, all distinct and at most as many as a piece, stand."""
+        self.now += 1
+        at = np.fromiter(map(self.place.get, terms, repeat(-1)), dtype=np.int64, count=len(terms))
+        lacking = np.flatnonzero(at < 0)
+        self.met[at[at >= 0]] = self.now
+        if len(lacking):
+            if len(self.free) < len(lacking):
+                self.make_room()
+            found, self.free = self.free[: len(lacking)], self.free[len(lacking) :]
+            new = [terms[i] for i in lacking.tolist()]
+            for i in range(0, len(new), DRAWN):
+                self.table[found[i : i + DRAWN]] = self.values(new[i : i + DRAWN])
+            for w, i in zip(new, found.tolist(), strict=True):
+                self.place[w] = i
+                self.terms[i] = w
+            at[lacking] = found
+            self.met[found] = self.now
+        return at
 
     def signature(self, text: str) -> np.ndarray | None:
         """The samples, as numbers of 16 bits; None without words."""
         counts = Counter(text.encode("utf-8", "surrogatepass").split())
         if not counts:
             return None
-        least = np.full(self.samples, np.inf, dtype=np.float32)
-        single = [w for w, n in counts.items() if n == 1]
-        several = [w for w, n in counts.items() if n > 1]
-        for i in range(0, len(single), 4096):
-            _, (once,) = self.rows(single[i : i + 4096], (3,))
-            least = np.minimum(least, once.min(axis=0))
-        for i in range(0, len(several), 4096):
-            part, (r, b, log_c, once) = self.rows(several[i : i + 4096], (0, 1, 2, 3))
-            weight = np.log(np.fromiter(map(counts.__getitem__, part), dtype=np.float64, count=len(part))).astype(np.float32)
-            t = np.floor(weight[:, None] / r + b)
-            # where t is 0, the very number that weight 1 has there, so that equal samples are equal numbers
-            least = np.minimum(least, np.where(t == 0, once, log_c - r * (t - b + 1)).min(axis=0))
+        terms = [w if n == 1 else (w, n) for w, n in counts.items()]
+        pieces = (terms[i : i + self.piece] for i in range(0, len(terms), self.piece))
+        least = reduce(np.minimum, (self.table[self.places(part)].min(axis=0) for part in pieces))
         steps = np.rint(least.astype(np.float64) * STEPS).astype(np.int64).astype(np.uint64)
         return (_mixed(steps) >> np.uint64(48)).astype(np.uint16)
 

@@ -1,4 +1,4 @@
-"""What steps hold at once."""
+"""What steps hold at once, and what a worker draws again."""
 
 import tracemalloc
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as P
 from channelflow.llm.byte_bpe import Encoder, Strings
 from channelflow.llm.shingle_join import COUNTERS, count_in_place
+from channelflow.llm.weighted_fingerprint import WeightedSampler
 
 
 def peak_of(work):
@@ -75,3 +76,17 @@ def test_stages_hand_texts_to_python_in_bounded_batches(spark):
         assert spark.conf.get(P.BATCH_SETTING) == str(1 << 20)
     finally:
         spark.conf.unset(P.BATCH_SETTING)
+
+
+def test_terms_met_lately_are_not_drawn_again():
+    """However many others were met before, and whatever their weights."""
+    own, drawn, draws = WeightedSampler(kept=4096, recent=64), [], WeightedSampler.draws
+    own.draws = lambda terms: drawn.extend(terms) or draws(own, terms)
+    own.signature(" ".join(f"early{i}" for i in range(10_000)))
+    text = " ".join(f"w{i} " * (1 + i % 3) for i in range(1000))
+    first = own.signature(text)
+    own.signature(" ".join(f"between{i}" for i in range(1000)))
+    drawn.clear()
+    assert (own.signature(text) == first).all() and not drawn
+    assert (WeightedSampler().signature(text) == first).all()
+    assert len(own.place) <= 4096 + 64 and all(own.terms[i] == w for w, i in own.place.items())
