@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,56 +39,130 @@ def within_cluster_squares(points: DataFrame) -> DataFrame:
 
 def distances(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Euclidean distances of rows, from products; those that are small beside the rows' lengths, where products lose digits, from differences."""
-    squares = (one**2).sum(axis=1)[:, None] + (other**2).sum(axis=1)[None]
-    found = squares - 2 * (one @ other.T)
-    near, there = np.nonzero(found < 1e-4 * squares)
-    for begin in range(0, len(near), 1 << 14):
-        i, j = near[begin : begin + (1 << 14)], there[begin : begin + (1 << 14)]
-        found[i, j] = ((one[i] - other[j]) ** 2).sum(axis=1)
-    return np.sqrt(found, out=found)
-
-
-def _met(one: pd.DataFrame, other: pd.DataFrame, same: bool, block: int) -> pd.DataFrame:
-    """i, label, other, s, n: of each point of one the sum and number of its distances to the points of each label among other; a point doesn't count for itself."""
-    names = list(dict.fromkeys(other["label"].dropna()))
-    codes = other["label"].map({name: k for k, name in enumerate(names)}).to_numpy(dtype=float)
-    held = (codes[:, None] == np.arange(len(names))[None]).astype(float)
-    x, y = (np.stack(side["v"].to_numpy()).astype(float) for side in (one, other))
-    i, j = one["i"].to_numpy(), other["i"].to_numpy()
-    s, n = np.zeros((len(x), len(names))), np.tile(held.sum(axis=0), (len(x), 1))
-    for h in range(0, len(x), block):
-        for k in range(0, len(y), block):
-            here, there = slice(h, h + block), slice(k, k + block)
-            d = distances(x[here], y[there])
-            if same:
-                own = i[here, None] == j[None, there]
-                d[own] = 0
-                n[here] -= own.astype(float) @ held[there]
-            s[here] += d @ held[there]
-    at, to = np.nonzero(n > 0)
-    return pd.DataFrame({"i": i[at], "label": one["label"].to_numpy()[at], "other": [names[k] for k in to], "s": s[at, to], "n": n[at, to].astype(np.int64)})
+    middle = one.mean(axis=0)
+    return _Side(one, middle).distances(slice(None), _Side(other, middle), slice(None))
+
+
+class _Side:
+    """Points as products give their distances: less a middle, which leaves distances as they are, with the sums of squares in two more columns."""
+
+    def __init__(self, points: np.ndarray, middle: np.ndarray) -> None:
+        self.points, x = points, points - middle
+        self.squares = (x**2).sum(axis=1)
+        self.rows = np.column_stack([-2 * x, self.squares, np.ones(len(x))])
+        self.columns = np.column_stack([x, np.ones(len(x)), self.squares])
+
+    def distances(self, at: slice, other: _Side, there: slice) -> np.ndarray:
+        found = self.rows[at] @ other.columns[there].T
+        a, b = self.squares[at], other.squares[there]
+        if found.size and not found.min() >= 1e-4 * (a.max() + b.max()):
+            near, to = np.nonzero(found < 1e-4 * (a[:, None] + b[None]))
+            x, y = self.points[at], other.points[there]
+            for begin in range(0, len(near), 1 << 14):
+                i, j = near[begin : begin + (1 << 14)], to[begin : begin + (1 << 14)]
+                found[i, j] = ((x[i] - y[j]) ** 2).sum(axis=1)
+        return np.sqrt(found, out=found)
+
+
+class _Part:
+    """Points in order of their labels' codes, those without label first, and what they are from the points of each label elsewhere."""
+
+    def __init__(self, i: np.ndarray, code: np.ndarray, points: np.ndarray, middle: np.ndarray) -> None:
+        self.order = code.argsort(kind="stable")
+        self.i, self.code, self.side = i[self.order], code[self.order], _Side(points[self.order], middle)
+
+    def cuts(self, at: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Where the labels of these points begin, and their codes."""
+        code = self.code[at]
+        begins = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        return begins, code[begins]
+
+
+ROWS, COLUMNS = 256, 2048  # points of either side whose distances are held at once: what a core's cache holds
+
+
+def _add(sums: np.ndarray, there: slice, values: np.ndarray, code: np.ndarray) -> None:
+    known = code >= 0
+    sums[there, code[known]] += values[:, known]
+
+
+def _met(one: _Part, other: _Part, names: int, block: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each point of either part (one and the same, if they are the same object) the sums and numbers of its distances to the points of each label in the other part; points of one id don't meet.
+    A distance is found once, for both its points."""
+    same = one is other
+    numbers = [np.bincount(p.code[p.code >= 0], minlength=names).astype(np.int64) for p in (one, other)]
+    out = [(np.zeros((len(p.i), names)), np.tile(n, (len(p.i), 1))) for p, n in ((one, numbers[1]), (other, numbers[0]))]
+    s, n = out[0]
+    back = s if same else out[1][0]
+    alike = same and len(np.unique(one.i)) < len(one.i)
+    high, wide = min(block, ROWS), min(block, COLUMNS)
+    for h in range(0, len(one.i), high):
+        here = slice(h, min(h + high, len(one.i)))
+        begins, codes = one.cuts(here)
+        ends = np.append(begins[1:], here.stop - h)
+        if same:
+            d = one.side.distances(here, one.side, here)
+            own = one.i[here, None] == one.i[None, here]
+            own |= np.eye(len(d), dtype=bool)
+            d[own] = 0
+            _add(s, here, np.add.reduceat(d, begins, axis=1), codes)
+            _add(n, here, -np.add.reduceat(own, begins, axis=1, dtype=np.int64), codes)
+        for k in range(here.stop if same else 0, len(other.i), wide):
+            there = slice(k, min(k + wide, len(other.i)))
+            d = one.side.distances(here, other.side, there)
+            begins_there, codes_there = other.cuts(there)
+            if alike:
+                own = one.i[here, None] == other.i[None, there]
+                if own.any():
+                    d[own] = 0
+                    _add(n, here, -np.add.reduceat(own, begins_there, axis=1, dtype=np.int64), codes_there)
+                    _add(n, there, -np.add.reduceat(own.T, begins, axis=1, dtype=np.int64), codes)
+            _add(s, here, np.add.reduceat(d, begins_there, axis=1), codes_there)
+            _add(back, there, np.stack([d[b:e].sum(axis=0) for b, e in zip(begins, ends, strict=True)], axis=1), codes)
+    return out[:1] if same else out
+
+
+PARTS = 12  # of a file, until they would have four times the rows
+SPREAD = 128  # tasks at least, over which pairs of parts are dealt
+DEALS = 64  # shares of a file in which its points meet its number of parts
 
 
 def silhouette(points: DataFrame, rows_a_block: int = 2000, blocks_a_part: int = 8) -> DataFrame:
     """points(file, i, label, v): mean silhouette width with Euclidean distances; null unless there are two labels and fewer labels than points.
 
     Distances are exact over all pairs of a file, which is the measure's definition, so its work grows with the square of a file. Parts of a file meet in tasks of their own, each pair of parts once for
-    both its sides; in a task blocks of rows_a_block points meet, and only sums by (point, label) leave it. So what a task holds doesn't grow with a file.
+    both its sides; in a task blocks of rows_a_block points at most meet, and only a row of sums by label for each point leaves it. A part has at most four times rows_a_block * blocks_a_part points,
+    so what a task holds doesn't grow with a file.
     """
     kinds = dict(points.dtypes)
     size = rows_a_block * blocks_a_part
-    number = points.groupBy("file").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("long").alias("parts"))
-    dealt = points.join(number, "file").withColumn("part", F.pmod(F.xxhash64("i"), F.col("parts")))
+    count = F.count("*")
+    parts = F.greatest(F.least(F.ceil(count / size), F.lit(PARTS)), F.ceil(count / (4 * size)), F.lit(1))
+    number = points.groupBy("file").agg(parts.cast("long").alias("parts")).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    dealt = points.withColumn("deal", F.pmod(F.xxhash64("i"), F.lit(DEALS)).cast("int")).join(number, ["file", "deal"]).withColumn("part", F.pmod(F.xxhash64("i"), F.col("parts")))
     met = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.struct(F.least("part", p).alias("a"), F.greatest("part", p).alias("b"))))
     rows = dealt.select("file", "i", "label", "v", "part", met.alias("p")).select("file", "p.a", "p.b", "part", "i", "label", "v")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        file, a, b = rows[["file", "a", "b"]].iloc[0]
-        one, other = rows[rows["part"] == a], rows[rows["part"] == b]
-        out = [_met(one, other, a == b, rows_a_block)] + ([] if a == b else [_met(other, one, False, rows_a_block)])
-        return pd.concat(out).assign(file=file)[["file", "i", "label", "other", "s", "n"]]
-
-    sums = rows.groupBy("file", "a", "b").applyInPandas(run, f"file {kinds['file']}, i {kinds['i']}, label {kinds['label']}, other {kinds['label']}, s double, n long")
+    tasks = max(SPREAD, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = rows.repartition(tasks, "file", "a", "b")  # a number, or few bytes would become few tasks
+
+    def run(rows: pa.Table) -> pa.Table:
+        name = lambda c: rows[c].combine_chunks().dictionary_encode()
+        label, code, i = name("label"), *(name(c).indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in ("label", "i"))
+        v = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1).astype(float)
+        of_part, middle = rows["part"].to_numpy(), v.mean(axis=0)
+        places = [np.flatnonzero(of_part == p) for p in dict.fromkeys(rows[c][0].as_py() for c in ("a", "b"))]
+        sides = [_Part(i[at], code[at], v[at], middle) for at in places]
+        met = _met(sides[0], sides[-1], len(label.dictionary), rows_a_block)
+        s, n = (np.concatenate(x) for x in zip(*met, strict=True))
+        each = pa.array(np.tile(np.arange(s.shape[1]), len(s)))
+        held = pa.StructArray.from_arrays([label.dictionary.take(each), pa.array(s.ravel()), pa.array(n.ravel())], names=["other", "s", "n"])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * s.shape[1]), held)
+        points = pa.array(np.concatenate([at[side.order] for at, side in zip(places, sides, strict=True)]))
+        return rows.select(["file", "i", "label"]).take(points).append_column("sums", lists)
+
+    shape = f"file {kinds['file']}, i {kinds['i']}, label {kinds['label']}, sums array<struct<other {kinds['label']}, s double, n long>>"
+    found = spread.groupBy("file", "a", "b").applyInArrow(run, shape)
+    sums = found.repartition("file", "i").select("file", "i", "label", F.inline("sums")).where("n > 0")  # rows of a point meet before they are taken apart
     mean = sums.groupBy("file", "i", "label", "other").agg((F.sum("s") / F.sum("n")).alias("d"))
     per = mean.groupBy("file", "i", "label").agg(F.min(F.when(F.col("other") == F.col("label"), F.col("d"))).alias("a"), F.min(F.when(F.col("other") != F.col("label"), F.col("d"))).alias("b"))
     width = F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))

@@ -385,6 +385,46 @@ def test_silhouette_of_parts_and_near_points(spark):
     assert np.allclose(Q.distances(v, v), d, rtol=1e-9, atol=0)
 
 
+def test_silhouette_finds_each_distance_once(monkeypatch):
+    """Sums for both points of a pair from one distance, in tiles; copies of an id don't meet, points without label count for nobody."""
+    rng = np.random.default_rng(24)
+    i, code, v = rng.permutation(50), rng.integers(-1, 3, 50), rng.normal(size=(50, 4))
+    i[[7, 30]] = i[3]
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
+    cells, plain = [], Q._Side.distances
+
+    def counted(*given):
+        found = plain(*given)
+        cells.append(found.size)
+        return found
+
+    monkeypatch.setattr(Q._Side, "distances", counted)
+
+    def check(places, meet, block):
+        cells.clear()
+        sides = [Q._Part(i[at], code[at], v[at], v.mean(axis=0)) for at in places]
+        for (s, n), side, at, to in zip(Q._met(sides[0], sides[-1], 3, block), sides, places, places[::-1], strict=True):
+            rows = np.ix_(at[side.order], to)
+            for k in range(3):
+                held = (meet & (code == k)[None])[rows]
+                assert np.allclose(s[:, k], (d[rows] * held).sum(axis=1)) and (n[:, k] == held.sum(axis=1)).all()
+
+    for block, most in ((7, 50 * 57 // 2), (64, 50 * 50)):
+        check([np.arange(50)], i[:, None] != i[None], block)
+        assert sum(cells) <= most
+    i[:] = np.arange(50)
+    check([np.arange(29), np.arange(29, 50)], i[:, None] != i[None], 6)
+    assert sum(cells) == 29 * 21
+
+
+def test_silhouette_deals_pairs_of_parts(spark):
+    """Pairs of parts are a number of tasks, whatever their bytes, and points meet their file's number of parts in shares of the file."""
+    df = spark.createDataFrame([("f", t, t % 2, [float(t), 1.0]) for t in range(40)], "file string, i long, label int, v array<double>")
+    plan = Q.silhouette(df, 4, 2)._jdf.queryExecution().optimizedPlan().toString()
+    pairs = next(x for x in plan.split("\n") if "RepartitionByExpression [file" in x and ", a#" in x and ", b#" in x)
+    assert int(pairs.rsplit(" ", 1)[1]) >= 128 and "(deal#" in plan
+
+
 def test_permutation_test_finds_a_planted_effect(spark):
     rng = np.random.default_rng(9)
     rows = [(k, s, c, (rng.normal(size=12) + (3 * np.sin(np.arange(12) * (c + 1)) if k else 0)).tolist()) for k in (0, 1) for s in range(12) for c in (0, 1)]
