@@ -6,7 +6,7 @@ Seeds are fixed and eigenvectors have a canonical sign, so reruns agree.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -107,32 +107,60 @@ def _regroup(maps: np.ndarray, grams: dict[int, np.ndarray], data: np.ndarray, m
         maps[i] = _canonical(leading_vector(grams[i]))
 
 
-def kmeans_run(
-    data: np.ndarray, k: int, restart: int, seed: int, polarity: bool = False, tolerance: float = 1e-6, rounds: int = 1000, n_total: int | None = None
-) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
-    """Maps, labels, criterion and explained variances of one restart.
+TILE = 4096  # samples that meet the maps of several runs at once
 
-    Samples go to the map of greatest squared product, maps become their samples' principal vector. A map that loses all samples stays. The run ends when no sample changes its map, or
+
+def _nearest(data: np.ndarray, maps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of maps (runs x k x channels) each run's map of greatest squared product with each sample, the first one on ties, and the sum of those products. All runs read a tile of samples together."""
+    runs, k, channels = maps.shape
+    every, own, reached = maps.reshape(-1, channels), np.empty((runs, len(data)), dtype=np.int32), np.zeros(runs)
+    for begin in range(0, len(data), TILE):
+        at = slice(begin, begin + TILE)
+        products = (every @ data[at].T).reshape(runs, k, -1)
+        products *= products
+        best, first = products[:, 0].copy(), np.zeros(products[:, 0].shape, dtype=np.int32)
+        for j in range(1, k):
+            np.maximum(first, (products[:, j] > best) * np.int32(j), out=first)
+            np.maximum(best, products[:, j], out=best)
+        own[:, at] = first
+        reached += best.sum(axis=1)
+    return own, reached
+
+
+def kmeans_runs(
+    data: np.ndarray, k: int, restarts: Sequence[int], seed: int, polarity: bool = False, tolerance: float = 1e-6, rounds: int = 1000, n_total: int | None = None
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, float, np.ndarray]]:
+    """Restart, maps, labels, criterion and explained variances of each restart; their rounds go side by side, so that samples are read once for all.
+
+    Samples go to the map of greatest squared product, maps become their samples' principal vector. A map that loses all samples stays. A run ends when no sample changes its map, or
     when what the maps explain of the samples' power grows by less than the tolerance's share of what is left.
     """
-    rng = np.random.default_rng([seed, k, restart])
     power = (data**2).sum()
-    maps = data[rng.permutation(len(data))[:k]]
-    maps = maps / np.maximum(np.linalg.norm(maps, axis=1, keepdims=True), 1e-300)
-    label, explained = np.full(len(data), -1), -np.inf
-    grams: dict[int, np.ndarray] = {}
+    maps = np.stack([data[np.random.default_rng([seed, k, restart]).permutation(len(data))[:k]] for restart in restarts])
+    maps = maps / np.maximum(np.linalg.norm(maps, axis=2, keepdims=True), 1e-300)
+    label, explained = np.full((len(restarts), len(data)), -1, dtype=np.int32), np.full(len(restarts), -np.inf)
+    grams: list[dict[int, np.ndarray]] = [{} for _ in restarts]
+    open_ = np.arange(len(restarts))
     for _ in range(rounds):
-        products = data @ maps.T
-        products *= products
-        own = products.argmax(axis=1)
-        reached = products.max(axis=1).sum()
-        moved = np.flatnonzero(own != label)
-        if len(moved) == 0 or reached - explained <= tolerance * (power - reached):
+        found, reached = _nearest(data, maps[open_])
+        going = []
+        for run, own, sum_ in zip(open_, found, reached, strict=True):
+            moved = np.flatnonzero(own != label[run])
+            if len(moved) and sum_ - explained[run] > tolerance * (power - sum_):
+                explained[run] = sum_
+                _regroup(maps[run], grams[run], data, moved, label[run], own)
+                label[run] = own
+                going.append(run)
+        open_ = np.array(going, dtype=int)
+        if not going:
             break
-        before, label, explained = label, own, reached
-        _regroup(maps, grams, data, moved, before, label)
-    label, cv, gev = criteria(data, maps, polarity, n_total)
-    return maps, label, cv, gev
+    for restart, own in zip(restarts, maps, strict=True):
+        yield restart, own, *criteria(data, own, polarity, n_total)
+
+
+def kmeans_run(data: np.ndarray, k: int, restart: int, seed: int, polarity: bool = False, **options) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """Maps, labels, criterion and explained variances of one restart."""
+    return next(kmeans_runs(data, k, [restart], seed, polarity, **options))[1:]
 
 
 CELLS = 1 << 21  # correlations that are held at once
@@ -225,34 +253,60 @@ def _data(rows: pd.DataFrame) -> np.ndarray:
 
 
 RESTARTS = 10  # of a task
+PACK = 2048  # samples of a packed row
+
+
+def _packed_times(samples: DataFrame) -> DataFrame:
+    """subject, t and x (binary) of up to PACK samples(subject, t, v) each, where they are read."""
+    kind = dict(samples.dtypes)["subject"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for subject, part in by_key(batch, "subject"):
+                for begin in range(0, len(part), PACK):
+                    some = part.iloc[begin : begin + PACK]
+                    yield pd.DataFrame({"subject": [subject], "t": [some["t"].to_numpy().astype(float).tobytes()], "x": [np.stack(some["v"].to_numpy()).astype(float).tobytes()]})
+
+    return samples.select("subject", "t", "v").mapInPandas(run, f"subject {kind}, t binary, x binary")
+
+
+def _in_order(t: pd.Series, x: pd.Series) -> np.ndarray:
+    """Packed samples by time; those of one time by their values."""
+    t = np.frombuffer(b"".join(t))
+    data = np.frombuffer(b"".join(x)).reshape(len(t), -1)
+    order = t.argsort(kind="stable")
+    if (np.diff(t[order]) == 0).any():
+        order = np.lexsort((*data.T[::-1], t))
+    return data[order]
 
 
 def kmeans_modified(samples: DataFrame, least: int = 2, most: int = 10, restarts: int = 100, polarity: bool = False, seed: int = 1) -> DataFrame:
     """Maps of each subject for every K from least to most (or its number of samples): subject, k_total, k, m, cv, gev, of the restart of least criterion.
 
-    samples(subject, t, v), usually peaks, are packed into one row a subject; a task has a subject, a K and a few restarts, so restarts spread over the cluster.
+    samples(subject, t, v), usually peaks, travel in packed rows; a task has a subject, a K and a few restarts, so restarts spread over the cluster and a task holds one subject's samples once, as numbers.
+    These are groups of an aggregate, so whoever keeps some K only (a filter on k_total) has only these run.
     """
-    kind = dict(samples.dtypes)["subject"]
-    packed = samples.groupBy("subject").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]).alias("data"))
-    runs = packed.withColumn("k_total", F.explode(F.sequence(F.lit(least), F.lit(most)))).where(F.col("k_total") <= F.size("data"))
-    runs = runs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-restarts // RESTARTS) - 1))))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-restarts // RESTARTS) - 1))).alias("block")
+    totals = F.explode(F.sequence(F.lit(least), F.lit(most))).alias("k_total")
+    runs = _packed_times(samples).select("subject", "t", "x", totals).select("subject", "t", "x", "k_total", blocks)
     runs = runs.repartition(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), "subject", "k_total", "block")  # a number, or few bytes would become few tasks
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for subject, given, k, block in zip(batch["subject"], batch["data"], batch["k_total"], batch["block"], strict=True):
-                data, best = np.stack(given).astype(float), None
-                for restart in range(block * RESTARTS, min(restarts, (block + 1) * RESTARTS)):
-                    found = kmeans_run(data, k, restart, seed, polarity)
-                    if best is None or found[2] < best[1][2]:
-                        best = (restart, found)
-                restart, (maps, _, cv, gev) = best
-                yield pd.DataFrame({"subject": [subject], "k_total": [k], "restart": [restart], "maps": [maps.tolist()], "cv": [cv], "gevs": [gev.tolist()]})
-
-    found = runs.mapInPandas(run, f"subject {kind}, k_total int, restart int, maps array<array<double>>, cv double, gevs array<double>")
-    best = found.groupBy("subject", "k_total").agg(F.min_by(F.struct("maps", "cv", "gevs"), F.struct("cv", "restart")).alias("b"))
-    rows = best.select("subject", "k_total", F.posexplode("b.maps").alias("k", "m"), "b.cv", "b.gevs")
-    return rows.select("subject", "k_total", "k", "m", "cv", F.get("gevs", F.col("k")).alias("gev"))
+    @F.pandas_udf("array<double>")
+    def best_run(t: pd.Series, x: pd.Series, k_total: pd.Series, block: pd.Series) -> list:
+        """Criterion, restart, and the maps' explained variances and vectors."""
+        data, k, first = _in_order(t, x), int(k_total.iloc[0]), int(block.iloc[0]) * RESTARTS
+        if len(data) < k:
+            return None
+        found = kmeans_runs(data, k, range(first, min(restarts, first + RESTARTS)), seed, polarity)
+        restart, maps, _, cv, gev = min(found, key=lambda run: (run[3], run[0]))
+        return [float(cv), float(restart), *gev.tolist(), *maps.ravel().tolist()]
+
+    found = runs.groupBy("subject", "k_total", "block").agg(best_run("t", "x", "k_total", "block").alias("run")).where("run is not null")
+    best = found.groupBy("subject", "k_total").agg(F.min_by("run", F.struct(F.get("run", F.lit(0)), F.get("run", F.lit(1)))).alias("b"))
+    channels = F.floor((F.size("b") - 2) / F.col("k_total")).cast("int") - 1
+    rows = best.select("subject", "k_total", "b", channels.alias("channels"), F.explode(F.sequence(F.lit(0), F.col("k_total") - 1)).alias("k"))
+    vector = F.slice("b", 3 + F.col("k_total") + F.col("k") * F.col("channels"), F.col("channels"))
+    return rows.select("subject", "k_total", "k", vector.alias("m"), F.get("b", F.lit(0)).alias("cv"), F.get("b", F.col("k") + 2).alias("gev"))
 
 
 def best_k(maps: DataFrame) -> DataFrame:

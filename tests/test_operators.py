@@ -618,6 +618,46 @@ def test_kmeans_spreads_short_rows(spark):
     assert "RepartitionByExpression [subject" in tasks and tasks.split("RepartitionByExpression [subject")[1].split("\n")[0].endswith("4")
 
 
+def test_kmeans_samples_travel_packed(spark):
+    """No row has all of a subject's samples; neither the parts that they come in nor the order of samples of one time change the result."""
+    rng = np.random.default_rng(25)
+    rows = [("a", t // 2 if t < 20 else t, rng.normal(size=4).tolist()) for t in range(300)]
+    df = spark.createDataFrame(rows, "subject string, t long, v array<double>").coalesce(1)
+    pack, C.PACK = C.PACK, 64
+    try:
+        packed = C._packed_times(df).collect()
+        found = C.kmeans_modified(df, 2, 4, 12)
+        one = found.orderBy("k_total", "k").collect()
+    finally:
+        C.PACK = pack
+    assert sorted(len(r["x"]) // 32 for r in packed) == [44, 64, 64, 64, 64] and all(len(r["t"]) * 4 == len(r["x"]) for r in packed)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "MapInPandas" in plan
+    assert one == C.kmeans_modified(df.orderBy(F.rand(3)).repartition(3), 2, 4, 12).orderBy("k_total", "k").collect()
+    best = min((C.kmeans_run(C._in_order([r["t"] for r in packed], [r["x"] for r in packed]), 3, i, 1) for i in range(12)), key=lambda x: x[2])
+    assert np.array_equal([r["m"] for r in one if r["k_total"] == 3], best[0]) and [r["gev"] for r in one if r["k_total"] == 3] == best[3].tolist()
+
+
+def test_kmeans_runs_go_side_by_side():
+    """Restarts of one task are those that go alone, whatever the tile; few samples, a run cut by rounds and equal products among them."""
+    rng = np.random.default_rng(26)
+    data = rng.normal(size=(500, 6)) + 2 * rng.normal(size=(4, 6))[rng.integers(0, 4, 500)]
+    data[40:60] = data[:20]
+    tile, C.TILE = C.TILE, 128
+    try:
+        together = [list(C.kmeans_runs(x, 4, range(2, 9), 5, rounds=rounds)) for x, rounds in ((data, 1000), (data, 3), (data[:5], 1000))]
+    finally:
+        C.TILE = tile
+    for found, (x, rounds) in zip(together, ((data, 1000), (data, 3), (data[:5], 1000)), strict=True):
+        assert [f[0] for f in found] == list(range(2, 9))
+        for restart, maps, label, cv, gev in found:
+            alone = C.kmeans_run(x, 4, restart, 5, rounds=rounds)
+            assert np.allclose(maps, alone[0], atol=1e-9) and (label == alone[1]).all() and cv == pytest.approx(alone[2]) and gev == pytest.approx(alone[3])
+    own, reached = C._nearest(data, data[None, [7, 7, 9]])
+    products = (data @ data[[7, 7, 9]].T) ** 2
+    assert (own[0] == products.argmax(axis=1)).all() and reached[0] == pytest.approx(products.max(axis=1).sum())
+
+
 def test_decays_of_a_batch_are_those_of_each(spark):
     rng = np.random.default_rng(20)
     lag = np.tile(np.arange(1.0, 7.0), (30, 1))
