@@ -638,6 +638,20 @@ def test_kmeans_samples_travel_packed(spark):
     assert np.array_equal([r["m"] for r in one if r["k_total"] == 3], best[0]) and [r["gev"] for r in one if r["k_total"] == 3] == best[3].tolist()
 
 
+def test_only_kept_numbers_of_maps_are_run(spark):
+    """A level that keeps one K of a sweep has that K run only: the filter goes below the runs and their exchange."""
+    rng = np.random.default_rng(27)
+    recordings = spark.createDataFrame([("p", task, t, rng.normal(size=5).tolist()) for task in ("a", "b") for t in range(40)], "subject string, task string, t long, v array<double>")
+    maps = H.individual_maps(recordings, 2, 6, 3, distance=2)
+    runs = H.across_runs(maps, R.conditions(spark, {"rest": ["a", "b"]}), 3)
+    plan = H.across_subjects(runs)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("RepartitionByExpression [subject")
+    assert "best_run(" in above and any("Filter" in x and "k_total" in x and "= 3" in x for x in below.split("\n")) and not any("Filter" in x and "= 3" in x for x in above.split("\n"))
+    whole = {r["k"]: r["similarity"] for r in H.across_subjects(H.across_runs(maps.cache(), R.conditions(spark, {"rest": ["a", "b"]}), 3)).collect()}
+    maps.unpersist()
+    assert whole.keys() == {0, 1, 2} and {r["k"]: r["similarity"] for r in H.across_subjects(runs).collect()} == whole
+
+
 def test_kmeans_runs_go_side_by_side():
     """Restarts of one task are those that go alone, whatever the tile; few samples, a run cut by rounds and equal products among them."""
     rng = np.random.default_rng(26)
