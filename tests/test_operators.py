@@ -425,6 +425,29 @@ def test_silhouette_deals_pairs_of_parts(spark):
     assert int(pairs.rsplit(" ", 1)[1]) >= 128 and "(deal#" in plan
 
 
+def test_quality_summary_deals_its_pairs(spark):
+    """The summary's silhouettes keep their tasks as dealt, where few bytes would have been put together, and are those of definition."""
+    rng = np.random.default_rng(28)
+    v, label, file = rng.normal(size=(30, 3)), np.arange(30) % 3, np.arange(30) % 2
+    points = spark.createDataFrame([(int(file[i]), i, int(label[i]), v[i].tolist()) for i in range(30)], "file int, i long, label int, v array<double>")
+    files = spark.createDataFrame([("a", 0), ("a", 1), ("b", 1)], "condition string, file int")
+    found = Q.quality_summary(Q.within_cluster_squares(points).join(Q.silhouette(points, 5, 1), "file"), files)
+    out = {r["condition"]: r for r in found.collect()}
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
+    means = []
+    for f in (0, 1):
+        at = np.flatnonzero(file == f)
+        mean = np.array([[d[i, [j for j in at if label[j] == k and j != i]].mean() for k in range(3)] for i in at])
+        own = mean[np.arange(15), label[at]]
+        nearest = np.where(label[at][:, None] == np.arange(3), np.inf, mean).min(axis=1)
+        means.append(((nearest - own) / np.maximum(nearest, own)).mean())
+    assert out["a"]["mean_silhouette"] == pytest.approx(np.mean(means)) and out["b"]["mean_silhouette"] == pytest.approx(means[1]) and out["a"]["files"] == 2
+    executed = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].split("\n")
+    place = next(i for i, x in enumerate(executed) if "FlatMapGroupsInArrow" in x)
+    below = next(x for x in executed[place + 1 :] if "Exchange" in x or "AQEShuffleRead" in x)
+    assert "REPARTITION_BY_NUM" in "".join(executed[place : place + 6]) and "AQEShuffleRead" not in below
+
+
 def test_permutation_test_finds_a_planted_effect(spark):
     rng = np.random.default_rng(9)
     rows = [(k, s, c, (rng.normal(size=12) + (3 * np.sin(np.arange(12) * (c + 1)) if k else 0)).tolist()) for k in (0, 1) for s in range(12) for c in (0, 1)]
